@@ -1,8 +1,8 @@
 """The queries of this subpackage and, where SQL can express them, their DuckDB SQL."""
 
-from plumbline.llm import decontaminate
+from plumbline.llm import decontaminate, langid, mixing, quality, simhash, warc
 
-MODULES = [decontaminate]
+MODULES = [quality, simhash, langid, decontaminate, mixing, warc]
 
 
 def queries() -> dict:
