@@ -1,8 +1,8 @@
 """The queries of this subpackage and, where SQL can express them, their DuckDB SQL."""
 
-from plumbline.llm import decontaminate, langid, mixing, quality, simhash, warc
+from plumbline.llm import decontaminate, fmindex, html, langid, mixing, pseudolikelihood, quality, simhash, suffixes, warc
 
-MODULES = [quality, simhash, langid, decontaminate, mixing, warc]
+MODULES = [pseudolikelihood, quality, fmindex, simhash, langid, html, decontaminate, mixing, suffixes, warc]
 
 
 def queries() -> dict:
