@@ -154,7 +154,7 @@ def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str
     last = F.floor((F.col("begin") + F.col("size") - 1) / block)
     pieces = placed.select("row", "k", "size", "words", "target", "rank", "begin", F.explode(F.when(F.col("size") > 0, F.sequence(F.floor(F.col("begin") / block), last)).otherwise(F.array(F.lit(-1).cast("long")))).alias("block"))
     pieces = pieces.withColumn("a", F.greatest(F.lit(0), F.col("begin") - F.col("block") * block)).withColumn("b", F.least(F.lit(block), F.col("begin") + F.col("size") - F.col("block") * block))
-    joined = pieces.join(slots(sources, block=block, seed=seed), ["rank", "block"], "left").withColumn("got", F.greatest(F.lit(0), F.least(F.coalesce("take", F.lit(0)), "b") - F.col("a")))
+    joined = pieces.join(slots(sources, block=block, seed=seed).hint("merge"), ["rank", "block"], "left").withColumn("got", F.greatest(F.lit(0), F.least(F.coalesce("take", F.lit(0)), "b") - F.col("a")))
     start = F.greatest(F.lit(0), F.col("block") * block - F.col("begin"))
     return (
         joined.groupBy("row", "k", "size", "words", "target")
