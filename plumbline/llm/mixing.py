@@ -170,8 +170,8 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: documents of which words are taken, with the words taken and the slots they go to."""
-    mixed = mix(docs.select("doc_id", "text", "source")).where("taken > 0")
-    return docs.join(mixed, "doc_id")
+    mixed = mix(docs.select("doc_id", "text", "source")).where("taken > 0").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "mixed_id")
+    return docs.join(mixed, docs["doc_id"].eqNullSafe(mixed["mixed_id"])).drop("mixed_id")
 
 
 QUERIES = {"op8_mixing": op8_mixing}

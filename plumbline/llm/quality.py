@@ -160,16 +160,21 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, *, precision: float = PRECI
             rule.append(c)
             inside &= _covers([c], x)
 
+        def precise(r: Rule) -> bool:
+            hit = left & _covers(r, x)
+            return hit.sum() >= least and bad[hit & ~third].mean() >= precision and bool(not (hit & third).any() or bad[hit & third].mean() >= precision)
+
         def worth(r: Rule) -> float:
             hit = prune & _covers(r, x)
             p, n = int(bad[hit].sum()), int((~bad[hit]).sum())
             return (p - n) / (p + n) if p + n else -1.0
 
-        while len(rule) > 1 and worth(rule[:-1]) >= worth(rule):
-            rule.pop()
-        hit = _covers(rule, x) & left
-        if not rule or hit.sum() < least or bad[hit & ~third].mean() < precision or ((hit & third).any() and bad[hit & third].mean() < precision):
+        # pruned from the end, as far as the rule stays precise on both parts
+        precise_ones = [rule[:n] for n in range(1, len(rule) + 1) if precise(rule[:n])]
+        if not precise_ones:
             break
+        rule = max(precise_ones, key=lambda r: (worth(r), -len(r)))
+        hit = _covers(rule, x) & left
         rules.append(rule)
         left &= ~hit
     return rules
@@ -178,7 +183,11 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, *, precision: float = PRECI
 def fit(stats: DataFrame, labels: DataFrame, *, key: str = "doc_id", label: str = "quality", rows: int = LABELLED_ROWS) -> list[Rule]:
     """A decision list from the statistics of at most ``rows`` labelled documents (label 0: bad)."""
     known = stats.join(labels.select(key, F.col(label).alias("y")).where(F.col("y").isNotNull()), key)
-    sample = known.orderBy(F.xxhash64(key), key, "y", *STATISTICS).limit(rows)
+    # a hash threshold first, so that what tasks send for the ordered limit stays near ``rows`` in all
+    place, n = F.pmod(F.xxhash64(key), F.lit(1 << 30)), known.count()
+    if n > rows:
+        known = known.where(place < int(1.25 * rows / n * (1 << 30)))
+    sample = known.orderBy(place, key, "y", *STATISTICS).limit(rows)
     table = sample.select("y", *(feature(f).alias(f) for f in FEATURES)).toPandas()
     bad = table["y"].to_numpy() == 0
     if not len(bad) or bad.all() or not bad.any():
