@@ -1,0 +1 @@
+"""Building inspection from 3-D point clouds, as DataFrame operators on Spark."""
