@@ -2,7 +2,7 @@
 
 A window of W symbols contains W - G + 1 grams of G symbols; the least gram print among them is the
 window's anchor. Equal windows have equal anchors, so a window whose anchor gram stands nowhere else
-cannot repeat. Consecutive windows with one anchor form a run; equal runs (equal bodies) are copies as a whole, and only
+cannot repeat. Consecutive windows with equal anchor grams form a run (so periodic text is one run); equal runs (equal bodies) are copies as a whole, and only
 distinct bodies around the same gram need comparing window by window.
 
 The plan, each step linear in the corpus and without a bound on any group:
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from plumbline.llm import common
 
 BITMAP_BITS = 1 << 28
-SHARD = 1 << 20
+SHARD = 1 << 19
 HOT = 4096
 
 @dataclass
@@ -62,16 +62,18 @@ def word_block(texts: list[bytes]) -> Block:
 
 @dataclass
 class Runs:
-    """Runs of windows with one anchor: prints of gram and body, text, first window (in its text) and windows."""
+    """Runs of windows with equal anchor grams: prints of gram and body, text, first window (in its text), windows,
+    and the number of places the gram anchors from."""
 
     gram: np.ndarray
     body: np.ndarray
     text: np.ndarray
     start: np.ndarray
     windows: np.ndarray
+    places: np.ndarray
 
     def __getitem__(self, keep: np.ndarray) -> Runs:
-        return Runs(self.gram[keep], self.body[keep], self.text[keep], self.start[keep], self.windows[keep])
+        return Runs(self.gram[keep], self.body[keep], self.text[keep], self.start[keep], self.windows[keep], self.places[keep])
 
 
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -89,7 +91,7 @@ def find_runs(block: Block, window: int, gram: int) -> Runs:
     n = len(block.prints) - window + 1
     if n <= 0:
         empty = np.empty(0, np.int64)
-        return Runs(empty.astype(np.uint64), empty.astype(np.uint64), empty, empty, empty)
+        return Runs(empty.astype(np.uint64), empty.astype(np.uint64), empty, empty, empty, empty)
     sums = common.prefix_sums(block.prints)
     at = np.arange(len(block.prints) - gram + 1)
     grams = common.span_prints(sums, at, at + gram)
@@ -99,12 +101,16 @@ def find_runs(block: Block, window: int, gram: int) -> Runs:
     doc = block.doc
     whole = np.flatnonzero(doc[:n] == doc[window - 1 :])
     if not len(whole):
-        return Runs(grams[:0], grams[:0], whole, whole, whole)
+        return Runs(grams[:0], grams[:0], whole, whole, whole, whole)
     a = anchor[whole]
-    new = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (whole[1:] != whole[:-1] + 1))))
+    own = grams[a]
+    new = np.flatnonzero(np.concatenate(([True], (own[1:] != own[:-1]) | (whole[1:] != whole[:-1] + 1))))
     start, count = whole[new], np.diff(np.concatenate((new, [len(whole)])))
     text = doc[start]
-    return Runs(grams[a[new]], common.span_prints(sums, start, start + count - 1 + window), text, start - block.first[text], count)
+    moved = np.concatenate(([True], a[1:] != a[:-1]))
+    moved[new] = True
+    places = np.add.reduceat(moved.astype(np.int64), new)
+    return Runs(own[new], common.span_prints(sums, start, start + count - 1 + window), text, start - block.first[text], count, places)
 
 
 def _hits(prints: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
@@ -148,18 +154,19 @@ class Search:
 
         def run(batches):
             for b in batches:
-                for first, texts in common.chunks(common.as_bytes(b.column(1))):
+                for first, texts in common.text_chunks(b.column(1)):
                     block = make(texts)
                     yield from emit(block, find_runs(block, window, gram), b.column(0).slice(first, len(texts)))
 
         return self.docs.select("k", "t").mapInArrow(run, schema)
 
     def candidates(self) -> DataFrame:
-        """(gram, body, k, start, windows): the runs whose gram may stand elsewhere too."""
+        """(gram, body, k, start, windows, places): the runs whose gram may stand elsewhere too."""
 
         def count(block, runs, keys):
-            gram, n = np.unique(runs.gram, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(n, pa.int64())], ["p", "n"])
+            gram, at = np.unique(runs.gram, return_inverse=True)
+            n = np.bincount(at, runs.places, len(gram)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(n)], ["p", "n"])
 
         counted = self._runs("p long, n long", count).groupBy("p").agg(F.sum("n").alias("n"))
         repeated = common.materialize(counted.where("n > 1").select("p"), f"{self.name}-grams")
@@ -168,18 +175,18 @@ class Search:
         def passing(block, runs, keys):
             runs = runs[_hits(runs.gram, bitmap.value)]
             columns = [runs.gram.view(np.int64), runs.body.view(np.int64)]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), keys.take(pa.array(runs.text)), pa.array(runs.start, pa.int64()), pa.array(runs.windows, pa.int64())], ["gram", "body", "k", "start", "windows"])
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), keys.take(pa.array(runs.text)), pa.array(runs.start, pa.int64()), pa.array(runs.windows, pa.int64()), pa.array(runs.places, pa.int64())], ["gram", "body", "k", "start", "windows", "places"])
 
-        return common.materialize(self._runs("gram long, body long, k long, start long, windows long", passing), f"{self.name}-runs")
+        return common.materialize(self._runs("gram long, body long, k long, start long, windows long, places long", passing), f"{self.name}-runs")
 
     def bodies(self, candidates: DataFrame) -> DataFrame:
-        """(gram, body, first_k, first_start, windows, copies): distinct bodies with their first occurrence."""
-        distinct = candidates.groupBy("gram", "body").agg(F.min(F.struct("k", "start")).alias("first"), F.max("windows").alias("windows"), F.count("*").alias("copies"))
-        return common.materialize(distinct.select("gram", "body", F.col("first.k").alias("first_k"), F.col("first.start").alias("first_start"), "windows", "copies"), f"{self.name}-bodies")
+        """(gram, body, first_k, first_start, windows, places, copies): distinct bodies with their first occurrence."""
+        distinct = candidates.groupBy("gram", "body").agg(F.min(F.struct("k", "start")).alias("first"), F.max("windows").alias("windows"), F.max("places").alias("places"), F.count("*").alias("copies"))
+        return common.materialize(distinct.select("gram", "body", F.col("first.k").alias("first_k"), F.col("first.start").alias("first_start"), "windows", "places", "copies"), f"{self.name}-bodies")
 
     def shared(self, bodies: DataFrame) -> DataFrame:
-        """``bodies`` whose gram has others too, with their number as ``around``."""
-        around = bodies.groupBy("gram").agg(F.count("*").alias("around")).where("around > 1")
+        """``bodies`` whose gram has others too or stands twice inside, with the number of such bodies as ``around``."""
+        around = bodies.groupBy("gram").agg(F.count("*").alias("around"), F.max("places").alias("_p")).where("around > 1 OR _p > 1").drop("_p")
         return common.materialize(bodies.join(around, "gram"), f"{self.name}-shared")
 
     def fragments(self, shared: DataFrame) -> DataFrame:
@@ -286,7 +293,7 @@ def apply(docs: DataFrame, marked: DataFrame, schema: str, work: Callable[[bytes
     def run(batches):
         for b in batches:
             keys, marks = b.column(0), b.column(2)
-            for first, texts in common.chunks(common.as_bytes(b.column(1))):
+            for first, texts in common.text_chunks(b.column(1)):
                 rows = [work(t, hit_windows(m)) for t, m in zip(texts, marks.slice(first, len(texts)).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([keys.slice(first, len(texts)), *(pa.array(c) for c in zip(*rows, strict=True))], names)
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text that a Python worker turns into arrays at a time. A longer single text is still taken whole.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 
 #: Multiplier of the rolling fingerprints (odd, so it has an inverse modulo 2**64).
 BASE = 0x9E3779B97F4A7C15
@@ -58,16 +58,17 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary()).to_pylist()
 
 
-def chunks(texts: list[bytes | None], most: int = CHUNK_BYTES) -> Iterator[tuple[int, list[bytes]]]:
-    """(first row, texts) pieces of about ``most`` bytes; null counts as empty."""
+def text_chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, list[bytes]]]:
+    """(first row, texts) pieces of about ``most`` bytes, a few rows of the batch copied at a time; null counts as empty."""
     first, size, part = 0, 0, []
-    for i, t in enumerate(texts):
-        t = t or b""
-        if part and size + len(t) > most:
-            yield first, part
-            first, size, part = i, 0, []
-        part.append(t)
-        size += len(t) + 1
+    for at in range(0, len(column), 256):
+        for i, t in enumerate(as_bytes(column.slice(at, 256)), at):
+            t = t or b""
+            if part and size + len(t) > most:
+                yield first, part
+                first, size, part = i, 0, []
+            part.append(t)
+            size += len(t) + 1
     if part:
         yield first, part
 

@@ -121,7 +121,7 @@ def _by_block(docs: DataFrame, key: str, text: str, schema: str, work: Callable[
     def run(batches):
         for b in batches:
             ids = b.column(0)
-            for first, texts in common.chunks(common.as_bytes(b.column(1))):
+            for first, texts in common.text_chunks(b.column(1)):
                 yield from work(ids.slice(first, len(texts)), texts)
 
     return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, schema)
@@ -133,7 +133,7 @@ def term_counts(docs: DataFrame, key: str, text: str, term_of: dict[bytes, int])
     def run(batches):
         total = np.zeros(len(term_of) + 1, np.int64)
         for b in batches:
-            for _, texts in common.chunks(common.as_bytes(b.column(0))):
+            for _, texts in common.text_chunks(b.column(0)):
                 known, n = PositionalBlock(texts, term_of).frequency()
                 total[known] += n
         at = np.flatnonzero(total)

@@ -101,7 +101,7 @@ def statistics(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> D
 
     def run(batches):
         for b in batches:
-            for first, texts in common.chunks(common.as_bytes(b.column(1))):
+            for first, texts in common.text_chunks(b.column(1)):
                 got = measure(texts)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(texts)), *(pa.array(got[s], pa.int64()) for s in STATISTICS)], ["k", *STATISTICS])
 
