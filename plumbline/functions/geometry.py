@@ -118,7 +118,7 @@ def rigid(point: Sequence, m: Sequence[Sequence[float]]) -> tuple[Column, ...]:
 def ray_plane(origin: Sequence, direction: Sequence, plane: Sequence) -> tuple[Column, ...]:
     """Where a ray meets a plane; null if it runs along the plane or meets it behind its origin."""
     slope = dot(direction, plane[:3])
-    t = -(dot(origin, plane[:3]) + col(plane[3])) / slope
+    t = -F.try_divide(dot(origin, plane[:3]) + col(plane[3]), slope)
     hit = (F.abs(slope) >= 1e-9) & (t > 0)
     return tuple(F.when(hit, col(o) + t * col(d)) for o, d in zip(origin, direction, strict=True))
 
@@ -131,7 +131,7 @@ def project(point: Sequence, pose: dict) -> tuple[Column, Column, Column]:
     r, t, k = pose["rotation"], pose["translation"], pose["camera_matrix"]
     k1, k2, p1, p2, k3 = five(pose.get("distortion"))
     x, y, z = (dot(point, map(float, row)) + float(move) for row, move in zip(r, t, strict=True))
-    xn, yn = x / z, y / z
+    xn, yn = F.try_divide(x, z), F.try_divide(y, z)
     rr = xn * xn + yn * yn
     radial = 1 + rr * (k1 + rr * (k2 + rr * k3))
     xd = xn * radial + 2 * p1 * xn * yn + p2 * (rr + 2 * xn * xn)

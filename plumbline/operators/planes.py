@@ -32,7 +32,7 @@ def fit(points: DataFrame, *keys: str) -> DataFrame:
     spread = F.sqrt(((xx - q) * (xx - q) + (yy - q) * (yy - q) + (zz - q) * (zz - q) + 2 * (xy * xy + xz * xz + yz * yz)) / 6)
     s = sums.withColumn("_q", q).withColumn("_p", spread)
     q, p = F.col("_q"), F.col("_p")
-    det = ((xx - q) * ((yy - q) * (zz - q) - yz * yz) - xy * (xy * (zz - q) - yz * xz) + xz * (xy * yz - (yy - q) * xz)) / (p * p * p)
+    det = F.when(p > 0, ((xx - q) * ((yy - q) * (zz - q) - yz * yz) - xy * (xy * (zz - q) - yz * xz) + xz * (xy * yz - (yy - q) * xz)) / (p * p * p))
     angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), det / 2))) / 3
     s = s.withColumn("_l", q + 2 * p * F.cos(angle + 2 * math.pi / 3))
     low = F.col("_l")

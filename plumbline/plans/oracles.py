@@ -31,9 +31,9 @@ def r(expr: str, name: str, digits: int = 6) -> str:
     return f"round({expr}, {digits}) + 0.0::DOUBLE AS {name}"
 
 
-def rs(names: str) -> str:
+def rs(names: str, digits: int = 6) -> str:
     """Rounded columns; a, b, c, d of planes print as na to nd."""
-    return ", ".join(r(n, "n" + n if n in "abcd" else n) for n in names.split())
+    return ", ".join(r(n, "n" + n if n in "abcd" else n, digits) for n in names.split())
 
 
 def with_(*parts: str) -> str:
@@ -64,12 +64,12 @@ TYPE = "CASE WHEN abs(c) <= 0.25 THEN 'vertical' WHEN abs(c) >= 0.85 THEN 'horiz
 VERT = "degrees(asin(least(abs(c), 1.0::DOUBLE)))"
 DEV = "CASE WHEN verticality >= 89.9 THEN 'inf'::DOUBLE ELSE 2 * tan(radians(verticality)) END"
 
-SQL["to_zup"] = with_(PTS) + f"SELECT point_id, {r('x', 'x', 9)}, {r('-z', 'y', 9)}, {r('y', 'z', 9)} FROM pts"
-SQL["to_yup"] = with_(PTS) + f"SELECT point_id, {r('x', 'x', 9)}, {r('z', 'y', 9)}, {r('-y', 'z', 9)} FROM pts"
+SQL["to_zup"] = with_(PTS) + f"SELECT point_id, {r('x', 'x', 7)}, {r('-z', 'y', 7)}, {r('y', 'z', 7)} FROM pts"
+SQL["to_yup"] = with_(PTS) + f"SELECT point_id, {r('x', 'x', 7)}, {r('z', 'y', 7)}, {r('-y', 'z', 7)} FROM pts"
 SQL["signed_distance"] = with_(PTS, FAC) + f"SELECT point_id, {r(DIST, 'signed')}, {r(f'abs({DIST})', 'distance')} FROM pts JOIN fac USING (facade_id)"
 FITTED = fit("fitted", "pts", "facade_id, l_linenumber")
 WALLS = fit("walls", "pts", "facade_id")
-SQL["plane_fit"] = with_(PTS, FITTED) + f"SELECT CAST(facade_id AS BIGINT) AS facade_id, CAST(l_linenumber AS BIGINT) AS l_linenumber, n, {rs('cx cy cz a b c d')} FROM fitted"
+SQL["plane_fit"] = with_(PTS, FITTED) + f"SELECT CAST(facade_id AS BIGINT) AS facade_id, CAST(l_linenumber AS BIGINT) AS l_linenumber, n, {rs('cx cy cz a b c d', 8)} FROM fitted"
 SQL["classify_planes"] = with_(PTS, FITTED) + f"SELECT CAST(facade_id AS BIGINT) AS facade_id, CAST(l_linenumber AS BIGINT) AS l_linenumber, type, {rs('verticality horizontality deviation')} FROM (SELECT *, {TYPE} AS type, {VERT} AS verticality, degrees(acos(least(abs(c), 1.0::DOUBLE))) AS horizontality, {DEV} AS deviation FROM fitted)"
 SQL["plane_axes_uv"] = with_(PTS, WALLS) + f"SELECT point_id, {rs('u v')} FROM (SELECT point_id, {UV} FROM pts JOIN walls USING (facade_id))"
 SQL["bbox"] = with_(PTS) + "SELECT CAST(facade_id AS BIGINT) AS facade_id, " + ", ".join(f"{r(f'min({p})', p + '_min')}, {r(f'max({p})', p + '_max')}, {r(f'(min({p}) + max({p})) / 2', p + '_centre')}, {r(f'max({p}) - min({p})', p + '_size')}" for p in "xyz") + " FROM pts GROUP BY facade_id"
@@ -131,7 +131,7 @@ SQL["candidate_filter"] = with_(PTS, FAC) + f"SELECT point_id FROM pts JOIN fac
 XYZ = "xyz AS (SELECT facade_id, l_linenumber, point_id, x, y, z FROM pts)"
 SQL["refit_filter"] = (
     with_(PTS, XYZ, FITTED, f"kept AS (SELECT facade_id, l_linenumber, x, y, z FROM xyz JOIN fitted USING (facade_id, l_linenumber) WHERE abs({DIST}) <= 1.8::DOUBLE * 0.002::DOUBLE)", fit("again", "kept", "facade_id, l_linenumber"))
-    + f"SELECT CAST(facade_id AS BIGINT) AS facade_id, CAST(l_linenumber AS BIGINT) AS l_linenumber, n, {rs('cx cy cz a b c d')} FROM again"
+    + f"SELECT CAST(facade_id AS BIGINT) AS facade_id, CAST(l_linenumber AS BIGINT) AS l_linenumber, n, {rs('cx cy cz a b c d', 8)} FROM again"
 )
 SQL["grid_components"] = (
     with_(
@@ -208,7 +208,7 @@ def quad(u: str, v: str, corners) -> str:
 
 
 INQ = quad("px", "py", scene.QUAD)
-SQL["project_points"] = with_(PTS, CAM) + f"SELECT point_id, {r('px', 'px', 9)}, {r('py', 'py', 9)}, {r('depth', 'depth', 9)} FROM cam"
+SQL["project_points"] = with_(PTS, CAM) + f"SELECT point_id, {r('px', 'px', 7)}, {r('py', 'py', 7)}, {r('depth', 'depth', 7)} FROM cam"
 SQL["points_in_quad"] = with_(PTS, CAM) + f"SELECT point_id, CAST(facade_id AS BIGINT) AS facade_id FROM cam WHERE depth > 1e-9 AND {INQ}"
 SQL["facade_in_photo"] = with_(PTS, CAM, f"ct AS (SELECT facade_id, count(*) FILTER (depth > 1e-9 AND {INQ}) AS inside, count(*) AS points FROM cam GROUP BY facade_id)") + f"SELECT CAST(facade_id AS BIGINT) AS facade_id, inside, points, {r('inside / points', 'coverage')} FROM ct WHERE inside >= 3 ORDER BY inside DESC, inside / points DESC, facade_id LIMIT 1"
 SQL["largest_visible_facade"] = (
@@ -217,7 +217,7 @@ SQL["largest_visible_facade"] = (
 )
 SQL["snap_to_plane"] = (
     with_(FAC, "o AS (SELECT o_orderkey AS query_id, o_totalprice / 20000 AS x, (o_custkey % 40)::DOUBLE AS y, (o_orderkey % 30)::DOUBLE AS z FROM orders)", f"al AS (SELECT *, {DIST} AS s, row_number() OVER (PARTITION BY query_id ORDER BY abs(s) > 4, abs(s), area DESC, facade_id) AS rn FROM o, fac)")
-    + f"SELECT query_id, CAST(facade_id AS BIGINT) AS facade_id, {r('abs(s)', 'dist', 9)}, {r('x - s*a', 'snapped_x', 9)}, {r('y - s*b', 'snapped_y', 9)}, {r('z - s*c', 'snapped_z', 9)} FROM al WHERE rn = 1"
+    + f"SELECT query_id, CAST(facade_id AS BIGINT) AS facade_id, {r('abs(s)', 'dist', 7)}, {r('x - s*a', 'snapped_x', 7)}, {r('y - s*b', 'snapped_y', 7)}, {r('z - s*c', 'snapped_z', 7)} FROM al WHERE rn = 1"
 )
 SQL["lod_sample"] = f"SELECT o_orderkey AS point_id, {r('o_totalprice', 'o_totalprice')} FROM orders WHERE o_orderkey % 7 = 0"
 SQL["rect_select"] = with_(PTS, CAM) + "SELECT point_id FROM cam WHERE point_id % 3 = 0 AND depth > 1e-9 AND px BETWEEN 900 AND 1100 AND py BETWEEN 400 AND 600"
@@ -298,10 +298,10 @@ def _rigid_rows() -> str:
 
 
 SQL["rigid_align"] = _rigid_rows()
-SQL["apply_transform"] = with_(PTS) + "SELECT point_id, " + ", ".join(r(m, p, 9) for m, p in zip(_moved(), "xyz", strict=True)) + " FROM pts"
+SQL["apply_transform"] = with_(PTS) + "SELECT point_id, " + ", ".join(r(m, p, 7) for m, p in zip(_moved(), "xyz", strict=True)) + " FROM pts"
 SQL["merge_clouds"] = (
     with_(PTS, "s AS (SELECT 'source' AS cloud, point_id, x, y, z, 0.9::DOUBLE AS cr, 0.2::DOUBLE AS cg, 0.2::DOUBLE AS cb FROM pts WHERE l_linenumber % 2 = 1)", "t0 AS (SELECT * FROM pts WHERE l_linenumber % 2 = 0)", "un AS (SELECT coalesce(greatest(max(cr) - min(cr), max(cg) - min(cg), max(cb) - min(cb)), 0) <= 1e-4 AS uni FROM t0)")
-    + f"SELECT cloud, point_id, {', '.join(r(p, p, 9) for p in 'xyz')}, {r('cr', 'r', 9)}, {r('cg', 'g', 9)}, {r('cb', 'b', 9)} FROM (SELECT * FROM s UNION ALL SELECT 'target', point_id, x, y, z, CASE WHEN uni THEN 0.2::DOUBLE ELSE cr END, CASE WHEN uni THEN 0.3::DOUBLE ELSE cg END, CASE WHEN uni THEN 0.9::DOUBLE ELSE cb END FROM t0, un)"
+    + f"SELECT cloud, point_id, {', '.join(r(p, p, 7) for p in 'xyz')}, {r('cr', 'r', 7)}, {r('cg', 'g', 7)}, {r('cb', 'b', 7)} FROM (SELECT * FROM s UNION ALL SELECT 'target', point_id, x, y, z, CASE WHEN uni THEN 0.2::DOUBLE ELSE cr END, CASE WHEN uni THEN 0.3::DOUBLE ELSE cg END, CASE WHEN uni THEN 0.9::DOUBLE ELSE cb END FROM t0, un)"
 )
 FILES = "f AS (SELECT o_orderkey AS id, o_custkey % 20 AS project_id, CASE WHEN o_orderkey % 11 <> 0 THEN o_custkey END AS scene_id, lower(o_orderstatus) AS kind, CASE o_orderkey % 3 WHEN 0 THEN 'CACHE' WHEN 1 THEN 'PERSIST' ELSE 'TEMP' END AS policy, '/data/' || o_orderkey || '.ply' AS path, o_orderkey % 13 = 0 AS is_deleted FROM orders)"
 SQL["catalog_gc"] = with_(FILES) + "SELECT f.id, CASE WHEN f.id % 7 = 0 THEN 'missing' WHEN policy = 'CACHE' AND scene_id IS NOT NULL AND NOT coalesce(c_acctbal > 0, false) THEN 'remove' ELSE 'keep' END AS action FROM f LEFT JOIN customer ON c_custkey = scene_id WHERE NOT is_deleted AND policy IN ('CACHE', 'PERSIST')"

@@ -41,8 +41,8 @@ def rgb(cs) -> list:
 QUERIES: dict = {}
 
 
-#: Coordinates made from prices may end in halves of the seventh digit.
-DIGITS = dict.fromkeys(("to_zup", "to_yup", "voxel_downsample", "apply_transform", "merge_clouds", "snap_to_plane", "project_points"), 9)
+#: Coordinates made from prices may end in halves of the seventh digit, means in longer fractions.
+DIGITS = dict.fromkeys(("to_zup", "to_yup", "apply_transform", "merge_clouds", "snap_to_plane", "project_points"), 7) | {"voxel_downsample": 9, "plane_fit": 8, "refit_filter": 8}
 
 
 def query(f):
