@@ -101,7 +101,8 @@ def plane_through(a: tuple, b: tuple, c: tuple) -> tuple[float, float, float, fl
 def hypotheses(points: DataFrame, trials: int, key: str = "point_id", seed: int = 17) -> list[tuple[float, float, float, float]]:
     """Planes through hash-drawn triples: the 3 * trials points that come first by a seeded hash of their key."""
     m = 2**31 - 1
-    place = F.pmod(F.pmod(F.col(key), F.lit(m)).cast("long") * 48271 + seed * 40503, F.lit(m))
+    p = F.pmod(F.pmod(F.col(key), F.lit(m)).cast("long") * 48271 + seed * 40503, F.lit(m))
+    place = F.pmod(p * p, F.lit(m))  # squared, so that neighbouring keys do not come in order
     rows = points.select(*P, place.alias("_h"), F.col(key).alias("_k")).orderBy("_h", "_k").limit(3 * trials).collect()
     found = (plane_through(*[tuple(r[:3]) for r in rows[i : i + 3]]) for i in range(0, len(rows) - 2, 3))
     return [p for p in found if p]

@@ -119,7 +119,7 @@ SQL["registration_error"] = (
 SQL["ransac_seed"] = (
     with_(
         PTS,
-        "drawn AS (SELECT *, row_number() OVER (ORDER BY h, point_id) - 1 AS rn FROM (SELECT point_id, x, y, z, ((point_id % 2147483647) * 48271 + 17 * 40503) % 2147483647 AS h FROM pts) ORDER BY h, point_id LIMIT 192)",
+        "drawn AS (SELECT *, row_number() OVER (ORDER BY h, point_id) - 1 AS rn FROM (SELECT point_id, x, y, z, ((point_id % 2147483647) * 48271 + 17 * 40503) % 2147483647 AS p, (p * p) % 2147483647 AS h FROM pts) ORDER BY h, point_id LIMIT 192)",
         "tri AS (SELECT p.rn // 3 AS t, p.x AS x1, p.y AS y1, p.z AS z1, q.x - p.x AS ax, q.y - p.y AS ay, q.z - p.z AS az, s.x - p.x AS bx, s.y - p.y AS by_, s.z - p.z AS bz, ay*bz - az*by_ AS n1, az*bx - ax*bz AS n2, ax*by_ - ay*bx AS n3, sqrt(n1*n1 + n2*n2 + n3*n3) AS size FROM drawn p JOIN drawn q ON q.rn = p.rn + 1 JOIN drawn s ON s.rn = p.rn + 2 WHERE p.rn % 3 = 0)",
         "hyp AS (SELECT row_number() OVER (ORDER BY t) - 1 AS trial, n1/size AS a, n2/size AS b, n3/size AS c, -(a*x1 + b*y1 + c*z1) AS d FROM tri WHERE size >= 1e-12)",
         f"sc AS (SELECT trial, a, b, c, d, count(*) FILTER (abs({DIST}) <= 0.05::DOUBLE) AS inliers FROM hyp, pts GROUP BY trial, a, b, c, d)",
