@@ -34,6 +34,13 @@ def grid_cells(points: DataFrame, size: float, *keys: str) -> DataFrame:
     return points.join(corner, list(keys)).withColumns(cell).drop("_u0", "_v0")
 
 
+def adaptive_size(points: DataFrame, radius: float, ratio: float = 2.5, share: float = 0.1, least: float = 0.02) -> float:
+    """A grid size from the mean nearest-neighbour spacing of a hash-drawn share of the points; rings start at ``radius``."""
+    drawn = points.where(F.pmod(F.xxhash64("point_id"), F.lit(1000)) < int(1000 * share)).select("point_id", "x", "y", "z")
+    spacing = neighbors.mean_neighbour_distance(drawn, 1, radius).agg(F.avg("mean_dist")).first()[0]
+    return max(least, ratio * (spacing or 0.0))
+
+
 def grid_components(points: DataFrame, size: float, least_cells: int, key: str, width: int = 1 << 20) -> DataFrame:
     """(key, i, j, component): occupied cells, joined to their four neighbours; the component is named by its least
     cell number i * width + j. Components under ``least_cells`` cells drop out."""

@@ -81,6 +81,18 @@ def candidates(points: DataFrame, plane: tuple, tolerance: float, degrees: float
     return (g.distance(P, plane) <= tolerance) & agree
 
 
+def near_facade(points: DataFrame, record, tolerance: float, padding: float = 0.0) -> DataFrame:
+    """Points that belong to a facade by place alone: within the tolerance of its plane and inside its (u, v) bounds, padded.
+
+    ``record`` is a row of ``records``.
+    """
+    plane, centre = [F.lit(float(record[c])) for c in PLANE], [F.lit(float(record[c])) for c in ("cx", "cy", "cz")]
+    u, v = g.uv(P, centre, g.plane_axes(plane[:3]))
+    placed = points.select("*", F.inline(F.array(F.struct(u.alias("_u"), v.alias("_v"), g.distance(P, plane).alias("_d")))))
+    inside = F.col("_u").between(record["u_min"] - padding, record["u_max"] + padding) & F.col("_v").between(record["v_min"] - padding, record["v_max"] + padding)
+    return placed.where((F.col("_d") <= tolerance) & inside).drop("_u", "_v", "_d")
+
+
 def refit(points: DataFrame, tolerance: float, *keys: str) -> DataFrame:
     """Fit, drop points farther than 1.8 tolerances, fit again."""
     near = with_plane(points, fit(points, *keys), *keys).where(g.distance(P, PLANE) <= 1.8 * tolerance)

@@ -88,6 +88,12 @@ recs AS (SELECT *, {TYPE} AS type, {VERT} AS verticality, degrees(acos(least(abs
 SQL["facade_stats"] = with_(PTS, WALLS, records("facade_id", "walls")) + f"SELECT CAST(facade_id AS BIGINT) AS facade_id, type, point_count, {rs('a b c d cx cy cz verticality horizontality flatness_mean flatness_rmse flatness_max flatness u_min u_max v_min v_max area_bbox')} FROM recs"
 
 
+SQL["points_near_facade"] = (
+    with_(PTS, WALLS, records("facade_id", "walls"), "one AS (SELECT a, b, c, d, cx, cy, cz, u_min, u_max, v_min, v_max FROM recs WHERE facade_id = 0)", "xyz AS (SELECT point_id, x, y, z FROM pts)")
+    + f"SELECT point_id FROM (SELECT *, abs({DIST}) AS s, {UV} FROM xyz, one) WHERE s <= 0.1::DOUBLE AND u BETWEEN u_min + 5 AND u_max - 5 AND v BETWEEN v_min + 5 AND v_max - 5"
+)
+
+
 def near(name: str, left: str, right: str, radius: float, keys: str, op: str = "<=") -> str:
     """Pairs within a radius, by cells."""
     on = " AND ".join(f"l.{k} = r.{k}" for k in keys.split(", "))

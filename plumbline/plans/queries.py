@@ -195,6 +195,14 @@ def segment_selection(spark, d):
     return members.groupBy("facade_id").agg(F.count("*").alias("points"))
 
 
+@query
+def points_near_facade(spark, d):
+    """All points that lie where the first wall is, five metres within its bounds."""
+    p = scene.points(spark, d)
+    record = planes.records(p, planes.fit(p, "facade_id"), "facade_id").where("facade_id = 0").first()
+    return planes.near_facade(p, record, 0.1, -5.0).select("point_id")
+
+
 @query
 def facade_ranking(spark, d):
     p = scene.points(spark, d).withColumn("facade", F.col("facade_id") * 10 + F.col("l_linenumber"))

@@ -130,7 +130,7 @@ def conversion_report(results: DataFrame) -> DataFrame:
 def useful_lines(text: Column) -> Column:
     """The lines of a converter's log that tell of errors, warnings, loading, saving or points."""
     wanted = F.filter(F.split(text, r"\r?\n"), lambda line: F.lower(line).rlike(r"error|warn|load|save|point"))
-    return F.array_join(F.transform(wanted, F.trim), "\n")
+    return F.array_join(F.transform(wanted, lambda line: F.trim(line)), "\n")
 
 
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
