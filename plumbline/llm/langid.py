@@ -38,8 +38,13 @@ SHARPNESS = 8.0
 _LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 
-def words_of(text: str | None) -> list[str]:
-    return _LETTERS.findall(text.lower()) if text else []
+def tokens_of(text: str | None) -> list[str]:
+    """White-space tokens in lower case; their words are looked up once for each distinct token."""
+    return text.lower().split() if text else []
+
+
+def words_of(token: str) -> list[str]:
+    return [token] if token.isalpha() else _LETTERS.findall(token)
 
 
 def grams_of(word: str, n: int) -> list[str]:
@@ -52,7 +57,11 @@ def counts(labelled: DataFrame) -> DataFrame:
 
     def passed_on(held: dict[str, Counter]):
         rows: list[tuple[int, str, str, int]] = []
-        for lang, words in held.items():
+        for lang, tokens in held.items():
+            words: Counter = Counter()
+            for token, n in tokens.items():
+                for w in words_of(token):
+                    words[w] += n
             grams: list[Counter] = [Counter() for _ in range(LONGEST + 1)]
             for w, n in words.items():
                 for k in range(1, LONGEST + 1):
@@ -67,7 +76,7 @@ def counts(labelled: DataFrame) -> DataFrame:
         held: dict[str, Counter] = {}
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                held.setdefault(lang, Counter()).update(words_of(text))
+                held.setdefault(lang, Counter()).update(tokens_of(text))
                 if sum(map(len, held.values())) > HELD:
                     yield from passed_on(held)
                     held = {}
@@ -87,6 +96,10 @@ class Model:
             self.tables[kind][unit] = np.log((np.array(n, np.float64) + 0.5) / (totals[kind] + 1.0)).astype(np.float32)
         self.unseen = np.zeros(len(langs), np.float32)
 
+    def word(self, word: str) -> np.ndarray:
+        known = self.tables[0].get(word)
+        return self.unseen_word(word) if known is None else known
+
     def unseen_word(self, word: str) -> np.ndarray:
         """Mean over the word's places of the longest known n-gram that begins there."""
         w, found, total = f" {word} ", 0, np.zeros(len(self.langs), np.float32)
@@ -99,24 +112,29 @@ class Model:
         return total / found if found else self.unseen
 
     def scores(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(words, mean scores by language) of each text; a distinct word is looked up once."""
+        """(words, mean scores by language) of each text; a distinct token is looked up once."""
+        n, out = np.zeros(len(texts), np.int64), np.zeros((len(texts), len(self.langs)))
         number: dict[str, int] = {}
-        vectors: list[np.ndarray] = []
-        known, n = self.tables[0], np.zeros(len(texts), np.int64)
-        out = np.zeros((len(texts), len(self.langs)))
+        table = np.empty((0, len(self.langs) + 1))  # of each token: its words' summed scores, and their number
         for i, t in enumerate(texts):
-            ws = words_of(t)
-            n[i] = len(ws)
-            if not ws:
-                continue
-            for w in set(ws).difference(number):
-                number[w] = len(vectors)
-                v = known.get(w)
-                vectors.append(self.unseen_word(w) if v is None else v)
-            at = Counter(map(number.__getitem__, ws))
-            out[i] = np.fromiter(at.values(), np.float64, len(at)) @ np.stack([vectors[j] for j in at]) / len(ws)
-            if len(number) > HELD:
-                number, vectors = {}, []
+            tokens = Counter(tokens_of(t))
+            new = [x for x in tokens if x not in number]
+            if new:
+                if len(number) > HELD:
+                    number, new = {}, list(tokens)
+                if len(number) + len(new) > len(table):
+                    table = np.resize(table, (2 * (len(number) + len(new)), table.shape[1]))
+                for x in new:
+                    row = table[len(number)]
+                    number[x] = len(number)
+                    words = words_of(x)
+                    row[:-1] = sum((self.word(w) for w in words), self.unseen)
+                    row[-1] = len(words)
+            if tokens:
+                at = np.fromiter(map(number.__getitem__, tokens), np.int64, len(tokens))
+                total = np.fromiter(tokens.values(), np.float64, len(tokens)) @ table[at]
+                n[i] = round(total[-1])
+                out[i] = total[:-1] / max(1, n[i])
         return n, out
 
 
