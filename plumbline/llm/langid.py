@@ -30,8 +30,10 @@ from plumbline.llm import common
 WORDS = 60_000
 GRAMS = 20_000
 LONGEST = 4
-#: Distinct words that a training task holds before it passes its counts on.
+#: Distinct tokens that a task holds: training passes its counts on beyond it, prediction starts its table anew.
 HELD = 200_000
+#: Texts whose tokens are looked up together.
+TEXTS = 256
 #: How strongly the mean log frequency decides; only the score depends on it.
 SHARPNESS = 8.0
 
@@ -87,54 +89,74 @@ def counts(labelled: DataFrame) -> DataFrame:
 
 
 class Model:
-    """Log frequencies: unit -> one value per language, for words and for n-grams of each length."""
+    """Log frequencies: a row of ``values`` for each unit, one column per language; ``rows_of[kind]`` finds a unit's row."""
 
     def __init__(self, langs: list[str], totals: np.ndarray, rows: list[tuple[int, str, list[int]]]):
         self.langs = langs
-        self.tables: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST + 1)]
-        for kind, unit, n in rows:
-            self.tables[kind][unit] = np.log((np.array(n, np.float64) + 0.5) / (totals[kind] + 1.0)).astype(np.float32)
-        self.unseen = np.zeros(len(langs), np.float32)
-
-    def word(self, word: str) -> np.ndarray:
-        known = self.tables[0].get(word)
-        return self.unseen_word(word) if known is None else known
-
-    def unseen_word(self, word: str) -> np.ndarray:
-        """Mean over the word's places of the longest known n-gram that begins there."""
-        w, found, total = f" {word} ", 0, np.zeros(len(self.langs), np.float32)
+        self.rows_of: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
+        for at, (kind, unit, _) in enumerate(rows):
+            self.rows_of[kind][unit] = at
+        n = np.array([r[2] for r in rows], np.float64).reshape(len(rows), len(langs))
+        kinds = np.array([r[0] for r in rows], np.int64)
+        self.values = np.log((n + 0.5) / (np.asarray(totals)[kinds] + 1.0))
+
+    @property
+    def tables(self) -> list[dict[str, np.ndarray]]:
+        """Of each kind: unit -> its log frequency by language, to look into a model."""
+        return [{unit: self.values[at] for unit, at in found.items()} for found in self.rows_of]
+
+    def places(self, word: str) -> list[int]:
+        """The rows a word's score is the mean of: its own, or of each place the longest known n-gram that begins there."""
+        known = self.rows_of[0].get(word)
+        if known is not None:
+            return [known]
+        w, out = f" {word} ", []
         for i in range(len(w) - 1):
             for k in range(min(LONGEST, len(w) - i), 0, -1):
-                v = self.tables[k].get(w[i : i + k])
-                if v is not None:
-                    total, found = total + v, found + 1
+                at = self.rows_of[k].get(w[i : i + k])
+                if at is not None:
+                    out.append(at)
                     break
-        return total / found if found else self.unseen
+        return out
+
+    def token_scores(self, tokens: list[str]) -> np.ndarray:
+        """Of each token: its words' summed scores by language, and their number."""
+        out = np.zeros((len(tokens), len(self.langs) + 1))
+        rows: list[int] = []
+        sizes, owners = [], []
+        for i, token in enumerate(tokens):
+            for word in words_of(token):
+                out[i, -1] += 1
+                found = self.places(word)
+                if found:
+                    rows += found
+                    sizes.append(len(found))
+                    owners.append(i)
+        if rows:
+            size = np.array(sizes)
+            means = np.add.reduceat(self.values[rows], np.cumsum(size) - size) / size[:, None]
+            np.add.at(out[:, :-1], owners, means)
+        return out
 
     def scores(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(words, mean scores by language) of each text; a distinct token is looked up once."""
         n, out = np.zeros(len(texts), np.int64), np.zeros((len(texts), len(self.langs)))
         number: dict[str, int] = {}
-        table = np.empty((0, len(self.langs) + 1))  # of each token: its words' summed scores, and their number
-        for i, t in enumerate(texts):
-            tokens = Counter(tokens_of(t))
-            new = [x for x in tokens if x not in number]
-            if new:
-                if len(number) > HELD:
-                    number, new = {}, list(tokens)
-                if len(number) + len(new) > len(table):
-                    table = np.resize(table, (2 * (len(number) + len(new)), table.shape[1]))
-                for x in new:
-                    row = table[len(number)]
-                    number[x] = len(number)
-                    words = words_of(x)
-                    row[:-1] = sum((self.word(w) for w in words), self.unseen)
-                    row[-1] = len(words)
-            if tokens:
-                at = np.fromiter(map(number.__getitem__, tokens), np.int64, len(tokens))
-                total = np.fromiter(tokens.values(), np.float64, len(tokens)) @ table[at]
-                n[i] = round(total[-1])
-                out[i] = total[:-1] / max(1, n[i])
+        table = np.empty((0, len(self.langs) + 1))
+        for first in range(0, len(texts), TEXTS):
+            part = [Counter(tokens_of(t)) for t in texts[first : first + TEXTS]]
+            new = list(dict.fromkeys(x for tokens in part for x in tokens if x not in number))
+            if len(number) + len(new) > HELD:
+                number, table = {}, table[:0]
+                new = list(dict.fromkeys(x for tokens in part for x in tokens))
+            number.update(zip(new, range(len(number), len(number) + len(new)), strict=True))
+            table = np.concatenate((table, self.token_scores(new)))
+            for i, tokens in enumerate(part, first):
+                if tokens:
+                    at = np.fromiter(map(number.__getitem__, tokens), np.int64, len(tokens))
+                    total = np.fromiter(tokens.values(), np.float64, len(tokens)) @ table[at]
+                    n[i] = round(total[-1])
+                    out[i] = total[:-1] / max(1, n[i])
         return n, out
 
 
