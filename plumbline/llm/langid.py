@@ -6,8 +6,10 @@ text's language has the best mean score; its probability is a softmax over the l
 
 Training counts words and n-grams of all labelled rows given: tasks count their own rows, Spark sums.
 The model that goes to the tasks keeps the ``WORDS`` commonest words and, for each length, the
-``GRAMS`` commonest n-grams (ties by text), so its size has a fixed bound; an unkept word is
-simply an unseen one.
+``GRAMS`` commonest n-grams (ties by text), so its size has a fixed bound. It only saves lookups: distinct words that it
+lacks are looked up in the full counts by a join, and so are the n-grams, longer than those it
+knows, of words without a count. No counted word or n-gram is left out of a score. What is joined is rarer than all that the model
+keeps, so no key of these joins is hot.
 
 Words are runs of letters in Unicode lower case. Edge cases: a null text, or one without a letter, is
 ``und`` with score 0; null or empty lang values are not learned; with nothing learned everything is
@@ -99,6 +101,9 @@ class Model:
         n = np.array([r[2] for r in rows], np.float64).reshape(len(rows), len(langs))
         kinds = np.array([r[0] for r in rows], np.int64)
         self.values = np.log((n + 0.5) / (np.asarray(totals)[kinds] + 1.0))
+        self.totals = np.asarray(totals)
+        #: Whether units of a kind were left out.
+        self.cut = [False] * (LONGEST + 1)
 
     @property
     def tables(self) -> list[dict[str, np.ndarray]]:
@@ -119,14 +124,29 @@ class Model:
                     break
         return out
 
-    def token_scores(self, tokens: list[str]) -> np.ndarray:
-        """Of each token: its words' summed scores by language, and their number."""
+    def candidates(self, word: str) -> list[tuple[int, int, str, int | None]]:
+        """Of an unseen word: (place, length, n-gram, row) of the longest kept n-gram at each place, and of those longer, without a row, that may have been left out."""
+        w, out = f" {word} ", []
+        for i in range(len(w) - 1):
+            for k in range(min(LONGEST, len(w) - i), 0, -1):
+                at = self.rows_of[k].get(w[i : i + k])
+                if at is not None or self.cut[k]:
+                    out.append((i, k, w[i : i + k], at))
+                if at is not None:
+                    break
+        return out
+
+    def token_scores(self, tokens: list[str], rest: dict[str, list[str]] | None = None) -> np.ndarray:
+        """Of each token: its words' summed scores by language, and their number. Words that are not kept go to ``rest``, if given."""
         out = np.zeros((len(tokens), len(self.langs) + 1))
         rows: list[int] = []
         sizes, owners = [], []
         for i, token in enumerate(tokens):
             for word in words_of(token):
                 out[i, -1] += 1
+                if rest is not None and word not in self.rows_of[0]:
+                    rest.setdefault(token, []).append(word)
+                    continue
                 found = self.places(word)
                 if found:
                     rows += found
@@ -138,66 +158,139 @@ class Model:
             np.add.at(out[:, :-1], owners, means)
         return out
 
-    def scores(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(words, mean scores by language) of each text; a distinct token is looked up once."""
+    def sums(self, texts: list[str | None], rest: list[Counter] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(words, summed scores by language) of each text; a distinct token is looked up once. Each text's words that are not kept are added to ``rest``, if given."""
         n, out = np.zeros(len(texts), np.int64), np.zeros((len(texts), len(self.langs)))
         number: dict[str, int] = {}
         table = np.empty((0, len(self.langs) + 1))
+        left: dict[str, list[str]] | None = None if rest is None else {}
         for first in range(0, len(texts), TEXTS):
             part = [Counter(tokens_of(t)) for t in texts[first : first + TEXTS]]
             new = list(dict.fromkeys(x for tokens in part for x in tokens if x not in number))
             if len(number) + len(new) > HELD:
                 number, table = {}, table[:0]
+                left = None if rest is None else {}
                 new = list(dict.fromkeys(x for tokens in part for x in tokens))
             number.update(zip(new, range(len(number), len(number) + len(new)), strict=True))
-            table = np.concatenate((table, self.token_scores(new)))
+            table = np.concatenate((table, self.token_scores(new, left)))
             for i, tokens in enumerate(part, first):
                 if tokens:
                     at = np.fromiter(map(number.__getitem__, tokens), np.int64, len(tokens))
                     total = np.fromiter(tokens.values(), np.float64, len(tokens)) @ table[at]
                     n[i] = round(total[-1])
-                    out[i] = total[:-1] / max(1, n[i])
+                    out[i] = total[:-1]
+                    if left:
+                        for token in tokens.keys() & left.keys():
+                            for word in left[token]:
+                                rest[i][word] += tokens[token]
         return n, out
 
+    def scores(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(words, mean scores by language) of each text, from the units kept."""
+        n, out = self.sums(texts)
+        return n, out / np.maximum(1, n)[:, None]
+
 
-def train(labelled: DataFrame, *, words: int = WORDS, grams: int = GRAMS) -> Model:
-    """A model from all rows of ``labelled`` (columns lang and text); it holds at most words + LONGEST * grams units."""
+class Trained(Model):
+    """A model that also has its full counts, as a table; these stay with the driver."""
+
+    counted: DataFrame | None = None
+
+    def kept(self) -> Model:
+        out = Model.__new__(Model)
+        out.__dict__.update({k: v for k, v in self.__dict__.items() if k != "counted"})
+        return out
+
+
+def train(labelled: DataFrame, *, words: int = WORDS, grams: int = GRAMS) -> Trained:
+    """A model from all rows of ``labelled`` (columns lang and text); it holds at most words + LONGEST * grams units, and the table of all."""
     counted = common.materialize(counts(labelled), "langid")
     langs = sorted(r.lang for r in counted.where("kind = 1").select("lang").distinct().toLocalIterator())
     if not langs:
-        return Model([], np.zeros((LONGEST + 1, 0)), [])
+        return Trained([], np.zeros((LONGEST + 1, 0)), [])
     totals = np.zeros((LONGEST + 1, len(langs)))
     for r in counted.groupBy("kind", "lang").agg(F.sum("n").alias("n")).toLocalIterator():
         totals[r.kind, langs.index(r.lang)] = r.n
     units = counted.groupBy("kind", "unit").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-    rows = []
+    rows, cut = [], []
     for kind in range(LONGEST + 1):
         top = units.where(F.col("kind") == kind).orderBy(F.desc("all"), "unit").limit(grams if kind else words)
-        rows += [(kind, r.unit, [r.by.get(x, 0) for x in langs]) for r in top.collect()]
-    return Model(langs, totals, rows)
+        found = top.collect()
+        rows += [(kind, r.unit, [r.by.get(x, 0) for x in langs]) for r in found]
+        cut.append(len(found) >= (grams if kind else words))
+    model = Trained(langs, totals, rows)
+    model.cut, model.counted = cut, counted
+    return model
 
 
-def predict(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, lang_pred and score (0 to 1) of every text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def _logs(model: Trained, counted: DataFrame) -> DataFrame:
+    """(kind, unit, v) of the full counts: v has the log frequency by language."""
+    by = counted.groupBy("kind", "unit").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
+    totals = F.element_at(F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in model.totals]), F.col("kind") + 1)
+    langs = F.array(*[F.lit(x) for x in model.langs])
+    return by.select("kind", "unit", F.zip_with(langs, totals, lambda lang, total: F.log((F.coalesce(F.col("by")[lang], F.lit(0)) + 0.5) / (total + 1.0))).alias("v"))
+
+
+def _looked_up(model: Trained, shared, distinct: DataFrame) -> DataFrame:
+    """(word, v): the scores by language of distinct words that the model does not keep, from the full counts."""
+    counted = _logs(model, model.counted.where("kind = 0")).select(F.col("unit").alias("word"), "v")
+    known = distinct.join(counted.hint("merge"), "word")
 
     def run(batches):
         m = shared.value
         for b in batches:
-            texts = b.column(1).to_pylist()
-            n, s = m.scores(texts)
-            if not m.langs:
-                n[:] = 0
-                s = np.zeros((len(texts), 1))
+            rows = [(w, *c) for w in b.column(0).to_pylist() for c in m.candidates(w)]
+            word, place, k, unit, at = zip(*rows, strict=True) if rows else ((),) * 5
+            v = [None if x is None else m.values[x].tolist() for x in at]
+            yield pa.RecordBatch.from_arrays([pa.array(word, pa.string()), pa.array(place, pa.int32()), pa.array(k, pa.int32()), pa.array(unit, pa.string()), pa.array(v, pa.list_(pa.float64()))], ["word", "place", "kind", "unit", "v"])
+
+    unseen = distinct.join(counted.hint("merge"), "word", "left_anti").mapInArrow(run, "word string, place int, kind int, unit string, v array<double>")
+    unseen = common.materialize(unseen, "langid-unseen")
+    rare = unseen.where("v is null").drop("v").join(_logs(model, model.counted.where("kind > 0")).hint("merge"), ["kind", "unit"])
+    places = unseen.where("v is not null").unionByName(rare).groupBy("word", "place").agg(F.max_by("v", "kind").alias("v"))
+    return known.unionByName(places.groupBy("word").agg(F.array(*[F.avg(F.col("v")[i]) for i in range(len(model.langs))]).alias("v")))
+
+
+def predict(docs: DataFrame, model: Trained, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, lang_pred and score (0 to 1) of every text."""
+    langs, whole = model.langs, not any(model.cut)
+    shared = docs.sparkSession.sparkContext.broadcast(model.kept())
+
+    def summed(batches):
+        m = shared.value
+        for b in batches:
+            texts = b.column(2).to_pylist()
+            rest = None if whole else [Counter() for _ in texts]
+            n, s = m.sums(texts, rest)
+            words = [list(c.items()) for c in rest] if rest else [[]] * len(texts)
+            kind = pa.map_(pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(s.tolist(), pa.list_(pa.float64())), pa.array(words, kind)], ["row", "k", "n", "s", "rest"])
+
+    def decided(batches):
+        for b in batches:
+            n = b.column(1).to_numpy()
+            s = np.array(b.column(2).to_pylist(), np.float64).reshape(len(n), len(langs)) / np.maximum(1, n)[:, None]
+            if not langs:
+                n = np.zeros_like(n)
+                s = np.zeros((len(n), 1))
             p = np.exp(SHARPNESS * (s - s.max(axis=1, keepdims=True)))
             p /= p.sum(axis=1, keepdims=True)
             best = s.argmax(axis=1)
-            lang = [m.langs[best[i]] if n[i] else "und" for i in range(len(texts))]
-            score = np.where(n > 0, p[np.arange(len(texts)), best], 0.0)
+            lang = [langs[best[i]] if n[i] else "und" for i in range(len(n))]
+            score = np.where(n > 0, p[np.arange(len(n)), best], 0.0)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["k", "lang_pred", "score"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, lang_pred string, score double").withColumnRenamed("k", key)
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("k"), F.col(text).alias("t"))
+    sums = numbered.mapInArrow(summed, f"row long, k {kind}, n long, s array<double>, rest map<string,bigint>")
+    if not whole:
+        sums = common.materialize(sums, "langid-sums")
+        pairs = sums.select("row", F.explode("rest").alias("word", "times"))
+        looked = common.materialize(_looked_up(model, shared, pairs.select("word").distinct()), "langid-words")
+        more = pairs.join(looked.hint("merge"), "word").groupBy("row").agg(F.array(*[F.sum(F.col("v")[i] * F.col("times")) for i in range(len(langs))]).alias("more"))
+        added = F.when(F.col("more").isNull(), F.col("s")).otherwise(F.zip_with("s", "more", lambda x, y: x + y))
+        sums = sums.drop("rest").join(more.hint("merge"), "row", "left").select("k", "n", added.alias("s"))
+    return sums.select("k", "n", "s").mapInArrow(decided, f"k {kind}, lang_pred string, score double").withColumnRenamed("k", key)
 
 
 def held_out(key: str = "doc_id"):
