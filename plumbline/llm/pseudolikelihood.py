@@ -6,9 +6,11 @@ coarse part, then a fine part given the coarse one). A document's score is the s
 P(word | words around it) over all its words.
 
 The ``KNOWN`` commonest words of the corpus have codes of their own; other words share ``SHARED``
-hash codes, so the model's size is fixed. Word counts cover every document. Training covers every
-document too: each task runs its rows through numpy SGD at the ``MASKED`` places of every text (a hash of
-place and round masks them), and the tasks' parameters are averaged, weighted by the places seen, in groups
+hash codes, so the network's size is fixed. A word with a shared code also costs its share of that code's
+words, log(count of the word / count of the code), from the full word counts in a join; a word without a count
+counts as seen once. Word counts cover every document. Training covers every place of every document: each task runs its rows
+through numpy SGD, in each round at the places of one mask class (a hash of place and word deals every place to one of the
+rounds), and the tasks' parameters are averaged, weighted by the places seen, in groups
 of ``FAN_IN`` until one group is left; this repeats for ``ROUNDS`` rounds. What is gathered thus grows with the
 corpus, while the driver only gets the last ``FAN_IN`` parameter sets.
 
@@ -31,7 +33,6 @@ WIDTH = 24
 COARSE = FINE = 48
 SHARED = 256
 KNOWN = COARSE * FINE - SHARED
-MASKED = 0.25
 ROUNDS = 2
 BATCH = 2048
 RATE = 0.15
@@ -61,8 +62,8 @@ def unpacked(data: bytes) -> Params:
     return out
 
 
-def common_words(docs: DataFrame, text: str) -> np.ndarray:
-    """Fingerprints of the commonest words of all texts, by count (ties by fingerprint)."""
+def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(word, n) of all texts; words as fingerprints."""
 
     def run(batches):
         for b in batches:
@@ -70,7 +71,11 @@ def common_words(docs: DataFrame, text: str) -> np.ndarray:
                 word, n = np.unique(common.Words(texts).prints, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n, pa.int64())], ["word", "n"])
 
-    counted = docs.select(F.col(text).alias("t")).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select(F.col(text).alias("t")).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def common_words(counted: DataFrame) -> np.ndarray:
+    """Fingerprints of the commonest words, by count (ties by fingerprint)."""
     top = counted.orderBy(F.desc("n"), "word").limit(KNOWN).collect()
     return np.array([r.word for r in top], np.int64).view(np.uint64)
 
@@ -133,6 +138,12 @@ def step(p: Params, seen: Params, line: np.ndarray, at: np.ndarray) -> None:
         p[k] -= RATE * g / (np.sqrt(seen[k]) + 1e-6)
 
 
+def mask_class(words: common.Words, classes: int) -> np.ndarray:
+    """The round that trains each place, by its word and its number in the text."""
+    place = np.arange(len(words.prints)) - words.first[words.doc]
+    return (common.mix(words.prints + place.astype(np.uint64)) % np.uint64(classes)).astype(np.int64)
+
+
 def _averaged(frame):
     import pandas as pd
 
@@ -144,10 +155,10 @@ def _averaged(frame):
     return pd.DataFrame({"grp": [int(frame["grp"].iloc[0])], "places": [total], "params": [mean.astype("<f4").tobytes()]})
 
 
-def train(docs: DataFrame, *, text: str = "text", rounds: int = ROUNDS) -> tuple[Params, np.ndarray]:
-    """(parameters, fingerprints of the known words), learned from every text of ``docs``."""
+def train(docs: DataFrame, *, text: str = "text", rounds: int = ROUNDS, counted: DataFrame | None = None) -> tuple[Params, np.ndarray]:
+    """(parameters, fingerprints of the known words), learned from every place of every text of ``docs``; ``counted`` has their word counts, if known."""
     spark = docs.sparkSession
-    top = common_words(docs, text)
+    top = common_words(word_counts(docs, text) if counted is None else counted)
     params = fresh()
     for turn in range(rounds):
         start = spark.sparkContext.broadcast((packed(params), top))
@@ -162,8 +173,7 @@ def train(docs: DataFrame, *, text: str = "text", rounds: int = ROUNDS) -> tuple
                 for _, texts in common.text_chunks(b.column(0)):
                     words = common.Words(texts)
                     line, at = laid_out(words, codes)
-                    mask = common.mix(words.prints + np.arange(len(at), dtype=np.uint64) * np.uint64(2 * turn + 1)) < np.uint64(int(MASKED * 2**64))
-                    at = at[mask]
+                    at = at[mask_class(words, rounds) == turn]
                     for i in range(0, len(at), BATCH):
                         step(p, seen, line, at[i : i + BATCH])
                     places += len(at)
@@ -182,29 +192,59 @@ def train(docs: DataFrame, *, text: str = "text", rounds: int = ROUNDS) -> tuple
     return params, top
 
 
-def score(docs: DataFrame, params: Params, top: np.ndarray, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_tokens, log_likelihood (summed conditional log-probabilities) and mean_log_likelihood."""
-    shared = docs.sparkSession.sparkContext.broadcast((packed(params), top))
+def _shared_words(words: common.Words, codes: np.ndarray) -> pa.Array:
+    """Of each text: its words with shared codes, and how often they stand there."""
+    at = np.flatnonzero(codes >= KNOWN)
+    doc, word = words.doc[at], words.prints[at]
+    order = np.lexsort((word, doc))
+    doc, word = doc[order], word[order]
+    first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (word[1:] != word[:-1])]) if len(doc) else np.empty(0, np.int64)
+    times = np.diff(np.append(first, len(doc)))
+    ends = np.cumsum(np.bincount(doc[first], minlength=len(words.counts)))
+    return pa.MapArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(word[first].view(np.int64)), pa.array(times, pa.int64()))
+
+
+def score(docs: DataFrame, params: Params, top: np.ndarray, *, key: str = "doc_id", text: str = "text", counted: DataFrame | None = None) -> DataFrame:
+    """key, n_tokens, log_likelihood (summed conditional log-probabilities) and mean_log_likelihood.
+
+    With ``counted``, the word counts of the corpus, probabilities are those of words; without it, of codes.
+    """
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast((packed(params), top))
 
     def run(batches):
         data, known = shared.value
         p, codes = unpacked(data), Codes(known)
         for b in batches:
-            for first, texts in common.text_chunks(b.column(1)):
+            for first, texts in common.text_chunks(b.column(2)):
                 words = common.Words(texts)
                 line, at = laid_out(words, codes)
                 got = np.concatenate([np.empty(0), *(forward(p, line, at[i : i + BATCH])[3] for i in range(0, len(at), BATCH))])
                 total = np.bincount(words.doc, got, len(texts)) if len(got) else np.zeros(len(texts))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(texts)), pa.array(words.counts, pa.int64()), pa.array(total, pa.float64())], ["k", "n_tokens", "log_likelihood"])
+                own = [b.column(i).slice(first, len(texts)) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(words.counts, pa.int64()), pa.array(total, pa.float64()), _shared_words(words, line[at])], ["row", "k", "n_tokens", "log_likelihood", "rest"])
 
     kind = docs.schema[key].dataType.simpleString()
-    found = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, n_tokens long, log_likelihood double").withColumnRenamed("k", key)
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("k"), F.col(text).alias("t"))
+    found = numbered.mapInArrow(run, f"row long, k {kind}, n_tokens long, log_likelihood double, rest map<bigint,bigint>")
+    if counted is not None:
+        found = common.materialize(found, "lm-codes")
+        known = spark.createDataFrame([(int(x),) for x in top.view(np.int64)], "word long")
+        other = counted.join(F.broadcast(known), "word", "left_anti").withColumn("code", F.pmod("word", F.lit(SHARED)))
+        codes = F.broadcast(other.groupBy("code").agg(F.sum("n").alias("all")))
+        pairs = found.select("row", F.explode("rest").alias("word", "times")).withColumn("code", F.pmod("word", F.lit(SHARED)))
+        joined = pairs.join(other.drop("code").hint("merge"), "word", "left").join(codes, "code", "left")
+        unseen = 1.0 / (F.coalesce("all", F.lit(0)) + 1)
+        within = joined.groupBy("row").agg(F.sum(F.col("times") * F.log(F.coalesce(F.col("n") / F.col("all"), unseen))).alias("within"))
+        found = found.join(within.hint("merge"), "row", "left").withColumn("log_likelihood", F.col("log_likelihood") + F.coalesce("within", F.lit(0.0)))
+    found = found.select(F.col("k").alias(key), "n_tokens", "log_likelihood")
     return found.withColumn("mean_log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")))
 
 
 def op1_pseudolikelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return score(docs, *train(docs))
+    counted = common.materialize(word_counts(docs), "lm-words")
+    return score(docs, *train(docs, counted=counted), counted=counted)
 
 
 QUERIES = {"op1_pseudolikelihood": op1_pseudolikelihood}
