@@ -55,10 +55,10 @@ def grid_components(points: DataFrame, size: float, least_cells: int, key: str,
     return found.join(sizes, [key, "component"])
 
 
-def density_clusters(points: DataFrame, eps: float, least: int) -> DataFrame:
-    """(point_id, cluster): density clusters (Ester et al., 1996). A core point has ``least`` points within eps, itself
+def density_clusters(points: DataFrame, eps: float, least: int, *keys: str) -> DataFrame:
+    """(point_id, cluster): density clusters within each group of the keys; point_ids are unique over all groups (Ester et al., 1996). A core point has ``least`` points within eps, itself
     included; clusters are named by their least core point; a border point joins its nearest core point (ties by id); noise has -1."""
-    pairs = stored(neighbors.pairs_within(points, points, eps).select("left_id", "right_id", "dist"))
+    pairs = stored(neighbors.pairs_within(points, points, eps, *keys).select("left_id", "right_id", "dist"))
     core = stored(pairs.groupBy(F.col("left_id").alias("node")).agg(F.count("*").alias("n")).where(F.col("n") >= least).select("node"))
     links = pairs.join(core.select(F.col("node").alias("left_id")), "left_id", "left_semi").join(core.select(F.col("node").alias("right_id")), "right_id", "left_semi")
     named = labels(core, links.select(F.col("left_id").alias("a"), F.col("right_id").alias("b")))

@@ -167,9 +167,9 @@ def grid_components(spark, d):
 
 @query
 def dbscan_clusters(spark, d):
-    """Each floor point keeps its cluster; the floor alone is clustered."""
-    p = scene.points(spark, d).where("facade_id = 2").select("point_id", *P)
-    return components.density_clusters(p, 0.3, 4)
+    """Each point's cluster; every surface is clustered by itself."""
+    p = scene.points(spark, d).select("facade_id", "point_id", *P)
+    return components.density_clusters(p, 0.3, 4, "facade_id")
 
 
 @query
