@@ -5,7 +5,12 @@ window's anchor. Equal windows have equal anchors, so a window whose anchor gram
 cannot repeat. Consecutive windows with equal anchor grams form a run (so periodic text is one run); equal runs (equal bodies) are copies as a whole, and only
 distinct bodies around the same gram need comparing window by window.
 
-The plan, each step linear in the corpus and without a bound on any group:
+Prints (64 bits, polynomial) only sort candidates out: equal symbols have equal prints, and what shares a print by
+chance is compared further. Equality is decided by 128-bit BLAKE2 digests of the symbols, or by the symbols themselves.
+
+A document is named by its key and a digest of its text, so rows that lack or share a key are judged each by its own text.
+
+The plan of ``Search``, each step linear in the corpus and without a bound on any group:
 
 1. grams of all runs are counted (map-side combining), those seen once drop out;
 2. a bitmap of the repeated grams, of at most ``BITMAP_BITS`` bits, goes to the tasks, which pass on the
@@ -13,14 +18,15 @@ The plan, each step linear in the corpus and without a bound on any group:
    steps that follow, and a full bitmap merely spares less;
 3. runs with equal bodies are collapsed to their first occurrence and a count;
 4. bodies that share a gram with another body get their symbols, and go, by gram, to shards of about ``SHARD`` symbols;
-   a shard tells, for every window of its bodies, whether it repeats (``suffixes``) or starts earlier elsewhere (``fmindex``).
-   Grams with over ``HOT`` distinct bodies are split first: their windows become bodies of their own, keyed by their
-   own print, so that no shard must hold all text around a very frequent gram;
-5. verdicts return to the documents by key.
+   a shard tells, for every window of its bodies, whether it starts earlier elsewhere.
+   Where the bodies around one gram hold more than ``SHARD`` symbols they are split first: their windows become bodies of
+   their own, keyed by their own digest, so that no shard must hold all text around a very frequent gram;
+5. verdicts return to the documents by their names.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -33,7 +39,20 @@ from plumbline.llm import common
 
 BITMAP_BITS = 1 << 28
 SHARD = 1 << 19
-HOT = 4096
+
+
+def digest(*parts: bytes) -> bytes:
+    h = hashlib.blake2b(digest_size=16)
+    for p in parts:
+        h.update(p)
+    return h.digest()
+
+
+def named(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(k, d, t): key, digest of the text and text of every row."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    return docs.select(F.col(key).alias("k"), F.substring(F.unhex(F.sha2(t.cast("binary"), 256)), 1, 16).alias("d"), t.alias("t"))
+
 
 @dataclass
 class Block:
@@ -41,13 +60,20 @@ class Block:
 
     prints: np.ndarray
     first: np.ndarray  # where each text begins, and the end
-    raw: bytes  # what ``cut`` takes symbols from
-    starts: np.ndarray | None = None  # of words in raw
+    raw: bytes
+    starts: np.ndarray | None = None  # of words in raw; bytes stand where they stand
+    ends: np.ndarray | None = None
 
     @property
     def doc(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
+    def piece(self, at: int, n: int) -> bytes:
+        """n symbols from ``at`` on; words with one space between."""
+        if self.starts is None:
+            return self.raw[at : at + n]
+        return b" ".join(self.raw[self.starts[at] : self.ends[at + n - 1]].split())
+
 
 def byte_block(texts: list[bytes]) -> Block:
     raw = b"".join(texts)
@@ -57,23 +83,23 @@ def byte_block(texts: list[bytes]) -> Block:
 
 def word_block(texts: list[bytes]) -> Block:
     words = common.Words(texts)
-    return Block(words.prints, words.first, words.prints.astype("<u8").tobytes())
+    return Block(words.prints, words.first, words.buf.tobytes(), words.starts, words.ends)
 
 
 @dataclass
 class Runs:
-    """Runs of windows with equal anchor grams: prints of gram and body, text, first window (in its text), windows,
-    and the number of places the gram anchors from."""
+    """Runs of windows with equal anchor grams: print of the gram, text, first window (in its text), windows, the first
+    window's anchor (in the block) and the number of places the gram anchors from."""
 
     gram: np.ndarray
-    body: np.ndarray
     text: np.ndarray
     start: np.ndarray
     windows: np.ndarray
+    anchor: np.ndarray
     places: np.ndarray
 
     def __getitem__(self, keep: np.ndarray) -> Runs:
-        return Runs(self.gram[keep], self.body[keep], self.text[keep], self.start[keep], self.windows[keep], self.places[keep])
+        return Runs(self.gram[keep], self.text[keep], self.start[keep], self.windows[keep], self.anchor[keep], self.places[keep])
 
 
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -87,11 +113,13 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[width - 1 : width - 1 + n])
 
 
-def find_runs(block: Block, window: int, gram: int) -> Runs:
+def find_runs(block: Block, window: int, gram: int, by_place: bool = False) -> Runs:
+    """The runs of a block; ``by_place`` cuts them where the anchor moves on to another place of the same gram."""
     n = len(block.prints) - window + 1
+    empty = np.empty(0, np.int64)
+    none = Runs(empty.astype(np.uint64), empty, empty, empty, empty, empty)
     if n <= 0:
-        empty = np.empty(0, np.int64)
-        return Runs(empty.astype(np.uint64), empty.astype(np.uint64), empty, empty, empty, empty)
+        return none
     sums = common.prefix_sums(block.prints)
     at = np.arange(len(block.prints) - gram + 1)
     grams = common.span_prints(sums, at, at + gram)
@@ -101,16 +129,17 @@ def find_runs(block: Block, window: int, gram: int) -> Runs:
     doc = block.doc
     whole = np.flatnonzero(doc[:n] == doc[window - 1 :])
     if not len(whole):
-        return Runs(grams[:0], grams[:0], whole, whole, whole, whole)
+        return none
     a = anchor[whole]
     own = grams[a]
-    new = np.flatnonzero(np.concatenate(([True], (own[1:] != own[:-1]) | (whole[1:] != whole[:-1] + 1))))
+    moved = np.concatenate(([True], a[1:] != a[:-1]))
+    apart = np.concatenate(([True], (own[1:] != own[:-1]) | (whole[1:] != whole[:-1] + 1)))
+    new = np.flatnonzero(apart | moved if by_place else apart)
     start, count = whole[new], np.diff(np.concatenate((new, [len(whole)])))
     text = doc[start]
-    moved = np.concatenate(([True], a[1:] != a[:-1]))
     moved[new] = True
     places = np.add.reduceat(moved.astype(np.int64), new)
-    return Runs(own[new], common.span_prints(sums, start, start + count - 1 + window), text, start - block.first[text], count, places)
+    return Runs(own[new], text, start - block.first[text], count, a[new], places)
 
 
 def _hits(prints: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
@@ -138,107 +167,135 @@ def bitmap_of(prints: DataFrame) -> np.ndarray:
     return out
 
 
+def blocks(docs: DataFrame, make: Callable[[list[bytes]], Block], schema: str, emit: Callable[[Block, pa.RecordBatch], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """``emit`` for blocks of ``docs`` (k, d, t), with the rows of k and d that belong to each."""
+
+    def run(batches):
+        for b in batches:
+            names = b.select([0, 1])
+            for first, texts in common.text_chunks(b.column(2)):
+                yield from emit(make(texts), names.slice(first, len(texts)))
+
+    return docs.select("k", "d", "t").mapInArrow(run, schema)
+
+
+def repeated_grams(docs: DataFrame, make: Callable[[list[bytes]], Block], window: int, gram: int, name: str):
+    """A broadcast bitmap of the anchor grams that anchor from two places or more."""
+
+    def count(block, names):
+        runs = find_runs(block, window, gram)
+        grams, at = np.unique(runs.gram, return_inverse=True)
+        n = np.bincount(at, runs.places, len(grams)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(n)], ["p", "n"])
+
+    counted = blocks(docs, make, "p long, n long", count).groupBy("p").agg(F.sum("n").alias("n"))
+    repeated = common.materialize(counted.where("n > 1").select("p"), f"{name}-grams")
+    return docs.sparkSession.sparkContext.broadcast(bitmap_of(repeated))
+
+
+def _places(names: pa.RecordBatch, runs: Runs) -> np.ndarray:
+    """A print of each run's document and start."""
+    heads = np.array([int.from_bytes(x[:8], "little") for x in names.column(1).to_pylist()], np.uint64)
+    return common.mix(heads[runs.text] + common.mix(runs.start.astype(np.uint64)))
+
+
+#: Columns that name a place: key and text digest of the document, and where a run starts.
+PLACE = ("k", "d", "start")
+
+
 @dataclass
 class Search:
-    """Repeated windows of ``docs`` (columns k long, t string)."""
+    """Repeated windows of ``docs`` (as ``named`` gives them)."""
 
     docs: DataFrame
     make: Callable[[list[bytes]], Block]
     window: int
     gram: int
-    width: int  # bytes of a symbol in a body
     name: str
 
-    def _runs(self, schema: str, emit: Callable[[Block, Runs, pa.Array], Iterator[pa.RecordBatch]]) -> DataFrame:
-        make, window, gram = self.make, self.window, self.gram
-
-        def run(batches):
-            for b in batches:
-                for first, texts in common.text_chunks(b.column(1)):
-                    block = make(texts)
-                    yield from emit(block, find_runs(block, window, gram), b.column(0).slice(first, len(texts)))
-
-        return self.docs.select("k", "t").mapInArrow(run, schema)
+    @property
+    def _key(self) -> str:
+        return self.docs.schema["k"].dataType.simpleString()
 
     def candidates(self) -> DataFrame:
-        """(gram, body, k, start, windows, places): the runs whose gram may stand elsewhere too."""
-
-        def count(block, runs, keys):
-            gram, at = np.unique(runs.gram, return_inverse=True)
-            n = np.bincount(at, runs.places, len(gram)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(n)], ["p", "n"])
+        """(gram, b0, b1, k, d, start, windows, places, at): the runs whose gram may stand elsewhere too; b0 and b1 are
+        the body's digest, ``at`` a print of the place."""
+        window, gram = self.window, self.gram
+        bitmap = repeated_grams(self.docs, self.make, window, gram, self.name)
 
-        counted = self._runs("p long, n long", count).groupBy("p").agg(F.sum("n").alias("n"))
-        repeated = common.materialize(counted.where("n > 1").select("p"), f"{self.name}-grams")
-        bitmap = self.docs.sparkSession.sparkContext.broadcast(bitmap_of(repeated))
-
-        def passing(block, runs, keys):
+        def passing(block, names):
+            runs = find_runs(block, window, gram)
             runs = runs[_hits(runs.gram, bitmap.value)]
-            columns = [runs.gram.view(np.int64), runs.body.view(np.int64)]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), keys.take(pa.array(runs.text)), pa.array(runs.start, pa.int64()), pa.array(runs.windows, pa.int64()), pa.array(runs.places, pa.int64())], ["gram", "body", "k", "start", "windows", "places"])
+            begins = (block.first[runs.text] + runs.start).tolist()
+            bodies = np.frombuffer(b"".join(digest(block.piece(a, n + window - 1)) for a, n in zip(begins, runs.windows.tolist(), strict=True)), "<i8").reshape(-1, 2)
+            rows = pa.array(runs.text)
+            columns = [pa.array(runs.gram.view(np.int64)), pa.array(bodies[:, 0]), pa.array(bodies[:, 1]), names.column(0).take(rows), names.column(1).take(rows), *(pa.array(x, pa.int64()) for x in (runs.start, runs.windows, runs.places)), pa.array(_places(names, runs).view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, ["gram", "b0", "b1", "k", "d", "start", "windows", "places", "at"])
 
-        return common.materialize(self._runs("gram long, body long, k long, start long, windows long, places long", passing), f"{self.name}-runs")
+        schema = f"gram long, b0 long, b1 long, k {self._key}, d binary, start long, windows long, places long, at long"
+        return common.materialize(blocks(self.docs, self.make, schema, passing), f"{self.name}-runs")
 
     def bodies(self, candidates: DataFrame) -> DataFrame:
-        """(gram, body, first_k, first_start, windows, places, copies): distinct bodies with their first occurrence."""
-        distinct = candidates.groupBy("gram", "body").agg(F.min(F.struct("k", "start")).alias("first"), F.max("windows").alias("windows"), F.max("places").alias("places"), F.count("*").alias("copies"))
-        return common.materialize(distinct.select("gram", "body", F.col("first.k").alias("first_k"), F.col("first.start").alias("first_start"), "windows", "places", "copies"), f"{self.name}-bodies")
+        """(gram, b0, b1, first (k, d, start, at), windows, places, copies): distinct bodies with their first occurrence."""
+        first = F.min(F.struct(*PLACE, "at")).alias("first")
+        return common.materialize(candidates.groupBy("gram", "b0", "b1").agg(first, F.max("windows").alias("windows"), F.max("places").alias("places"), F.count("*").alias("copies")), f"{self.name}-bodies")
 
     def shared(self, bodies: DataFrame) -> DataFrame:
-        """``bodies`` whose gram has others too or stands twice inside, with the number of such bodies as ``around``."""
-        around = bodies.groupBy("gram").agg(F.count("*").alias("around"), F.max("places").alias("_p")).where("around > 1 OR _p > 1").drop("_p")
-        return common.materialize(bodies.join(around, "gram"), f"{self.name}-shared")
+        """``bodies`` whose gram has others too or stands twice inside, with the symbols of all of them as ``load``.
+
+        The loads are written first, so that the join's two sides are plain shuffles and a hot gram's can be split.
+        """
+        grams = bodies.groupBy("gram").agg(F.count("*").alias("_n"), F.max("places").alias("_p"), F.sum(F.col("windows") + self.window - 1).alias("load"))
+        loads = common.materialize(grams.where("_n > 1 OR _p > 1").select("gram", "load"), f"{self.name}-loads")
+        return common.materialize(bodies.join(loads, "gram"), f"{self.name}-shared")
 
     def fragments(self, shared: DataFrame) -> DataFrame:
         """``shared`` with each body's symbols, taken from its first occurrence."""
-        bitmap = self.docs.sparkSession.sparkContext.broadcast(bitmap_of(shared.select(F.col("body").alias("p")).distinct()))
-        width, window = self.width, self.window
-
-        def cut(block, runs, keys):
-            runs = runs[_hits(runs.body, bitmap.value)]
-            at = block.first[runs.text] + runs.start
-            symbols = [block.raw[a * width : (a + n) * width] for a, n in zip(at.tolist(), (runs.windows + window - 1).tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(runs.gram.view(np.int64)), pa.array(runs.body.view(np.int64)), keys.take(pa.array(runs.text)), pa.array(runs.start, pa.int64()), pa.array(symbols, pa.binary())], ["gram", "body", "first_k", "first_start", "symbols"])
-
-        cuts = self._runs("gram long, body long, first_k long, first_start long, symbols binary", cut)
+        bitmap = self.docs.sparkSession.sparkContext.broadcast(bitmap_of(shared.select(F.col("first.at").alias("p")).distinct()))
+        window, gram = self.window, self.gram
+
+        def cut(block, names):
+            runs = find_runs(block, window, gram)
+            runs = runs[_hits(_places(names, runs), bitmap.value)]
+            begins = (block.first[runs.text] + runs.start).tolist()
+            symbols = [block.piece(a, n + window - 1) for a, n in zip(begins, runs.windows.tolist(), strict=True)]
+            rows = pa.array(runs.text)
+            yield pa.RecordBatch.from_arrays([pa.array(runs.gram.view(np.int64)), names.column(0).take(rows), names.column(1).take(rows), pa.array(runs.start, pa.int64()), pa.array(symbols, pa.binary())], ["gram", *PLACE, "symbols"])
+
+        cuts = blocks(self.docs, self.make, f"gram long, k {self._key}, d binary, start long, symbols binary", cut)
         s, c = shared.alias("s"), cuts.alias("c")
-        same = F.expr("s.gram = c.gram AND s.body = c.body AND s.first_k <=> c.first_k AND s.first_start = c.first_start")
-        return s.join(c, same).select("s.*", "c.symbols").dropDuplicates(["gram", "body"])
+        same = F.expr("s.gram = c.gram AND s.first.d = c.d AND s.first.k <=> c.k AND s.first.start = c.start")
+        return s.join(c, same).select("s.*", "c.symbols").dropDuplicates(["gram", "b0", "b1"])
 
     def split(self, fragments: DataFrame) -> DataFrame:
-        """Bodies around hot grams cut into their single windows, equal windows collapsed to the first.
-
-        Columns as in ``fragments``, with ``part`` (the window's place in its body) and the original gram and body.
-        """
-        width, window = self.width, self.window
+        """(gram, b0, b1, w0, w1, part, place): the single windows of bodies, w0 and w1 the window's digest, ``part`` its
+        place in the body and ``place`` in the corpus."""
+        window, make = self.window, self.make
 
         def run(batches):
             for b in batches:
                 for row in b.to_pylist():
-                    sym = np.frombuffer(row["symbols"], np.uint8 if width == 1 else "<u8")
-                    prints = common.byte_prints(sym) if width == 1 else sym.astype(np.uint64)
-                    at = np.arange(row["windows"])
-                    own = common.span_prints(common.prefix_sums(prints), at, at + window).view(np.int64)
-                    n = len(at)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(n, row["gram"])), pa.array(np.full(n, row["body"])), pa.array(own), pa.array(at, pa.int64()), pa.array([row["first_k"]] * n, pa.int64()), pa.array(row["first_start"] + at, pa.int64())],
-                        ["gram", "body", "own", "part", "first_k", "first_start"],
-                    )
-
-        return fragments.mapInArrow(run, "gram long, body long, own long, part long, first_k long, first_start long")
-
-    def verdicts(self, judge: Callable[[list[dict]], list[np.ndarray]], *, only_earlier: bool) -> tuple[DataFrame, DataFrame]:
-        """(candidates, verdicts): verdicts has gram, body, first_k, first_start, copies and mask, for bodies with copies
-        or hit windows; the mask's bit i tells that window i of the body's first occurrence repeats.
+                    block, n = make([row["symbols"]]), row["windows"]
+                    own = np.frombuffer(b"".join(digest(block.piece(i, window)) for i in range(n)), "<i8").reshape(-1, 2)
+                    same = [pa.array(np.full(n, row[c])) for c in ("gram", "b0", "b1")]
+                    yield pa.RecordBatch.from_arrays([*same, pa.array(own[:, 0]), pa.array(own[:, 1]), pa.array(np.arange(n), pa.int64())], ["gram", "b0", "b1", "w0", "w1", "part"])
+
+        cut = fragments.select("gram", "b0", "b1", "windows", "symbols").mapInArrow(run, "gram long, b0 long, b1 long, w0 long, w1 long, part long")
+        return cut.join(fragments.select("gram", "b0", "b1", "first"), ["gram", "b0", "b1"]).select("gram", "b0", "b1", "w0", "w1", "part", F.struct("first.k", "first.d", (F.col("first.start") + F.col("part")).alias("start")).alias("place"))
+
+    def verdicts(self, judge: Callable[[list[dict]], list[np.ndarray]]) -> tuple[DataFrame, DataFrame]:
+        """(candidates, verdicts): verdicts has gram, b0, b1, first, copies and mask, for bodies with copies
+        or hit windows; the mask's bit i tells that window i of the body's first occurrence also starts earlier.
 
         ``judge`` takes a shard's bodies (dicts of a fragment's columns) and gives a boolean array for each.
         """
         found = self.candidates()
         bodies = self.bodies(found)
         fragments = common.materialize(self.fragments(self.shared(bodies)), f"{self.name}-fragments")
-        cool, hot = fragments.where(F.col("around") <= HOT), fragments.where(F.col("around") > HOT)
-        size = fragments.agg(F.coalesce(F.sum(F.length("symbols")), F.lit(0))).first()[0] // self.width
+        cool, hot = fragments.where(F.col("load") <= SHARD), fragments.where(F.col("load") > SHARD)
+        size = fragments.agg(F.coalesce(F.sum(F.col("windows") + self.window - 1), F.lit(0))).first()[0]
         shards = max(common.narrow_partitions(self.docs.sparkSession, self.docs), -(-size // SHARD))
+        schema = "gram long, b0 long, b1 long, mask binary"
 
         def judged(batches):
             rows = [r for b in batches for r in b.to_pylist()]
@@ -246,31 +303,29 @@ class Search:
                 masks = judge(rows)
                 hit = [i for i, m in enumerate(masks) if m.any()]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([rows[i]["gram"] for i in hit], pa.int64()), pa.array([rows[i]["body"] for i in hit], pa.int64()), pa.array([np.packbits(masks[i], bitorder="little").tobytes() for i in hit], pa.binary())],
-                    ["gram", "body", "mask"],
+                    [*(pa.array([rows[i][c] for i in hit], pa.int64()) for c in ("gram", "b0", "b1")), pa.array([np.packbits(masks[i], bitorder="little").tobytes() for i in hit], pa.binary())],
+                    ["gram", "b0", "b1", "mask"],
                 )
 
-        masks = cool.repartition(shards, "gram").mapInArrow(judged, "gram long, body long, mask binary")
-        windows = self.split(hot)
-        first = windows.groupBy("own").agg(F.min(F.struct("first_k", "first_start")).alias("f"), F.count("*").alias("n")).where("n > 1").select("own", F.col("f.first_k").alias("k0"), F.col("f.first_start").alias("s0"))
-        hits = windows.join(first, "own")
-        if only_earlier:
-            hits = hits.where(~(F.col("k0").eqNullSafe(F.col("first_k")) & (F.col("s0") == F.col("first_start"))))
+        masks = cool.repartition(shards, "gram").mapInArrow(judged, schema)
+        windows = common.materialize(self.split(hot), f"{self.name}-windows")
+        firsts = common.materialize(windows.groupBy("w0", "w1").agg(F.min("place").alias("earliest"), F.count("*").alias("n")).where("n > 1").drop("n"), f"{self.name}-firsts")
+        hits = windows.join(firsts, ["w0", "w1"]).where("earliest < place")
 
         def packed(key, table):
             bits = np.zeros(max(table.column("part").to_pylist()) + 1, bool)
             bits[table.column("part").to_numpy()] = True
-            return pa.table({"gram": pa.array([key[0].as_py()], pa.int64()), "body": pa.array([key[1].as_py()], pa.int64()), "mask": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+            return pa.table({n: pa.array([k.as_py()], pa.int64()) for n, k in zip(("gram", "b0", "b1"), key, strict=True)} | {"mask": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
 
-        masks = common.materialize(masks.unionByName(hits.select("gram", "body", "part").groupBy("gram", "body").applyInArrow(packed, "gram long, body long, mask binary")), f"{self.name}-masks")
-        return found, bodies.join(masks, ["gram", "body"], "left").where("copies > 1 OR mask IS NOT NULL").select("gram", "body", "first_k", "first_start", "copies", "mask")
+        masks = common.materialize(masks.unionByName(hits.select("gram", "b0", "b1", "part").groupBy("gram", "b0", "b1").applyInArrow(packed, schema)), f"{self.name}-masks")
+        return found, bodies.join(masks, ["gram", "b0", "b1"], "left").where("copies > 1 OR mask IS NOT NULL").select("gram", "b0", "b1", "first", "copies", "mask")
 
 
 def marks(found: DataFrame, verdicts: DataFrame, rule: Column) -> DataFrame:
-    """(k, marks): each document's runs with hits as (start, windows, mask); ``rule`` is the mask that applies to a
+    """(k, d, marks): each document's runs with hits as (start, windows, mask); ``rule`` is the mask that applies to a
     run, an expression over the run's and its verdict's columns; an empty one stands for all windows."""
-    joined = found.join(verdicts, ["gram", "body"]).withColumn("hit", rule).where("hit IS NOT NULL")
-    return joined.groupBy("k").agg(F.collect_list(F.struct("start", "windows", F.col("hit").alias("mask"))).alias("marks"))
+    joined = found.join(common.materialize(verdicts, "verdicts"), ["gram", "b0", "b1"]).withColumn("hit", rule).where("hit IS NOT NULL")
+    return joined.groupBy("k", "d").agg(F.collect_set(F.struct("start", "windows", F.col("hit").alias("mask"))).alias("marks"))
 
 
 def hit_windows(rows: list[dict] | None) -> np.ndarray:
@@ -285,16 +340,16 @@ def hit_windows(rows: list[dict] | None) -> np.ndarray:
     return np.concatenate(parts)
 
 
-def apply(docs: DataFrame, marked: DataFrame, schema: str, work: Callable[[bytes, np.ndarray], tuple]) -> DataFrame:
-    """``work(text, starts of hit windows)`` for every document of ``docs`` (k, t)."""
-    names = [x.split()[0] for x in schema.split(", ")]
-    joined = docs.alias("d").join(marked.alias("m"), F.expr("d.k <=> m.k"), "left").select("d.k", "d.t", "m.marks")
+def apply(docs: DataFrame, marked: DataFrame, same: str, schema: str, work: Callable[[bytes, list[dict] | None], tuple], types: list[pa.DataType]) -> DataFrame:
+    """``work(text, marks)``, of the types given, for every document of ``docs``; ``same`` joins them (as d) to ``marked`` (as m)."""
+    names = [x.split(":")[0].split()[0] for x in schema.split(", ")]
+    joined = docs.alias("d").join(marked.alias("m"), F.expr(same), "left").select("d.k", "d.t", "m.marks")
 
     def run(batches):
         for b in batches:
             keys, marks = b.column(0), b.column(2)
             for first, texts in common.text_chunks(b.column(1)):
-                rows = [work(t, hit_windows(m)) for t, m in zip(texts, marks.slice(first, len(texts)).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([keys.slice(first, len(texts)), *(pa.array(c) for c in zip(*rows, strict=True))], names)
+                rows = [work(t, m) for t, m in zip(texts, marks.slice(first, len(texts)).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([keys.slice(first, len(texts)), *map(pa.array, zip(*rows, strict=True), types)], names)
 
     return joined.mapInArrow(run, schema)

@@ -11,7 +11,8 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text that a Python worker turns into arrays at a time. A longer single text is still taken whole.
 CHUNK_BYTES = 1 << 19
@@ -49,6 +50,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: The row number that ``numbered`` adds.
+ROW = "_plumb_row"
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` written with a number for each row, so that rows which lack or share a doc_id can be told apart."""
+    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
+
+def quoted(name: str) -> Column:
+    """A column by its plain name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def narrow_partitions(spark: SparkSession, df: DataFrame, least: int = 1) -> int:
     """A partition count for a keyed shuffle: the session's, at least ``least``."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -7,9 +7,10 @@ one step a word for all texts at once, and the matching statistics say when a wh
 matches. Its suffix interval holds every occurrence; the window is removed if one of them is earlier.
 After a match the interval is widened to its parent one word shorter, so no search starts anew.
 
-Edge cases: null, empty and short texts lose nothing; rows that repeat a doc_id count as one document (equal
-windows at the same place of them are not earlier than each other); a null doc_id comes before all others; an empty
-table gives no rows; other columns are ignored, whatever their names.
+Edge cases: null, empty and short texts lose nothing; a null doc_id comes before all others; rows that repeat a doc_id
+with other texts are documents in the order of a digest of their texts, and rows that repeat doc_id and text count as one
+(none is earlier than the other; in ``stage`` the earlier row is); an empty table gives no rows; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -119,23 +121,30 @@ class FMIndex:
                 low[full], high[full], matched[full] = self.parent_low[row], self.parent_high[row], depth - 1
 
 
+def _sortable(key) -> tuple:
+    """A key, or a struct of keys, as a tuple that sorts as Spark sorts it, nulls first."""
+    return tuple(map(_sortable, key.values())) if isinstance(key, dict) else (key is not None, key)
+
+
 def earlier_windows(rows: list[dict], window: int = WINDOW) -> list[np.ndarray]:
     """For each body of a shard, which of its windows also start earlier in the shard."""
-    parts = [np.frombuffer(r["symbols"], "<u8") for r in rows]
-    lengths = np.fromiter(map(len, parts), np.int64, len(parts))
-    _, dense = np.unique(np.concatenate(parts), return_inverse=True)
+    words = [r["symbols"].split(b" ") for r in rows]
+    number = {w: i for i, w in enumerate(dict.fromkeys(w for ws in words for w in ws))}
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
     begins = np.concatenate(([0], np.cumsum(lengths + 1)))[:-1]
     ends = begins + lengths
     text = np.zeros(int(ends[-1]) + 1, np.int64)
     inside = np.ones(len(text), bool)
     inside[ends] = False
-    text[inside] = dense + 1
+    text[inside] = np.fromiter((number[w] for ws in words for w in ws), np.int64, int(lengths.sum())) + 1
     # order of places over the corpus: document, then word
-    docs = np.array([-(1 << 63) if r["first_k"] is None else r["first_k"] for r in rows], np.int64)
-    doc = np.unique(docs, return_inverse=True)[1]
-    begin_at = np.array([r["first_start"] for r in rows], np.int64)
+    firsts = [r["first"] for r in rows]
+    names = [(_sortable(f["k"]), f["d"]) for f in firsts]
+    order = {n: i for i, n in enumerate(sorted(set(names)))}
+    doc = np.array([order[n] for n in names], np.int64)
+    begin_at = np.array([f["start"] for f in firsts], np.int64)
     place = np.repeat(doc << 36, lengths + 1) + np.repeat(begin_at - begins, lengths + 1) + np.arange(len(text))
-    index = FMIndex(text, int(dense.max()) + 2, window)
+    index = FMIndex(text, len(number) + 1, window)
     by_suffix = place[index.order]
     hit = np.zeros(len(text), bool)
     for at, low, high in index.stream(text, ends, lengths, window):
@@ -148,47 +157,52 @@ def earlier_windows(rows: list[dict], window: int = WINDOW) -> list[np.ndarray]:
     return [hit[b : b + n - window + 1] for b, n in zip(begins.tolist(), lengths.tolist(), strict=True)]
 
 
-def marked_windows(docs: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
-    """(documents as k and t, marks): the windows that also start earlier."""
-    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
-    search = anchors.Search(rows, anchors.word_block, window, gram, 8, "words")
-    found, verdicts = search.verdicts(lambda shard: earlier_windows(shard, window), only_earlier=True)
-    own = F.col("k").eqNullSafe(F.col("first_k")) & (F.col("start") == F.col("first_start"))
-    return rows, anchors.marks(found, verdicts, F.when(own, F.col("mask")).otherwise(F.lit(b"")))
+def marked_windows(docs: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, DataFrame, str]:
+    """(documents as k, d and t, marks, how they join): the windows that also start earlier."""
+    rows = anchors.named(docs, key, text)
+    search = anchors.Search(rows, anchors.word_block, window, gram, "words")
+    found, verdicts = search.verdicts(lambda shard: earlier_windows(shard, window))
+    own = F.col("k").eqNullSafe(F.col("first.k")) & (F.col("d") == F.col("first.d")) & (F.col("start") == F.col("first.start"))
+    return rows, anchors.marks(found, verdicts, F.when(own, F.col("mask")).otherwise(F.lit(b""))), "d.d = m.d AND d.k <=> m.k"
 
 
-def _removal(text: bytes, starts: np.ndarray, window: int) -> tuple[list[bytes], np.ndarray]:
+def _removal(text: bytes, marks: list[dict] | None, window: int) -> tuple[list[bytes], np.ndarray]:
     words = text.split()
-    return words, common.covered(starts, window, len(words))
+    return words, common.covered(anchors.hit_windows(marks), window, len(words))
 
 
 def dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """key, n_words, n_removed and text (the kept words, one space between)."""
 
-    def work(t, starts):
-        words, gone = _removal(t, starts, window)
+    def work(t, marks):
+        words, gone = _removal(t, marks, window)
         return len(words), int(gone.sum()), b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g).decode()
 
-    return anchors.apply(*marked_windows(docs, key=key, text=text, window=window, gram=gram), "k long, n_words long, n_removed long, text string", work).withColumnRenamed("k", key)
+    kind = docs.schema[key].dataType.simpleString()
+    return anchors.apply(*marked_windows(docs, key=key, text=text, window=window, gram=gram), f"k {kind}, n_words long, n_removed long, text string", work, [pa.int64(), pa.int64(), pa.string()]).withColumnRenamed("k", key)
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
 
-    def work(t, starts):
-        words, gone = _removal(t, starts, WINDOW)
+    def work(t, marks):
+        words, gone = _removal(t, marks, WINDOW)
         kept = b" ".join(words) if not gone.any() else b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g)
         return len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest()
 
-    return anchors.apply(*marked_windows(docs), "doc_id long, n_words long, n_removed long, kept_sha256 string", work)
+    return anchors.apply(*marked_windows(docs), "k long, n_words long, n_removed long, kept_sha256 string", work, [pa.int64(), pa.int64(), pa.string()]).withColumnRenamed("k", "doc_id")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without their repeated passages; a text of which nothing is left goes, one that lost nothing stays as it is."""
-    cut = dedup(docs.select("doc_id", "text")).where("n_removed > 0").select("doc_id", F.col("text").alias("cut")).dropDuplicates(["doc_id"])
-    joined = docs.join(cut, "doc_id", "left")
-    text = F.coalesce("cut", "text")
-    return joined.where("cut IS NULL OR cut != ''").withColumn("text", text).withColumn("n_chars", F.when(F.col("cut").isNull(), F.col("n_chars")).otherwise(F.char_length("cut").cast("long"))).select(docs.columns)
+    rows = common.numbered(docs)
+    # the order of documents, then the row: rows that share a doc_id have a key each
+    key = F.struct(F.col("doc_id").alias("k"), F.col(common.ROW).alias("r"))
+    cut = dedup(rows.select(key.alias("key"), "text"), key="key").where("n_removed > 0").select(F.col("key.r").alias(common.ROW), F.col("text").alias("_plumb_cut"))
+    joined = rows.join(cut, common.ROW, "left").where("_plumb_cut IS NULL OR _plumb_cut != ''")
+    lost = F.col("_plumb_cut").isNotNull()
+    size = F.when(lost, F.char_length("_plumb_cut").cast("long")).otherwise(F.col("n_chars"))
+    return joined.withColumns({"text": F.coalesce("_plumb_cut", "text"), "n_chars": size}).select(*map(common.quoted, docs.columns))
 
 
 #: DuckDB SQL for op3_substring_dedup.

@@ -1,15 +1,25 @@
-"""Suffix-array dedup of bytes by distributed prefix doubling.
-
-Positions are ranked by growing prefixes, and drop out once their rank is unique. Ranking every byte of a corpus
-in Spark would move a pair of ranks for each byte and round, so the first round ranks content-defined sample positions: the anchors of
-all windows (see ``anchors``), by their first ``GRAM`` bytes. Spark groups these over the whole corpus and
-drops the unique ones with all the windows they anchor; equal runs of windows are collapsed to one.
-The rest are sent, by rank, to shards whose byte positions take part in the doubling rounds: sorted by (rank, rank
-one prefix further), reranked, unique ones dropped, until the prefix reaches the window length. A rank is
-global since equal windows have equal anchors, hence share a shard.
-
-Edge cases: null and empty texts are zero bytes; texts under the window lose nothing; rows that repeat a doc_id count as one
-document with the bytes removed in any of them; an empty table gives no rows; other columns are ignored, whatever their names.
+"""Suffix-array dedup of bytes by distributed prefix doubling over ranges of positions.
+
+Prefix doubling ranks positions by growing prefixes and drops a position once its rank is unique. As rows, one for each
+byte and round, that moves many times the corpus. Here a row is a range of neighbouring positions that share an anchor
+(see ``anchors``): the windows that start from ``anchor - hi`` to ``anchor - lo``. What all windows of a range have in
+common is its core; the wider the range, the shorter the core.
+
+1. A first range holds all the positions of an anchor; its core are the ``GRAM`` bytes at the anchor. Anchors whose gram stands nowhere
+   else drop out before anything but gram counts is shuffled.
+2. Each round ranks ranges by their cores, in Spark: a rank is a digest chained from the pair (rank so far, bytes by
+   which the core has grown), so equal ranks mean equal cores in every task. Rows are grouped by rank. A range of unique rank
+   drops out: none of its windows repeats. Ranges of one rank whose remaining bytes are equal too repeat as a whole; they are
+   marked and collapse to one. The others are cut into ``FAN`` narrower ranges at fixed distances from the anchor, whose
+   cores are longer.
+3. After the last round a range is one position and its core a whole window of 400 bytes: equal ranks repeat.
+
+Cores grow 100, 358, 394, 400. Equal windows have equal anchors at equal distances, so they stay in equal ranges to the end.
+Digests have 128 bits (BLAKE2), so equality does not rest on prints that can be made to collide. No group is gathered:
+groups are counted with partial sums and joined to their rows, where adaptive execution splits a hot one.
+
+Edge cases: null and empty texts are zero bytes; texts under the window lose nothing; every row is a document of its own,
+also if doc_ids repeat or lack; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,66 +27,132 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import anchors, common
+from plumbline.llm.anchors import digest
 
 WINDOW = 400
 GRAM = 100
+FAN = 7
 
+RANGE = "first binary, rank binary, body binary, c int, m int, lo int, hi int, lft binary, rgt binary, known boolean"
 
-def _ranks(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Dense ranks of the keys in sorted order, and which keys are unique."""
-    _, rank, n = np.unique(keys, return_inverse=True, return_counts=True)
-    return rank, n[rank] == 1
 
+def _number(*values: int) -> bytes:
+    return b"".join(v.to_bytes(4, "little") for v in values)
 
-def repeated_windows(rows: list[dict], window: int = WINDOW, gram: int = GRAM) -> list[np.ndarray]:
-    """For each body of a shard, which of its windows stand twice or more in the shard.
 
-    ``rank`` holds, for every byte position, the rank of its prefix of ``reach`` bytes; positions out of the
-    race, as their prefix is unique, have ranks of their own below zero.
+def first_ranges(docs: DataFrame, window: int, gram: int) -> DataFrame:
+    """(d, at, ranges' columns): of each document its anchors whose gram may repeat, equal surroundings in one row.
+
+    ``lft`` and ``rgt`` are the bytes of the range's windows before and after the core; ``body`` is a digest of all.
     """
-    parts = [np.frombuffer(r["symbols"], np.uint8) for r in rows]
-    lengths = np.fromiter(map(len, parts), np.int64, len(parts))
-    begins = np.concatenate(([0], np.cumsum(lengths)))[:-1]
-    data = np.concatenate(parts)
-    doc = np.repeat(np.arange(len(parts)), lengths)
-    n = len(data)
-    at = np.arange(n - gram + 1)
-    whole = at[doc[at] == doc[at + gram - 1]]
-    rank = -1 - np.arange(n)  # a position whose prefix leaves its body is out
-    first, unique = _ranks(common.span_prints(common.prefix_sums(common.byte_prints(data)), whole, whole + gram))
-    rank[whole[~unique]] = first[~unique]
-    reach = gram
-    while reach < window:
-        grow = min(reach, window - reach)
-        live = np.flatnonzero(rank >= 0)
-        live = live[live + grow < n]
-        other = rank[live + grow]
-        live, other = live[other >= 0], other[other >= 0]
-        same = doc[live] == doc[live + grow]
-        live, other = live[same], other[same]
-        pair, unique = _ranks(rank[live] * n + other)
-        rank = -1 - np.arange(n)
-        rank[live[~unique]] = pair[~unique]
-        reach += grow
-    return [rank[b : b + m - window + 1] >= 0 for b, m in zip(begins.tolist(), lengths.tolist(), strict=True)]
-
-
-def marked_windows(docs: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
-    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
-    search = anchors.Search(rows, anchors.byte_block, window, gram, 1, "bytes")
-    found, verdicts = search.verdicts(lambda shard: repeated_windows(shard, window, gram), only_earlier=False)
-    return rows, anchors.marks(found, verdicts, F.when(F.col("copies") > 1, F.lit(b"")).otherwise(F.col("mask")))
-
-
-def removed_spans(text: bytes, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    bitmap = anchors.repeated_grams(docs, anchors.byte_block, window, gram, "bytes")
+    span = window - gram + 1
+
+    def passing(block, names):
+        runs = anchors.find_runs(block, window, gram, by_place=True)
+        runs = runs[anchors._hits(runs.gram, bitmap.value)]
+        raw, rows, places = block.raw, {}, []
+        own = block.first[runs.text]
+        for text, start, n, a, at in zip(runs.text.tolist(), (runs.start + own).tolist(), runs.windows.tolist(), runs.anchor.tolist(), (runs.anchor - own).tolist(), strict=True):
+            lo, hi = a - start - n + 1, a - start
+            rank = digest(raw[a : a + gram])
+            lft, rgt = raw[start:a], raw[a + gram : start + n - 1 + window]
+            body = digest(rank, _number(lo, hi), lft, rgt)
+            if (text, body) in rows:  # periodic text
+                places[rows[text, body]][1].append(at)
+            else:
+                rows[text, body] = len(places)
+                places.append((text, [at], body, rank, lo, hi, lft, rgt))
+        text, at, body, rank, lo, hi, lft, rgt = zip(*places, strict=True) if places else ((),) * 8
+        n = len(text)
+        columns = [names.column(1).take(pa.array(text, pa.int64())), pa.array(at, pa.list_(pa.int64())), *(pa.array(x, pa.binary()) for x in (body, rank, body)), *(pa.array(x, pa.int32()) for x in ([0] * n, [span] * n, lo, hi)), pa.array(lft, pa.binary()), pa.array(rgt, pa.binary()), pa.array([False] * n)]
+        yield pa.RecordBatch.from_arrays(columns, ["d", "at", *(x.split()[0] for x in RANGE.split(", "))])
+
+    return common.materialize(anchors.blocks(docs, anchors.byte_block, f"d binary, at array<long>, {RANGE}", passing), "bytes-ranges")
+
+
+def cut(ranges: DataFrame, step: int) -> DataFrame:
+    """The ranges cut to at most ``step`` positions, with the ranks of their longer cores."""
+    names = [x.split()[0] for x in RANGE.split(", ")]
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for first, rank, c, m, lo, hi, lft, rgt, known in zip(*(b.column(i).to_pylist() for i in range(9)), strict=True):
+                for c2 in range(c, c + m, step):
+                    m2 = min(step, c + m - c2)
+                    lo2, hi2 = max(lo, c2), min(hi, c2 + m2 - 1)
+                    if lo2 > hi2:
+                        continue
+                    inner, grow = hi - c2, c + m - c2 - m2  # lft[inner:] and rgt[:grow] join the core
+                    rank2 = digest(rank, _number(c2), lft[inner:], rgt[:grow])
+                    lft2, rgt2 = lft[hi - hi2 : inner], rgt[grow : len(rgt) - (lo2 - lo)]
+                    out.append((first, rank2, digest(rank2, _number(lo2, hi2), lft2, rgt2), c2, m2, lo2, hi2, lft2, rgt2, known))
+            kinds = [pa.binary()] * 3 + [pa.int32()] * 4 + [pa.binary()] * 2 + [pa.bool_()]
+            columns = zip(*out, strict=True) if out else ((),) * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names)
+
+    return ranges.select("first", "rank", "c", "m", "lo", "hi", "lft", "rgt", "known").mapInArrow(run, RANGE)
+
+
+def judged(rows: DataFrame, copies, name: str) -> DataFrame:
+    """(body, least, n, go): of each body its least ``first``, its copies, and whether its rank has other bodies of
+    which at least one is not known to repeat."""
+    bodies = common.materialize(rows.groupBy("rank", "body").agg(F.min("first").alias("least"), copies.alias("n"), F.bool_and("known").alias("known")), f"{name}-bodies")
+    ranks = bodies.groupBy("rank").agg(F.count("*").alias("bodies"), F.count(F.when((F.col("n") == 1) & ~F.col("known"), 1)).alias("open"))
+    ranks = common.materialize(ranks.where("bodies > 1 AND open > 0").select("rank", F.lit(True).alias("go")), f"{name}-ranks")
+    return bodies.join(ranks, "rank", "left").where("n > 1 OR go").select("body", "least", "n", F.coalesce("go", F.lit(False)).alias("go"))
+
+
+def repeated_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, fan: int = FAN) -> tuple[DataFrame, DataFrame]:
+    """(first ranges, hits): hits has (first, lo, hi), the positions of a first range whose windows stand elsewhere too."""
+    top = first_ranges(docs, window, gram)
+    state = common.materialize(judged(top, F.sum(F.size("at")), "bytes-0"), "bytes-0-judged")
+    hits = [state.where("n > 1").select(F.col("body").alias("first"), F.lit(0).alias("lo"), F.lit(window - gram).alias("hi"))]
+    # one row of each body: the least text that has it
+    chosen = top.join(state.where("go"), "body").groupBy("body").agg(F.min("d").alias("d"), F.first(F.col("n") > 1).alias("_known"))
+    chosen = top.drop("known").join(common.materialize(chosen, "bytes-0-chosen"), ["body", "d"]).withColumnRenamed("_known", "known")
+    ranges = common.materialize(chosen.select(*(x.split()[0] for x in RANGE.split(", "))).dropDuplicates(["body"]), "bytes-0-open")
+    step, turn = window - gram + 1, 0
+    while step > 1:
+        step, turn = -(-step // fan), turn + 1
+        rows = common.materialize(cut(ranges, step), f"bytes-{turn}")
+        told = rows.drop("known").join(judged(rows, F.count("*"), f"bytes-{turn}"), "body")
+        on = F.col("go") & (F.col("first") == F.col("least"))
+        told = told.where(on | (F.col("n") > 1)).withColumns({"on": on, "lft": F.when(on, F.col("lft")), "rgt": F.when(on, F.col("rgt")), "known": F.col("n") > 1})
+        told = common.materialize(told, f"bytes-{turn}-told")
+        hits.append(told.where("n > 1").select("first", "lo", "hi"))
+        ranges = told.where("on")
+    found = hits[0]
+    for h in hits[1:]:
+        found = found.unionByName(h)
+    return top, found
+
+
+def marked_ranges(docs: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, DataFrame, str]:
+    """(documents as k, d and t, marks, how they join)."""
+    rows = anchors.named(docs, key, text)
+    top, hits = repeated_ranges(rows, window, gram)
+    spans = common.materialize(hits.groupBy("first").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "bytes-hits")
+    places = top.select("d", F.col("body").alias("first"), "at", "lo", "hi").dropDuplicates(["d", "first"])
+    marked = places.join(spans, "first").groupBy("d").agg(F.collect_list(F.struct("at", "lo", "hi", "spans")).alias("marks"))
+    return rows, marked, "d.d = m.d"
+
+
+def removed_spans(marks: list[dict] | None, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the maximal removed byte runs."""
-    gone = common.covered(starts, window, len(text))
-    turn = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False]))))
-    return turn[0::2], turn[1::2]
+    found = [(a - min(s["hi"], m["hi"]), a - max(s["lo"], m["lo"]) + window) for m in marks or () for s in m["spans"] for a in m["at"]]
+    if not found:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    starts, ends = np.array(sorted(found), np.int64).T
+    reach = np.maximum.accumulate(ends)
+    new = np.concatenate(([True], starts[1:] > reach[:-1]))
+    return starts[new], np.append(reach[:-1][new[1:]], reach[-1])
 
 
 def _kept(text: bytes, starts: np.ndarray, ends: np.ndarray) -> bytes:
@@ -87,22 +163,40 @@ def _kept(text: bytes, starts: np.ndarray, ends: np.ndarray) -> bytes:
 def repeated_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """key, n_bytes, spans (start, end of each maximal removed run) and kept (the remaining bytes)."""
 
-    def work(t, starts):
-        a, b = removed_spans(t, starts, window)
+    def work(t, marks):
+        a, b = removed_spans(marks, window)
         return len(t), [{"start": x, "end": y} for x, y in zip(a.tolist(), b.tolist(), strict=True)], _kept(t, a, b)
 
-    return anchors.apply(*marked_windows(docs, key=key, text=text, window=window, gram=gram), "k long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary", work).withColumnRenamed("k", key)
+    kind, spans = docs.schema[key].dataType.simpleString(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    return anchors.apply(*marked_ranges(docs, key=key, text=text, window=window, gram=gram), f"k {kind}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary", work, [pa.int64(), spans, pa.binary()]).withColumnRenamed("k", key)
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
 
-    def work(t, starts):
-        a, b = removed_spans(t, starts, WINDOW)
+    def work(t, marks):
+        a, b = removed_spans(marks, WINDOW)
         return len(t), int((b - a).sum()), len(a), hashlib.sha256(_kept(t, a, b)).hexdigest()
 
-    return anchors.apply(*marked_windows(docs), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", work)
-
+    return anchors.apply(*marked_ranges(docs), "k long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", work, [pa.int64()] * 3 + [pa.string()]).withColumnRenamed("k", "doc_id")
+
+
+#: DuckDB SQL for op9_suffix_dedup.
+ORACLE = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+n AS (SELECT r, doc_id, b, CAST(octet_length(b) AS BIGINT) AS n FROM d),
+win AS (SELECT r, i, md5(array_slice(b, i, i + 399)) AS p FROM (SELECT r, b, unnest(range(1, n - 398)) AS i FROM n WHERE n >= 400)),
+dup AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY p) AS c FROM win) WHERE c > 1),
+far AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 400 THEN 0 ELSE 1 END AS new FROM dup),
+isle AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS g FROM far),
+span AS (SELECT r, min(i) AS a, max(i) + 399 AS z FROM isle GROUP BY r, g),
+piece AS (SELECT r, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) + 1 AS f, a - 1 AS t FROM span
+          UNION ALL SELECT n.r, coalesce(max(z), 0) + 1, any_value(n.n) FROM n LEFT JOIN span USING (r) GROUP BY n.r),
+kept AS (SELECT piece.r, coalesce(string_agg(hex(array_slice(b, f, t)), '' ORDER BY f), '') AS h FROM piece JOIN n USING (r) WHERE f <= t GROUP BY piece.r),
+gone AS (SELECT r, sum(z - a + 1) AS n_removed, count(*) AS n_spans FROM span GROUP BY r)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(h, ''))) AS kept_sha256
+FROM n LEFT JOIN kept USING (r) LEFT JOIN gone USING (r)
+"""
 
 QUERIES = {"op9_suffix_dedup": op9_suffix_dedup}
-SQL: dict[str, str] = {}  # a 400-byte string at every byte is too slow in SQL; tests compare with brute force
+SQL = {"op9_suffix_dedup": ORACLE}

@@ -62,10 +62,10 @@ def crafted():
     return [(i, t) for i, t in enumerate(docs)]
 
 
-@pytest.fixture(params=[4096, 2])
+@pytest.fixture(params=[1 << 19, 40])
 def hot(request, monkeypatch):
-    """With HOT = 2 nearly all shared text takes the path for very frequent grams."""
-    monkeypatch.setattr(anchors, "HOT", request.param)
+    """With shards of 40 symbols nearly all shared text takes the path for very frequent grams."""
+    monkeypatch.setattr(anchors, "SHARD", request.param)
 
 
 def test_words_match_brute_force(spark, tmp_path, hot):
@@ -75,7 +75,7 @@ def test_words_match_brute_force(spark, tmp_path, hot):
     assert got == brute_words(docs)
 
 
-def test_bytes_match_brute_force(spark, tmp_path, hot):
+def test_bytes_match_brute_force(spark, tmp_path):
     docs = crafted()
     spark.createDataFrame(docs, "doc_id long, text string").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.op9_suffix_dedup(spark, str(tmp_path)).collect()}
@@ -136,3 +136,53 @@ def test_stage_keeps_columns(spark, odd_docs):
     assert out.columns == docs.columns
     ids = [r.doc_id for r in out.collect()]
     assert 6 not in ids and 5 in ids and 1 in ids and len(ids) == docs.count() - 1
+
+
+def thue_morse(n):
+    return "".join("ab"[i.bit_count() & 1] for i in range(n))
+
+
+def test_words_that_share_a_polynomial_print(spark):
+    """A Thue-Morse word and its complement have one print modulo a power of two; neither operator takes them for equal."""
+    x = thue_morse(1024)
+    y = x.translate(str.maketrans("ab", "ba"))
+    rest = " ".join(f"w{i}" for i in range(19))
+    docs = [(1, f"{x} {rest}"), (2, f"{y} {rest}")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_removed, hashlib.sha256(r.text.encode()).hexdigest()) for r in fmindex.dedup(frame).collect()}
+    assert got == brute_words(docs)
+    docs = [(1, x + "." * 500), (2, y + "," * 500)]
+    spans = {r.doc_id: r for r in suffixes.repeated_spans(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    want = brute_bytes(docs)
+    assert {k: (r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), hashlib.sha256(r.kept).hexdigest()) for k, r in spans.items()} == want
+
+
+def test_rows_that_lack_or_share_a_doc_id(spark):
+    """Unequal texts under one doc_id, or under none, are judged each by its own text."""
+    p = " ".join(f"shared{i}" for i in range(80))
+    texts = [(1, p), (7, "a b c " + p), (7, "d"), (None, "some words here " + p + " and more"), (None, "x"), (7, "e " * 10 + p + " f")]
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r.text: r for r in frame.join(fmindex.dedup(frame).withColumnRenamed("text", "kept"), "doc_id").collect()}
+    assert got[p].n_removed == 80  # the null doc_id comes first
+    rows = sorted((r.n_words, r.n_removed) for r in fmindex.dedup(frame).where("doc_id = 7").collect())
+    assert rows == [(1, 0), (83, 80), (91, 80)]
+    spans = sorted((r.n_bytes, len(r.spans)) for r in suffixes.repeated_spans(frame).collect())
+    assert spans == sorted((len(t), int(p in t)) for _, t in texts)
+
+
+def test_hot_gram_with_long_bodies(spark, monkeypatch):
+    """One phrase around which thousands of words differ: more than a shard holds."""
+    monkeypatch.setattr(anchors, "SHARD", 500)
+    rng = random.Random(4)
+    phrase = "zz yy xx ww vv uu tt ss"
+    docs = [(i, " ".join(f"{rng.choice('abc')}{rng.randrange(40)}" for _ in range(12)) + f" {phrase} " + " ".join(f"{rng.choice('de')}{rng.randrange(3)}" for _ in range(30))) for i in range(120)]
+    docs += [(1000 + i, t) for i, (_, t) in enumerate(docs[:20])]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_removed, hashlib.sha256(r.text.encode()).hexdigest()) for r in fmindex.dedup(frame).collect()}
+    assert got == brute_words(docs)
+
+
+def test_stage_with_odd_columns(spark, odd_docs):
+    docs = odd_docs.selectExpr("*", "1 AS cut", "2 AS start", "3 AS `a.b`")
+    out = fmindex.stage(spark, docs, SF)
+    assert out.columns == docs.columns and out.count() == docs.count() - 1
