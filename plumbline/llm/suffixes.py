@@ -70,7 +70,7 @@ def first_ranges(docs: DataFrame, window: int, gram: int) -> DataFrame:
                 places.append((text, [at], body, rank, lo, hi, lft, rgt))
         text, at, body, rank, lo, hi, lft, rgt = zip(*places, strict=True) if places else ((),) * 8
         n = len(text)
-        columns = [names.column(1).take(pa.array(text, pa.int64())), pa.array(at, pa.list_(pa.int64())), *(pa.array(x, pa.binary()) for x in (body, rank, body)), *(pa.array(x, pa.int32()) for x in ([0] * n, [span] * n, lo, hi)), pa.array(lft, pa.binary()), pa.array(rgt, pa.binary()), pa.array([False] * n)]
+        columns = [names.column(1).take(pa.array(text, pa.int64())), pa.array(at, pa.list_(pa.int64())), *(pa.array(x, pa.binary()) for x in (body, rank, body)), *(pa.array(x, pa.int32()) for x in ([0] * n, [span] * n, lo, hi)), pa.array(lft, pa.binary()), pa.array(rgt, pa.binary()), pa.array([False] * n, pa.bool_())]
         yield pa.RecordBatch.from_arrays(columns, ["d", "at", *(x.split()[0] for x in RANGE.split(", "))])
 
     return common.materialize(anchors.blocks(docs, anchors.byte_block, f"d binary, at array<long>, {RANGE}", passing), "bytes-ranges")
