@@ -1,12 +1,14 @@
 """SimHash near-duplicates, found by multi-index hashing over Hamming balls of fingerprint segments.
 
-A 64-bit fingerprint is cut into segments. For every segment the index enters the fingerprint under
-each member of the segment's radius-1 ball (that segment changed by at most one bit, the other
-segments as they are). Two fingerprints differ in at most two bits exactly if one of their entries
-coincides: at distance two, each reaches the midpoint by changing one bit of one segment. Probing
-and building are thus one shuffle on the entry, and an entry can hold at most 65 fingerprints, so
-groups of copies of any size stay linear: no bucket is capped and no pair within a group is
-expanded. Distances of the fetched matches are verified over all 64 bits.
+A 64-bit fingerprint is cut into ``SEGMENTS`` segments, and each segment has a table of the distinct fingerprints by the
+segment's value. If two fingerprints differ in at most ``DISTANCE`` bits, one of their segments differs in at most
+DISTANCE div SEGMENTS bits. So every fingerprint enumerates, for each segment, the values in that segment's ball of
+this radius, fetches the fingerprints that the table has under them, and verifies the complete distances.
+
+Buckets of more than ``CROWD`` fingerprints (large groups of near copies) would be fetched by each of their members. A pair that only such
+buckets hold lies in two of them, so the fingerprints of crowded buckets are linked among themselves another way,
+which is exact too: each is entered under all whole fingerprints within one bit. Two fingerprints within two bits meet at a midpoint, an
+entry holds at most 65 of them, and all are linked to its least one.
 
 Fingerprints are first made distinct (copies share one), so links run between different texts only.
 
@@ -22,14 +24,16 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import common, graph
 
 SHINGLE = 3
 DISTANCE = 2
-SEGMENTS = 4
+SEGMENTS = 2
+#: Fingerprints in a bucket beyond which they are linked by whole entries.
+CROWD = 64
 SEED = 42
 
 
@@ -62,25 +66,54 @@ def fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
     return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, fp long").withColumnRenamed("k", key)
 
 
-def ball_entries(prints: DataFrame, segments: int = SEGMENTS) -> DataFrame:
-    """(entry, fp): every fingerprint under the members of its segments' radius-1 balls."""
+def _segment(s: int, segments: int) -> Column:
     width = 64 // segments
-    ball = [F.transform(F.sequence(F.lit(s * width), F.lit(s * width + width - 1)), lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)) for s in range(segments)]
-    masks = F.concat(F.array(F.lit(0).cast("long")), *ball)
+    return F.shiftrightunsigned("fp", s * width).bitwiseAND(F.lit((1 << width) - 1))
+
+
+def segment_tables(prints: DataFrame, segments: int = SEGMENTS) -> DataFrame:
+    """(bucket, fp): every fingerprint under each of its segments; a bucket is a segment's value and number."""
+    return prints.select("fp", F.explode(F.array(*[_segment(s, segments) * segments + s for s in range(segments)])).alias("bucket"))
+
+
+def segment_balls(prints: DataFrame, radius: int, segments: int = SEGMENTS) -> DataFrame:
+    """(bucket, fp): every fingerprint under the members of each of its segments' balls."""
+    bits = [0, *(1 << i for i in range(64 // segments))] if radius else [0]
+    masks = F.array(*[F.lit(m).cast("long") for m in bits])
+
+    def ball(s: int) -> Column:
+        return F.transform(masks, lambda m: _segment(s, segments).bitwiseXOR(m) * segments + s)
+
+    return prints.select("fp", F.explode(F.flatten(F.array(*map(ball, range(segments))))).alias("bucket"))
+
+
+def _whole_entries(prints: DataFrame) -> DataFrame:
+    """(entry, fp): every fingerprint under the fingerprints within one bit of it."""
+    masks = F.array(F.lit(0).cast("long"), *[F.lit(m - (m >> 63 << 64)).cast("long") for m in (1 << i for i in range(64))])
     return prints.select("fp", F.explode(masks).alias("mask")).select(F.col("fp").bitwiseXOR(F.col("mask")).alias("entry"), "fp")
 
 
-def near_links(prints: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS) -> DataFrame:
-    """Verified links (a, b, a < b) that connect every two distinct fingerprints within the distance.
+def crowded_links(prints: DataFrame) -> DataFrame:
+    """Links (a, b) that connect all fingerprints within two bits of each other, as those of an entry are linked to its least."""
+    shared = _whole_entries(prints).groupBy("entry").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a != z")
+    # an entry's members are the known fingerprints within one bit of it, at most 65
+    fetched = _whole_entries(shared.select(F.col("entry").alias("fp"))).toDF("b", "entry")
+    return fetched.join(shared.select("entry", "a"), "entry").join(prints.select(F.col("fp").alias("b")), "b").select("a", "b")
+
 
-    Per entry the members are linked to the least one, which keeps every component whole.
-    """
-    entries = ball_entries(prints, segments)
-    shared = entries.groupBy("entry").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a != z")
-    # an entry's members are the known fingerprints of its own balls, at most 65
-    fetched = ball_entries(shared.select(F.col("entry").alias("fp")), segments).toDF("b", "entry")
-    members = fetched.join(shared.select("entry", "a"), "entry").join(prints.select(F.col("fp").alias("b")), "b")
-    return members.where((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)).select("a", "b").distinct()
+def near_links(prints: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS, crowd: int = CROWD) -> DataFrame:
+    """Verified links (a, b, a < b) that connect every two distinct fingerprints within the distance (2 at most)."""
+    radius = distance // segments
+    if not 0 <= distance <= 2 or radius > 1 or 64 % segments or segments < 2:
+        raise ValueError("distances of 0 to 2 over 2 segments or more that divide 64 are covered")
+    tables = common.materialize(segment_tables(prints, segments), "simhash-tables")
+    crowds = common.materialize(tables.groupBy("bucket").count().where(F.col("count") > crowd).select("bucket"), "simhash-crowds")
+    calm = tables.join(crowds, "bucket", "left_anti").withColumnRenamed("fp", "other")
+    fetched = segment_balls(prints, radius, segments).join(calm, "bucket").where("fp != other")
+    near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= distance
+    links = fetched.where(near("fp", "other")).select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b"))
+    crowded = tables.join(crowds, "bucket", "left_semi").select("fp").distinct()
+    return links.unionByName(crowded_links(crowded).where((F.col("a") != F.col("b")) & near("a", "b"))).distinct()
 
 
 def near_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -100,9 +133,11 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near-duplicates the document with the least doc_id."""
-    extra = near_groups(docs.select("doc_id", "text")).where("doc_id != component").select("doc_id")
-    return docs.join(extra, "doc_id", "left_anti")
+    """Keeps of each group of near-duplicates the document with the least doc_id (null last; of equal ones the first row)."""
+    rows = common.numbered(docs)
+    key = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("k"), F.col(common.ROW).alias("r"))
+    extra = near_groups(rows.select(key.alias("key"), "text"), key="key").where("key != component").select(F.col("key.r").alias(common.ROW))
+    return rows.join(extra, common.ROW, "left_anti").select(*map(common.quoted, docs.columns))
 
 
 QUERIES = {"op4_simhash": op4_simhash}

@@ -1,6 +1,7 @@
 import random
 import re
 
+import pytest
 import xxhash
 from conftest import DOCS, SF
 
@@ -44,7 +45,8 @@ def test_matches_brute_force(spark):
     assert got == {k: (f"{p:016x}", groups[k]) for k, p in prints}
 
 
-def test_links_of_crowded_fingerprints(spark, monkeypatch):
+@pytest.mark.parametrize("crowd", [0, 3, 1000])
+def test_links_of_crowded_fingerprints(spark, crowd):
     """Balls around a few centres, chains included: every link is kept, none is invented."""
     rng = random.Random(5)
     prints = set()
@@ -58,7 +60,7 @@ def test_links_of_crowded_fingerprints(spark, monkeypatch):
     rows = sorted(prints)
     signed = [(i, p - (1 << 64) if p >> 63 else p) for i, p in enumerate(rows)]
     frame = spark.createDataFrame([(p,) for _, p in signed], "fp long")
-    links = simhash.near_links(frame)
+    links = simhash.near_links(frame, crowd=crowd)
     assert all(((r.a ^ r.b) & (1 << 64) - 1).bit_count() <= 2 for r in links.collect())
     got = {r.node: r.root for r in graph.components(links).collect()}
     mine = [(p, p & (1 << 64) - 1) for _, p in signed]
@@ -81,3 +83,8 @@ def test_components_of_a_long_chain(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001)], "a long, b long")
     got = {r.node: r.root for r in graph.components(chain).collect()}
     assert got == {i: 0 for i in range(301)} | {1000: 1000, 1001: 1000}
+
+
+def test_distances_that_are_not_covered(spark):
+    with pytest.raises(ValueError):
+        simhash.near_links(spark.createDataFrame([(1,)], "fp long"), distance=3)
