@@ -1,14 +1,17 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-Every Spark partition indexes its own blocks of documents: a block holds, for each term, the sorted
-positions at which it stands. A phrase is found by intersecting the offset-adjusted position lists
-of its terms, from the rarest term (over the whole corpus) to the commonest; a proximity match by
-merging the lists of its terms. A phrase never spans documents, so blocks need no exchange; only
-term counts, one row per benchmark term and task, are shuffled. Memory follows a block of
-``common.CHUNK_BYTES`` of text (or one longer document) and a slice of the benchmark.
+``index`` stores the postings of all training tokens: a row for each block of documents, with every term of the block and the
+sorted positions at which it stands, as packed arrays. The index is written once to the shared folder; term counts read its term
+columns only, and searches read it instead of the texts.
 
-The benchmark goes to the tasks in slices of at most ``SLICE_BYTES``; each slice is one pass over
-the documents and the passes' rows are combined, so a benchmark of any size works.
+A phrase is found by intersecting the offset-adjusted position lists of its terms, from the rarest term (over the whole
+corpus) to the commonest; in a block, only phrases are tried whose rarest term stands there. A proximity match merges the lists of
+its terms. A phrase never spans documents, so blocks need no exchange; only term counts, one row per benchmark term and
+task, are shuffled. Memory follows a block of ``common.CHUNK_BYTES`` of text (or one longer document) and a slice of the benchmark.
+
+The benchmark goes to the tasks in slices of about ``SLICE_BYTES``; each slice is one pass over
+the stored index. Passes' rows are combined by block and number in it, so that a row of documents stays a row
+whatever the benchmark's size, also if doc_ids repeat or lack.
 
 Edge cases: null and empty texts have no words; an item without words matches nothing; an item
 shorter than the window is one window; repeated items all match; an empty benchmark or corpus gives
@@ -40,27 +43,57 @@ def tokens(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(_FOLD).split()
 
 
-class PositionalBlock:
-    """Postings of some texts: for each term number its sorted positions in the concatenated texts.
+def packed(values) -> bytes:
+    return np.asarray(values, "<i4").tobytes()
+
 
-    A gap of one unused position stands between texts, so that no phrase spans two.
+def postings(texts: list[bytes]) -> tuple[bytes, bytes, bytes, bytes]:
+    """A block's words a text, terms (space-joined), postings a term and positions, each list as steps from the one before.
+
+    Positions count through the block, with a gap of one unused position between texts.
     """
+    words = [tokens(t) for t in texts]
+    counts = np.fromiter(map(len, words), np.int64, len(words))
+    number: dict[bytes, int] = {}
+    at = np.fromiter((number.setdefault(w, len(number)) for ws in words for w in ws), np.int32, int(counts.sum()))
+    place = np.arange(len(at)) + np.repeat(np.arange(len(words)), counts)
+    order = np.argsort(at, kind="stable")
+    sizes = np.bincount(at, minlength=len(number))
+    place = place[order]
+    first = np.concatenate(([0], np.cumsum(sizes)))[:-1]
+    steps = np.diff(place, prepend=0)
+    steps[first] = place[first]
+    return packed(counts), b" ".join(number), packed(sizes), packed(steps)
+
+
+def index(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The stored index: block, ids, and the packed columns of ``postings``."""
+
+    def run(batches):
+        for b in batches:
+            ids = b.column(0)
+            for first, texts in common.text_chunks(b.column(1)):
+                columns = [pa.array([x], pa.binary()) for x in postings(texts)]
+                own = ids.slice(first, len(texts))
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own), *columns], ["ids", "counts", "terms", "sizes", "steps"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    found = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"ids array<{kind}>, counts binary, terms binary, sizes binary, steps binary")
+    return common.materialize(found.withColumn("block", F.monotonically_increasing_id()), "postings")
+
 
-    def __init__(self, texts: list[bytes], term_of: dict[bytes, int]):
-        words = [tokens(t) for t in texts]
-        self.counts = np.fromiter(map(len, words), np.int64, len(words))
+class PositionalBlock:
+    """The postings of one block for the terms asked: for each term number its sorted positions."""
+
+    def __init__(self, counts: bytes, terms: bytes, sizes: bytes, steps: bytes, term_of: dict[bytes, int]):
+        self.counts = np.frombuffer(counts, "<i4").astype(np.int64)
         self.begins = np.concatenate(([0], np.cumsum(self.counts + 1)))
-        flat = [w for ws in words for w in ws]
-        known = np.fromiter(map(term_of.get, flat, repeat(-1)), np.int32, len(flat))
-        place = np.arange(len(flat)) + np.repeat(np.arange(len(words)), self.counts)
-        kept = known >= 0
-        known, place = known[kept], place[kept]
-        order = np.argsort(known, kind="stable")
-        self.terms, at = np.unique(known[order], return_index=True)
-        self.lists = dict(zip(self.terms.tolist(), np.split(place[order], at[1:]), strict=True)) if len(at) else {}
-
-    def frequency(self) -> tuple[np.ndarray, np.ndarray]:
-        return self.terms, np.fromiter((len(self.lists[t]) for t in self.terms.tolist()), np.int64, len(self.terms))
+        known = np.fromiter(map(term_of.get, terms.split(), repeat(-1)), np.int64)
+        ends = np.cumsum(np.frombuffer(sizes, "<i4"), dtype=np.int64)
+        steps = np.frombuffer(steps, "<i4")
+        self.lists: dict[int, np.ndarray] = {}
+        for i in np.flatnonzero(known >= 0).tolist():
+            self.lists[int(known[i])] = np.cumsum(steps[ends[i - 1] if i else 0 : ends[i]], dtype=np.int64)
 
     def phrase(self, terms: list[int], rarest: list[int]) -> np.ndarray:
         """Start positions of the phrase; ``rarest`` orders the places of ``terms`` by rarity."""
@@ -117,29 +150,19 @@ def benchmark_slices(benchmark: DataFrame, item: str, text: str, most: int = SLI
     yield part
 
 
-def _by_block(docs: DataFrame, key: str, text: str, schema: str, work: Callable[[list, list[bytes]], Iterator[pa.RecordBatch]]) -> DataFrame:
-    def run(batches):
-        for b in batches:
-            ids = b.column(0)
-            for first, texts in common.text_chunks(b.column(1)):
-                yield from work(ids.slice(first, len(texts)), texts)
-
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, schema)
-
-
-def term_counts(docs: DataFrame, key: str, text: str, term_of: dict[bytes, int]) -> dict[int, int]:
-    """How often each benchmark term stands in the corpus; one row per term reaches the driver."""
+def term_counts(found: DataFrame, term_of: dict[bytes, int]) -> dict[int, int]:
+    """How often each benchmark term stands in the indexed corpus; one row per term reaches the driver."""
 
     def run(batches):
         total = np.zeros(len(term_of) + 1, np.int64)
         for b in batches:
-            for _, texts in common.text_chunks(b.column(0)):
-                known, n = PositionalBlock(texts, term_of).frequency()
-                total[known] += n
-        at = np.flatnonzero(total)
+            for terms, sizes in zip(common.as_bytes(b.column(0)), common.as_bytes(b.column(1)), strict=True):
+                known = np.fromiter(map(term_of.get, terms.split(), repeat(len(term_of))), np.int64)
+                total += np.bincount(known, np.frombuffer(sizes, "<i4"), len(total)).astype(np.int64)
+        at = np.flatnonzero(total[:-1])
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["term", "n"])
 
-    counted = docs.select(F.col(text).alias("t")).mapInArrow(run, "term long, n long")
+    counted = found.select("terms", "sizes").mapInArrow(run, "term long, n long")
     return {r.term: r.n for r in counted.groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator()}
 
 
@@ -147,24 +170,39 @@ def rarest_first(window: tuple[int, ...], counts: dict[int, int]) -> list[int]:
     return sorted(range(len(window)), key=lambda i: (counts.get(window[i], 0), i))
 
 
-def _hits(docs: DataFrame, key: str, text: str, items: list[tuple[str, bytes]], n: int) -> DataFrame:
-    """Per document: words, the positions hit (as start, length runs) and the items found."""
-    term_of, windows = windows_of(items, n)
-    counts = term_counts(docs, key, text, term_of) if windows else {}
-    # a window with a term that the corpus lacks cannot occur
-    plan = [(w, rarest_first(w, counts), found) for w, found in windows.items() if all(t in counts for t in w)]
+def _searched(found: DataFrame, term_of: dict[bytes, int], schema: str, work: Callable[[int, pa.Array, PositionalBlock], pa.RecordBatch]) -> DataFrame:
+    """``work(block number, ids, postings)`` for every block of an index, a few at a time in memory."""
+
+    def run(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                number, ids, *columns = (b.column(j)[i] for j in range(6))
+                yield work(number.as_py(), ids.values, PositionalBlock(*(c.as_buffer().to_pybytes() for c in columns), term_of))
+
+    return found.select("block", "ids", "counts", "terms", "sizes", "steps").mapInArrow(run, schema)
+
 
-    def work(ids, texts):
-        block = PositionalBlock(texts, term_of)
+def _hits(found: DataFrame, items: list[tuple[str, bytes]], n: int) -> DataFrame:
+    """Per document, by block and number in it: words, the positions hit (as start, length runs) and the items found."""
+    term_of, windows = windows_of(items, n)
+    counts = term_counts(found, term_of) if windows else {}
+    # by the rarest term; a window with a term that the corpus lacks cannot occur
+    plan: dict[int, list] = {}
+    for w, own in windows.items():
+        if all(t in counts for t in w):
+            rarest = rarest_first(w, counts)
+            plan.setdefault(w[rarest[0]], []).append((w, rarest, own))
+
+    def work(number, ids, block):
         step = np.zeros(int(block.begins[-1]) + 1, np.int32)
         item_sets: dict[int, set[str]] = {}
-        for w, rarest, found in plan:
+        for w, rarest, own in (x for t in block.lists.keys() & plan.keys() for x in plan[t]):
             starts = block.phrase(w, rarest)
             if len(starts):
                 np.add.at(step, starts, 1)
                 np.add.at(step, starts + len(w), -1)
                 for d in np.unique(np.searchsorted(block.begins, starts, side="right") - 1).tolist():
-                    item_sets.setdefault(d, set()).update(found)
+                    item_sets.setdefault(d, set()).update(own)
         hit = np.cumsum(step[:-1]) > 0
         before = np.concatenate(([0], np.cumsum(hit)))
         edge = np.flatnonzero(np.diff(np.concatenate(([False], hit, [False]))))
@@ -173,19 +211,22 @@ def _hits(docs: DataFrame, key: str, text: str, items: list[tuple[str, bytes]],
             d = int(np.searchsorted(block.begins, s, side="right")) - 1
             spans.setdefault(d, []).append({"start": s - int(block.begins[d]), "length": e - s})
         n_hit = before[block.begins[1:]] - before[block.begins[:-1]]
-        yield pa.RecordBatch.from_arrays(
+        rows = range(len(ids))
+        return pa.RecordBatch.from_arrays(
             [
+                pa.array(np.full(len(ids), number)),
+                pa.array(np.arange(len(ids))),
                 ids,
                 pa.array(block.counts, pa.int64()),
                 pa.array(n_hit, pa.int64()),
-                pa.array([spans.get(d, []) for d in range(len(texts))], pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))),
-                pa.array([sorted(item_sets.get(d, ())) for d in range(len(texts))], pa.list_(pa.string())),
+                pa.array([spans.get(d, []) for d in rows], pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))),
+                pa.array([sorted(item_sets.get(d, ())) for d in rows], pa.list_(pa.string())),
             ],
-            ["k", "n_words", "n_hit", "spans", "items"],
+            ["block", "at", "k", "n_words", "n_hit", "spans", "items"],
         )
 
-    kind = docs.schema[key].dataType.simpleString()
-    return _by_block(docs, key, text, f"k {kind}, n_words long, n_hit long, spans array<struct<start: long, length: long>>, items array<string>", work)
+    kind = found.schema["ids"].dataType.elementType.simpleString()
+    return _searched(found, term_of, f"block long, at long, k {kind}, n_words long, n_hit long, spans array<struct<start: long, length: long>>, items array<string>", work)
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -193,14 +234,15 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc
 
     Returns key, n_words, n_hit, spans (runs of hit words) and items (ids as strings, sorted).
     """
-    slices = [_hits(docs, key, text, part, window) for part in benchmark_slices(benchmark, item, item_text)]
+    found = index(docs, key=key, text=text)
+    slices = [_hits(found, part, window) for part in benchmark_slices(benchmark, item, item_text)]
     if len(slices) == 1:
-        return slices[0].withColumnRenamed("k", key)
+        return slices[0].drop("block", "at").withColumnRenamed("k", key)
     both = slices[0]
     for s in slices[1:]:
         both = both.unionByName(s)
     runs = F.flatten(F.collect_list("spans"))
-    merged = both.groupBy("k").agg(F.max("n_words").alias("n_words"), runs.alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    merged = both.groupBy("block", "at").agg(F.first("k").alias("k"), F.max("n_words").alias("n_words"), runs.alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     # union of overlapping runs: walk them in order, keeping the end reached so far
     walked = F.aggregate(
         F.array_sort("runs"),
@@ -214,42 +256,16 @@ def find_near(docs: DataFrame, queries: list[tuple[str, str]], span: int, *, key
     """Proximity matches: documents in which all terms of a query stand within ``span`` words of its rarest term."""
     term_of: dict[bytes, int] = {}
     asked = [(name, [term_of.setdefault(w, len(term_of)) for w in tokens(q.encode())]) for name, q in queries]
-    counts = term_counts(docs, key, text, term_of)
+    found = index(docs, key=key, text=text)
+    counts = term_counts(found, term_of)
     plan = [(name, w, rarest_first(tuple(w), counts)) for name, w in asked if w]
 
-    def work(ids, texts):
-        block = PositionalBlock(texts, term_of)
-        rows = [(ids[d].as_py(), name, int(p - block.begins[d])) for name, w, rarest in plan for p in block.near(w, rarest, span).tolist() for d in [int(np.searchsorted(block.begins, p, side="right")) - 1]]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], ids.type), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], ["k", "query", "position"])
-
-    kind = docs.schema[key].dataType.simpleString()
-    return _by_block(docs, key, text, f"k {kind}, query string, position long", work).withColumnRenamed("k", key)
-
-
-def index(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The index as a table to keep: one row per block and term, with document keys and word positions."""
-
-    def work(ids, texts):
-        term_of: dict[bytes, int] = {}
-        for t in texts:
-            for w in tokens(t):
-                term_of.setdefault(w, len(term_of))
-        block = PositionalBlock(texts, term_of)
-        name = list(term_of)
-        at = [block.lists[t] for t in block.terms.tolist()]
-        doc = [np.searchsorted(block.begins, p, side="right") - 1 for p in at]
-        keys = np.array(ids.to_pylist(), dtype=object)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([name[t].decode("utf-8", "replace") for t in block.terms.tolist()], pa.string()),
-                pa.array([keys[d].tolist() for d in doc], pa.list_(ids.type)),
-                pa.array([(p - block.begins[d]).tolist() for p, d in zip(at, doc, strict=True)], pa.list_(pa.int64())),
-            ],
-            ["term", "docs", "positions"],
-        )
+    def work(number, ids, block):
+        rows = [(d, name, int(p - block.begins[d])) for name, w, rarest in plan for p in block.near(w, rarest, span).tolist() for d in [int(np.searchsorted(block.begins, p, side="right")) - 1]]
+        return pa.RecordBatch.from_arrays([ids.take(pa.array([r[0] for r in rows], pa.int64())), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], ["k", "query", "position"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return _by_block(docs, key, text, f"term string, docs array<{kind}>, positions array<long>", work)
+    return _searched(found, term_of, f"k {kind}, query string, position long", work).withColumnRenamed("k", key)
 
 
 def sha256_of(items: list[str]) -> str:
@@ -270,10 +286,11 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops contaminated documents; the others stay as they are."""
-    found = find_contamination(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    bad = found.where((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).select("doc_id")
-    return docs.join(bad, "doc_id", "left_anti")
+    """Drops contaminated documents; the others stay as they are. Every row is judged by its own text."""
+    rows = common.numbered(docs)
+    found = find_contamination(rows.select(common.ROW, "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key=common.ROW)
+    bad = found.where((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).select(common.ROW)
+    return rows.join(bad, common.ROW, "left_anti").select(*map(common.quoted, docs.columns))
 
 
 #: DuckDB SQL for op7_decontaminate.

@@ -57,6 +57,24 @@ def test_proximity(spark):
 
 
 def test_index_holds_every_posting(spark):
-    docs = spark.createDataFrame([(1, "a b a"), (2, "b")], "doc_id long, text string")
-    got = sorted((r.term, d, p) for r in decontaminate.index(docs).collect() for d, p in zip(r.docs, r.positions, strict=True))
-    assert got == [("a", 1, 0), ("a", 1, 2), ("b", 1, 1), ("b", 2, 0)]
+    docs = spark.createDataFrame([(1, "a b a"), (2, "b")], "doc_id long, text string").coalesce(1)
+    rows = decontaminate.index(docs).collect()
+    term_of = {b"a": 0, b"b": 1}
+    got = []
+    for r in rows:
+        block = decontaminate.PositionalBlock(*map(bytes, (r.counts, r.terms, r.sizes, r.steps)), term_of)
+        for name, t in term_of.items():
+            for p in block.lists.get(t, []):
+                d = int(block.begins.searchsorted(p, side="right")) - 1
+                got.append((name, r.ids[d], int(p - block.begins[d])))
+    assert sorted(got) == [(b"a", 1, 0), (b"a", 1, 2), (b"b", 1, 1), (b"b", 2, 0)]
+
+
+def test_rows_that_lack_or_share_a_doc_id_stay_rows(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "one two"), (1, "three one two four"), (None, "five"), (None, "one two")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "one two"), (2, "four")], "item_id long, text string")
+    want = [(None, 1, 0), (None, 2, 2), (1, 2, 2), (1, 4, 3)]
+    for most in (1 << 20, 3):
+        monkeypatch.setattr(decontaminate.benchmark_slices, "__defaults__", (most,))
+        got = decontaminate.find_contamination(docs, bench).collect()
+        assert sorted(((r.doc_id, r.n_words, r.n_hit) for r in got), key=str) == sorted(want, key=str)
