@@ -169,9 +169,23 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: documents of which words are taken, with the words taken and the slots they go to."""
-    mixed = mix(docs.select("doc_id", "text", "source")).where("taken > 0").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "mixed_id")
-    return docs.join(mixed, docs["doc_id"].eqNullSafe(mixed["mixed_id"])).drop("mixed_id")
+    """The mix: documents of which words are taken, with size, source_size, target, words taken and the slots they go to.
+
+    Where ``docs`` has a column of such a name, the mix's gets the prefix ``mix_``, as often as it takes.
+    """
+    rows = common.numbered(docs)
+    key = F.struct(F.col("doc_id").alias("k"), F.col(common.ROW).alias("r"))
+    mixed = mix(rows.select(key.alias("key"), "text", "source"), key="key").where("taken > 0")
+    taken, more = {c.lower() for c in docs.columns}, {}
+    for c in mixed.columns:
+        if c != "key":
+            name = c
+            while name in taken:
+                name = f"mix_{name}"
+            taken.add(name)
+            more[f"_plumb_{c}"] = name
+    mixed = mixed.select(F.col("key.r").alias(common.ROW), *[F.col(c.removeprefix("_plumb_")).alias(c) for c in more])
+    return rows.join(mixed, common.ROW).select(*map(common.quoted, docs.columns), *[F.col(c).alias(name) for c, name in more.items()])
 
 
 QUERIES = {"op8_mixing": op8_mixing}

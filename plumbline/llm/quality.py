@@ -208,7 +208,11 @@ def expression(rules: list[Rule]) -> Column:
 
 def judge(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
     """key, statistics, base_failed, rule (the first that covers the document) and kept."""
-    stats = common.materialize(statistics(docs, key=key, text=text), "quality")
+    return judge_statistics(common.materialize(statistics(docs, key=key, text=text), "quality"), labels, key=key, label=label)
+
+
+def judge_statistics(stats: DataFrame, labels: DataFrame, *, key: str = "doc_id", label: str = "quality") -> DataFrame:
+    """``stats`` with base_failed, rule and kept."""
     rules = fit(stats, labels, key=key, label=label)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return stats.withColumn("base_failed", failed).withColumn("rule", expression(rules)).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
@@ -220,9 +224,12 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the learned list keep."""
-    judged = judge(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return docs.join(judged.where("not kept").select("doc_id"), "doc_id", "left_anti")
+    """Documents that the base rules and the learned list keep; every row is judged by its own text."""
+    rows = common.numbered(docs)
+    stats = statistics(rows.select(F.struct("doc_id", common.ROW).alias("key"), "text"), key="key")
+    stats = common.materialize(stats.select("key.*", *[c for c in stats.columns if c != "key"]), "quality")
+    judged = judge_statistics(stats, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return rows.join(judged.where("not kept").select(common.ROW), common.ROW, "left_anti").select(*map(common.quoted, docs.columns))
 
 
 QUERIES = {"op2_quality_rules": op2_quality_rules}

@@ -61,3 +61,28 @@ def test_odd_rows(spark, odd_docs, tmp_path):
         docs = stage(spark, docs, str(tmp_path))
         assert stage(spark, docs.limit(0).select("doc_id", "text", "lang", "source", "n_chars"), str(tmp_path)).count() == 0
     assert docs.count() >= 1
+
+
+def test_extra_columns_with_clashing_names(spark, odd_docs, tmp_path):
+    """Extra columns survive every stage, whatever their names; every row is judged by its own text."""
+    for t in ("benchmark", "labels"):
+        spark.read.parquet(f"{SF}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    names = ["cut", "size", "target", "taken", "source_size", "placements", "component", "row", "fp", "kept", "n_words", "mix_size", "a.b"]
+    docs = odd_docs.selectExpr("*", *[f"{i} AS `{n}`" for i, n in enumerate(names)])
+    for name, stage in corpus_pipeline.STAGES:
+        before = docs.columns
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        assert docs.columns[: len(before)] == before
+    assert docs.columns[len(before) :] == ["mix_mix_size", "mix_source_size", "mix_target", "mix_taken", "mix_placements"]
+
+
+def test_rows_without_a_doc_id_are_judged(spark, tmp_path):
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    passage = bench.first().text
+    docs = spark.createDataFrame([(None, passage, "en", "a", 1), (None, "clean words", "en", "a", 1), (5, passage, "en", "a", 1), (5, "other clean words", "en", "a", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    stages = dict(corpus_pipeline.STAGES)
+    assert sorted(r.text for r in stages["decontamination"](spark, docs, str(tmp_path)).collect()) == ["clean words", "other clean words"]
+    kept = stages["simhash_near_dedup"](spark, docs, str(tmp_path)).collect()
+    assert sorted((r.doc_id or 0, r.text == passage) for r in kept) == [(0, False), (5, False), (5, True)]
