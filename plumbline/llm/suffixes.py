@@ -38,7 +38,7 @@ WINDOW = 400
 GRAM = 100
 FAN = 7
 
-RANGE = "first binary, rank binary, body binary, c int, m int, lo int, hi int, lft binary, rgt binary, known boolean"
+RANGE = "first long, rank binary, body binary, c int, m int, lo int, hi int, lft binary, rgt binary, known boolean"
 
 
 def _number(*values: int) -> bytes:
@@ -48,7 +48,7 @@ def _number(*values: int) -> bytes:
 def first_ranges(docs: DataFrame, window: int, gram: int) -> DataFrame:
     """(d, at, ranges' columns): of each document its anchors whose gram may repeat, equal surroundings in one row.
 
-    ``lft`` and ``rgt`` are the bytes of the range's windows before and after the core; ``body`` is a digest of all.
+    ``first`` numbers the rows; ``lft`` and ``rgt`` are the bytes of the range's windows before and after the core; ``body`` is a digest of all.
     """
     bitmap = anchors.repeated_grams(docs, anchors.byte_block, window, gram, "bytes")
     span = window - gram + 1
@@ -70,10 +70,12 @@ def first_ranges(docs: DataFrame, window: int, gram: int) -> DataFrame:
                 places.append((text, [at], body, rank, lo, hi, lft, rgt))
         text, at, body, rank, lo, hi, lft, rgt = zip(*places, strict=True) if places else ((),) * 8
         n = len(text)
-        columns = [names.column(1).take(pa.array(text, pa.int64())), pa.array(at, pa.list_(pa.int64())), *(pa.array(x, pa.binary()) for x in (body, rank, body)), *(pa.array(x, pa.int32()) for x in ([0] * n, [span] * n, lo, hi)), pa.array(lft, pa.binary()), pa.array(rgt, pa.binary()), pa.array([False] * n, pa.bool_())]
-        yield pa.RecordBatch.from_arrays(columns, ["d", "at", *(x.split()[0] for x in RANGE.split(", "))])
+        columns = [names.column(1).take(pa.array(text, pa.int64())), pa.array(at, pa.list_(pa.int64())), *(pa.array(x, pa.binary()) for x in (rank, body)), *(pa.array(x, pa.int32()) for x in ([0] * n, [span] * n, lo, hi)), pa.array(lft, pa.binary()), pa.array(rgt, pa.binary()), pa.array([False] * n, pa.bool_())]
+        yield pa.RecordBatch.from_arrays(columns, ["d", "at", *(x.split()[0] for x in own_columns.split(", "))])
 
-    return common.materialize(anchors.blocks(docs, anchors.byte_block, f"d binary, at array<long>, {RANGE}", passing), "bytes-ranges")
+    own_columns = RANGE.removeprefix("first long, ")
+    found = anchors.blocks(docs, anchors.byte_block, f"d binary, at array<long>, {own_columns}", passing)
+    return common.materialize(found.withColumn("first", F.monotonically_increasing_id()), "bytes-ranges")
 
 
 def cut(ranges: DataFrame, step: int) -> DataFrame:
@@ -93,7 +95,7 @@ def cut(ranges: DataFrame, step: int) -> DataFrame:
                     rank2 = digest(rank, _number(c2), lft[inner:], rgt[:grow])
                     lft2, rgt2 = lft[hi - hi2 : inner], rgt[grow : len(rgt) - (lo2 - lo)]
                     out.append((first, rank2, digest(rank2, _number(lo2, hi2), lft2, rgt2), c2, m2, lo2, hi2, lft2, rgt2, known))
-            kinds = [pa.binary()] * 3 + [pa.int32()] * 4 + [pa.binary()] * 2 + [pa.bool_()]
+            kinds = [pa.int64()] + [pa.binary()] * 2 + [pa.int32()] * 4 + [pa.binary()] * 2 + [pa.bool_()]
             columns = zip(*out, strict=True) if out else ((),) * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names)
 
@@ -110,38 +112,39 @@ def judged(rows: DataFrame, copies, name: str) -> DataFrame:
 
 
 def repeated_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, fan: int = FAN) -> tuple[DataFrame, DataFrame]:
-    """(first ranges, hits): hits has (first, lo, hi), the positions of a first range whose windows stand elsewhere too."""
+    """(first ranges, hits): hits has (body, lo, hi), the positions of a first range's body whose windows stand elsewhere too."""
     top = first_ranges(docs, window, gram)
-    state = common.materialize(judged(top, F.sum(F.size("at")), "bytes-0"), "bytes-0-judged")
-    hits = [state.where("n > 1").select(F.col("body").alias("first"), F.lit(0).alias("lo"), F.lit(window - gram).alias("hi"))]
-    # one row of each body: the least text that has it
-    chosen = top.join(state.where("go"), "body").groupBy("body").agg(F.min("d").alias("d"), F.first(F.col("n") > 1).alias("_known"))
-    chosen = top.drop("known").join(common.materialize(chosen, "bytes-0-chosen"), ["body", "d"]).withColumnRenamed("_known", "known")
-    ranges = common.materialize(chosen.select(*(x.split()[0] for x in RANGE.split(", "))).dropDuplicates(["body"]), "bytes-0-open")
-    step, turn = window - gram + 1, 0
+    told = common.materialize(judged(top, F.sum(F.size("at")), "bytes-0"), "bytes-0-judged")
+    whole = told.where("n > 1").select("body", F.lit(0).alias("lo"), F.lit(window - gram).alias("hi"))
+    ranges = _open(top, told.where("go").select("body", F.col("least").alias("first"), (F.col("n") > 1).alias("known")))
+    step, turn, hits = window - gram + 1, 0, None
     while step > 1:
         step, turn = -(-step // fan), turn + 1
         rows = common.materialize(cut(ranges, step), f"bytes-{turn}")
-        told = rows.drop("known").join(judged(rows, F.count("*"), f"bytes-{turn}"), "body")
-        on = F.col("go") & (F.col("first") == F.col("least"))
-        told = told.where(on | (F.col("n") > 1)).withColumns({"on": on, "lft": F.when(on, F.col("lft")), "rgt": F.when(on, F.col("rgt")), "known": F.col("n") > 1})
-        told = common.materialize(told, f"bytes-{turn}-told")
-        hits.append(told.where("n > 1").select("first", "lo", "hi"))
-        ranges = told.where("on")
-    found = hits[0]
-    for h in hits[1:]:
-        found = found.unionByName(h)
-    return top, found
+        verdicts = judged(rows, F.count("*"), f"bytes-{turn}")
+        known = F.col("n") > 1
+        found = rows.select("first", "body", "lo", "hi").join(verdicts, "body").select("first", "body", "lo", "hi", known.alias("known"), (F.col("go") & (F.col("first") == F.col("least"))).alias("on"))
+        found = common.materialize(found.where("known OR on"), f"bytes-{turn}-judged")
+        part = found.where("known").select("first", "lo", "hi")
+        hits = part if hits is None else hits.unionByName(part)
+        ranges = _open(rows, found.where("on").select("first", "body", "known"))
+    if hits is None:
+        return top, whole
+    return top, whole.unionByName(hits.join(told.where("go").select("body", F.col("least").alias("first")), "first").select("body", "lo", "hi"))
+
+
+def _open(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The chosen rows, one for each body that goes on, with their bytes."""
+    return rows.drop("known").join(chosen, ["first", "body"]).select(*(x.split()[0] for x in RANGE.split(", ")))
 
 
 def marked_ranges(docs: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, DataFrame, str]:
     """(documents as k, d and t, marks, how they join)."""
     rows = anchors.named(docs, key, text)
     top, hits = repeated_ranges(rows, window, gram)
-    spans = common.materialize(hits.groupBy("first").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "bytes-hits")
-    places = top.select("d", F.col("body").alias("first"), "at", "lo", "hi").dropDuplicates(["d", "first"])
-    marked = places.join(spans, "first").groupBy("d").agg(F.collect_list(F.struct("at", "lo", "hi", "spans")).alias("marks"))
-    return rows, marked, "d.d = m.d"
+    spans = common.materialize(hits.groupBy("body").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "bytes-hits")
+    places = top.select("d", "body", "at", "lo", "hi").join(spans, "body")
+    return rows, places.groupBy("d").agg(F.collect_set(F.struct("at", "lo", "hi", "spans")).alias("marks")), "d.d = m.d"
 
 
 def removed_spans(marks: list[dict] | None, window: int) -> tuple[np.ndarray, np.ndarray]:
