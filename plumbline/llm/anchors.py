@@ -343,6 +343,8 @@ def hit_windows(rows: list[dict] | None) -> np.ndarray:
 def apply(docs: DataFrame, marked: DataFrame, same: str, schema: str, work: Callable[[bytes, list[dict] | None], tuple], types: list[pa.DataType]) -> DataFrame:
     """``work(text, marks)``, of the types given, for every document of ``docs``; ``same`` joins them (as d) to ``marked`` (as m)."""
     names = [x.split(":")[0].split()[0] for x in schema.split(", ")]
+    # written first, so that the join's two sides are plain shuffles and a text with many copies can be split
+    marked = common.materialize(marked, "marks")
     joined = docs.alias("d").join(marked.alias("m"), F.expr(same), "left").select("d.k", "d.t", "m.marks")
 
     def run(batches):
