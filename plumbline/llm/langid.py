@@ -4,11 +4,14 @@ A known word scores by its log frequency in each language; an unseen word falls
 character n-grams, the longest known one at each place and shorter ones where none is known. A
 text's language has the best mean score; its probability is a softmax over the languages.
 
-Training counts words and n-grams of all labelled rows given: tasks count their own rows, Spark sums.
+Training counts words of all labelled rows given: tasks count their own rows, Spark sums; n-grams are counted from the
+distinct words, weighted by their counts. A word counted fewer than ``least`` times over all languages is too rare for
+frequencies and counts as unseen; its n-grams are learned all the same.
+
 The model that goes to the tasks keeps the ``WORDS`` commonest words and, for each length, the
-``GRAMS`` commonest n-grams (ties by text), so its size has a fixed bound. It only saves lookups: distinct words that it
-lacks are looked up in the full counts by a join, and so are the n-grams, longer than those it
-knows, of words without a count. No counted word or n-gram is left out of a score. What is joined is rarer than all that the model
+``GRAMS`` commonest n-grams (ties by text), so its size has a fixed bound. It only saves lookups: where more units are known, a bitmap
+(a bound of 32 MB) tells the tasks which words and n-grams may be among those left out, and words that depend on these are scored
+from the full counts by joins. No known word or n-gram is left out of a score. What is joined is rarer than all that the model
 keeps, so no key of these joins is hot.
 
 Words are runs of letters in Unicode lower case. Edge cases: a null text, or one without a letter, is
@@ -19,6 +22,7 @@ ignored, whatever their names.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -27,10 +31,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import common
+from plumbline.llm import anchors, common
 
-WORDS = 60_000
-GRAMS = 20_000
+WORDS = 500_000
+GRAMS = 100_000
+#: Occurrences from which op5 takes a word for known.
+KNOWN_FROM = 5
 LONGEST = 4
 #: Distinct tokens that a task holds: training passes its counts on beyond it, prediction starts its table anew.
 HELD = 200_000
@@ -56,25 +62,22 @@ def grams_of(word: str, n: int) -> list[str]:
     return [w[i : i + n] for i in range(len(w) - n + 1)]
 
 
-def counts(labelled: DataFrame) -> DataFrame:
-    """(kind, lang, unit, n) from columns lang and text; kind 0 counts words, kind k n-grams of k characters."""
+def word_counts(labelled: DataFrame) -> DataFrame:
+    """(lang, unit, n) of the words in columns lang and text."""
 
     def passed_on(held: dict[str, Counter]):
-        rows: list[tuple[int, str, str, int]] = []
+        rows: list[tuple[str, str, int]] = []
         for lang, tokens in held.items():
             words: Counter = Counter()
             for token, n in tokens.items():
-                for w in words_of(token):
-                    words[w] += n
-            grams: list[Counter] = [Counter() for _ in range(LONGEST + 1)]
-            for w, n in words.items():
-                for k in range(1, LONGEST + 1):
-                    for g in grams_of(w, k):
-                        grams[k][g] += n
-            rows += [(0, lang, w, n) for w, n in words.items()]
-            rows += [(k, lang, g, n) for k in range(1, LONGEST + 1) for g, n in grams[k].items()]
-        kind, lang, unit, n = zip(*rows, strict=True) if rows else ((), (), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(lang, pa.string()), pa.array(unit, pa.string()), pa.array(n, pa.int64())], ["kind", "lang", "unit", "n"])
+                if token.isalpha():
+                    words[token] += n
+                else:
+                    for w in words_of(token):
+                        words[w] += n
+            rows += [(lang, w, n) for w, n in words.items()]
+        lang, unit, n = zip(*rows, strict=True) if rows else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(unit, pa.string()), pa.array(n, pa.int64())], ["lang", "unit", "n"])
 
     def run(batches):
         held: dict[str, Counter] = {}
@@ -86,42 +89,81 @@ def counts(labelled: DataFrame) -> DataFrame:
                     held = {}
         yield from passed_on(held)
 
-    found = labelled.where("lang is not null and lang != '' and text is not null").select("lang", "text").mapInArrow(run, "kind int, lang string, unit string, n long")
-    return found.groupBy("kind", "lang", "unit").agg(F.sum("n").alias("n"))
+    found = labelled.where("lang is not null and lang != '' and text is not null").select("lang", "text").mapInArrow(run, "lang string, unit string, n long")
+    return found.groupBy("lang", "unit").agg(F.sum("n").alias("n"))
+
+
+def gram_counts(words: DataFrame) -> DataFrame:
+    """(kind, lang, unit, n) of the n-grams of k characters (kind k) in ``words`` (lang, unit, n)."""
+
+    def run(batches):
+        held: dict[tuple[int, str], Counter] = {}
+        for b in batches:
+            for lang, word, n in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                for k in range(1, LONGEST + 1):
+                    grams = held.setdefault((k, lang), Counter())
+                    for g in grams_of(word, k):
+                        grams[g] += n
+            if sum(map(len, held.values())) > HELD:
+                yield from passed_on(held)
+                held = {}
+        yield from passed_on(held)
+
+    def passed_on(held):
+        for (k, lang), grams in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k] * len(grams), pa.int32()), pa.array([lang] * len(grams), pa.string()), pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())], ["kind", "lang", "unit", "n"])
+
+    return words.mapInArrow(run, "kind int, lang string, unit string, n long").groupBy("kind", "lang", "unit").agg(F.sum("n").alias("n"))
+
+
+def _print(kind: int, unit: str) -> int:
+    return zlib.crc32(f"{kind}{unit}".encode())
 
 
 class Model:
     """Log frequencies: a row of ``values`` for each unit, one column per language; ``rows_of[kind]`` finds a unit's row."""
 
-    def __init__(self, langs: list[str], totals: np.ndarray, rows: list[tuple[int, str, list[int]]]):
-        self.langs = langs
-        self.rows_of: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
-        for at, (kind, unit, _) in enumerate(rows):
-            self.rows_of[kind][unit] = at
-        n = np.array([r[2] for r in rows], np.float64).reshape(len(rows), len(langs))
-        kinds = np.array([r[0] for r in rows], np.int64)
-        self.values = np.log((n + 0.5) / (np.asarray(totals)[kinds] + 1.0))
-        self.totals = np.asarray(totals)
-        #: Whether units of a kind were left out.
-        self.cut = [False] * (LONGEST + 1)
+    def __init__(self, langs: list[str], totals: np.ndarray, tops: list[tuple[list[str], np.ndarray]], cut: list[bool], more: np.ndarray | None = None):
+        """``tops`` has each kind's units and their counts by language; ``cut`` tells whether units of a kind were left
+        out, and ``more`` is a bitmap of the prints of these (at least)."""
+        self.langs, self.totals, self.cut, self.more = langs, np.asarray(totals), cut, more
+        self.rows_of: list[dict[str, int]] = []
+        parts, at = [np.empty((0, len(langs)))], 0
+        for kind, (units, n) in enumerate(tops):
+            self.rows_of.append(dict(zip(units, range(at, at + len(units)), strict=True)))
+            parts.append(np.log((n + 0.5) / (self.totals[kind] + 1.0)))
+            at += len(units)
+        self.values = np.concatenate(parts)
 
     @property
     def tables(self) -> list[dict[str, np.ndarray]]:
         """Of each kind: unit -> its log frequency by language, to look into a model."""
         return [{unit: self.values[at] for unit, at in found.items()} for found in self.rows_of]
 
-    def places(self, word: str) -> list[int]:
-        """The rows a word's score is the mean of: its own, or of each place the longest known n-gram that begins there."""
+    def left_out(self, kind: int, unit: str) -> bool:
+        """Whether a unit that has no row may be known all the same."""
+        if not self.cut[kind]:
+            return False
+        bit = _print(kind, unit) % (len(self.more) * 8)
+        return bool(self.more[bit >> 3] >> (bit & 7) & 1)
+
+    def places(self, word: str) -> list[int] | None:
+        """The rows a word's score is the mean of: its own, or of each place the longest known n-gram that begins there;
+        None if that depends on units left out."""
         known = self.rows_of[0].get(word)
         if known is not None:
             return [known]
-        w, out = f" {word} ", []
+        if self.cut[0] and self.left_out(0, word):
+            return None
+        w, out, rows_of, cut = f" {word} ", [], self.rows_of, self.cut
         for i in range(len(w) - 1):
             for k in range(min(LONGEST, len(w) - i), 0, -1):
-                at = self.rows_of[k].get(w[i : i + k])
+                at = rows_of[k].get(w[i : i + k])
                 if at is not None:
                     out.append(at)
                     break
+                if cut[k] and self.left_out(k, w[i : i + k]):
+                    return None
         return out
 
     def candidates(self, word: str) -> list[tuple[int, int, str, int | None]]:
@@ -130,24 +172,23 @@ class Model:
         for i in range(len(w) - 1):
             for k in range(min(LONGEST, len(w) - i), 0, -1):
                 at = self.rows_of[k].get(w[i : i + k])
-                if at is not None or self.cut[k]:
+                if at is not None or self.left_out(k, w[i : i + k]):
                     out.append((i, k, w[i : i + k], at))
                 if at is not None:
                     break
         return out
 
     def token_scores(self, tokens: list[str], rest: dict[str, list[str]] | None = None) -> np.ndarray:
-        """Of each token: its words' summed scores by language, and their number. Words that are not kept go to ``rest``, if given."""
+        """Of each token: its words' summed scores by language, and their number. Words that depend on units left out go to ``rest``, if given."""
         out = np.zeros((len(tokens), len(self.langs) + 1))
         rows: list[int] = []
         sizes, owners = [], []
         for i, token in enumerate(tokens):
             for word in words_of(token):
                 out[i, -1] += 1
-                if rest is not None and word not in self.rows_of[0]:
-                    rest.setdefault(token, []).append(word)
-                    continue
                 found = self.places(word)
+                if found is None and rest is not None:
+                    rest.setdefault(token, []).append(word)
                 if found:
                     rows += found
                     sizes.append(len(found))
@@ -159,7 +200,7 @@ class Model:
         return out
 
     def sums(self, texts: list[str | None], rest: list[Counter] | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(words, summed scores by language) of each text; a distinct token is looked up once. Each text's words that are not kept are added to ``rest``, if given."""
+        """(words, summed scores by language) of each text; a distinct token is looked up once. Each text's words that depend on units left out are added to ``rest``, if given."""
         n, out = np.zeros(len(texts), np.int64), np.zeros((len(texts), len(self.langs)))
         number: dict[str, int] = {}
         table = np.empty((0, len(self.langs) + 1))
@@ -202,33 +243,43 @@ class Trained(Model):
         return out
 
 
-def train(labelled: DataFrame, *, words: int = WORDS, grams: int = GRAMS) -> Trained:
+def train(labelled: DataFrame, *, words: int = WORDS, grams: int = GRAMS, least: int = 1) -> Trained:
     """A model from all rows of ``labelled`` (columns lang and text); it holds at most words + LONGEST * grams units, and the table of all."""
-    counted = common.materialize(counts(labelled), "langid")
-    langs = sorted(r.lang for r in counted.where("kind = 1").select("lang").distinct().toLocalIterator())
+    all_words = common.materialize(word_counts(labelled), "langid-words")
+    all_grams = common.materialize(gram_counts(all_words), "langid-grams")
+    counted = all_words.select(F.lit(0).alias("kind"), "lang", "unit", "n").unionByName(all_grams)
+    langs = sorted(r.lang for r in all_grams.where("kind = 1").select("lang").distinct().toLocalIterator())
     if not langs:
-        return Trained([], np.zeros((LONGEST + 1, 0)), [])
+        return Trained([], np.zeros((LONGEST + 1, 0)), [([], np.zeros((0, 0)))] * (LONGEST + 1), [False] * (LONGEST + 1))
     totals = np.zeros((LONGEST + 1, len(langs)))
     for r in counted.groupBy("kind", "lang").agg(F.sum("n").alias("n")).toLocalIterator():
         totals[r.kind, langs.index(r.lang)] = r.n
-    units = counted.groupBy("kind", "unit").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-    rows, cut = [], []
+    by = [F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"n{i}") for i, x in enumerate(langs)]
+    units = counted.groupBy("kind", "unit").agg(F.sum("n").alias("all"), *by).where((F.col("kind") > 0) | (F.col("all") >= least))
+    units = common.materialize(units, "langid-units")
+    size = {r.kind: r["count"] for r in units.groupBy("kind").count().collect()}
+    tops, cut = [], []
     for kind in range(LONGEST + 1):
-        top = units.where(F.col("kind") == kind).orderBy(F.desc("all"), "unit").limit(grams if kind else words)
-        found = top.collect()
-        rows += [(kind, r.unit, [r.by.get(x, 0) for x in langs]) for r in found]
-        cut.append(len(found) >= (grams if kind else words))
-    model = Trained(langs, totals, rows)
-    model.cut, model.counted = cut, counted
+        most = grams if kind else words
+        own = units.where(F.col("kind") == kind)
+        top = own if size.get(kind, 0) <= most else own.orderBy(F.desc("all"), "unit").limit(most)
+        found = top.select("unit", *[f"n{i}" for i in range(len(langs))]).toArrow()
+        tops.append((found.column(0).to_pylist(), np.column_stack([found.column(i + 1).to_numpy() for i in range(len(langs))]).astype(np.float64)))
+        cut.append(size.get(kind, 0) > most)
+    more = None
+    if any(cut):
+        left = units.where(F.col("kind").isin([k for k, c in enumerate(cut) if c]))
+        more = anchors.bitmap_of(left.select(F.crc32(F.concat(F.col("kind").cast("string"), "unit").cast("binary")).alias("p")))
+    model = Trained(langs, totals, tops, cut, more)
+    model.counted = units
     return model
 
 
-def _logs(model: Trained, counted: DataFrame) -> DataFrame:
-    """(kind, unit, v) of the full counts: v has the log frequency by language."""
-    by = counted.groupBy("kind", "unit").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
+def _logs(model: Trained, units: DataFrame) -> DataFrame:
+    """(kind, unit, v) of known units: v has the log frequency by language."""
     totals = F.element_at(F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in model.totals]), F.col("kind") + 1)
-    langs = F.array(*[F.lit(x) for x in model.langs])
-    return by.select("kind", "unit", F.zip_with(langs, totals, lambda lang, total: F.log((F.coalesce(F.col("by")[lang], F.lit(0)) + 0.5) / (total + 1.0))).alias("v"))
+    counts = F.array(*[F.col(f"n{i}") for i in range(len(model.langs))])
+    return units.select("kind", "unit", F.zip_with(counts, totals, lambda n, total: F.log((n + 0.5) / (total + 1.0))).alias("v"))
 
 
 def _looked_up(model: Trained, shared, distinct: DataFrame) -> DataFrame:
@@ -300,7 +351,7 @@ def held_out(key: str = "doc_id"):
 
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
-    model = train(docs.where(~held_out()).select("lang", "text"))
+    model = train(docs.where(~held_out()).select("lang", "text"), least=KNOWN_FROM)
     return predict(docs.select("doc_id", "text"), model).withColumn("held_out", held_out()).select("doc_id", "held_out", "lang_pred", "score")
 
 

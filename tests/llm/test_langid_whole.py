@@ -18,3 +18,14 @@ def test_units_left_out_of_the_model_still_score(spark):
     assert ("None", "sw") in [x[:2] for x in got(small)]
     n, s = full.scores(texts)
     assert n.tolist() == [2, 2, 2, 3, 0, 2] and np.isfinite(s).all()
+
+
+def test_rare_words_count_as_unseen(spark):
+    """Below ``least`` a word is scored by its n-grams, wherever the units are looked up."""
+    rows = [("en", "the cat the")] * 3 + [("de", "die katze rar")]
+    labelled = spark.createDataFrame(rows, "lang string, text string")
+    model, small = langid.train(labelled, least=2), langid.train(labelled, words=1, grams=2, least=2)
+    assert set(model.rows_of[0]) == {"the", "cat"} and " rar" in model.rows_of[4]
+    docs = spark.createDataFrame([(1, "rar the katze"), (2, "cat rar"), (3, "zzz")], "doc_id long, text string")
+    got = [sorted((r.doc_id, r.lang_pred, round(r.score, 9)) for r in langid.predict(docs, m).collect()) for m in (model, small)]
+    assert got[0] == got[1]
