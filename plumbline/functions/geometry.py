@@ -45,9 +45,9 @@ def distance(point: Sequence, plane: Sequence) -> Column:
 
 
 def plane_type(nz: Number) -> Column:
-    """vertical, horizontal or inclined, by how steep the unit normal stands."""
+    """vertical_facade, horizontal or inclined, by how steep the unit normal stands."""
     steep = F.abs(col(nz))
-    return F.when(steep <= VERTICAL_LIMIT, "vertical").when(steep >= HORIZONTAL_LIMIT, "horizontal").otherwise("inclined")
+    return F.when(steep <= VERTICAL_LIMIT, "vertical_facade").when(steep >= HORIZONTAL_LIMIT, "horizontal").otherwise("inclined")
 
 
 def verticality(nz: Number) -> Column:
@@ -82,14 +82,14 @@ def unit(v: Sequence) -> tuple[Column, ...]:
 
 
 def plane_axes(normal: Sequence) -> tuple[tuple[Column, ...], tuple[Column, ...]]:
-    """Axes u and v in a plane. Steep planes (|nz| < 0.45): u level, v up. Others: u from the x axis, or
-    the y axis where the normal lies close to x; v completes the frame."""
+    """Axes u and v in a plane. Steep planes (|nz| < 0.45): u level, v up. Others: u is the normal crossed with the z axis, or
+    with the x axis where the normal lies close to z (|nz| >= 0.9); v completes the frame."""
     nx, ny, nz = map(col, normal)
     steep = F.abs(nz) < 0.45
     flat = F.sqrt(ny * ny + nx * nx)
-    level = (F.when(flat < 1e-9, 1.0).otherwise(-ny / flat), F.when(flat < 1e-9, 0.0).otherwise(nx / flat), F.lit(0.0))
-    along_x = F.abs(nx) < 0.9
-    reference = (F.when(along_x, 1.0).otherwise(0.0), F.when(along_x, 0.0).otherwise(1.0), F.lit(0.0))
+    level = (F.when(flat < 1e-8, 1.0).otherwise(-ny / flat), F.when(flat < 1e-8, 0.0).otherwise(nx / flat), F.lit(0.0))
+    along_z = F.abs(nz) < 0.9
+    reference = (F.when(along_z, 0.0).otherwise(1.0), F.lit(0.0), F.when(along_z, 1.0).otherwise(0.0))
     lying = unit(cross(normal, reference))
     completed = cross(normal, lying)
     u = tuple(F.when(steep, p).otherwise(q) for p, q in zip(level, lying, strict=True))

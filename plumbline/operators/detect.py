@@ -129,7 +129,7 @@ def _accept(grouped: DataFrame, r: dict, tol: float, o: Detection, turn: int, fo
 def ranked(facades: DataFrame) -> DataFrame:
     """facade_id from 0: vertical first, then most points; the rest of the order settles ties."""
     tie = [c for c in ("round", "group", "facade") if c in facades.columns]
-    order = Window.orderBy(F.when(F.col("type") == "vertical", 0).otherwise(1), F.desc("point_count"), *tie)  # one row a facade
+    order = Window.orderBy(F.when(F.col("type") == "vertical_facade", 0).otherwise(1), F.desc("point_count"), *tie)  # one row a facade
     return facades.withColumn("facade_id", F.row_number().over(order) - 1)
 
 
@@ -140,14 +140,55 @@ def dense_labels(points: DataFrame, membership: DataFrame) -> DataFrame:
 
 
 def segment(points: DataFrame, selected: DataFrame, options: Detection | None = None, most: int = 30) -> tuple[DataFrame, DataFrame]:
-    """(segments, membership) of the selected points (ids may repeat or be unknown): the detection loop with wide normals, density
-    clusters and small groups, for a hand-picked region."""
+    """(segments, membership) of the selected points (ids may repeat or be unknown), for a hand-picked region.
+
+    Each round takes the plane with most points near it, points within 1.8 tolerances whose normals agree (or the plane's own if those are too few),
+    and splits them into density clusters, largest first; a cluster is refitted and keeps its points within two tolerances. The plane's
+    points and the segments' are taken out. Segments are numbered in the order found. Fewer points than a
+    segment needs, before or after unknown ids are dropped, give no segments.
+    """
     o = options or Detection(degrees=18.0, least_cluster=80, least_area=0.0, trials=800)
-    region = points.join(selected.select("point_id").distinct(), "point_id", "left_semi")
-    if region.count() < o.least_cluster:
-        raise ValueError("too few points are selected")
-    wide = Detection(voxel=o.voxel, least_area=o.least_area, tolerance=o.tolerance or max(1.8 * o.voxel, 0.04), least_share=0.0, degrees=o.degrees, least_cluster=o.least_cluster, uv_grid=o.uv_grid or max(5 * o.voxel, 0.25), least_cells_share=o.least_cells_share, eps=o.eps or max(5 * o.voxel, 0.25), rounds=most, trials=o.trials)
-    return detect(region, wide)
+    spark, least = points.sparkSession, o.least_cluster
+    tol, eps = o.tolerance or max(1.5 * o.voxel, 0.03), o.eps or max(5 * o.voxel, 0.25)
+    left = stored(points.select("point_id", *P, *N).join(selected.select("point_id").distinct(), "point_id", "left_semi"))
+    found, members = [], []
+    for turn in range(most):
+        if left.count() < least:
+            break
+        drawn = planes.hypotheses(left, o.trials, seed=turn + 1)
+        if not drawn:
+            break
+        best, inliers = planes.ransac(left, drawn, tol)
+        if inliers < least:
+            break
+        plane = drawn[best]
+        seeds = left.where(g.distance(P, plane) <= tol)
+        near = stored(left.where(planes.candidates(left, plane, 1.8 * tol, o.degrees)))
+        if near.count() < least:
+            near = stored(seeds)
+        clusters = stored(components.density_clusters(near.select("point_id", *P), eps, max(8, least // 10)))
+        # without any cluster all candidates are one
+        if clusters.where("cluster >= 0").isEmpty():
+            clusters = clusters.withColumn("cluster", F.lit(0))
+        grouped = near.join(clusters.where("cluster >= 0").select("point_id", F.col("cluster").alias("group")), "point_id").select("group", "point_id", *P)
+        large = grouped.groupBy("group").agg(F.count("*").alias("_n")).where(F.col("_n") >= least)
+        grouped = grouped.join(large.select("group"), "group")
+        kept = planes.with_plane(grouped, planes.fit(grouped, "group"), "group").where(g.distance(P, planes.PLANE) <= 2.0 * tol).select("group", "point_id", *P)
+        enough = kept.groupBy("group").agg(F.count("*").alias("_n")).where(F.col("_n") >= least)
+        kept = stored(kept.join(enough.select("group"), "group"))
+        gone = seeds.select("point_id")
+        if not kept.isEmpty():
+            found.append(stored(_records(kept, o.voxel).withColumn("round", F.lit(turn))))
+            members.append(kept.select(F.lit(turn).alias("round"), "group", "point_id"))
+            gone = gone.unionByName(kept.select("point_id"))
+        left = stored(left.join(gone.distinct(), "point_id", "left_anti"))
+    if not found:
+        empty = _records(points.where("false").withColumn("group", F.lit(0)), o.voxel).withColumn("round", F.lit(0))
+        return ranked(empty), spark.createDataFrame([], "facade_id int, point_id long")
+    order = Window.orderBy("round", F.desc("point_count"), "group")  # one row a segment
+    segments = planes.union_all(found).withColumn("facade_id", F.row_number().over(order) - 1).where(F.col("facade_id") < most)
+    membership = planes.union_all(members).join(segments.select("round", "group", "facade_id"), ["round", "group"]).select("facade_id", "point_id")
+    return segments.drop("round", "group"), membership
 
 
 def dimensions(points: DataFrame, fitted: DataFrame, key: str) -> DataFrame:
@@ -155,7 +196,7 @@ def dimensions(points: DataFrame, fitted: DataFrame, key: str) -> DataFrame:
     u, v = g.uv(P, ("cx", "cy", "cz"), g.plane_axes(planes.PLANE[:3]))
     flat = planes.with_plane(points, fitted, key).select(key, u.alias("u"), v.alias("v"), "z", g.plane_type("nc").alias("type"))
     spans = flat.groupBy(key).agg(F.first("type").alias("type"), *[(F.max(c) - F.min(c)).alias(f"_{c}") for c in "uvz"])
-    height = F.when(F.col("type") == "vertical", F.col("_z")).otherwise(F.col("_v"))
+    height = F.when(F.col("type") == "vertical_facade", F.col("_z")).otherwise(F.col("_v"))
     return spans.select(key, "type", F.col("_u").alias("width"), height.alias("height"), (F.col("_u") * height).alias("area"))
 
 

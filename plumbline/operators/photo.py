@@ -76,7 +76,7 @@ def snap(queries: DataFrame, facades: DataFrame, most: float = 4.0) -> DataFrame
 
 
 def nearest_pick(points: DataFrame, pose: dict, x: float, y: float, radius: float) -> DataFrame:
-    """The point picked at a pixel: nearest to the camera within the radius, else the one nearest in pixels."""
+    """The point picked at a pixel: nearest pixel within the radius, else the one nearest in pixels."""
     shown = project_points(points, pose).where("depth > 1e-9")
     off = F.sqrt((F.col("px") - x) * (F.col("px") - x) + (F.col("py") - y) * (F.col("py") - y))
     ranked = shown.withColumn("off", off).withColumn("outside", (F.col("off") > radius).cast("int"))
@@ -144,8 +144,8 @@ def _axes(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The same axes as ``functions.geometry.plane_axes``, for one plane on the driver."""
     if abs(n[2]) < 0.45:
         flat = float(np.hypot(n[0], n[1]))
-        return (np.array([-n[1] / flat, n[0] / flat, 0.0]) if flat >= 1e-9 else np.array([1.0, 0.0, 0.0])), np.array([0.0, 0.0, 1.0])
-    u = np.cross(n, [1.0, 0.0, 0.0] if abs(n[0]) < 0.9 else [0.0, 1.0, 0.0])
+        return (np.array([-n[1] / flat, n[0] / flat, 0.0]) if flat >= 1e-8 else np.array([1.0, 0.0, 0.0])), np.array([0.0, 0.0, 1.0])
+    u = np.cross(n, [0.0, 0.0, 1.0] if abs(n[2]) < 0.9 else [1.0, 0.0, 0.0])
     u /= np.linalg.norm(u)
     return u, np.cross(n, u)
 
@@ -203,6 +203,23 @@ def photo_heatmap(points: DataFrame, facades: DataFrame, pose: dict, corners, *,
 def highlight(points: DataFrame, facade_id: int, factor: float = 0.22) -> DataFrame:
     """Colours that show one facade: it in green, other facades dim by type, the rest dark."""
     dim = colours.dimmed(colours.channels(), factor)
-    others = colours.by_type(F.col("type"), dim, dim=0.45)
+    others = colours.by_type(F.coalesce("type", F.lit("")), dim, dim=True)
     picked = colours.chosen([(F.col("facade_id") == facade_id, colours.HIGHLIGHT)], [F.when(F.col("facade_id") >= 0, o).otherwise(d) for o, d in zip(others, dim, strict=True)])
     return points.withColumns(dict(zip(("show_r", "show_g", "show_b"), picked, strict=True)))
+
+
+def highlight_region(points: DataFrame, region: DataFrame, factor: float = 0.22) -> DataFrame:
+    """Colours that show the points of ``region`` (point_id): they in green, the rest dark. A region without points is an error."""
+    ids = region.select("point_id").distinct().join(points.select("point_id"), "point_id", "left_semi")
+    if ids.isEmpty():
+        raise ValueError("the region has no points to highlight")
+    joined = points.join(ids.withColumn("_in", F.lit(True)), "point_id", "left")
+    picked = colours.chosen([(F.col("_in"), colours.HIGHLIGHT)], colours.dimmed(colours.channels(), factor))
+    return joined.withColumns(dict(zip(("show_r", "show_g", "show_b"), picked, strict=True))).drop("_in")
+
+
+def segment_colors(points: DataFrame, membership: DataFrame) -> DataFrame:
+    """Colours that show the segments (facade_id, point_id); points of none are dark."""
+    last = membership.groupBy("point_id").agg(F.max("facade_id").alias("segment"))
+    shown = colours.by_segment(F.coalesce("segment", F.lit(-1)))
+    return points.join(last, "point_id", "left").withColumns(dict(zip(("show_r", "show_g", "show_b"), shown, strict=True))).drop("segment")

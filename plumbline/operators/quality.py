@@ -2,13 +2,14 @@
 
 A wall's points are cut into height intervals; in each, a square window slides over the plane in small steps. A window's
 gap is the distance of its points' centroid from the interval's plane; as the plane is linear, that is the
-absolute mean of its points' signed distances. So every point goes to the windows that cover it, and windows are plain
-aggregates: no window rescans points. Step counts follow from the interval's extent.
+absolute mean of its points' signed distances. The windows over a point are a range along u times a range along v; points with
+equal ranges are summed first, then sums are dealt along u and summed, then along v. So a point moves once, and the (ruler / step)^2
+windows over it are never listed. Step counts follow from the interval's extent.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import geometry as g
@@ -40,31 +41,56 @@ def _steps(extent: Column, ruler: float, step: float) -> Column:
     return F.when(extent < ruler, 1).otherwise(F.floor((extent - ruler) / step + 1e-9) + 1).cast("int")
 
 
-def windows(points: DataFrame, interval_planes: DataFrame, *, ruler: float = RULER, step: float = STEP, least: int = LEAST, most: int | None = MOST_WINDOWS) -> DataFrame:
-    """facade_id, interval_id, window (ku, kv), points, gap (metres) of all windows with enough points.
-
-    Both window bounds are closed. With ``most``, a stride common to both axes thins the windows of an interval to about that many.
-    """
+def _spans(points: DataFrame, interval_planes: DataFrame, ruler: float, step: float) -> tuple[DataFrame, DataFrame]:
+    """(points with u, v and s in their interval's plane, each interval's window counts nu, nv and first starts ou, ov)."""
     key = ["facade_id", "interval_id"]
     u, v = g.uv(P, ("cx", "cy", "cz"), g.plane_axes(planes.PLANE[:3]))
-    flat = planes.with_plane(points, interval_planes, *key).select(*key, u.alias("u"), v.alias("v"), g.signed_distance(P, planes.PLANE).alias("s"))
+    flat = planes.with_plane(points, interval_planes, *key).select(*key, "point_id", F.inline(F.array(F.struct(u.alias("u"), v.alias("v"), g.signed_distance(P, planes.PLANE).alias("s")))))
     span = flat.groupBy(*key).agg(F.min("u").alias("u0"), F.max("u").alias("u1"), F.min("v").alias("v0"), F.max("v").alias("v1"))
     for a in "uv":
         extent = F.col(f"{a}1") - F.col(f"{a}0")
         span = span.withColumn(f"n{a}", _steps(extent, ruler, step)).withColumn(f"o{a}", F.when(extent < ruler, (F.col(f"{a}0") + F.col(f"{a}1") - ruler) / 2).otherwise(F.col(f"{a}0")))
+    return flat, span.select(*key, "nu", "nv", "ou", "ov")
+
+
+def _covering(flat: DataFrame, span: DataFrame, ruler: float, step: float) -> DataFrame:
+    """``flat`` with the windows over each point as ranges au..bu and av..bv, both window bounds closed; points under none drop out."""
+    out = flat.join(span, ["facade_id", "interval_id"])
+    guesses, exact = [], []
+    for a in "uv":
+        x, o = F.col(a), F.col(f"o{a}")
+        # rounding of a guess is settled by the exact test on its neighbours
+        guesses += [(F.ceil((x - o - ruler) / step).cast("int") - 1).alias(f"_low{a}"), (F.floor((x - o) / step).cast("int") + 1).alias(f"_high{a}")]
+        reaches = lambda k, x=x, o=o: x <= o + k * step + ruler
+        begins = lambda k, x=x, o=o: x >= o + k * step
+        k = F.col(f"_low{a}")
+        first = F.when(reaches(k), k).when(reaches(k + 1), k + 1).otherwise(k + 2)
+        k = F.col(f"_high{a}")
+        last = F.when(begins(k), k).when(begins(k - 1), k - 1).otherwise(k - 2)
+        exact += [F.greatest(F.lit(0), first).alias(f"a{a}"), F.least(F.col(f"n{a}") - 1, last).alias(f"b{a}")]
+    # behind inline each expression is evaluated once and stays out of what the optimizer infers from the filter
+    out = out.select("*", F.inline(F.array(F.struct(*guesses)))).select("*", F.inline(F.array(F.struct(*exact))))
+    return out.drop("_lowu", "_highu", "_lowv", "_highv").where("au <= bu AND av <= bv")
+
+
+def windows(points: DataFrame, interval_planes: DataFrame, *, ruler: float = RULER, step: float = STEP, least: int = LEAST, most: int | None = MOST_WINDOWS) -> DataFrame:
+    """facade_id, interval_id, window (ku, kv), points, gap (metres) of all windows with enough points.
+
+    Both window bounds are closed. With ``most``, a stride common to both axes thins the windows of an interval to about that many.
+    """
+    key = ["facade_id", "interval_id"]
+    flat, span = _spans(points, interval_planes, ruler, step)
     total = F.col("nu").cast("double") * F.col("nv")
     stride = F.when(total > most, F.ceil(F.sqrt(total / most))).otherwise(1).cast("int") if most else F.lit(1)
-    joined = flat.join(span.withColumn("stride", stride).select(*key, "nu", "nv", "ou", "ov", "stride"), key)
+    sums = lambda n, s: (F.sum(n).alias("points"), F.sum(s).alias("total"))
+    summed = _covering(flat, span.withColumn("stride", stride), ruler, step).groupBy(*key, "stride", "au", "bu", "av", "bv").agg(F.count("*").alias("points"), F.sum("s").alias("total"))
+    rest = [*key, "stride", "av", "bv"]
     for a in "uv":
-        # every window start that may cover the point; rounding is settled by the exact test after
-        start = F.greatest(F.lit(0), F.ceil((F.col(a) - F.col(f"o{a}") - ruler) / step).cast("int") - 1)
-        end = F.least(F.col(f"n{a}") - 1, F.floor((F.col(a) - F.col(f"o{a}")) / step).cast("int") + 1)
-        first = F.ceil(start / F.col("stride")).cast("int") * F.col("stride")
-        joined = joined.withColumn(f"k{a}", F.explode(F.when(first <= end, F.sequence(first, end, F.col("stride"))).otherwise(F.array().cast("array<int>"))))
-        begin = F.col(f"o{a}") + F.col(f"k{a}") * step
-        joined = joined.where((F.col(a) >= begin) & (F.col(a) <= begin + ruler))
-    found = joined.groupBy(*key, "ku", "kv").agg(F.count("*").alias("points"), F.abs(F.avg("s")).alias("gap"))
-    return found.where(F.col("points") >= least)
+        first = (F.ceil(F.col(f"a{a}") / F.col("stride")) * F.col("stride")).cast("int")
+        range_ = F.when(first <= F.col(f"b{a}"), F.sequence(first, F.col(f"b{a}"), F.col("stride"))).otherwise(F.array().cast("array<int>"))
+        by = [*rest, "ku"] if a == "u" else [*key, "ku", "kv"]
+        summed = summed.withColumn(f"k{a}", F.explode(range_)).groupBy(*by).agg(*sums("points", "total"))
+    return summed.where(F.col("points") >= least).select(*key, "ku", "kv", "points", F.abs(F.col("total") / F.col("points")).alias("gap"))
 
 
 def interval_results(points: DataFrame, interval_planes: DataFrame, found: DataFrame, limit: float = LIMIT) -> DataFrame:
@@ -119,23 +145,26 @@ def weighted_overall(results: DataFrame, points: DataFrame) -> DataFrame:
 
 
 def point_levels(points: DataFrame, interval_planes: DataFrame, found: DataFrame, *, ruler: float = RULER, step: float = STEP, limit: float = LIMIT) -> DataFrame:
-    """Each point's worst window level, -1 where no window covers it.
+    """Each point's worst window level, -1 where no window covers it; both window bounds are closed.
 
-    Window levels are first reduced to step cells (a cell lies in a range of windows), so points meet one row, not their
-    windows. A window's cells are those whose span it covers in full.
+    The windows over a point are a range along u times one along v. Levels are reduced over each range along u that occurs, then over
+    each along v, so points meet one row, not their windows.
     """
     key = ["facade_id", "interval_id"]
-    u, v = g.uv(P, ("cx", "cy", "cz"), g.plane_axes(planes.PLANE[:3]))
-    flat = planes.with_plane(points, interval_planes, *key).select(*key, "point_id", u.alias("u"), v.alias("v"))
-    span = flat.groupBy(*key).agg(*[f(a).alias(f"{a}{n}") for a in "uv" for n, f in ((0, F.min), (1, F.max))])
-    cells = max(1, round(ruler / step))
-    covered = found.select(*key, level(F.col("gap"), limit).alias("level"), F.explode(F.sequence(F.col("ku"), F.col("ku") + cells - 1)).alias("cu"), "kv")
-    covered = covered.groupBy(*key, "cu", "kv").agg(F.max("level").alias("level"))
-    covered = covered.select(*key, "cu", "level", F.explode(F.sequence(F.col("kv"), F.col("kv") + cells - 1)).alias("cv")).groupBy(*key, "cu", "cv").agg(F.max("level").alias("level"))
-    placed = flat.join(span, key)
-    for a in "uv":
-        extent = F.col(f"{a}1") - F.col(f"{a}0")
-        origin = F.when(extent < ruler, (F.col(f"{a}0") + F.col(f"{a}1") - ruler) / 2).otherwise(F.col(f"{a}0"))
-        last = _steps(extent, ruler, step) + cells - 2
-        placed = placed.withColumn(f"c{a}", F.least(last, F.floor((F.col(a) - origin) / step).cast("int")))
-    return placed.join(covered, [*key, "cu", "cv"], "left").select(*key, "point_id", F.coalesce("level", F.lit(-1)).alias("level"))
+    flat, span = _spans(points, interval_planes, ruler, step)
+    covered = _covering(flat, span, ruler, step).select(*key, "point_id", "au", "bu", "av", "bv")
+    ranges = covered.groupBy(*key, "au", "bu", "av", "bv").agg(F.count("*").alias("_n")).drop("_n")
+    levels = found.select(*key, "ku", "kv", level(F.col("gap"), limit).alias("level"))
+    along = ranges.select(*key, "au", "bu").distinct().withColumn("ku", F.explode(F.sequence("au", "bu"))).join(levels, [*key, "ku"])
+    along = along.groupBy(*key, "au", "bu", "kv").agg(F.max("level").alias("level"))
+    worst = ranges.withColumn("kv", F.explode(F.sequence("av", "bv"))).join(along, [*key, "au", "bu", "kv"]).groupBy(*key, "au", "bu", "av", "bv").agg(F.max("level").alias("level"))
+    told = covered.join(worst, [*key, "au", "bu", "av", "bv"]).select(*key, "point_id", "level")
+    return points.select(*key, "point_id").join(told, [*key, "point_id"], "left").select(*key, "point_id", F.coalesce("level", F.lit(-1)).alias("level"))
+
+
+def empty_overall(spark: SparkSession, size: float = INTERVAL, ruler: float = RULER, limit: float = LIMIT, *, levels: bool = False) -> DataFrame:
+    """The record of a wall without points: no type, no gap, no intervals; with ``levels``, full compliance and no counted points."""
+    row = {"type": "unknown", "verticality": 0.0, "horizontality": 0.0, "gap": 0.0, "point_count": 0, "intervals": 0, "interval_size": size, "ruler_size": ruler, "limit": limit}
+    if levels:
+        row |= {"compliance": 1.0, "passed": 0, "warned": 0, "failed": 0, "unassessed": 0}
+    return spark.range(1).select(*[F.lit(v).alias(k) for k, v in row.items()])

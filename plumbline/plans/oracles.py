@@ -56,11 +56,11 @@ def fit(name: str, src: str, keys: str) -> str:
 DIST = "(a*x + b*y + c*z + d) / sqrt(a*a + b*b + c*c)"
 #: Axes and plane coordinates of rows with a, b, c, the centre and a point; to follow a SELECT list.
 UV = """abs(c) < 0.45::DOUBLE AS steep, sqrt(a*a + b*b) AS flat,
-  CASE WHEN abs(a) < 0.9::DOUBLE THEN 0.0::DOUBLE ELSE -c END AS lx, CASE WHEN abs(a) < 0.9::DOUBLE THEN c ELSE 0.0::DOUBLE END AS ly, CASE WHEN abs(a) < 0.9::DOUBLE THEN -b ELSE a END AS lz, sqrt(lx*lx + ly*ly + lz*lz) AS ln,
-  CASE WHEN steep THEN CASE WHEN flat < 1e-9 THEN 1 ELSE -b/flat END ELSE lx/ln END AS ux, CASE WHEN steep THEN CASE WHEN flat < 1e-9 THEN 0 ELSE a/flat END ELSE ly/ln END AS uy, CASE WHEN steep THEN 0 ELSE lz/ln END AS uz,
+  CASE WHEN abs(c) < 0.9::DOUBLE THEN b ELSE 0.0::DOUBLE END AS lx, CASE WHEN abs(c) < 0.9::DOUBLE THEN -a ELSE c END AS ly, CASE WHEN abs(c) < 0.9::DOUBLE THEN 0.0::DOUBLE ELSE -b END AS lz, sqrt(lx*lx + ly*ly + lz*lz) AS ln,
+  CASE WHEN steep THEN CASE WHEN flat < 1e-8 THEN 1 ELSE -b/flat END ELSE lx/ln END AS ux, CASE WHEN steep THEN CASE WHEN flat < 1e-8 THEN 0 ELSE a/flat END ELSE ly/ln END AS uy, CASE WHEN steep THEN 0 ELSE lz/ln END AS uz,
   CASE WHEN steep THEN 0 ELSE b*uz - c*uy END AS vx, CASE WHEN steep THEN 0 ELSE c*ux - a*uz END AS vy, CASE WHEN steep THEN 1 ELSE a*uy - b*ux END AS vz,
   (x-cx)*ux + (y-cy)*uy + (z-cz)*uz AS u, (x-cx)*vx + (y-cy)*vy + (z-cz)*vz AS v"""
-TYPE = "CASE WHEN abs(c) <= 0.25 THEN 'vertical' WHEN abs(c) >= 0.85 THEN 'horizontal' ELSE 'inclined' END"
+TYPE = "CASE WHEN abs(c) <= 0.25 THEN 'vertical_facade' WHEN abs(c) >= 0.85 THEN 'horizontal' ELSE 'inclined' END"
 VERT = "degrees(asin(least(abs(c), 1.0::DOUBLE)))"
 DEV = "CASE WHEN verticality >= 89.9 THEN 'inf'::DOUBLE ELSE 2 * tan(radians(verticality)) END"
 
@@ -155,14 +155,14 @@ SQL["grid_components"] = (
 SQL["dbscan_core_points"] = with_(PTS, near("nb", "pts", "pts", 0.2, "facade_id")) + "SELECT left_id AS point_id, count(*) AS neighbours FROM nb WHERE left_id <> right_id GROUP BY left_id HAVING count(*) >= 3"
 SQL["facade_ranking"] = (
     with_(PTS.replace("pts AS (", "pts0 AS (", 1), "pts AS (SELECT facade_id * 10 + l_linenumber AS facade, x, y, z FROM pts0)", fit("fx", "pts", "facade"), records("facade", "fx"))
-    + "SELECT CAST(facade AS BIGINT) AS facade, row_number() OVER (ORDER BY CASE WHEN type = 'vertical' THEN 0 ELSE 1 END, point_count DESC, facade) - 1 AS facade_id, type, point_count FROM recs"
+    + "SELECT CAST(facade AS BIGINT) AS facade, row_number() OVER (ORDER BY CASE WHEN type = 'vertical_facade' THEN 0 ELSE 1 END, point_count DESC, facade) - 1 AS facade_id, type, point_count FROM recs"
 )
 SQL["facade_labels"] = with_(PTS, FAC, "xyz AS (SELECT facade_id, point_id, x, y, z FROM pts)") + f"SELECT point_id, CASE WHEN abs({DIST}) <= 0.003::DOUBLE THEN CAST(facade_id AS BIGINT) ELSE -1 END AS facade_id FROM xyz JOIN fac USING (facade_id)"
 
 
-def quality(most: str | None, least: int = 5) -> tuple[str, ...]:
+def quality(most: str | None, least: int = 30) -> tuple[str, ...]:
     cap = f"CASE WHEN nu::DOUBLE * nv > {most} THEN CAST(ceil(sqrt(nu::DOUBLE * nv / {most})) AS BIGINT) ELSE 1 END" if most else "1"
-    n = lambda a: f"CASE WHEN {a}1 - {a}0 < 2 THEN 1 ELSE CAST(floor(({a}1 - {a}0 - 2) / 0.25::DOUBLE + 1e-9) AS BIGINT) + 1 END AS n{a}, CASE WHEN {a}1 - {a}0 < 2 THEN ({a}0 + {a}1 - 2) / 2 ELSE {a}0 END AS o{a}"
+    n = lambda a: f"CASE WHEN {a}1 - {a}0 < 2 THEN 1 ELSE CAST(floor(({a}1 - {a}0 - 2) / 0.05::DOUBLE + 1e-9) AS BIGINT) + 1 END AS n{a}, CASE WHEN {a}1 - {a}0 < 2 THEN ({a}0 + {a}1 - 2) / 2 ELSE {a}0 END AS o{a}"
     return (
         PTS,
         "xyz AS (SELECT facade_id, point_id, x, y, z FROM pts WHERE facade_id < 2)",
@@ -175,9 +175,9 @@ def quality(most: str | None, least: int = 5) -> tuple[str, ...]:
         f"fl AS (SELECT facade_id, interval_id, point_id, {DIST} AS s, {UV} FROM kept JOIN own USING (facade_id, interval_id))",
         f"sp AS (SELECT *, {n('u')}, {n('v')}, {cap} AS stride FROM (SELECT facade_id, interval_id, min(u) AS u0, max(u) AS u1, min(v) AS v0, max(v) AS v1 FROM fl GROUP BY facade_id, interval_id))",
         "ku AS (SELECT facade_id, interval_id, ou, nv, ov, stride, unnest(range(0, nu, stride)) AS ku FROM sp)",
-        "inu AS (SELECT fl.facade_id, fl.interval_id, point_id, s, v, ku, nv, ov, stride FROM fl JOIN ku ON fl.facade_id = ku.facade_id AND fl.interval_id = ku.interval_id AND u >= ou + ku * 0.25::DOUBLE AND u <= ou + ku * 0.25::DOUBLE + 2)",
+        "inu AS (SELECT fl.facade_id, fl.interval_id, point_id, s, v, ku, nv, ov, stride FROM fl JOIN ku ON fl.facade_id = ku.facade_id AND fl.interval_id = ku.interval_id AND u >= ou + ku * 0.05::DOUBLE AND u <= ou + ku * 0.05::DOUBLE + 2)",
         "kv AS (SELECT facade_id, interval_id, unnest(range(0, nv, stride)) AS kv FROM sp)",
-        f"win AS (SELECT inu.facade_id, inu.interval_id, ku, kv, count(*) AS points, abs(avg(s)) AS gap FROM inu JOIN kv ON inu.facade_id = kv.facade_id AND inu.interval_id = kv.interval_id AND v >= ov + kv * 0.25::DOUBLE AND v <= ov + kv * 0.25::DOUBLE + 2 GROUP BY inu.facade_id, inu.interval_id, ku, kv HAVING count(*) >= {least})",
+        f"win AS (SELECT inu.facade_id, inu.interval_id, ku, kv, count(*) AS points, abs(avg(s)) AS gap FROM inu JOIN kv ON inu.facade_id = kv.facade_id AND inu.interval_id = kv.interval_id AND v >= ov + kv * 0.05::DOUBLE AND v <= ov + kv * 0.05::DOUBLE + 2 GROUP BY inu.facade_id, inu.interval_id, ku, kv HAVING count(*) >= {least})",
     )
 
 
@@ -187,22 +187,23 @@ RES = f"""res AS (SELECT own.facade_id, own.interval_id, n AS point_count, coale
   LEFT JOIN (SELECT facade_id, interval_id, count(*) AS windows, max(gap) FILTER (gap > 0) AS wg FROM win GROUP BY facade_id, interval_id) USING (facade_id, interval_id))"""
 LEV = "lev AS (SELECT *, CASE WHEN gap <= 0.001::DOUBLE THEN 0 WHEN gap <= 0.002::DOUBLE THEN 1 ELSE 2 END AS level FROM win)"
 LRES = "lres AS (SELECT facade_id, interval_id, count(*) AS windows, count(*) FILTER (level = 0) AS passed, count(*) FILTER (level = 1) AS warned, count(*) FILTER (level = 2) AS failed, max(gap) AS gap, passed / windows AS compliance, compliance >= 0.95 AS compliant FROM lev GROUP BY facade_id, interval_id)"
-SQL["quality_windows"] = with_(*quality("400")) + f"SELECT {IDS}, ku, kv, points, {r('gap', 'gap')} FROM win"
-SQL["quality_intervals"] = with_(*quality("400"), RES) + f"SELECT {IDS}, point_count, windows, {rs('gap verticality deviation')}, compliant FROM res"
-SQL["quality_overall"] = with_(*quality("400"), RES) + f"SELECT CAST(facade_id AS BIGINT) AS facade_id, count(*) AS intervals, {r('max(gap)', 'gap')}, {r('max(verticality)', 'verticality')}, {r('max(deviation)', 'deviation')}, max(gap) <= 0.004 AS compliant, count(*) FILTER (compliant) AS compliant_intervals FROM res GROUP BY facade_id"
+SQL["quality_windows"] = with_(*quality("6000")) + f"SELECT {IDS}, ku, kv, points, {r('gap', 'gap')} FROM win"
+SQL["quality_intervals"] = with_(*quality("6000"), RES) + f"SELECT {IDS}, point_count, windows, {rs('gap verticality deviation')}, compliant FROM res"
+SQL["quality_overall"] = with_(*quality("6000"), RES) + f"SELECT CAST(facade_id AS BIGINT) AS facade_id, count(*) AS intervals, {r('max(gap)', 'gap')}, {r('max(verticality)', 'verticality')}, {r('max(deviation)', 'deviation')}, max(gap) <= 0.004 AS compliant, count(*) FILTER (compliant) AS compliant_intervals FROM res GROUP BY facade_id"
 SQL["quality_levels"] = with_(*quality(None), LEV, LRES) + f"SELECT {IDS}, windows, passed, warned, failed, {rs('gap compliance')}, compliant FROM lres"
 SQL["quality_weighted"] = with_(*quality(None), LEV, LRES) + f"SELECT CAST(facade_id AS BIGINT) AS facade_id, {r('sum(gap * n) / sum(n)', 'gap')}, {r('sum(compliance * n) / sum(n)', 'compliance')}, CAST(sum(n) AS BIGINT) AS points FROM lres JOIN own USING (facade_id, interval_id) GROUP BY facade_id"
 SQL["point_levels"] = (
     with_(
         *quality(None),
         LEV,
-        "cl AS (SELECT fl.facade_id, fl.interval_id, point_id, least(nu + 6, CAST(floor((u - ou) / 0.25::DOUBLE) AS BIGINT)) AS cu, least(nv + 6, CAST(floor((v - ov) / 0.25::DOUBLE) AS BIGINT)) AS cv FROM fl JOIN sp USING (facade_id, interval_id))",
-        "pl2 AS (SELECT cl.facade_id, cl.interval_id, point_id, coalesce(max(level), -1) AS level FROM cl LEFT JOIN lev ON cl.facade_id = lev.facade_id AND cl.interval_id = lev.interval_id AND cu BETWEEN ku AND ku + 7 AND cv BETWEEN kv AND kv + 7 GROUP BY cl.facade_id, cl.interval_id, point_id)",
+        # both window bounds are closed
+        "hit AS (SELECT inu.facade_id, inu.interval_id, point_id, max(level) AS level FROM inu JOIN lev ON inu.facade_id = lev.facade_id AND inu.interval_id = lev.interval_id AND inu.ku = lev.ku AND v >= ov + kv * 0.05::DOUBLE AND v <= ov + kv * 0.05::DOUBLE + 2 GROUP BY ALL)",
+        "pl2 AS (SELECT fl.facade_id, fl.interval_id, point_id, coalesce(level, -1) AS level FROM fl LEFT JOIN hit USING (facade_id, interval_id, point_id))",
     )
     + f"SELECT {IDS}, CAST(level AS BIGINT) AS level, count(*) AS points FROM pl2 GROUP BY facade_id, interval_id, level"
 )
 SQL["flatness_metrics"] = with_(PTS, XYZ, FITTED, f"sd AS (SELECT facade_id, l_linenumber, {DIST} AS s FROM xyz JOIN fitted USING (facade_id, l_linenumber))") + f"SELECT CAST(facade_id AS BIGINT) AS facade_id, CAST(l_linenumber AS BIGINT) AS l_linenumber, {r('max(s) - min(s)', 'gap')}, {r('stddev_pop(s)', 'std')}, {r('sqrt(avg(s*s))', 'rmse')} FROM sd GROUP BY facade_id, l_linenumber"
-SQL["segment_dimensions"] = with_(PTS, FAC, "xyz AS (SELECT facade_id, x, y, z FROM pts)", f"fl AS (SELECT facade_id, {TYPE} AS ptype, z, {UV} FROM xyz JOIN fac USING (facade_id))") + f"SELECT CAST(facade_id AS BIGINT) AS facade_id, type, {rs('width height')}, {r('width * height', 'area')} FROM (SELECT facade_id, any_value(ptype) AS type, max(u) - min(u) AS width, CASE WHEN any_value(ptype) = 'vertical' THEN max(z) - min(z) ELSE max(v) - min(v) END AS height FROM fl GROUP BY facade_id)"
+SQL["segment_dimensions"] = with_(PTS, FAC, "xyz AS (SELECT facade_id, x, y, z FROM pts)", f"fl AS (SELECT facade_id, {TYPE} AS ptype, z, {UV} FROM xyz JOIN fac USING (facade_id))") + f"SELECT CAST(facade_id AS BIGINT) AS facade_id, type, {rs('width height')}, {r('width * height', 'area')} FROM (SELECT facade_id, any_value(ptype) AS type, max(u) - min(u) AS width, CASE WHEN any_value(ptype) = 'vertical_facade' THEN max(z) - min(z) ELSE max(v) - min(v) END AS height FROM fl GROUP BY facade_id)"
 
 #: Pixels of the demo camera.
 CAM = "cam AS (SELECT *, x - 10 AS c1, 25 - z AS c2, y + 60 AS depth, c1 / depth AS xn, c2 / depth AS yn, xn*xn + yn*yn AS rr, 1 + rr * (-0.05::DOUBLE + rr * 0.01::DOUBLE) AS rad, 1000 * (xn*rad + 0.002::DOUBLE*xn*yn - 0.001::DOUBLE * (rr + 2*xn*xn)) + 960 AS px, 1000 * (yn*rad + 0.001::DOUBLE * (rr + 2*yn*yn) - 0.002::DOUBLE*xn*yn) + 540 AS py FROM pts)"
@@ -263,7 +264,7 @@ def _quad3_sql() -> str:
 
 
 SQL["points_in_3d_quad"] = _quad3_sql()
-C, N, H = ((0.1, 0.25, 0.9), (0.85, 0.85, 0.85), (0.9, 0.1, 0.1))
+C, N, H = ((0.03, 0.22, 1.0), (0.48, 0.48, 0.48), (1.0, 0.08, 0.02))
 SQL["heatmap_cells"] = (
     with_(
         PTS,
@@ -278,16 +279,17 @@ SQL["heatmap_cells"] = (
     + ", ".join(r(f"CASE WHEN t < 0 THEN {n}::DOUBLE + (-t) * ({c}::DOUBLE - {n}::DOUBLE) ELSE {n}::DOUBLE + t * ({h}::DOUBLE - {n}::DOUBLE) END", k) for c, n, h, k in zip(C, N, H, "rgb", strict=True))
     + " FROM he"
 )
-TYPES = {"vertical": (0.85, 0.25, 0.2), "horizontal": (0.2, 0.45, 0.85), "inclined": (0.9, 0.7, 0.2)}
+TYPES = {"vertical_facade": (0.95, 0.68, 0.18), "horizontal": (0.25, 0.65, 0.95), "inclined": (0.55, 0.45, 0.9)}
+DIM_TYPES = {"vertical_facade": (0.55, 0.38, 0.12), "horizontal": (0.12, 0.34, 0.5), "inclined": (0.28, 0.22, 0.45)}
 
 
-def by_type(expr: str, i: int, dim: float, other: str) -> str:
-    return f"CASE {expr} " + " ".join(f"WHEN '{k}' THEN {dim}::DOUBLE * {c[i]}::DOUBLE" for k, c in TYPES.items()) + f" ELSE {other} END"
+def by_type(expr: str, i: int, table: dict, other: str) -> str:
+    return f"CASE {expr} " + " ".join(f"WHEN '{k}' THEN {c[i]}::DOUBLE" for k, c in table.items()) + f" ELSE {other} END"
 
 
 ON_TYPE = "FROM pts JOIN (SELECT facade_id, type FROM fac) USING (facade_id)"
-SQL["highlight_colors"] = with_(PTS, FAC) + "SELECT point_id, " + ", ".join(r(f"CASE WHEN facade_id = 1 THEN {h}::DOUBLE ELSE {by_type('type', i, 0.45, f'0.22::DOUBLE * c{c}')} END", f"show_{c}") for i, (c, h) in enumerate(zip("rgb", (0.1, 0.95, 0.2), strict=True))) + f" {ON_TYPE}"
-SQL["label_colors"] = with_(PTS, FAC) + "SELECT point_id, " + ", ".join(r(by_type("CASE WHEN l_linenumber <= 5 THEN type END", i, 1.0, f"0.35::DOUBLE * c{c}"), f"show_{c}") for i, c in enumerate("rgb")) + f" {ON_TYPE}"
+SQL["highlight_colors"] = with_(PTS, FAC) + "SELECT point_id, " + ", ".join(r(f"CASE WHEN facade_id = 1 THEN {h}::DOUBLE ELSE {by_type('type', i, DIM_TYPES, f'0.22::DOUBLE * c{c}')} END", f"show_{c}") for i, (c, h) in enumerate(zip("rgb", (0.2, 0.8, 0.2), strict=True))) + f" {ON_TYPE}"
+SQL["label_colors"] = with_(PTS, FAC) + "SELECT point_id, " + ", ".join(r(by_type("CASE WHEN l_linenumber <= 5 THEN type END", i, TYPES, f"0.35::DOUBLE * c{c}"), f"show_{c}") for i, c in enumerate("rgb")) + f" {ON_TYPE}"
 SQL["uniform_colors"] = with_(PTS) + "SELECT CAST(facade_id AS BIGINT) AS facade_id, CAST(l_linenumber AS BIGINT) AS l_linenumber, greatest(max(cr) - min(cr), max(cg) - min(cg), max(cb) - min(cb)) <= 1e-4 AS uniform FROM pts GROUP BY facade_id, l_linenumber"
 
 
@@ -306,8 +308,8 @@ def _rigid_rows() -> str:
 SQL["rigid_align"] = _rigid_rows()
 SQL["apply_transform"] = with_(PTS) + "SELECT point_id, " + ", ".join(r(m, p, 7) for m, p in zip(_moved(), "xyz", strict=True)) + " FROM pts"
 SQL["merge_clouds"] = (
-    with_(PTS, "s AS (SELECT 'source' AS cloud, point_id, x, y, z, 0.9::DOUBLE AS cr, 0.2::DOUBLE AS cg, 0.2::DOUBLE AS cb FROM pts WHERE l_linenumber % 2 = 1)", "t0 AS (SELECT * FROM pts WHERE l_linenumber % 2 = 0)", "un AS (SELECT coalesce(greatest(max(cr) - min(cr), max(cg) - min(cg), max(cb) - min(cb)), 0) <= 1e-4 AS uni FROM t0)")
-    + f"SELECT cloud, point_id, {', '.join(r(p, p, 7) for p in 'xyz')}, {r('cr', 'r', 7)}, {r('cg', 'g', 7)}, {r('cb', 'b', 7)} FROM (SELECT * FROM s UNION ALL SELECT 'target', point_id, x, y, z, CASE WHEN uni THEN 0.2::DOUBLE ELSE cr END, CASE WHEN uni THEN 0.3::DOUBLE ELSE cg END, CASE WHEN uni THEN 0.9::DOUBLE ELSE cb END FROM t0, un)"
+    with_(PTS, "s AS (SELECT 'source' AS cloud, point_id, x, y, z, 1.0::DOUBLE AS cr, 0.4::DOUBLE AS cg, 0.4::DOUBLE AS cb FROM pts WHERE l_linenumber % 2 = 1)", "t0 AS (SELECT * FROM pts WHERE l_linenumber % 2 = 0)", "un AS (SELECT coalesce(greatest(max(cr) - min(cr), max(cg) - min(cg), max(cb) - min(cb)), 0) <= 1e-4 AS uni FROM t0)")
+    + f"SELECT cloud, point_id, {', '.join(r(p, p, 7) for p in 'xyz')}, {r('cr', 'r', 7)}, {r('cg', 'g', 7)}, {r('cb', 'b', 7)} FROM (SELECT * FROM s UNION ALL SELECT 'target', point_id, x, y, z, CASE WHEN uni THEN 0.4::DOUBLE ELSE cr END, CASE WHEN uni THEN 0.4::DOUBLE ELSE cg END, CASE WHEN uni THEN 1.0::DOUBLE ELSE cb END FROM t0, un)"
 )
 FILES = "f AS (SELECT o_orderkey AS id, o_custkey % 20 AS project_id, CASE WHEN o_orderkey % 11 <> 0 THEN o_custkey END AS scene_id, lower(o_orderstatus) AS kind, CASE o_orderkey % 3 WHEN 0 THEN 'CACHE' WHEN 1 THEN 'PERSIST' ELSE 'TEMP' END AS policy, '/data/' || o_orderkey || '.ply' AS path, o_orderkey % 13 = 0 AS is_deleted FROM orders)"
 SQL["catalog_gc"] = with_(FILES) + "SELECT f.id, CASE WHEN f.id % 7 = 0 THEN 'missing' WHEN policy = 'CACHE' AND scene_id IS NOT NULL AND NOT coalesce(c_acctbal > 0, false) THEN 'remove' ELSE 'keep' END AS action FROM f LEFT JOIN customer ON c_custkey = scene_id WHERE NOT is_deleted AND policy IN ('CACHE', 'PERSIST')"
@@ -316,11 +318,14 @@ SQL["catalog_listing"] = "SELECT c_custkey AS id, c_name AS name FROM customer W
 SQL["catalog_upsert"] = "SELECT c_name AS project_uuid, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment ELSE 'old' END AS name, CASE WHEN c_custkey % 3 = 0 THEN '/new' ELSE '/old' END AS root_dir FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0"
 SQL["catalog_activate"] = "SELECT c_custkey AS id, CASE WHEN c_nationkey = 7 AND c_custkey = 30 THEN 'ACTIVE' WHEN c_nationkey = 7 THEN 'INACTIVE' ELSE 'X' END AS status, CASE WHEN c_nationkey = 7 THEN c_custkey = 30 ELSE c_acctbal > 0 END AS is_active FROM customer"
 SQL["catalog_soft_delete"] = with_(FILES) + "SELECT project_id, count(*) FILTER (is_deleted OR id % 10 = 0) AS deleted, count(*) AS files FROM f GROUP BY project_id"
-NUM = lambda e: f"regexp_replace(format('{{:.6f}}', {e}), '\\.?0+$', '')"
 STEM = lambda e: f"regexp_replace(regexp_replace({e}, '[^\\w.\\-]+', '_', 'g'), '(.)\\.[^.]*$', '\\1')"
-TAG = f"replace({NUM('p_size / 100.0::DOUBLE')}, '.', 'p')"
+TAG = "replace(format('{:.6g}', p_size / 100.0::DOUBLE), '.', 'p')"
 NAME = "p_name || ' scan.v1.ply'"
-SQL["result_ids"] = f"SELECT p_partkey, {STEM(NAME)} || '__' || {STEM("p_brand || '.ply'")} || '__v' || {TAG} AS registration, substr({STEM(NAME)}, 1, 40) || '_' || substr(sha1({NAME} || '|' || p_partkey || '|' || {NUM('p_size / 100.0::DOUBLE')} || '|' || {NUM('p_size::DOUBLE')}), 1, 12) AS detection, {STEM(NAME)} || '_' || p_partkey || '_v' || {TAG} AS cache FROM part"
+SQL["result_ids"] = (
+    f"SELECT p_partkey, {STEM(NAME)} || '__' || {STEM("p_brand || '.ply'")} || '_v' || {TAG} AS registration, "
+    f"'facade_' || substr(regexp_replace({NAME}, '[^\\p{{L}}\\p{{N}}_\\-]', '_', 'g'), 1, 40) || '_' || substr(sha1({NAME} || '|' || p_partkey || '|' || format('{{:.4f}}', p_size / 100.0::DOUBLE) || '|' || format('{{:.2f}}', p_size::DOUBLE)), 1, 12) AS detection, "
+    f"{STEM(NAME)} || '_s' || p_partkey || '_v' || {TAG} || '.ply' AS cache FROM part"
+)
 SQL["file_kinds"] = "SELECT p_partkey, ['point_cloud', 'point_cloud', 'image', 'pdf', 'other', 'point_cloud'][p_partkey % 6 + 1] AS kind, regexp_replace(p_name || '.' || ['ply', 'PCD', 'jpg', 'pdf', 'docx', 'xyz'][p_partkey % 6 + 1], '[^\\w.\\-]+', '_', 'g') AS name FROM part"
 SQL["conversion_jobs"] = "SELECT path, stem || CASE WHEN n > 1 THEN '_' || n ELSE '' END || '.ply' AS output FROM (SELECT *, row_number() OVER (PARTITION BY lower(stem) ORDER BY path) AS n FROM (SELECT '/scans/' || p_partkey || '/' || nm || '.fls' AS path, regexp_replace(nm, '[^\\w.\\-]+', '_', 'g') AS stem FROM (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN upper(p_brand) ELSE lower(p_brand) END AS nm FROM part)))"
 SQL["project_index"] = "SELECT o_custkey % 50 AS project, count(*) AS scan_count, CAST(sum(o_orderkey) AS BIGINT) AS total_points FROM orders GROUP BY 1"

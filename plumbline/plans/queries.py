@@ -23,7 +23,7 @@ R = g.rounded
 TURN = math.radians(10)
 MOVE = [[math.cos(TURN), -math.sin(TURN), 0.0, 0.5], [math.sin(TURN), math.cos(TURN), 0.0, -0.25], [0.0, 0.0, 1.0, 0.1]]
 #: The demo scan is sparse at small scales: windows of the demo need fewer points than a real scan's.
-LEAST = 5
+LEAST = q.LEAST
 
 
 def round_all(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -217,12 +217,12 @@ def facade_labels(spark, d):
     return detect.dense_labels(p.select("point_id"), near)
 
 
-def _quality(spark, d, most=400):
-    """Intervals of 20 m; windows of 2 m in steps of 0.25 m."""
+def _quality(spark, d, most=q.MOST_WINDOWS):
+    """Intervals of 20 m; windows of 2 m in steps of 0.05 m."""
     p = scene.points(spark, d).select("facade_id", "point_id", *P)
     walls = planes.fit(p, "facade_id").where("facade_id < 2")
     kept, own = map(stored, q.intervals(p, walls, 20.0, LEAST))
-    return kept, own, q.windows(kept, own, step=0.25, least=LEAST, most=most)
+    return kept, own, q.windows(kept, own, least=LEAST, most=most)
 
 
 @query
@@ -254,7 +254,7 @@ def quality_weighted(spark, d):
 @query
 def point_levels(spark, d):
     kept, own, found = _quality(spark, d, None)
-    return q.point_levels(kept, own, found, step=0.25, limit=0.001).groupBy("facade_id", "interval_id", "level").agg(F.count("*").alias("points"))
+    return q.point_levels(kept, own, found, limit=0.001).groupBy("facade_id", "interval_id", "level").agg(F.count("*").alias("points"))
 
 
 @query

@@ -16,8 +16,8 @@ from plumbline.functions import geometry as g
 S = math.sqrt(0.5)
 #: facade_id, plane, centre, area, type
 FACADES = [
-    (0, 0.0, 1.0, 0.0, 0.0, 12.5, 0.0, 25.0, 1200.0, "vertical"),
-    (1, 1.0, 0.0, 0.0, -30.0, 30.0, 12.5, 25.0, 1250.0, "vertical"),
+    (0, 0.0, 1.0, 0.0, 0.0, 12.5, 0.0, 25.0, 1200.0, "vertical_facade"),
+    (1, 1.0, 0.0, 0.0, -30.0, 30.0, 12.5, 25.0, 1250.0, "vertical_facade"),
     (2, 0.0, 0.0, 1.0, 0.0, 12.5, 7.5, 0.0, 375.0, "horizontal"),
     (3, 0.0, S, -S, 0.0, 12.5, 12.5, 12.5, 880.0, "inclined"),
 ]

@@ -133,7 +133,7 @@ def test_corner_has_two_facades(spark):
             rows += [(len(rows), i * 0.25, 0.0, k * 0.25, 0.0, 1.0, 0.0), (len(rows) + 1, 0.0, 0.3 + i * 0.25, k * 0.25, 1.0, 0.0, 0.0)]
     cloud = spark.createDataFrame(rows, "point_id long, x double, y double, z double, nx double, ny double, nz double")
     found, members = detect.detect(cloud, detect.Detection(voxel=0.05, uv_grid=0.4, trials=30, rounds=4))
-    assert sorted(r.facade_id for r in found.collect()) == [0, 1] and {r.type for r in found.collect()} == {"vertical"}
+    assert sorted(r.facade_id for r in found.collect()) == [0, 1] and {r.type for r in found.collect()} == {"vertical_facade"}
     assert members.count() == members.select("point_id").distinct().count() >= 0.95 * len(rows)
     assert detect.dense_labels(cloud, members).count() == len(rows)
 

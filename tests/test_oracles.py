@@ -1,6 +1,7 @@
 """Every query with SQL equals DuckDB's answer on the smallest tables."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from plumbline.plans import oracles, queries
@@ -20,7 +21,7 @@ def duck():
 
 def rows(frame, columns):
     frame = frame[columns]
-    return sorted(str(tuple(None if v != v or v is None else float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else v for v in r)) for r in frame.astype(object).itertuples(index=False, name=None))
+    return sorted(str(tuple(None if pd.isna(v) else float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else v for v in r)) for r in frame.astype(object).itertuples(index=False, name=None))
 
 
 @pytest.mark.parametrize("name", sorted(oracles.SQL))
