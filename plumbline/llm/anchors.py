@@ -28,7 +28,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -50,8 +50,7 @@ def digest(*parts: bytes) -> bytes:
 
 def named(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(k, d, t): key, digest of the text and text of every row."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    return docs.select(F.col(key).alias("k"), F.substring(F.unhex(F.sha2(t.cast("binary"), 256)), 1, 16).alias("d"), t.alias("t"))
+    return docs.select(F.col(key).alias("k"), common.text_digest(F.col(text)).alias("d"), F.coalesce(F.col(text), F.lit("")).alias("t"))
 
 
 @dataclass
@@ -212,6 +211,12 @@ class Search:
     window: int
     gram: int
     name: str
+    temporaries: list[DataFrame] = field(default_factory=list)
+
+    def _written(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` written for as long as the search lasts."""
+        self.temporaries.append(common.materialize(df, f"{self.name}-{name}"))
+        return self.temporaries[-1]
 
     @property
     def _key(self) -> str:
@@ -233,12 +238,12 @@ class Search:
             yield pa.RecordBatch.from_arrays(columns, ["gram", "b0", "b1", "k", "d", "start", "windows", "places", "at"])
 
         schema = f"gram long, b0 long, b1 long, k {self._key}, d binary, start long, windows long, places long, at long"
-        return common.materialize(blocks(self.docs, self.make, schema, passing), f"{self.name}-runs")
+        return self._written(blocks(self.docs, self.make, schema, passing), "runs")
 
     def bodies(self, candidates: DataFrame) -> DataFrame:
         """(gram, b0, b1, first (k, d, start, at), windows, places, copies): distinct bodies with their first occurrence."""
         first = F.min(F.struct(*PLACE, "at")).alias("first")
-        return common.materialize(candidates.groupBy("gram", "b0", "b1").agg(first, F.max("windows").alias("windows"), F.max("places").alias("places"), F.count("*").alias("copies")), f"{self.name}-bodies")
+        return self._written(candidates.groupBy("gram", "b0", "b1").agg(first, F.max("windows").alias("windows"), F.max("places").alias("places"), F.count("*").alias("copies")), "bodies")
 
     def shared(self, bodies: DataFrame) -> DataFrame:
         """``bodies`` whose gram has others too or stands twice inside, with the symbols of all of them as ``load``.
@@ -246,8 +251,8 @@ class Search:
         The loads are written first, so that the join's two sides are plain shuffles and a hot gram's can be split.
         """
         grams = bodies.groupBy("gram").agg(F.count("*").alias("_n"), F.max("places").alias("_p"), F.sum(F.col("windows") + self.window - 1).alias("load"))
-        loads = common.materialize(grams.where("_n > 1 OR _p > 1").select("gram", "load"), f"{self.name}-loads")
-        return common.materialize(bodies.join(loads, "gram"), f"{self.name}-shared")
+        loads = self._written(grams.where("_n > 1 OR _p > 1").select("gram", "load"), "loads")
+        return self._written(bodies.join(loads, "gram"), "shared")
 
     def fragments(self, shared: DataFrame) -> DataFrame:
         """``shared`` with each body's symbols, taken from its first occurrence."""
@@ -291,7 +296,7 @@ class Search:
         """
         found = self.candidates()
         bodies = self.bodies(found)
-        fragments = common.materialize(self.fragments(self.shared(bodies)), f"{self.name}-fragments")
+        fragments = self._written(self.fragments(self.shared(bodies)), "fragments")
         cool, hot = fragments.where(F.col("load") <= SHARD), fragments.where(F.col("load") > SHARD)
         size = fragments.agg(F.coalesce(F.sum(F.col("windows") + self.window - 1), F.lit(0))).first()[0]
         shards = max(common.narrow_partitions(self.docs.sparkSession, self.docs), -(-size // SHARD))
@@ -308,8 +313,8 @@ class Search:
                 )
 
         masks = cool.repartition(shards, "gram").mapInArrow(judged, schema)
-        windows = common.materialize(self.split(hot), f"{self.name}-windows")
-        firsts = common.materialize(windows.groupBy("w0", "w1").agg(F.min("place").alias("earliest"), F.count("*").alias("n")).where("n > 1").drop("n"), f"{self.name}-firsts")
+        windows = self._written(self.split(hot), "windows")
+        firsts = self._written(windows.groupBy("w0", "w1").agg(F.min("place").alias("earliest"), F.count("*").alias("n")).where("n > 1").drop("n"), "firsts")
         hits = windows.join(firsts, ["w0", "w1"]).where("earliest < place")
 
         def packed(key, table):
@@ -317,15 +322,18 @@ class Search:
             bits[table.column("part").to_numpy()] = True
             return pa.table({n: pa.array([k.as_py()], pa.int64()) for n, k in zip(("gram", "b0", "b1"), key, strict=True)} | {"mask": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
 
-        masks = common.materialize(masks.unionByName(hits.select("gram", "b0", "b1", "part").groupBy("gram", "b0", "b1").applyInArrow(packed, schema)), f"{self.name}-masks")
+        masks = self._written(masks.unionByName(hits.select("gram", "b0", "b1", "part").groupBy("gram", "b0", "b1").applyInArrow(packed, schema)), "masks")
         return found, bodies.join(masks, ["gram", "b0", "b1"], "left").where("copies > 1 OR mask IS NOT NULL").select("gram", "b0", "b1", "first", "copies", "mask")
 
 
-def marks(found: DataFrame, verdicts: DataFrame, rule: Column) -> DataFrame:
-    """(k, d, marks): each document's runs with hits as (start, windows, mask); ``rule`` is the mask that applies to a
+def marks(search: Search, found: DataFrame, verdicts: DataFrame, rule: Column) -> DataFrame:
+    """(k, d, marks), written, which ends the search: each document's runs with hits as (start, windows, mask); ``rule`` is the mask that applies to a
     run, an expression over the run's and its verdict's columns; an empty one stands for all windows."""
-    joined = found.join(common.materialize(verdicts, "verdicts"), ["gram", "b0", "b1"]).withColumn("hit", rule).where("hit IS NOT NULL")
-    return joined.groupBy("k", "d").agg(F.collect_set(F.struct("start", "windows", F.col("hit").alias("mask"))).alias("marks"))
+    joined = found.join(search._written(verdicts, "verdicts"), ["gram", "b0", "b1"]).withColumn("hit", rule).where("hit IS NOT NULL")
+    # written before its join, so that the join's two sides are plain shuffles and a text with many copies can be split
+    out = common.materialize(joined.groupBy("k", "d").agg(F.collect_set(F.struct("start", "windows", F.col("hit").alias("mask"))).alias("marks")), f"{search.name}-marks")
+    common.release(*search.temporaries)
+    return out
 
 
 def hit_windows(rows: list[dict] | None) -> np.ndarray:
@@ -343,8 +351,6 @@ def hit_windows(rows: list[dict] | None) -> np.ndarray:
 def apply(docs: DataFrame, marked: DataFrame, same: str, schema: str, work: Callable[[bytes, list[dict] | None], tuple], types: list[pa.DataType]) -> DataFrame:
     """``work(text, marks)``, of the types given, for every document of ``docs``; ``same`` joins them (as d) to ``marked`` (as m)."""
     names = [x.split(":")[0].split()[0] for x in schema.split(", ")]
-    # written first, so that the join's two sides are plain shuffles and a text with many copies can be split
-    marked = common.materialize(marked, "marks")
     joined = docs.alias("d").join(marked.alias("m"), F.expr(same), "left").select("d.k", "d.t", "m.marks")
 
     def run(batches):

@@ -47,11 +47,32 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read back: cuts the lineage, survives lost executors."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._plumbline_path = path
+    return out
+
 
+def release(*frames: DataFrame) -> None:
+    """Deletes tables of ``materialize`` that nothing reads any more, as all that came from them is written."""
+    for f in frames:
+        sc = f.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(f._plumbline_path)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
-#: The row number that ``numbered`` adds.
+
+#: The row number that ``numbered`` adds, and the text digest that ``with_digest`` adds.
 ROW = "_plumb_row"
+DIGEST = "_plumb_digest"
+
+
+def text_digest(text: Column) -> Column:
+    """128 bits of the text's SHA-256; null counts as empty."""
+    return F.substring(F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)), 1, 16)
+
+
+def with_digest(docs: DataFrame) -> DataFrame:
+    """``docs`` with a digest of each text, which tells rows apart that lack or share a doc_id."""
+    return docs.withColumn(DIGEST, text_digest(F.col("text")))
 
 
 def numbered(docs: DataFrame) -> DataFrame:

@@ -234,7 +234,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc
 
     Returns key, n_words, n_hit, spans (runs of hit words) and items (ids as strings, sorted).
     """
-    found = index(docs, key=key, text=text)
+    return search(index(docs, key=key, text=text), benchmark, key=key, item=item, item_text=item_text, window=window)
+
+
+def search(found: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", item: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
+    """``find_contamination`` over a stored index."""
     slices = [_hits(found, part, window) for part in benchmark_slices(benchmark, item, item_text)]
     if len(slices) == 1:
         return slices[0].drop("block", "at").withColumnRenamed("k", key)
@@ -287,10 +291,13 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops contaminated documents; the others stay as they are. Every row is judged by its own text."""
-    rows = common.numbered(docs)
-    found = find_contamination(rows.select(common.ROW, "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key=common.ROW)
-    bad = found.where((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).select(common.ROW)
-    return rows.join(bad, common.ROW, "left_anti").select(*map(common.quoted, docs.columns))
+    rows = common.with_digest(docs)
+    postings_of = index(rows.select(common.DIGEST, "text"), key=common.DIGEST)
+    found = search(postings_of, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key=common.DIGEST)
+    bad = found.where((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).select(common.DIGEST).distinct()
+    bad = common.materialize(bad, "contaminated")
+    common.release(postings_of)
+    return rows.join(bad, common.DIGEST, "left_anti").select(*map(common.quoted, docs.columns))
 
 
 #: DuckDB SQL for op7_decontaminate.

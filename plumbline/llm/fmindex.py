@@ -9,7 +9,7 @@ After a match the interval is widened to its parent one word shorter, so no sear
 
 Edge cases: null, empty and short texts lose nothing; a null doc_id comes before all others; rows that repeat a doc_id
 with other texts are documents in the order of a digest of their texts, and rows that repeat doc_id and text count as one
-(none is earlier than the other; in ``stage`` the earlier row is); an empty table gives no rows; other columns are ignored,
+(none is earlier than the other); an empty table gives no rows; other columns are ignored,
 whatever their names.
 """
 
@@ -163,7 +163,7 @@ def marked_windows(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     search = anchors.Search(rows, anchors.word_block, window, gram, "words")
     found, verdicts = search.verdicts(lambda shard: earlier_windows(shard, window))
     own = F.col("k").eqNullSafe(F.col("first.k")) & (F.col("d") == F.col("first.d")) & (F.col("start") == F.col("first.start"))
-    return rows, anchors.marks(found, verdicts, F.when(own, F.col("mask")).otherwise(F.lit(b""))), "d.d = m.d AND d.k <=> m.k"
+    return rows, anchors.marks(search, found, verdicts, F.when(own, F.col("mask")).otherwise(F.lit(b""))), "d.d = m.d AND d.k <=> m.k"
 
 
 def _removal(text: bytes, marks: list[dict] | None, window: int) -> tuple[list[bytes], np.ndarray]:
@@ -195,11 +195,11 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without their repeated passages; a text of which nothing is left goes, one that lost nothing stays as it is."""
-    rows = common.numbered(docs)
-    # the order of documents, then the row: rows that share a doc_id have a key each
-    key = F.struct(F.col("doc_id").alias("k"), F.col(common.ROW).alias("r"))
-    cut = dedup(rows.select(key.alias("key"), "text"), key="key").where("n_removed > 0").select(F.col("key.r").alias(common.ROW), F.col("text").alias("_plumb_cut"))
-    joined = rows.join(cut, common.ROW, "left").where("_plumb_cut IS NULL OR _plumb_cut != ''")
+    rows = common.with_digest(docs)
+    names = F.struct(F.col("doc_id").alias("k"), F.col(common.DIGEST).alias("d"))
+    cut = dedup(rows.select(names.alias("key"), "text"), key="key").where("n_removed > 0").select(F.col("key.k").alias("_plumb_k"), F.col("key.d").alias("_plumb_d"), F.col("text").alias("_plumb_cut")).dropDuplicates(["_plumb_k", "_plumb_d"])
+    same = F.col("doc_id").eqNullSafe(F.col("_plumb_k")) & (F.col(common.DIGEST) == F.col("_plumb_d"))
+    joined = rows.join(cut, same, "left").where("_plumb_cut IS NULL OR _plumb_cut != ''")
     lost = F.col("_plumb_cut").isNotNull()
     size = F.when(lost, F.char_length("_plumb_cut").cast("long")).otherwise(F.col("n_chars"))
     return joined.withColumns({"text": F.coalesce("_plumb_cut", "text"), "n_chars": size}).select(*map(common.quoted, docs.columns))

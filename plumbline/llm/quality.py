@@ -225,11 +225,12 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the learned list keep; every row is judged by its own text."""
-    rows = common.numbered(docs)
-    stats = statistics(rows.select(F.struct("doc_id", common.ROW).alias("key"), "text"), key="key")
+    rows = common.with_digest(docs)
+    stats = statistics(rows.select(F.struct("doc_id", common.DIGEST).alias("key"), "text"), key="key")
     stats = common.materialize(stats.select("key.*", *[c for c in stats.columns if c != "key"]), "quality")
     judged = judge_statistics(stats, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return rows.join(judged.where("not kept").select(common.ROW), common.ROW, "left_anti").select(*map(common.quoted, docs.columns))
+    bad = judged.where("not kept").select(common.DIGEST).distinct()
+    return rows.join(bad, common.DIGEST, "left_anti").select(*map(common.quoted, docs.columns))
 
 
 QUERIES = {"op2_quality_rules": op2_quality_rules}

@@ -133,11 +133,13 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near-duplicates the document with the least doc_id (null last; of equal ones the first row)."""
-    rows = common.numbered(docs)
-    key = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("k"), F.col(common.ROW).alias("r"))
-    extra = near_groups(rows.select(key.alias("key"), "text"), key="key").where("key != component").select(F.col("key.r").alias(common.ROW))
-    return rows.join(extra, common.ROW, "left_anti").select(*map(common.quoted, docs.columns))
+    """Keeps of each group of near-duplicates the document with the least doc_id (null last; of equal ones the least digest of
+    its text). Rows that repeat doc_id and text count as one document."""
+    rows = common.with_digest(docs)
+    key = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("k"), F.col(common.DIGEST).alias("d"))
+    extra = near_groups(rows.select(key.alias("key"), "text"), key="key").where("key != component").select(F.col("key.k").alias("_plumb_k"), F.col("key.d").alias("_plumb_d")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_plumb_k")) & (F.col(common.DIGEST) == F.col("_plumb_d"))
+    return rows.join(extra, same, "left_anti").select(*map(common.quoted, docs.columns))
 
 
 QUERIES = {"op4_simhash": op4_simhash}

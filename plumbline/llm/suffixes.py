@@ -111,12 +111,16 @@ def judged(rows: DataFrame, copies, name: str) -> DataFrame:
     return bodies.join(ranks, "rank", "left").where("n > 1 OR go").select("body", "least", "n", F.coalesce("go", F.lit(False)).alias("go"))
 
 
-def repeated_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, fan: int = FAN) -> tuple[DataFrame, DataFrame]:
-    """(first ranges, hits): hits has (body, lo, hi), the positions of a first range's body whose windows stand elsewhere too."""
+def repeated_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, fan: int = FAN, *, written: list[DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(first ranges, hits): hits has (body, lo, hi), the positions of a first range's body whose windows stand elsewhere too.
+
+    ``written`` gets the tables that both depend on."""
     top = first_ranges(docs, window, gram)
     told = common.materialize(judged(top, F.sum(F.size("at")), "bytes-0"), "bytes-0-judged")
     whole = told.where("n > 1").select("body", F.lit(0).alias("lo"), F.lit(window - gram).alias("hi"))
     ranges = _open(top, told.where("go").select("body", F.col("least").alias("first"), (F.col("n") > 1).alias("known")))
+    written = [] if written is None else written
+    written += [top, told]
     step, turn, hits = window - gram + 1, 0, None
     while step > 1:
         step, turn = -(-step // fan), turn + 1
@@ -125,6 +129,7 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, fan
         known = F.col("n") > 1
         found = rows.select("first", "body", "lo", "hi").join(verdicts, "body").select("first", "body", "lo", "hi", known.alias("known"), (F.col("go") & (F.col("first") == F.col("least"))).alias("on"))
         found = common.materialize(found.where("known OR on"), f"bytes-{turn}-judged")
+        written += [rows, found]
         part = found.where("known").select("first", "lo", "hi")
         hits = part if hits is None else hits.unionByName(part)
         ranges = _open(rows, found.where("on").select("first", "body", "known"))
@@ -141,10 +146,14 @@ def _open(rows: DataFrame, chosen: DataFrame) -> DataFrame:
 def marked_ranges(docs: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, DataFrame, str]:
     """(documents as k, d and t, marks, how they join)."""
     rows = anchors.named(docs, key, text)
-    top, hits = repeated_ranges(rows, window, gram)
+    written: list[DataFrame] = []
+    top, hits = repeated_ranges(rows, window, gram, written=written)
     spans = common.materialize(hits.groupBy("body").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "bytes-hits")
     places = top.select("d", "body", "at", "lo", "hi").join(spans, "body")
-    return rows, places.groupBy("d").agg(F.collect_set(F.struct("at", "lo", "hi", "spans")).alias("marks")), "d.d = m.d"
+    # written before its join, so that the join's two sides are plain shuffles and a text with many copies can be split
+    marked = common.materialize(places.groupBy("d").agg(F.collect_set(F.struct("at", "lo", "hi", "spans")).alias("marks")), "bytes-marks")
+    common.release(spans, *written)
+    return rows, marked, "d.d = m.d"
 
 
 def removed_spans(marks: list[dict] | None, window: int) -> tuple[np.ndarray, np.ndarray]:
