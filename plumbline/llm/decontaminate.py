@@ -297,7 +297,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     bad = found.where((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).select(common.DIGEST).distinct()
     bad = common.materialize(bad, "contaminated")
     common.release(postings_of)
-    return rows.join(bad, common.DIGEST, "left_anti").select(*map(common.quoted, docs.columns))
+    return rows.join(bad.hint("merge"), common.DIGEST, "left_anti").select(*map(common.quoted, docs.columns))
 
 
 #: DuckDB SQL for op7_decontaminate.

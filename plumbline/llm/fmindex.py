@@ -199,7 +199,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     names = F.struct(F.col("doc_id").alias("k"), F.col(common.DIGEST).alias("d"))
     cut = dedup(rows.select(names.alias("key"), "text"), key="key").where("n_removed > 0").select(F.col("key.k").alias("_plumb_k"), F.col("key.d").alias("_plumb_d"), F.col("text").alias("_plumb_cut")).dropDuplicates(["_plumb_k", "_plumb_d"])
     same = F.col("doc_id").eqNullSafe(F.col("_plumb_k")) & (F.col(common.DIGEST) == F.col("_plumb_d"))
-    joined = rows.join(cut, same, "left").where("_plumb_cut IS NULL OR _plumb_cut != ''")
+    joined = rows.join(cut.hint("merge"), same, "left").where("_plumb_cut IS NULL OR _plumb_cut != ''")
     lost = F.col("_plumb_cut").isNotNull()
     size = F.when(lost, F.char_length("_plumb_cut").cast("long")).otherwise(F.col("n_chars"))
     return joined.withColumns({"text": F.coalesce("_plumb_cut", "text"), "n_chars": size}).select(*map(common.quoted, docs.columns))

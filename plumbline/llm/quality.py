@@ -230,7 +230,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     stats = common.materialize(stats.select("key.*", *[c for c in stats.columns if c != "key"]), "quality")
     judged = judge_statistics(stats, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     bad = judged.where("not kept").select(common.DIGEST).distinct()
-    return rows.join(bad, common.DIGEST, "left_anti").select(*map(common.quoted, docs.columns))
+    return rows.join(bad.hint("merge"), common.DIGEST, "left_anti").select(*map(common.quoted, docs.columns))
 
 
 QUERIES = {"op2_quality_rules": op2_quality_rules}

@@ -139,7 +139,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     key = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("k"), F.col(common.DIGEST).alias("d"))
     extra = near_groups(rows.select(key.alias("key"), "text"), key="key").where("key != component").select(F.col("key.k").alias("_plumb_k"), F.col("key.d").alias("_plumb_d")).distinct()
     same = F.col("doc_id").eqNullSafe(F.col("_plumb_k")) & (F.col(common.DIGEST) == F.col("_plumb_d"))
-    return rows.join(extra, same, "left_anti").select(*map(common.quoted, docs.columns))
+    return rows.join(extra.hint("merge"), same, "left_anti").select(*map(common.quoted, docs.columns))
 
 
 QUERIES = {"op4_simhash": op4_simhash}
