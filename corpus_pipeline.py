@@ -4,8 +4,8 @@ Each stage takes the documents its predecessor kept and returns the columns of `
 the mix: the documents words are taken from, with their source's target, the words taken and the
 slots they go to. A stage's result is written as Parquet and read back for the next.
 
-``doc_id`` names a document. Rows that repeat one are judged as one document; a row without doc_id cannot be named
-by a verdict, so filtering stages keep it.
+Every row is judged by its own text, also if its doc_id is missing or repeats. Rows that repeat both doc_id and text count as one
+document. Columns beyond those of ``documents`` are passed on, whatever their names.
 """
 
 from __future__ import annotations
