@@ -98,7 +98,7 @@ def crowded_links(prints: DataFrame) -> DataFrame:
     shared = _whole_entries(prints).groupBy("entry").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a != z")
     # an entry's members are the known fingerprints within one bit of it, at most 65
     fetched = _whole_entries(shared.select(F.col("entry").alias("fp"))).toDF("b", "entry")
-    return fetched.join(shared.select("entry", "a"), "entry").join(prints.select(F.col("fp").alias("b")), "b").select("a", "b")
+    return fetched.join(shared.select("entry", "a").hint("merge"), "entry").join(prints.select(F.col("fp").alias("b")).hint("merge"), "b").select("a", "b")
 
 
 def near_links(prints: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS, crowd: int = CROWD) -> DataFrame:
@@ -109,7 +109,8 @@ def near_links(prints: DataFrame, distance: int = DISTANCE, segments: int = SEGM
     tables = common.materialize(segment_tables(prints, segments), "simhash-tables")
     crowds = common.materialize(tables.groupBy("bucket").count().where(F.col("count") > crowd).select("bucket"), "simhash-crowds")
     calm = tables.join(crowds, "bucket", "left_anti").withColumnRenamed("fp", "other")
-    fetched = segment_balls(prints, radius, segments).join(calm, "bucket").where("fp != other")
+    # sorted, never broadcast: estimates do not see how many members a ball has
+    fetched = segment_balls(prints, radius, segments).join(calm.hint("merge"), "bucket").where("fp != other")
     near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= distance
     links = fetched.where(near("fp", "other")).select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b"))
     crowded = tables.join(crowds, "bucket", "left_semi").select("fp").distinct()
