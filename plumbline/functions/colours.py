@@ -23,6 +23,14 @@ def channels(name: str = "") -> list[Column]:
     return [F.coalesce(F.col(f"{name}{c}"), F.lit(g)) for c, g in zip("rgb", GREY, strict=True)]
 
 
+def clipped(name: str = "") -> list[Column]:
+    """Stored colours kept within 0 to 1; points without a whole colour are grey."""
+    whole = F.lit(True)
+    for c in "rgb":
+        whole = whole & F.col(f"{name}{c}").isNotNull()
+    return [F.when(whole, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(f"{name}{c}")))).otherwise(F.lit(g)) for c, g in zip("rgb", GREY, strict=True)]
+
+
 def chosen(cases: list[tuple[Column, tuple[float, ...]]], otherwise: list[Column]) -> list[Column]:
     out = []
     for i in range(3):

@@ -161,3 +161,9 @@ def inside_quadrilateral(u: Column, v: Column, corners: Sequence[Sequence[float]
 def focal_length(width: float, height: float, degrees: float = 60.0) -> float:
     """Pixels, from the image size and the horizontal field of view (kept within 10 to 150 degrees)."""
     return width / (2 * math.tan(math.radians(min(150.0, max(10.0, degrees))) / 2))
+
+
+def sane_focal(focal: Number | str, width: Number | str, height: Number | str, fallback: Number | str) -> Column:
+    """A focal length of 0.15 to 10 times the longer image side, else the fallback."""
+    f, side = col(focal), F.greatest(col(width), col(height))
+    return F.when((f >= 0.15 * side) & (f <= 10.0 * side), f).otherwise(col(fallback))

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: Extensions by kind of file.
 CLOUD = ["ply", "pcd", "xyz", "xyzn", "xyzrgb", "pts"]
 IMAGE = ["jpg", "jpeg", "png", "bmp", "tif", "tiff"]
+#: Further extensions that the standard MIME table counts as images.
+MIME_IMAGE = ["avif", "gif", "heic", "heif", "ico", "ief", "jpe", "pbm", "pgm", "pnm", "ppm", "ras", "rgb", "svg", "webp", "xbm", "xpm", "xwd"]
 
 
 def base_name(path: Column) -> Column:
@@ -51,6 +53,12 @@ def file_kind(path: Column) -> Column:
     return F.when(ext.isin(CLOUD), "point_cloud").when(ext.isin(IMAGE), "image").when(ext == "pdf", "pdf").otherwise("other")
 
 
+def raw_kind(path: Column) -> Column:
+    """The raw kind of a file by extension, then by MIME type; null if it is neither a cloud nor an image."""
+    ext = extension(path)
+    return F.when(ext.isin(CLOUD), "raw_pointcloud").when(ext.isin(IMAGE + MIME_IMAGE), "raw_image")
+
+
 def registration_id(source: Column, target: Column, voxel: Column) -> Column:
     return F.concat(safe_stem(source), F.lit("__"), safe_stem(target), F.lit("_v"), voxel_tag(voxel))
 

@@ -10,6 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions import colours
 from plumbline.functions import geometry as g
 from plumbline.operators import components, planes
 from plumbline.operators.storage import stored
@@ -139,6 +140,23 @@ def dense_labels(points: DataFrame, membership: DataFrame) -> DataFrame:
     return points.join(last, "point_id", "left").withColumn("facade_id", F.coalesce("facade_id", F.lit(-1)))
 
 
+def response(points: DataFrame, facades: DataFrame, labels: DataFrame) -> DataFrame:
+    """What a viewer shows of a detection: every point of the display cloud with facade_id, normal (zero where it has none) and display colour.
+
+    ``labels`` (point_id, facade_id) must name every point once, else an error tells both counts.
+    """
+    paired = points.select("point_id").join(labels.select("point_id", F.lit(1).alias("_l")), "point_id", "full")
+    all_, named, twice = points.count(), labels.count(), paired.where("_l is null").count()
+    if all_ != named or twice:
+        raise ValueError(f"{named} labels for {all_} points, {twice} points without one")
+    kinds = facades.select("facade_id", F.col("type").alias("_type"))  # one row a facade
+    rows = points.drop("facade_id").join(labels.select("point_id", "facade_id"), "point_id").join(kinds, "facade_id", "left")
+    shown = colours.by_type(F.col("_type"), colours.dimmed(colours.channels(), 0.35))
+    normal = [F.coalesce(c, F.lit(0.0)) if c in points.columns else F.lit(0.0) for c in N]
+    columns = dict(zip((*P, *N, *"rgb"), (*map(F.col, P), *normal, *shown), strict=True))
+    return rows.select("point_id", "facade_id", *[c.cast("float").alias(n) for n, c in columns.items()])
+
+
 def segment(points: DataFrame, selected: DataFrame, options: Detection | None = None, most: int = 30) -> tuple[DataFrame, DataFrame]:
     """(segments, membership) of the selected points (ids may repeat or be unknown), for a hand-picked region.
 

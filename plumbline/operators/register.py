@@ -9,12 +9,21 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions import geometry
 from plumbline.operators import neighbors
 from plumbline.operators.points import transform, voxel_downsample
 
 P = ("x", "y", "z")
 
 
+def record_pairs(table: DataFrame, source: str, target: str, picked: DataFrame) -> DataFrame:
+    """``table`` (source, target, pair_id, sx..sz, tx..tz, Z-up) with the pairs picked in a viewer (Y-up) in place of the two clouds' earlier ones."""
+    others = table.where(~(F.col("source").eqNullSafe(F.lit(source)) & F.col("target").eqNullSafe(F.lit(target))))
+    moved = {f"{e}{p}": c for e in "st" for p, c in zip(P, geometry.to_zup(*[f"{e}{p}" for p in P]), strict=True)}
+    fresh = picked.withColumns(moved).withColumns({"source": F.lit(source), "target": F.lit(target)})
+    return others.unionByName(fresh.select(table.columns))
+
+
 def align_pairs(pairs: DataFrame) -> np.ndarray:
     """Rigid 4x4 transform from pairs sx..sz to tx..tz, least squares, never a reflection (Kabsch, 1976; Arun et al., 1987)."""
     s, t = [f"s{p}" for p in P], [f"t{p}" for p in P]

@@ -122,6 +122,22 @@ def conversion_jobs(scans: DataFrame) -> DataFrame:
     return numbered.select("path", F.concat("stem", F.when(F.col("_n") > 1, F.concat(F.lit("_"), F.col("_n").cast("string"))).otherwise(""), F.lit(".ply")).alias("output"))
 
 
+def conversion_results(jobs: DataFrame, existing: DataFrame, attempts: DataFrame, *, overwrite: bool = False, keep_empty: bool = False, dry_run: bool = False) -> DataFrame:
+    """jobs with status OK, SKIPPED, FAILED or DRY_RUN, points and ``remove``, whether an output left behind is to be deleted.
+
+    ``existing`` (output, points) lists outputs from before, points null where the file cannot be read; they are skipped, or fail if unreadable, unless
+    overwritten. ``attempts`` (path, exit_code, written, points) tells of converter runs: no exit code means it ran out of time.
+    """
+    before = existing.select("output", F.col("points").alias("_old"), F.lit(True).alias("_there"))
+    tried = attempts.select("path", "exit_code", F.coalesce("written", F.lit(False)).alias("_written"), F.col("points").alias("_new"))
+    rows = jobs.join(before, "output", "left").join(tried, "path", "left")
+    stays = F.coalesce("_there", F.lit(False)) & F.lit(not overwrite)
+    good = (F.col("exit_code") == 0) & F.col("_written") & F.col("_new").isNotNull() & ((F.col("_new") > 0) | F.lit(keep_empty))
+    status = F.when(stays, F.when(F.col("_old").isNull(), "FAILED").otherwise("SKIPPED")).when(F.lit(dry_run), "DRY_RUN").when(good, "OK").otherwise("FAILED")
+    out = rows.withColumn("status", status).withColumn("points", F.when(stays, F.col("_old")).when(~F.lit(dry_run), F.col("_new")))
+    return out.withColumn("remove", ~stays & F.lit(not dry_run) & (F.col("status") == "FAILED") & F.coalesce("_written", F.lit(False))).select(*jobs.columns, "status", "points", "remove")
+
+
 def conversion_report(results: DataFrame) -> DataFrame:
     """Results (status OK, SKIPPED, FAILED or DRY_RUN) counted."""
     return results.groupBy("status").agg(F.count("*").alias("jobs"), F.sum("points").alias("points"))
