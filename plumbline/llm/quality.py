@@ -229,8 +229,10 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     stats = statistics(rows.select(F.struct("doc_id", common.DIGEST).alias("key"), "text"), key="key")
     stats = common.materialize(stats.select("key.*", *[c for c in stats.columns if c != "key"]), "quality")
     judged = judge_statistics(stats, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    bad = judged.where("not kept").select(common.DIGEST).distinct()
-    return rows.join(bad.hint("merge"), common.DIGEST, "left_anti").select(*map(common.quoted, docs.columns))
+    # joined by doc_id as well, so that copies of one text are dealt over the tasks
+    bad = judged.where("not kept").select(F.col("doc_id").alias("_plumb_k"), F.col(common.DIGEST).alias("_plumb_d"))
+    same = F.col("doc_id").eqNullSafe(F.col("_plumb_k")) & (F.col(common.DIGEST) == F.col("_plumb_d"))
+    return rows.join(bad.hint("merge"), same, "left_anti").select(*map(common.quoted, docs.columns))
 
 
 QUERIES = {"op2_quality_rules": op2_quality_rules}
