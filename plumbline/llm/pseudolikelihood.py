@@ -228,15 +228,19 @@ def score(docs: DataFrame, params: Params, top: np.ndarray, *, key: str = "doc_i
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("k"), F.col(text).alias("t"))
     found = numbered.mapInArrow(run, f"row long, k {kind}, n_tokens long, log_likelihood double, rest map<bigint,bigint>")
     if counted is not None:
-        found = common.materialize(found, "lm-codes")
         known = spark.createDataFrame([(int(x),) for x in top.view(np.int64)], "word long")
-        other = counted.join(F.broadcast(known), "word", "left_anti").withColumn("code", F.pmod("word", F.lit(SHARED)))
-        codes = F.broadcast(other.groupBy("code").agg(F.sum("n").alias("all")))
-        pairs = found.select("row", F.explode("rest").alias("word", "times")).withColumn("code", F.pmod("word", F.lit(SHARED)))
-        joined = pairs.join(other.drop("code").hint("merge"), "word", "left").join(codes, "code", "left")
+        other = counted.join(F.broadcast(known), "word", "left_anti")
+        code = F.pmod("word", F.lit(SHARED))
+        codes = F.broadcast(other.groupBy(code.alias("code")).agg(F.sum("n").alias("all")))
+        # a text's own figures travel with its words, under a word of no occurrence, so the network runs once and nothing is stored between
+        own = F.array(F.struct(F.xxhash64("row").alias("key"), F.lit(0).cast("long").alias("value")))
+        words = found.select("*", F.explode(F.concat(F.map_entries("rest"), own)).alias("w"))
+        head = F.col("w.value") == 0
+        pairs = words.select("row", F.col("w.key").alias("word"), F.col("w.value").cast("int").alias("times"), *[F.when(head, F.col(c)).alias(c) for c in ("k", "n_tokens", "log_likelihood")])
+        joined = pairs.join(other.hint("merge"), "word", "left").join(codes, code == F.col("code"), "left")
         unseen = 1.0 / (F.coalesce("all", F.lit(0)) + 1)
-        within = joined.groupBy("row").agg(F.sum(F.col("times") * F.log(F.coalesce(F.col("n") / F.col("all"), unseen))).alias("within"))
-        found = found.join(within.hint("merge"), "row", "left").withColumn("log_likelihood", F.col("log_likelihood") + F.coalesce("within", F.lit(0.0)))
+        within = F.sum(F.col("times") * F.log(F.coalesce(F.col("n") / F.col("all"), unseen)))
+        found = joined.groupBy("row").agg(*[F.max(c).alias(c) for c in ("k", "n_tokens")], (F.max("log_likelihood") + within).alias("log_likelihood"))
     found = found.select(F.col("k").alias(key), "n_tokens", "log_likelihood")
     return found.withColumn("mean_log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")))
 
