@@ -129,13 +129,28 @@ def step(p: Params, seen: Params, line: np.ndarray, at: np.ndarray) -> None:
     d_coarse[rows, coarse] -= 1
     d_fine[rows, fine] -= 1
     d_hidden = (d_coarse @ p["coarse"].T + d_fine @ p["fine"].T) * (1 - hidden * hidden)
-    fine_bias = np.bincount((coarse[:, None] * FINE + np.arange(FINE)).ravel(), d_fine.ravel(), COARSE * FINE).reshape(COARSE, FINE)
-    embed = np.stack([np.stack([np.bincount(line[at + o], d_hidden[:, j], PAD + 1) for j in range(WIDTH)], axis=1) for o in OFFSETS])
-    grads = {"embed": embed, "bias": d_hidden.sum(0), "coarse": hidden.T @ d_coarse, "coarse_bias": d_coarse.sum(0), "fine": hidden.T @ d_fine, "fine_bias": fine_bias}
+    hot = np.zeros((len(at), COARSE), np.float32)
+    hot[rows, coarse] = 1
+    grads = {"bias": d_hidden.sum(0), "coarse": hidden.T @ d_coarse, "coarse_bias": d_coarse.sum(0), "fine": hidden.T @ d_fine, "fine_bias": hot.T @ d_fine}
     for k, g in grads.items():
-        g = (g / n).astype(np.float32)
-        seen[k] += g * g
-        p[k] -= RATE * g / (np.sqrt(seen[k]) + 1e-6)
+        descend(p[k], seen[k], g / n)
+    # embeddings of words that do not stand around the places have no gradient: only the others are touched
+    own = np.concatenate([line[at + o] + i * (PAD + 1) for i, o in enumerate(OFFSETS)]).astype(np.int16)
+    order = np.argsort(own, kind="stable")
+    own = own[order]
+    first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+    touched = own[first].astype(np.int64)
+    embed, seen_embed = p["embed"].reshape(-1, WIDTH), seen["embed"].reshape(-1, WIDTH)
+    part, part_seen = embed[touched], seen_embed[touched]
+    descend(part, part_seen, np.add.reduceat(d_hidden[order % len(at)], first, axis=0) / n)
+    embed[touched], seen_embed[touched] = part, part_seen
+
+
+def descend(p: np.ndarray, seen: np.ndarray, g: np.ndarray) -> None:
+    """Adagrad, in place."""
+    g = g.astype(np.float32, copy=False)
+    seen += g * g
+    p -= RATE * g / (np.sqrt(seen) + np.float32(1e-6))
 
 
 def mask_class(words: common.Words, classes: int) -> np.ndarray:
