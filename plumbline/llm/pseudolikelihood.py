@@ -7,8 +7,8 @@ P(word | words around it) over all its words.
 
 The ``KNOWN`` commonest words of the corpus have codes of their own; other words share ``SHARED``
 hash codes, so the network's size is fixed. A word with a shared code also costs its share of that code's
-words, log(count of the word / count of the code), from the full word counts in a join; a word without a count
-counts as seen once. Word counts cover every document. Training covers every place of every document: each task runs its rows
+words, log(count of the word / count of the code), from the full word counts: tasks hold the counts of at most ``HELD`` of the
+commoner ones, all others are looked up in a join, with the same result; a word without a count counts as seen once. Word counts cover every document. Training covers every place of every document: each task runs its rows
 through numpy SGD, in each round at the places of one mask class (a hash of place and word deals every place to one of the
 rounds), and the tasks' parameters are averaged, weighted by the places seen, in groups
 of ``FAN_IN`` until one group is left; this repeats for ``ROUNDS`` rounds. What is gathered thus grows with the
@@ -37,6 +37,7 @@ ROUNDS = 2
 BATCH = 2048
 RATE = 0.15
 FAN_IN = 16
+HELD = 1 << 17
 OFFSETS = [*range(-SIDE, 0), *range(1, SIDE + 1)]
 PAD = COARSE * FINE
 
@@ -207,9 +208,35 @@ def train(docs: DataFrame, *, text: str = "text", rounds: int = ROUNDS, counted:
     return params, top
 
 
-def _shared_words(words: common.Words, codes: np.ndarray) -> pa.Array:
-    """Of each text: its words with shared codes, and how often they stand there."""
-    at = np.flatnonzero(codes >= KNOWN)
+def _held(other: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
+    """(words, counts) of the commoner words, sorted by word, and the least step of the log-scaled count that they have; never more than ``HELD``."""
+    sizes = other.groupBy(_scale().alias("scale")).count().orderBy(F.desc("scale")).collect()  # a few hundred rows at most
+    least, total = float("inf"), 0
+    for r in sizes:
+        total += r["count"]
+        if total > HELD:
+            break
+        least = float(r["scale"])
+    table = other.where(_scale() >= least).select("word", "n").toPandas()
+    word, n = table["word"].to_numpy(np.int64).view(np.uint64), table["n"].to_numpy(np.float64)
+    order = np.argsort(word)
+    return word[order], n[order], least
+
+
+def _scale():
+    return F.floor(8 * F.log2("n")).cast("double")
+
+
+def _found(word: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the words are held, and where."""
+    if not len(held):
+        return np.zeros(len(word), bool), np.zeros(len(word), np.int64)
+    place = np.minimum(np.searchsorted(held, word), len(held) - 1)
+    return held[place] == word, place
+
+
+def _shared_words(words: common.Words, at: np.ndarray) -> pa.Array:
+    """Of each text: its words at the places given, and how often they stand there."""
     doc, word = words.doc[at], words.prints[at]
     order = np.lexsort((word, doc))
     doc, word = doc[order], word[order]
@@ -225,10 +252,19 @@ def score(docs: DataFrame, params: Params, top: np.ndarray, *, key: str = "doc_i
     With ``counted``, the word counts of the corpus, probabilities are those of words; without it, of codes.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((packed(params), top))
+    held, held_n, least, code_n = np.empty(0, np.uint64), np.empty(0), 0.0, np.ones(SHARED)
+    if counted is not None:
+        known = spark.createDataFrame([(int(x),) for x in top.view(np.int64)], "word long")
+        other = counted.join(F.broadcast(known), "word", "left_anti")
+        code = F.pmod("word", F.lit(SHARED))
+        codes = other.groupBy(code.alias("code")).agg(F.sum("n").alias("all"))
+        for r in codes.collect():
+            code_n[r["code"]] = r["all"]
+        held, held_n, least = _held(other)
+    shared = spark.sparkContext.broadcast((packed(params), top, held, held_n, code_n))
 
     def run(batches):
-        data, known = shared.value
+        data, known, held, held_n, code_n = shared.value
         p, codes = unpacked(data), Codes(known)
         for b in batches:
             for first, texts in common.text_chunks(b.column(2)):
@@ -236,23 +272,24 @@ def score(docs: DataFrame, params: Params, top: np.ndarray, *, key: str = "doc_i
                 line, at = laid_out(words, codes)
                 got = np.concatenate([np.empty(0), *(forward(p, line, at[i : i + BATCH])[3] for i in range(0, len(at), BATCH))])
                 total = np.bincount(words.doc, got, len(texts)) if len(got) else np.zeros(len(texts))
+                rare = np.flatnonzero(line[at] >= KNOWN)
+                word = words.prints[rare]
+                hit, place = _found(word, held)
+                share = np.log(held_n[place[hit]] / code_n[(word[hit] % np.uint64(SHARED)).astype(np.int64)])
+                total = total + np.bincount(words.doc[rare[hit]], share, len(texts))
                 own = [b.column(i).slice(first, len(texts)) for i in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(words.counts, pa.int64()), pa.array(total, pa.float64()), _shared_words(words, line[at])], ["row", "k", "n_tokens", "log_likelihood", "rest"])
+                yield pa.RecordBatch.from_arrays([*own, pa.array(words.counts, pa.int64()), pa.array(total, pa.float64()), _shared_words(words, rare[~hit])], ["row", "k", "n_tokens", "log_likelihood", "rest"])
 
     kind = docs.schema[key].dataType.simpleString()
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("k"), F.col(text).alias("t"))
     found = numbered.mapInArrow(run, f"row long, k {kind}, n_tokens long, log_likelihood double, rest map<bigint,bigint>")
     if counted is not None:
-        known = spark.createDataFrame([(int(x),) for x in top.view(np.int64)], "word long")
-        other = counted.join(F.broadcast(known), "word", "left_anti")
-        code = F.pmod("word", F.lit(SHARED))
-        codes = F.broadcast(other.groupBy(code.alias("code")).agg(F.sum("n").alias("all")))
         # a text's own figures travel with its words, under a word of no occurrence, so the network runs once and nothing is stored between
         own = F.array(F.struct(F.xxhash64("row").alias("key"), F.lit(0).cast("long").alias("value")))
         words = found.select("*", F.explode(F.concat(F.map_entries("rest"), own)).alias("w"))
         head = F.col("w.value") == 0
         pairs = words.select("row", F.col("w.key").alias("word"), F.col("w.value").cast("int").alias("times"), *[F.when(head, F.col(c)).alias(c) for c in ("k", "n_tokens", "log_likelihood")])
-        joined = pairs.join(other.hint("merge"), "word", "left").join(codes, code == F.col("code"), "left")
+        joined = pairs.join(other.where(_scale() < least).hint("merge"), "word", "left").join(F.broadcast(codes), code == F.col("code"), "left")
         unseen = 1.0 / (F.coalesce("all", F.lit(0)) + 1)
         within = F.sum(F.col("times") * F.log(F.coalesce(F.col("n") / F.col("all"), unseen)))
         found = joined.groupBy("row").agg(*[F.max(c).alias(c) for c in ("k", "n_tokens")], (F.max("log_likelihood") + within).alias("log_likelihood"))

@@ -29,3 +29,14 @@ def test_a_rare_word_costs_its_share_of_its_code(spark):
     want = sum(cost(w) for t in texts if t for w in t.split() if w != "the")
     assert len(plain) == len(whole) == len(texts)
     assert want < -100 and np.isclose(sum(whole) - sum(plain), want)
+
+
+def test_held_counts_change_nothing(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    counted = pseudolikelihood.word_counts(docs).cache()
+    params, top = pseudolikelihood.fresh(), pseudolikelihood.common_words(counted)[:40]
+    got = []
+    for held in (0, 200, 1 << 17):
+        monkeypatch.setattr(pseudolikelihood, "HELD", held)
+        got.append({r.doc_id: (r.n_tokens, round(r.log_likelihood, 6)) for r in pseudolikelihood.score(docs, params, top, counted=counted).collect()})
+    assert got[0] == got[1] == got[2]
