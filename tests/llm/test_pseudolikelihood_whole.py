@@ -2,6 +2,7 @@ import math
 from collections import Counter
 
 import numpy as np
+from conftest import SF
 
 from plumbline.llm import common, pseudolikelihood as pl
 
@@ -33,10 +34,10 @@ def test_a_rare_word_costs_its_share_of_its_code(spark):
 
 def test_held_counts_change_nothing(spark, monkeypatch):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
-    counted = pseudolikelihood.word_counts(docs).cache()
-    params, top = pseudolikelihood.fresh(), pseudolikelihood.common_words(counted)[:40]
+    counted = pl.word_counts(docs).cache()
+    params, top = pl.fresh(), pl.common_words(counted)[:40]
     got = []
     for held in (0, 200, 1 << 17):
-        monkeypatch.setattr(pseudolikelihood, "HELD", held)
-        got.append({r.doc_id: (r.n_tokens, round(r.log_likelihood, 6)) for r in pseudolikelihood.score(docs, params, top, counted=counted).collect()})
+        monkeypatch.setattr(pl, "HELD", held)
+        got.append({r.doc_id: (r.n_tokens, round(r.log_likelihood, 6)) for r in pl.score(docs, params, top, counted=counted).collect()})
     assert got[0] == got[1] == got[2]
