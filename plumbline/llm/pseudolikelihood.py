@@ -105,45 +105,62 @@ def laid_out(words: common.Words, codes: Codes) -> tuple[np.ndarray, np.ndarray]
     return line, at
 
 
+def around(line: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Rows of the embeddings, counted through all offsets, that stand around each place: one row of places an offset."""
+    return np.stack([line[at + o] + i * (PAD + 1) for i, o in enumerate(OFFSETS)])
+
+
 def forward(p: Params, line: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hidden states, log-probabilities of coarse and fine parts, and the words' log-probabilities."""
+    """Hidden states, probabilities of coarse and fine parts (one column a place), and the words' log-probabilities.
+
+    Columns are places so that maxima, sums and exponentials run along the memory.
+    """
+    embed = p["embed"].reshape(-1, WIDTH)
     hidden = np.tile(p["bias"], (len(at), 1))
-    for i, o in enumerate(OFFSETS):
-        hidden += p["embed"][i][line[at + o]]
+    for near in around(line, at):
+        hidden += np.take(embed, near, axis=0)
     np.tanh(hidden, out=hidden)
     coarse, fine = np.divmod(line[at], FINE)
-    parts = []
-    for logits in (hidden @ p["coarse"] + p["coarse_bias"], hidden @ p["fine"] + p["fine_bias"][coarse]):
-        logits -= logits.max(axis=1, keepdims=True)
-        logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
-        parts.append(logits)
-    rows = np.arange(len(at))
-    return hidden, parts[0], parts[1], parts[0][rows, coarse].astype(np.float64) + parts[1][rows, fine]
+    rows, found, parts = np.arange(len(at)), np.zeros(len(at)), []
+    for weights, bias, own in ((p["coarse"], p["coarse_bias"][:, None], coarse), (p["fine"], np.take(p["fine_bias"].T, coarse, axis=1), fine)):
+        part = weights.T @ hidden.T
+        part += bias
+        part -= part.max(axis=0)
+        found += part[own, rows]
+        np.exp(part, out=part)
+        total = part.sum(axis=0)
+        found -= np.log(total)
+        part /= total
+        parts.append(part)
+    return hidden, parts[0], parts[1], found
 
 
 def step(p: Params, seen: Params, line: np.ndarray, at: np.ndarray) -> None:
     """One Adagrad step on the places given; ``seen`` holds the summed squared gradients."""
-    hidden, log_coarse, log_fine, _ = forward(p, line, at)
+    hidden, d_coarse, d_fine, _ = forward(p, line, at)
     coarse, fine = np.divmod(line[at], FINE)
     rows, n = np.arange(len(at)), np.float32(len(at))
-    d_coarse, d_fine = np.exp(log_coarse), np.exp(log_fine)
-    d_coarse[rows, coarse] -= 1
-    d_fine[rows, fine] -= 1
-    d_hidden = (d_coarse @ p["coarse"].T + d_fine @ p["fine"].T) * (1 - hidden * hidden)
-    hot = np.zeros((len(at), COARSE), np.float32)
-    hot[rows, coarse] = 1
-    grads = {"bias": d_hidden.sum(0), "coarse": hidden.T @ d_coarse, "coarse_bias": d_coarse.sum(0), "fine": hidden.T @ d_fine, "fine_bias": hot.T @ d_fine}
+    d_coarse[coarse, rows] -= 1
+    d_fine[fine, rows] -= 1
+    d_hidden = (p["coarse"] @ d_coarse + p["fine"] @ d_fine) * (1 - hidden * hidden).T
+    hot = np.zeros((COARSE, len(at)), np.float32)
+    hot[coarse, rows] = 1
+    grads = {"bias": d_hidden.sum(1), "coarse": (d_coarse @ hidden).T, "coarse_bias": d_coarse.sum(1), "fine": (d_fine @ hidden).T, "fine_bias": hot @ d_fine.T}
     for k, g in grads.items():
         descend(p[k], seen[k], g / n)
     # embeddings of words that do not stand around the places have no gradient: only the others are touched
-    own = np.concatenate([line[at + o] + i * (PAD + 1) for i, o in enumerate(OFFSETS)]).astype(np.int16)
-    order = np.argsort(own, kind="stable")
-    own = own[order]
-    first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-    touched = own[first].astype(np.int64)
+    near = around(line, at).ravel()
+    number = np.zeros(len(OFFSETS) * (PAD + 1), np.int64)
+    number[near] = 1
+    touched = np.flatnonzero(number)
+    number[touched] = np.arange(len(touched))
+    near = number[near]
+    grad = np.empty((len(touched), WIDTH), np.float32)
+    for i, d in enumerate(np.tile(d_hidden.astype(np.float64), (1, len(OFFSETS)))):
+        grad[:, i] = np.bincount(near, d, len(touched))
     embed, seen_embed = p["embed"].reshape(-1, WIDTH), seen["embed"].reshape(-1, WIDTH)
     part, part_seen = embed[touched], seen_embed[touched]
-    descend(part, part_seen, np.add.reduceat(d_hidden[order % len(at)], first, axis=0) / n)
+    descend(part, part_seen, grad / n)
     embed[touched], seen_embed[touched] = part, part_seen
 
 
