@@ -1,8 +1,8 @@
 """The queries of this subpackage and, where SQL can express them, their DuckDB SQL."""
 
-from plumbline.llm import collocations, decontaminate, fmindex, html, langid, mixing, pseudolikelihood, quality, simhash, suffixes, warc, whitening
+from plumbline.llm import collocations, decontaminate, fmindex, html, langid, mixing, pii, pseudolikelihood, quality, simhash, suffixes, warc, whitening
 
-MODULES = [pseudolikelihood, quality, fmindex, simhash, langid, html, decontaminate, mixing, suffixes, warc, whitening, collocations]
+MODULES = [pseudolikelihood, quality, fmindex, simhash, langid, html, decontaminate, mixing, suffixes, warc, whitening, pii, collocations]
 
 
 def queries() -> dict:
