@@ -2,7 +2,7 @@
 
 Every word starts a suffix of its piece, cut after ``max_n`` words. Tasks add equal suffixes of a block of text first; suffixes are then
 shuffled by language and first word and sorted in reverse lexicographic order. There all suffixes of a prefix lie together,
-so one stack of open prefixes counts every prefix in one pass, and a prefix below the least count is dropped as it closes. The empty prefix of a language
+so one stack of open prefixes (for each language in the task) counts every prefix in one pass, and a prefix below the least count is dropped as it closes. The empty prefix of a language
 counts its words. Candidates then get the counts of their parts by joins.
 
 A first word with more than one in ``HOT`` suffixes of a bounded sample of texts is spread over ``SPLIT`` tasks by its whole suffixes.
@@ -20,7 +20,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -66,8 +66,15 @@ def _words(texts: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return words, np.searchsorted(piece, piece, "right") - 1, counts
 
 
-def _suffixes(langs: list[str], texts: list[bytes], max_n: int) -> pa.RecordBatch:
-    """lang, suffix, count of the suffixes of some texts, equal ones added."""
+def _prints(words: pa.Array) -> np.ndarray:
+    """A 64-bit print of each word, for dealing only."""
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    sums = common.prefix_sums(common.byte_prints(np.frombuffer(words.buffers()[2], np.uint8)[: offsets[-1]]))
+    return common.span_prints(sums, offsets[:-1], offsets[1:])
+
+
+def _suffixes(langs: list[str], texts: list[bytes], max_n: int, spread: set[tuple[str, str]]) -> pa.RecordBatch:
+    """The suffixes of some texts, equal ones added, as ``suffixes`` gives them."""
     words, last, counts = _words(texts)
     coded = words.dictionary_encode()
     code, known = coded.indices.to_numpy().astype(np.int64) + 1, coded.dictionary
@@ -84,7 +91,7 @@ def _suffixes(langs: list[str], texts: list[bytes], max_n: int) -> pa.RecordBatc
     if len(lang.dictionary) * size**max_n >= 1 << 63:  # too many words for one number
         table = pa.table([pa.array(here), *map(pa.array, keys)], [f"c{i}" for i in range(max_n + 1)])
         found = table.group_by(table.column_names).aggregate([([], "count_all")])
-        parts, n, own = [found.column(f"c{i + 1}").to_numpy() for i in range(max_n)], found.column("count_all"), found.column("c0").to_numpy()
+        parts, n, own = [found.column(f"c{i + 1}").to_numpy() for i in range(max_n)], found.column("count_all").combine_chunks(), found.column("c0").to_numpy()
     else:
         found = pc.value_counts(pa.array(key))
         n, rest, parts = found.field("counts"), found.field("values").to_numpy(), []
@@ -93,13 +100,25 @@ def _suffixes(langs: list[str], texts: list[bytes], max_n: int) -> pa.RecordBatc
             parts.insert(0, c)
         own = rest
     spelled = pa.concat_arrays([pa.array([""]), known])
-    suffix = pc.binary_join_element_wise(*[spelled.take(pa.array(c)) for c in parts], "")
-    whole = lambda x: x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x
-    return pa.RecordBatch.from_arrays([whole(lang.dictionary.take(pa.array(own))), whole(suffix), whole(n).cast(pa.int64())], ["lang", "suffix", "c"])
-
-
-def suffixes(docs: DataFrame, max_n: int = MAX_N, *, text: str = "text", lang: str = "lang") -> DataFrame:
-    """lang, suffix, c: every suffix of every piece, cut after max_n words, with its count in a block of text."""
+    ends = pc.binary_join_element_wise("\n", lang.dictionary, "")
+    text = pc.binary_join_element_wise(*[spelled.take(pa.array(c)) for c in parts], ends.take(pa.array(own)), "")
+    prints, of_lang = np.concatenate((np.zeros(1, np.uint64), _prints(known))), _prints(lang.dictionary)
+    task = common.mix(prints[parts[0]] + common.mix(of_lang[own]))
+    hot = np.zeros(len(task), bool)
+    for i, name in enumerate(lang.dictionary.to_pylist()):
+        listed = pa.array([w for x, w in spread if x == name], pa.string())
+        if len(listed):
+            hot |= (own == i) & np.concatenate(([False], pc.is_in(known, listed).to_numpy(zero_copy_only=False)))[parts[0]]
+    after = np.zeros(len(task), np.uint64)
+    for c in parts[1:]:
+        after = common.mix(after + prints[c])
+    task += np.where(hot, after % np.uint64(SPLIT) + np.uint64(1), np.uint64(0))
+    return pa.RecordBatch.from_arrays([text, pa.array(task.astype(np.int64)), n.cast(pa.int64())], ["suffix", "task", "c"])
+
+
+def suffixes(docs: DataFrame, max_n: int = MAX_N, spread: frozenset[tuple[str, str]] = frozenset(), *, text: str = "text", lang: str = "lang") -> DataFrame:
+    """suffix, task, c: every suffix of every piece, cut after max_n words, with its language behind a line feed, its count in a block of
+    text, and a number that is the same for equal languages and first words, but has ``SPLIT`` values for those of ``spread``."""
 
     def run(batches):
         langs: list[str] = []
@@ -109,90 +128,104 @@ def suffixes(docs: DataFrame, max_n: int = MAX_N, *, text: str = "text", lang: s
             for first, part in common.text_chunks(b.column(1)):
                 for own, t in zip(b.column(0).slice(first, len(part)).to_pylist(), part, strict=True):
                     if texts and size + len(t) > BLOCK_BYTES:
-                        yield _suffixes(langs, texts, max_n)
+                        yield _suffixes(langs, texts, max_n, spread)
                         langs, texts, size = [], [], 0
                     langs.append(UNKNOWN if own is None else own)
                     texts.append(t)
                     size += len(t) + 1
         if texts:
-            yield _suffixes(langs, texts, max_n)
+            yield _suffixes(langs, texts, max_n, spread)
 
-    return docs.select(common.quoted(lang).alias("lang"), common.quoted(text).alias("text")).mapInArrow(run, "lang string, suffix string, c long")
+    return docs.select(common.quoted(lang).alias("lang"), common.quoted(text).alias("text")).mapInArrow(run, "suffix string, task long, c long")
 
 
-def hot_words(docs: DataFrame, **names: str) -> list[tuple[str, str]]:
+def hot_words(docs: DataFrame, **names: str) -> frozenset[tuple[str, str]]:
     """(lang, word with its space) of the first words to be spread: at most ``HOT``, by a sample of about ``SAMPLE`` rows."""
     rows = docs.count()
     part = docs.sample(min(1.0, SAMPLE / max(rows, 1)), 42) if rows > SAMPLE else docs
-    words = common.materialize(suffixes(part, 1, **names).groupBy("lang", "suffix").agg(F.sum("c").alias("c")), "sampled-words")
+    words = common.materialize(suffixes(part, 1, **names).groupBy("suffix").agg(F.sum("c").alias("c")), "sampled-words")
     total = words.agg(F.sum("c")).first()[0] or 0
-    found = [(r["lang"], r["suffix"]) for r in words.where(F.col("c") * HOT > total).select("lang", "suffix").collect()]
+    found = [tuple(r["suffix"].split("\n", 1)) for r in words.where(F.col("c") * HOT > total).select("suffix").collect()]
     common.release(words)
-    return found
+    return frozenset((lang, word) for word, lang in found)
 
 
-def _after(suffix: Column) -> Column:
-    return F.substring_index(suffix, " ", 1)
+class Stack:
+    """The open prefixes of one language, from the empty one on, each below the next, shorter than max_n words."""
+
+    def __init__(self, lang: str, max_n: int, least: int, spread: frozenset[tuple[str, str]], out: list[tuple]):
+        self.lang, self.max_n, self.least, self.out = lang, max_n, least, out
+        self.spread = {w for x, w in spread if x == lang}
+        self.texts, self.counts = [""], [0]
+
+    def close(self) -> None:
+        text, n, k = self.texts.pop(), self.counts.pop(), len(self.texts)
+        if n >= self.least or k == 0 or self.spread and (self.texts[1] if k > 1 else text) in self.spread:
+            self.out.append((self.lang, text[:-1], k, n))
+        if k:
+            self.counts[-1] += n
+
+    def add(self, suffix: str, n: int) -> None:
+        """Counts a suffix; suffixes come in reverse order, each once."""
+        texts = self.texts
+        while not suffix.startswith(texts[-1]):
+            self.close()
+        while len(texts) < self.max_n and (done := len(texts[-1])) < len(suffix):
+            texts.append(suffix[: suffix.index(" ", done) + 1])
+            self.counts.append(0)
+        self.counts[-1] += n
+        if n >= self.least and len(suffix) > len(texts[-1]):
+            self.out.append((self.lang, suffix[:-1], self.max_n, n))
 
 
 def counts(docs: DataFrame, max_n: int = MAX_N, least: int = LEAST, **names: str) -> DataFrame:
     """lang, phrase, words, f: every phrase of 1 to max_n words that stands ``least`` times or more, and the number of all words as the
     empty phrase of each language."""
-    spread = set(hot_words(docs, **names))
-    rows = suffixes(docs, max_n, **names)
-    hot = F.lit(False)
-    if spread:
-        hot = F.struct("lang", _after(F.col("suffix"))).isin([F.struct(F.lit(a), F.lit(b[:-1])) for a, b in sorted(spread)])
-    rows = rows.withColumn("part", F.when(hot, F.pmod(F.xxhash64("suffix"), F.lit(SPLIT))).otherwise(-1))
+    spread = hot_words(docs, **names)
     tasks = common.narrow_partitions(docs.sparkSession, docs)
-    dealt = rows.repartition(tasks, "lang", _after(F.col("suffix")), "part").sortWithinPartitions(F.desc("lang"), F.desc("suffix"))
+    dealt = suffixes(docs, max_n, spread, **names).repartition(tasks, "task").sortWithinPartitions(F.desc("suffix"))
 
     def run(batches):
-        stack: list[list] = []  # open prefixes, from the empty one on: [text, count]
-        own = None  # their language
+        stacks: dict[str, Stack] = {}
         out: list[tuple] = []
-
-        def close(depth: int) -> None:
-            while len(stack) > depth:
-                text, n = stack.pop()
-                k = len(stack)
-                part = k < max_n and (k == 0 or (own, stack[1][0] if k > 1 else text) in spread)
-                if part or n >= least:
-                    out.append((own, text[:-1], k, n))
-                if stack:
-                    stack[-1][1] += n
+        kept, n = None, 0  # the last suffix, which the next batch may repeat
+
+        def count(key: str, n: int) -> None:
+            at = key.index("\n")
+            lang = key[at + 1 :]
+            stack = stacks.get(lang)
+            if stack is None:
+                stack = stacks[lang] = Stack(lang, max_n, least, spread, out)
+            stack.add(key[:at], n)
+
+        def rows() -> pa.RecordBatch:
+            kinds = [pa.string(), pa.string(), pa.int32(), pa.int64()]
+            made = pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], ["lang", "phrase", "words", "f"])
+            out.clear()
+            return made
 
         for b in batches:
-            lang, suffix, c = (b.column(i) for i in range(3))
-            n = len(b)
-            # rows that repeat the row before are added in one step
-            new = np.ones(n, bool)
-            new[1:] = pc.or_(pc.not_equal(suffix[1:], suffix[:-1]), pc.not_equal(lang[1:], lang[:-1])).to_numpy(zero_copy_only=False)
+            suffix, c = b.column(0), b.column(1).to_numpy()
+            new = np.ones(len(c), bool)
+            new[1:] = pc.not_equal(suffix[1:], suffix[:-1]).to_numpy(zero_copy_only=False)
             at = np.flatnonzero(new)
-            sums = np.add.reduceat(c.to_numpy(), at) if n else at
-            for here, s, add in zip(lang.take(pa.array(at)).to_pylist(), suffix.take(pa.array(at)).to_pylist(), sums.tolist(), strict=True):
-                if here != own:
-                    close(0)
-                    own = here
-                    stack.append(["", 0])
-                depth = len(stack) - 1
-                while not s.startswith(stack[depth][0]):
-                    depth -= 1
-                close(depth + 1)
-                done = len(stack[-1][0])
-                while done < len(s):
-                    done = s.index(" ", done) + 1
-                    stack.append([s[:done], 0])
-                stack[-1][1] += add
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], ["lang", "phrase", "words", "f"])
-                out = []
-        close(0)
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], ["lang", "phrase", "words", "f"])
-
-    kinds = [pa.string(), pa.string(), pa.int32(), pa.int64()]
-    parts = dealt.select("lang", "suffix", "c").mapInArrow(run, "lang string, phrase string, words int, f long")
+            for key, add in zip(suffix.take(pa.array(at)).to_pylist(), np.add.reduceat(c, at).tolist() if len(c) else [], strict=True):
+                if key == kept:
+                    n += add
+                    continue
+                if kept is not None:
+                    count(kept, n)
+                kept, n = key, add
+            if len(out) >= 10_000:
+                yield rows()
+        if kept is not None:
+            count(kept, n)
+        for stack in stacks.values():
+            while stack.texts:
+                stack.close()
+        yield rows()
+
+    parts = dealt.select("suffix", "c").mapInArrow(run, "lang string, phrase string, words int, f long")
     return parts.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | (F.col("words") == 0))
 
 
