@@ -63,7 +63,7 @@ def _words(texts: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     buf = np.where(gap, 0x20, buf).astype(np.uint8)[keep]
     offsets = np.concatenate(([0], np.cumsum(last - first + 2))).astype(np.int32)
     words = pa.StringArray.from_buffers(len(first), pa.py_buffer(offsets), pa.py_buffer(buf))
-    return words, np.searchsorted(piece, piece, "right") - 1, counts
+    return words, (np.searchsorted(piece, piece, "right") - 1).astype(np.int32), counts
 
 
 def _prints(words: pa.Array) -> np.ndarray:
@@ -77,28 +77,33 @@ def _suffixes(langs: list[str], texts: list[bytes], max_n: int, spread: set[tupl
     """The suffixes of some texts, equal ones added, as ``suffixes`` gives them."""
     words, last, counts = _words(texts)
     coded = words.dictionary_encode()
-    code, known = coded.indices.to_numpy().astype(np.int64) + 1, coded.dictionary
+    code, known = coded.indices.to_numpy() + np.int32(1), coded.dictionary
     lang = pa.array(langs).dictionary_encode()
     here = np.repeat(lang.indices.to_numpy(), counts)
-    size, at = len(known) + 1, np.arange(len(code))
-    key, keys = here.astype(np.int64), []
-    for k in range(max_n):
-        nxt = np.zeros(len(code), np.int64)
-        inside = at + k <= last
-        nxt[inside] = code[at[inside] + k]
-        key = key * size + nxt
-        keys.append(nxt)
+    size, at = len(known) + 1, np.arange(len(code), dtype=np.int32)
+
+    def following(k: int) -> np.ndarray:
+        """The k-th word behind each word of its piece; 0 past the end."""
+        out = np.zeros(len(code), np.int32)
+        inside = np.flatnonzero(at + np.int32(k) <= last)
+        out[inside] = code[inside + k]
+        return out
+
     if len(lang.dictionary) * size**max_n >= 1 << 63:  # too many words for one number
-        table = pa.table([pa.array(here), *map(pa.array, keys)], [f"c{i}" for i in range(max_n + 1)])
+        table = pa.table([pa.array(here), *(pa.array(following(k)) for k in range(max_n))], [f"c{i}" for i in range(max_n + 1)])
         found = table.group_by(table.column_names).aggregate([([], "count_all")])
         parts, n, own = [found.column(f"c{i + 1}").to_numpy() for i in range(max_n)], found.column("count_all").combine_chunks(), found.column("c0").to_numpy()
     else:
+        key = here.astype(np.int64)
+        for k in range(max_n):
+            key *= size
+            key += following(k)
         found = pc.value_counts(pa.array(key))
-        n, rest, parts = found.field("counts"), found.field("values").to_numpy(), []
+        del key
+        n, own, parts = found.field("counts"), found.field("values").to_numpy(), []
         for _ in range(max_n):
-            rest, c = np.divmod(rest, size)
-            parts.insert(0, c)
-        own = rest
+            own, c = np.divmod(own, size)
+            parts.insert(0, c.astype(np.int32))
     spelled = pa.concat_arrays([pa.array([""]), known])
     ends = pc.binary_join_element_wise("\n", lang.dictionary, "")
     text = pc.binary_join_element_wise(*[spelled.take(pa.array(c)) for c in parts], ends.take(pa.array(own)), "")
@@ -112,8 +117,8 @@ def _suffixes(langs: list[str], texts: list[bytes], max_n: int, spread: set[tupl
     after = np.zeros(len(task), np.uint64)
     for c in parts[1:]:
         after = common.mix(after + prints[c])
-    task += np.where(hot, after % np.uint64(SPLIT) + np.uint64(1), np.uint64(0))
-    return pa.RecordBatch.from_arrays([text, pa.array(task.astype(np.int64)), n.cast(pa.int64())], ["suffix", "task", "c"])
+    task = np.where(hot, common.mix(task + after % np.uint64(SPLIT)), task)
+    return pa.RecordBatch.from_arrays([text, pa.array((task >> np.uint64(33)).astype(np.int32)), n.cast(pa.int64())], ["suffix", "task", "c"])
 
 
 def suffixes(docs: DataFrame, max_n: int = MAX_N, spread: frozenset[tuple[str, str]] = frozenset(), *, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -136,7 +141,7 @@ def suffixes(docs: DataFrame, max_n: int = MAX_N, spread: frozenset[tuple[str, s
         if texts:
             yield _suffixes(langs, texts, max_n, spread)
 
-    return docs.select(common.quoted(lang).alias("lang"), common.quoted(text).alias("text")).mapInArrow(run, "suffix string, task long, c long")
+    return docs.select(common.quoted(lang).alias("lang"), common.quoted(text).alias("text")).mapInArrow(run, "suffix string, task int, c long")
 
 
 def hot_words(docs: DataFrame, **names: str) -> frozenset[tuple[str, str]]:
