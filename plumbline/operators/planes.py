@@ -26,7 +26,11 @@ def fit(points: DataFrame, *keys: str) -> DataFrame:
     spread, it is (0, 0, 1); under three points d is 0.
     """
     second = [F.covar_pop(p, q).alias(f"_{p}{q}") for i, p in enumerate(P) for q in P[i:]]
-    sums = points.groupBy(*keys).agg(F.count("*").alias("n"), *[F.avg(p).alias(f"c{p}") for p in P], *second)
+    return solve(points.groupBy(*keys).agg(F.count("*").alias("n"), *[F.avg(p).alias(f"c{p}") for p in P], *second), *keys)
+
+
+def solve(sums: DataFrame, *keys: str) -> DataFrame:
+    """``fit`` from each group's number, centre and covariances: n, cx, cy, cz, _xx, _xy, _xz, _yy, _yz, _zz."""
     xx, xy, xz, yy, yz, zz = (F.col(f"_{k}") for k in ("xx", "xy", "xz", "yy", "yz", "zz"))
     q = (xx + yy + zz) / 3
     spread = F.sqrt(((xx - q) * (xx - q) + (yy - q) * (yy - q) + (zz - q) * (zz - q) + 2 * (xy * xy + xz * xz + yz * yz)) / 6)
