@@ -6,12 +6,17 @@ n links needs about log n rounds. Each round is written to shared storage.
 
 from __future__ import annotations
 
+import math
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.operators import neighbors
+from plumbline.operators import blocks, neighbors
 from plumbline.operators.storage import stored
 
+P = ("x", "y", "z")
+
 
 def labels(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(node, label) of every node; label is the least node reachable. ``links`` (a, b) may be one-way."""
@@ -55,13 +60,103 @@ def grid_components(points: DataFrame, size: float, least_cells: int, key: str,
     return found.join(sizes, [key, "component"])
 
 
+#: A core cell's points are boxed in CUT parts an axis to find links.
+CUT = 4
+
+
+def _boxes(core: DataFrame, side: float, *keys: str) -> DataFrame:
+    """keys, cell i, j, k, node (the cell's least point) and the boxes of the points in each of the cell's parts."""
+    cell = {c: F.floor(F.col(p) / side).cast("long") for c, p in zip("ijk", P, strict=True)}
+    part = {f"s{p}": F.floor((F.col(p) / side - F.floor(F.col(p) / side)) * CUT) for p in P}
+    ends = [f(p).alias(f"{p}{e}") for p in P for e, f in ((0, F.min), (1, F.max))]
+    parts = core.withColumns({**cell, **part}).groupBy(*keys, *"ijk", *part).agg(F.min("point_id").alias("_least"), F.count("*").alias("_n"), *ends)
+    own = parts.groupBy(*keys, *"ijk").agg(F.min("_least").alias("node"))
+    return parts.drop("_least").join(own, [*keys, *"ijk"])
+
+
+def cell_links(core: DataFrame, side: float, eps: float, *keys: str) -> DataFrame:
+    """(a, b) of core cells, named by their least points, with points within eps of each other.
+
+    Boxes of the cells' parts decide: parts wholly within eps link their cells, parts farther apart do not. For cells that this leaves open,
+    the points of the open parts are searched, a block at a time.
+    """
+    boxes = stored(_boxes(core, side, *keys))
+    steps = [(a, b, c) for a in range(-2, 3) for b in range(-2, 3) for c in range(-2, 3) if (a, b, c) > (0, 0, 0)]
+    offsets = F.array(*[F.struct(*[F.lit(o).cast("long").alias(n) for o, n in zip(s, "ijk", strict=True)]) for s in steps])
+    cells = boxes.select(*keys, *"ijk", "node").distinct()
+    beside = cells.select(*keys, F.col("node").alias("a"), F.explode(offsets).alias("o"), *"ijk").select(*keys, "a", *[(F.col(c) + F.col(f"o.{c}")).alias(c) for c in "ijk"])
+    pairs = beside.join(cells.withColumnRenamed("node", "b"), [*keys, *"ijk"]).select("a", "b")
+    ends = [f"{p}{e}" for p in P for e in (0, 1)]
+    left = boxes.select(F.col("node").alias("a"), *[F.col(f"s{p}").alias(f"as{p}") for p in P], *[F.col(e).alias(f"q{e}") for e in ends])
+    right = boxes.select(F.col("node").alias("b"), *[f"s{p}" for p in P], *ends)
+    gap = [F.greatest(F.lit(0.0), F.col(f"{p}0") - F.col(f"q{p}1"), F.col(f"q{p}0") - F.col(f"{p}1")) for p in P]
+    far = [F.greatest(F.col(f"{p}1") - F.col(f"q{p}0"), F.col(f"q{p}1") - F.col(f"{p}0")) for p in P]
+    within = lambda d: F.sqrt(sum((x * x for x in d), F.lit(0.0))) <= eps
+    near = pairs.join(left, "a").join(right, "b").where(within(gap)).withColumn("sure", within(far))
+    linked = stored(near.groupBy("a", "b").agg(F.max("sure").alias("sure")))
+    open_pairs = linked.where("not sure").select("a", "b")
+    found = linked.where("sure").select("a", "b")
+    if open_pairs.isEmpty():
+        return found
+    asked = stored(near.join(open_pairs, ["a", "b"]).select("a", "b", *[f"as{p}" for p in P], *[f"s{p}" for p in P]))
+    part = {f"s{p}": F.floor((F.col(p) / side - F.floor(F.col(p) / side)) * CUT) for p in P}
+    cell = {c: F.floor(F.col(p) / side).cast("long") for c, p in zip("ijk", P, strict=True)}
+    placed = core.withColumns({**cell, **part}).join(cells, [*keys, *"ijk"])
+    sides = {}
+    for n, columns in (("a", [f"as{p}" for p in P]), ("b", [f"s{p}" for p in P])):
+        wanted = asked.select(F.col(n).alias("node"), *[F.col(c).alias(f"s{p}") for c, p in zip(columns, P, strict=True)]).distinct()
+        sides[n] = blocks.packed(placed.join(wanted, ["node", *[f"s{p}" for p in P]]), side, "node")
+    met = pairs_of_blocks(sides["a"], sides["b"], open_pairs, eps)
+    return found.unionByName(met)
+
+
+def pairs_of_blocks(left: DataFrame, right: DataFrame, pairs: DataFrame, eps: float) -> DataFrame:
+    """Those of the pairs (a, b) of nodes that have points within eps, by comparing their blocks whose boxes are near enough."""
+    ends = [f"{p}{e}" for p in P for e in (0, 1)]
+    a = left.select(F.col("node").alias("a"), *[F.col(e).alias(f"q{e}") for e in ends], *[F.col(f"{p}s").alias(f"q{p}s") for p in P])
+    b = right.select(F.col("node").alias("b"), *ends, *["xs", "ys", "zs"])
+    gap = [F.greatest(F.lit(0.0), F.col(f"{p}0") - F.col(f"q{p}1"), F.col(f"q{p}0") - F.col(f"{p}1")) for p in P]
+    met = pairs.join(a, "a").join(b, "b").withColumn("gap", F.sqrt(sum((x * x for x in gap), F.lit(0.0)))).where(F.col("gap") <= eps)
+
+    def run(batches):
+        for batch in batches:
+            columns = [batch.column(i) for i in range(2, 8)]
+            offsets = [c.offsets.to_numpy() for c in columns]
+            flat = [c.values.to_numpy() for c in columns]
+            found = set()
+            for i, pair in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if pair not in found:
+                    xyz = [f[o[i] : o[i + 1]] for f, o in zip(flat, offsets, strict=True)]
+                    if blocks.distances(xyz[:3], xyz[3:]).min() <= eps:
+                        found.add(pair)
+            yield pa.RecordBatch.from_arrays([pa.array([p[j] for p in found], batch.column(j).type) for j in (0, 1)], ["a", "b"])
+
+    kinds = [pairs.schema[c].dataType.simpleString() for c in "ab"]
+    rows = met.select("a", "b", *[f"q{p}s" for p in P], *["xs", "ys", "zs"]).mapInArrow(run, f"a {kinds[0]}, b {kinds[1]}")
+    return rows.distinct()
+
+
 def density_clusters(points: DataFrame, eps: float, least: int, *keys: str) -> DataFrame:
     """(point_id, cluster): density clusters within each group of the keys; point_ids are unique over all groups (Ester et al., 1996). A core point has ``least`` points within eps, itself
-    included; clusters are named by their least core point; a border point joins its nearest core point (ties by id); noise has -1."""
-    pairs = stored(neighbors.pairs_within(points, points, eps, *keys).select("left_id", "right_id", "dist"))
-    core = stored(pairs.groupBy(F.col("left_id").alias("node")).agg(F.count("*").alias("n")).where(F.col("n") >= least).select("node"))
-    links = pairs.join(core.select(F.col("node").alias("left_id")), "left_id", "left_semi").join(core.select(F.col("node").alias("right_id")), "right_id", "left_semi")
-    named = labels(core, links.select(F.col("left_id").alias("a"), F.col("right_id").alias("b")))
-    to_core = pairs.join(named.select(F.col("node").alias("right_id"), "label"), "right_id")
-    joined = to_core.groupBy(F.col("left_id").alias("point_id")).agg(F.min(F.struct("dist", "right_id", "label")).alias("m"))
-    return points.select("point_id").join(joined, "point_id", "left").select("point_id", F.coalesce("m.label", F.lit(-1)).alias("cluster"))
+    included; clusters are named by their least core point; a border point joins its nearest core point (ties by id); noise has -1.
+
+    Cells of side eps / sqrt(3) hold only neighbours (Gunawan, 2013): all points of a cell with ``least`` are core, only the others' are counted. Core cells
+    are linked instead of points, and only points that are no core look for the nearest that is. No pair of points is written.
+    """
+    side = eps / math.sqrt(3) * (1 - 1e-9)
+    rows = points.select(*keys, "point_id", *P)
+    cell = {c: F.floor(F.col(p) / side).cast("long") for c, p in zip("ijk", P, strict=True)}
+    placed = rows.withColumns(cell)
+    full = placed.groupBy(*keys, *"ijk").agg(F.count("*").alias("_n")).where(F.col("_n") >= least).where(" and ".join(f"{c} is not null" for c in "ijk"))
+    dense = stored(placed.join(full.drop("_n"), [*keys, *"ijk"]).select(*rows.columns))
+    sparse = stored(rows.join(dense.select("point_id"), "point_id", "left_anti"))
+    cloud, asking = (blocks.packed(x, blocks.WIDE * eps, *keys) for x in (rows, sparse))
+    counted = blocks.search(asking, cloud, blocks.Counts, eps, *keys, enough=least)
+    core = stored(dense.unionByName(sparse.join(counted.where(F.col("neighbours") >= least).select("point_id"), "point_id").select(*rows.columns)))
+    rest = sparse.join(core.select("point_id"), "point_id", "left_anti")
+    cells = _boxes(core, side, *keys).select(*keys, *"ijk", "node").distinct()
+    named = stored(core.withColumns(cell).join(cells, [*keys, *"ijk"]).join(labels(cells.select("node"), cell_links(core, side, eps, *keys)), "node").select("point_id", F.col("label").alias("cluster")))
+    targets = blocks.packed(core, blocks.WIDE * eps, *keys)
+    border = blocks.search(blocks.packed(rest, blocks.WIDE * eps, *keys), targets, blocks.Neighbours, eps, *keys, k=1)
+    joined = named.unionByName(border.select("point_id", "target_id").join(named.withColumnRenamed("point_id", "target_id"), "target_id").select("point_id", "cluster"))
+    return points.select("point_id").join(joined, "point_id", "left").select("point_id", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
