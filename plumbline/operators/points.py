@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import colours
 from plumbline.functions import geometry as g
+from plumbline.operators.storage import stored
 
 P = ("x", "y", "z")
 
@@ -42,6 +43,27 @@ def stride_sample(points: DataFrame, step: int, key: str = "point_id") -> DataFr
     return points.where(F.col(key) % step == 0)
 
 
+def numbered(rows: DataFrame, *order: str, name: str = "number") -> DataFrame:
+    """``rows`` with their places 0, 1, 2 ... in an order (columns that tell rows apart), without bringing them to one task.
+
+    Rows are dealt by ranges, sorted and stored with their place in their task; what a task has to add is the sum of the tasks' sizes before it.
+    """
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
+    task = F.spark_partition_id()
+    local = F.monotonically_increasing_id() - F.shiftleft(task.cast("long"), 33)
+    kept = stored(dealt.withColumns({"_task": task, "_local": local}))
+    sizes = sorted(tuple(r) for r in kept.groupBy("_task").agg(F.count("*")).collect())  # one row a task
+    starts = [(t, sum(n for _, n in sizes[:i])) for i, (t, _) in enumerate(sizes)]
+    first = rows.sparkSession.createDataFrame(starts, "_task int, _first long")
+    return kept.join(first, "_task").withColumn(name, F.col("_first") + F.col("_local")).drop("_task", "_first", "_local")
+
+
+def every_kth(rows: DataFrame, step: int, *order: str) -> DataFrame:
+    """Every step-th row of an order, from the first on: exactly ceil(n / step) rows."""
+    return numbered(rows, *order, name="_number").where(F.col("_number") % step == 0).drop("_number")
+
+
 def is_uniform(points: DataFrame, *keys: str, eps: float = 1e-4) -> DataFrame:
     """Whether all points of a group have one colour, within eps."""
     spread = F.greatest(*[F.max(c) - F.min(c) for c in "rgb"])

@@ -24,4 +24,15 @@ def stored(df: DataFrame) -> DataFrame:
         where = sc.getCheckpointDir()
     path = f"{where.rstrip('/')}/plumbline-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._plumbline_path = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Deletes tables that ``stored`` made and nothing reads any more."""
+    for f in frames:
+        if path := getattr(f, "_plumbline_path", None):
+            sc = f.sparkSession.sparkContext
+            folder = sc._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
