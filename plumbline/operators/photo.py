@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import colours
 from plumbline.functions import geometry as g
 from plumbline.operators import planes
+from plumbline.operators.points import every_kth, numbered
+from plumbline.operators.quantiles import quantiles
+from plumbline.operators.storage import stored
 
 P = ("x", "y", "z")
 
@@ -54,11 +57,11 @@ def facade_in_quadrilateral(points: DataFrame, pose: dict, corners, least: int =
 
 def largest_visible_facade(points: DataFrame, facades: DataFrame, pose: dict, width: int, height: int, *, sample: int = 5000, least: int = 3, least_share: float = 0.02) -> DataFrame:
     """The facade with the largest area times visible share, over about ``sample`` points of each (a stride over ids' order)."""
-    order = Window.partitionBy("facade_id").orderBy("point_id")
-    sizes = points.groupBy("facade_id").agg(F.count("*").alias("_all"))
-    numbered = points.withColumn("_i", F.row_number().over(order) - 1).join(sizes, "facade_id").where(F.col("_i") % F.greatest(F.lit(1), F.floor(F.col("_all") / sample)) == 0)
+    placed = numbered(points.select("facade_id", "point_id", *P), "facade_id", "point_id", name="_i")
+    sizes = placed.groupBy("facade_id").agg(F.count("*").alias("_all"), F.min("_i").alias("_first"))
+    sampled = placed.join(sizes, "facade_id").where((F.col("_i") - F.col("_first")) % F.greatest(F.lit(1), F.floor(F.col("_all") / sample)) == 0)
     shown = (F.col("depth") > 1e-9) & (F.col("px") >= 0) & (F.col("px") < width) & (F.col("py") >= 0) & (F.col("py") < height)
-    counts = project_points(numbered, pose).groupBy("facade_id").agg(F.count(F.when(shown, 1)).alias("visible"), F.count("*").alias("sampled"))
+    counts = project_points(sampled, pose).groupBy("facade_id").agg(F.count(F.when(shown, 1)).alias("visible"), F.count("*").alias("sampled"))
     scored = counts.join(facades.select("facade_id", "area"), "facade_id").withColumn("share", F.col("visible") / F.col("sampled")).withColumn("score", F.col("area") * F.col("share"))
     return scored.where((F.col("visible") >= least) & (F.col("share") >= least_share)).orderBy(F.desc("score"), "facade_id").limit(1)
 
@@ -83,9 +86,11 @@ def nearest_pick(points: DataFrame, pose: dict, x: float, y: float, radius: floa
     return ranked.orderBy("outside", "off", "point_id").limit(1)
 
 
-def select_rectangle(points: DataFrame, pose: dict, low, high, step: int = 1) -> DataFrame:
-    """Ids of the display sample's points whose pixels lie in a screen rectangle (closed)."""
-    shown = project_points(points.where(F.col("point_id") % step == 0), pose)
+def select_rectangle(points: DataFrame, pose: dict, low, high, step: int = 1, *, order: tuple[str, ...] = ()) -> DataFrame:
+    """Ids of the display sample's points whose pixels lie in a screen rectangle (closed). The sample is every step-th row in the
+    given order, or, without one, the points whose id is a multiple of the step."""
+    sample = every_kth(points, step, *order) if order else points.where(F.col("point_id") % step == 0)
+    shown = project_points(sample, pose)
     return shown.where((F.col("depth") > 1e-9) & F.col("px").between(low[0], high[0]) & F.col("py").between(low[1], high[1]))
 
 
@@ -165,7 +170,8 @@ def heatmap(points: DataFrame, plane, *, cell: float = 0.5, least: int = 3, perc
     size = max(cell, (b.u1 - b.u0) / most, (b.v1 - b.v0) / most)
     bins = {a: max(1, int(np.ceil((hi - lo) / size - 1e-12))) for a, lo, hi in (("u", b.u0, b.u1), ("v", b.v0, b.v1))}
     index = {a: F.least(F.lit(bins[a] - 1), F.floor((F.col(a) - lo) / size).cast("int")) for a, lo in (("u", b.u0), ("v", b.v0))}
-    cells = flat.groupBy(index["u"].alias("i"), index["v"].alias("j")).agg(F.percentile("s", 0.5).alias("value"), F.count("*").alias("points")).where(F.col("points") >= least)
+    placed = stored(flat.select(index["u"].alias("i"), index["v"].alias("j"), "s"))
+    cells = quantiles(placed, "s", 0.5, "i", "j").select("i", "j", F.col("quantile").alias("value"), F.col("n").alias("points")).where(F.col("points") >= least)
     edges = {f"{a}{n}": F.least(F.lit(float(hi)), float(lo) + (F.col(k) + n) * size) for a, k, lo, hi in (("u", "i", b.u0, b.u1), ("v", "j", b.v0, b.v1)) for n in (0, 1)}
     cells = cells.withColumns(edges).where("u1 > u0 AND v1 > v0")
     limit = cells.agg(F.percentile(F.abs("value"), percentile)).first()[0]

@@ -227,6 +227,10 @@ SQL["snap_to_plane"] = (
     + f"SELECT query_id, CAST(facade_id AS BIGINT) AS facade_id, {r('abs(s)', 'dist', 7)}, {r('x - s*a', 'snapped_x', 7)}, {r('y - s*b', 'snapped_y', 7)}, {r('z - s*c', 'snapped_z', 7)} FROM al WHERE rn = 1"
 )
 SQL["lod_sample"] = f"SELECT o_orderkey AS point_id, {r('o_totalprice', 'o_totalprice')} FROM orders WHERE o_orderkey % 7 = 0"
+SQL["lod_stride"] = f"SELECT point_id, {r('o_totalprice', 'o_totalprice')} FROM (SELECT o_orderkey AS point_id, o_totalprice, row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders) WHERE i % 7 = 0"
+SQL["row_numbers"] = "SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS number FROM lineitem"
+SQL["price_quantiles"] = f"SELECT l_returnflag, count(*) AS n, {r('quantile_cont(CAST(l_extendedprice AS DOUBLE), 0.5)', 'median')}, {r('quantile_cont(CAST(l_extendedprice AS DOUBLE), 0.98)', 'high')} FROM lineitem GROUP BY l_returnflag"
+SQL["rect_select_stride"] = with_(PTS, CAM) + "SELECT point_id FROM (SELECT *, row_number() OVER (ORDER BY point_id) - 1 AS i FROM cam) WHERE i % 3 = 0 AND depth > 1e-9 AND px BETWEEN 900 AND 1100 AND py BETWEEN 400 AND 600"
 SQL["rect_select"] = with_(PTS, CAM) + "SELECT point_id FROM cam WHERE point_id % 3 = 0 AND depth > 1e-9 AND px BETWEEN 900 AND 1100 AND py BETWEEN 400 AND 600"
 OFF = "sqrt((px - 1000) * (px - 1000) + (py - 500) * (py - 500))"
 SQL["nearest_pick"] = with_(PTS, CAM) + f"SELECT point_id, CAST(facade_id AS BIGINT) AS facade_id, {r(OFF, 'off')}, {r('depth', 'depth')} FROM cam WHERE depth > 1e-9 ORDER BY {OFF} > 8, {OFF}, point_id LIMIT 1"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import colours, names
 from plumbline.functions import geometry as g
-from plumbline.operators import catalog, components, detect, neighbors, photo, planes, pose, register
+from plumbline.operators import catalog, components, detect, neighbors, orient, photo, planes, pose, quantiles, register
 from plumbline.operators import points as pts
 from plumbline.operators import quality as q
 from plumbline.operators.storage import stored
@@ -109,6 +109,14 @@ def normals_hybrid_knn(spark, d):
     return neighbors.normals(p, 0.35, 20, "facade_id").where("normal_points >= 10").select("point_id", "normal_points", *[F.round(c, 3).alias(c) for c in ("nx", "ny", "nz")])
 
 
+@query
+def oriented_normals(spark, d):
+    """Each surface's normals, fitted anew and turned so that neighbours agree."""
+    p = scene.points(spark, d).select("facade_id", "point_id", *P)
+    turned = orient.consistent(stored(neighbors.normals(p, 0.35, 20, "facade_id").drop("normal_points")), 8, 0.35, "facade_id")
+    return turned.select("point_id", *[F.round(c, 3).alias(c) for c in ("nx", "ny", "nz")])
+
+
 @query
 def radius_outlier(spark, d):
     p = scene.points(spark, d).select("facade_id", "point_id", *P)
@@ -394,6 +402,33 @@ def lod_sample(spark, d):
     return pts.stride_sample(o.select(F.col("o_orderkey").alias("point_id"), "o_totalprice"), 7)
 
 
+@query
+def lod_stride(spark, d):
+    """Every seventh order by place, not by key."""
+    o = scene.read(spark, d, "orders")
+    return pts.every_kth(o.select(F.col("o_orderkey").alias("point_id"), "o_totalprice"), 7, "point_id")
+
+
+@query
+def row_numbers(spark, d):
+    """Places of line items by ship date and key."""
+    l = scene.read(spark, d, "lineitem").select("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    return pts.numbered(l, *l.columns).select("l_orderkey", "l_linenumber", "number")
+
+
+@query
+def price_quantiles(spark, d):
+    """Exact medians and 98th percentiles of prices by flag, by refined histograms."""
+    l = scene.read(spark, d, "lineitem").select("l_returnflag", F.col("l_extendedprice").cast("double").alias("v"))
+    low, high = (quantiles.quantiles(l, "v", s, "l_returnflag") for s in (0.5, 0.98))
+    return low.withColumnRenamed("quantile", "median").join(high.select("l_returnflag", F.col("quantile").alias("high")), "l_returnflag")
+
+
+@query
+def rect_select_stride(spark, d):
+    return photo.select_rectangle(scene.points(spark, d), scene.POSE, (900.0, 400.0), (1100.0, 600.0), 3, order=("point_id",)).select("point_id")
+
+
 @query
 def rect_select(spark, d):
     return photo.select_rectangle(scene.points(spark, d), scene.POSE, (900.0, 400.0), (1100.0, 600.0), 3).select("point_id")
