@@ -40,15 +40,17 @@ def grid_cells(points: DataFrame, size: float, *keys: str) -> DataFrame:
 
 
 def adaptive_size(points: DataFrame, radius: float, ratio: float = 2.5, share: float = 0.1, least: float = 0.02) -> float:
-    """A grid size from the mean nearest-neighbour spacing of a hash-drawn share of the points; rings start at ``radius``."""
+    """A grid size from the mean nearest-neighbour spacing of a hash-drawn share of the points, about twenty at least; rings start at ``radius``.
+    Without two points the spacing counts as 0.1."""
+    share = max(share, min(1.0, 20 / max(points.count(), 1)))
     drawn = points.where(F.pmod(F.xxhash64("point_id"), F.lit(1000)) < int(1000 * share)).select("point_id", "x", "y", "z")
     spacing = neighbors.mean_neighbour_distance(drawn, 1, radius).agg(F.avg("mean_dist")).first()[0]
-    return max(least, ratio * (spacing or 0.0))
+    return max(least, ratio * (spacing or 0.1))
 
 
 def grid_components(points: DataFrame, size: float, least_cells: int, key: str, width: int = 1 << 20) -> DataFrame:
     """(key, i, j, component): occupied cells, joined to their four neighbours; the component is named by its least
-    cell number i * width + j. Components under ``least_cells`` cells drop out."""
+    cell number i * width + j. Components under ``least_cells`` cells drop out, but for groups under 1e-6 wide both ways, which are one component."""
     cells = stored(grid_cells(points, size, key).select(key, "i", "j").distinct())
     number = (F.col("i") * width + F.col("j")).alias("n")
     own = cells.select(F.struct(F.col(key).alias("k"), number).alias("node"))
@@ -56,8 +58,9 @@ def grid_components(points: DataFrame, size: float, least_cells: int, key: str,
     links = step.select(F.struct(F.col(key).alias("k"), number).alias("a"), F.struct(F.col(key).alias("k"), (F.col("i") * width + F.col("j") + F.col("step")).alias("n")).alias("b"))
     links = links.join(own.select(F.col("node").alias("b")), "b", "left_semi")
     found = labels(own, links).select(F.col("node.k").alias(key), F.floor(F.col("node.n") / width).alias("i"), (F.col("node.n") % width).alias("j"), F.col("label.n").alias("component"))
-    sizes = found.groupBy(key, "component").agg(F.count("*").alias("cells")).where(F.col("cells") >= least_cells)
-    return found.join(sizes, [key, "component"])
+    tiny = points.groupBy(key).agg(((F.max("u") - F.min("u") < 1e-6) & (F.max("v") - F.min("v") < 1e-6)).alias("_tiny"))
+    sizes = found.groupBy(key, "component").agg(F.count("*").alias("cells")).join(tiny, key).where((F.col("cells") >= least_cells) | F.col("_tiny"))
+    return found.join(sizes.drop("_tiny"), [key, "component"])
 
 
 #: A core cell's points are boxed in CUT parts an axis to find links.

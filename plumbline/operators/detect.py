@@ -34,6 +34,8 @@ class Detection:
     eps: float = 0.0
     rounds: int = 40
     trials: int = 500
+    #: Where no grid is given, take it from the spacing of each round's points: this many times the mean (0: from the voxel).
+    adaptive: float = 0.0
 
     def resolved(self, n: int) -> dict:
         least = max(100, int(self.least_share * n))
@@ -90,8 +92,11 @@ def detect(points: DataFrame, options: Detection | None = None) -> tuple[DataFra
             near = tight
         u, v = g.uv(P, [F.lit(0.0)] * 3, g.plane_axes([F.lit(x) for x in plane[:3]]))
         flat = stored(near.select("point_id", *P, u.alias("u"), v.alias("v"), F.lit(0).alias("cloud")))
-        cells = components.grid_components(flat, r["grid"], r["cells"], "cloud")
-        grouped = components.grid_cells(flat, r["grid"], "cloud").join(cells.select("i", "j", F.col("component").alias("group")), ["i", "j"])
+        grid = r["grid"]
+        if o.adaptive and not o.uv_grid:
+            grid = components.adaptive_size(flat.select("point_id", F.col("u").alias("x"), F.col("v").alias("y"), F.lit(0.0).alias("z")), grid, o.adaptive)
+        cells = components.grid_components(flat, grid, r["cells"], "cloud")
+        grouped = components.grid_cells(flat, grid, "cloud").join(cells.select("i", "j", F.col("component").alias("group")), ["i", "j"])
         taken = _accept(grouped, r, tol, o, turn, found, members)
         if taken is None:
             clusters = components.density_clusters(near.select("point_id", *P), r["eps"], r["core"]).where("cluster >= 0")
@@ -101,15 +106,18 @@ def detect(points: DataFrame, options: Detection | None = None) -> tuple[DataFra
             taken = ids if taken is None else ids.unionByName(taken)
         left = stored(left.join(taken.distinct(), "point_id", "left_anti"))
     if not found:
-        empty = _records(points.where("false").withColumn("group", F.lit(0)), o.voxel).withColumn("round", F.lit(0))
+        empty = _records(points.where("false").withColumn("group", F.lit(0))).withColumn("round", F.lit(0))
         return ranked(empty), spark.createDataFrame([], "facade_id int, point_id long")
     facades = ranked(planes.union_all(found))
     membership = planes.union_all(members).join(facades.select("round", "group", "facade_id"), ["round", "group"]).select("facade_id", "point_id")
     return facades.drop("round", "group"), membership
 
 
-def _records(near: DataFrame, voxel: float) -> DataFrame:
-    return planes.records(near, planes.fit(near, "group"), "group")
+def _records(near: DataFrame) -> DataFrame:
+    """Records with ``area``: the convex hull's, or the bounding box's where there is no hull."""
+    fits = planes.fit(near, "group")
+    hulls = hull_area(near, fits, "group").select("group", F.when(F.col("hull_points") >= 3, F.col("area_hull")).alias("_hull"))
+    return planes.records(near, fits, "group").join(hulls, "group", "left").withColumn("area", F.coalesce("_hull", "area_bbox")).drop("_hull")
 
 
 def _accept(grouped: DataFrame, r: dict, tol: float, o: Detection, turn: int, found: list, members: list) -> DataFrame | None:
@@ -120,7 +128,7 @@ def _accept(grouped: DataFrame, r: dict, tol: float, o: Detection, turn: int, fo
         return None
     near, _ = _refined(large, tol)
     near = stored(near)
-    kept = stored(_records(near, o.voxel).where((F.col("area_bbox") >= o.least_area) & (F.col("point_count") >= r["least"])).withColumn("round", F.lit(turn)))
+    kept = stored(_records(near).where((F.col("area") >= o.least_area) & (F.col("point_count") >= r["least"])).withColumn("round", F.lit(turn)))
     if not kept.isEmpty():
         found.append(kept)
         members.append(near.join(kept.select("group"), "group", "left_semi").select(F.lit(turn).alias("round"), "group", "point_id"))
@@ -162,8 +170,8 @@ def segment(points: DataFrame, selected: DataFrame, options: Detection | None =
 
     Each round takes the plane with most points near it, points within 1.8 tolerances whose normals agree (or the plane's own if those are too few),
     and splits them into density clusters, largest first; a cluster is refitted and keeps its points within two tolerances. The plane's
-    points and the segments' are taken out. Segments are numbered in the order found. Fewer points than a
-    segment needs, before or after unknown ids are dropped, give no segments.
+    points and the whole clusters of segments are taken out. Segments are numbered in the order found, clusters of a round from the
+    largest on. Fewer points than a segment needs, before or after unknown ids are dropped, give no segments.
     """
     o = options or Detection(degrees=18.0, least_cluster=80, least_area=0.0, trials=800)
     spark, least = points.sparkSession, o.least_cluster
@@ -196,19 +204,42 @@ def segment(points: DataFrame, selected: DataFrame, options: Detection | None =
         kept = stored(kept.join(enough.select("group"), "group"))
         gone = seeds.select("point_id")
         if not kept.isEmpty():
-            found.append(stored(_records(kept, o.voxel).withColumn("round", F.lit(turn))))
+            found.append(stored(_records(kept).join(large.withColumnRenamed("_n", "cluster_size"), "group").withColumn("round", F.lit(turn))))
             members.append(kept.select(F.lit(turn).alias("round"), "group", "point_id"))
-            gone = gone.unionByName(kept.select("point_id"))
+            gone = gone.unionByName(grouped.join(enough.select("group"), "group").select("point_id"))
         left = stored(left.join(gone.distinct(), "point_id", "left_anti"))
     if not found:
-        empty = _records(points.where("false").withColumn("group", F.lit(0)), o.voxel).withColumn("round", F.lit(0))
-        return ranked(empty), spark.createDataFrame([], "facade_id int, point_id long")
-    order = Window.orderBy("round", F.desc("point_count"), "group")  # one row a segment
+        empty = _records(points.where("false").withColumn("group", F.lit(0))).withColumns({"round": F.lit(0), "cluster_size": F.lit(0).cast("long")})
+        return ranked(empty).drop("round", "group"), spark.createDataFrame([], "facade_id int, point_id long")
+    order = Window.orderBy("round", F.desc("cluster_size"), "group")  # one row a segment
     segments = planes.union_all(found).withColumn("facade_id", F.row_number().over(order) - 1).where(F.col("facade_id") < most)
     membership = planes.union_all(members).join(segments.select("round", "group", "facade_id"), ["round", "group"]).select("facade_id", "point_id")
     return segments.drop("round", "group"), membership
 
 
+def segment_region(points: DataFrame, selected: DataFrame, options: Detection | None = None, most: int = 30) -> tuple[DataFrame, DataFrame, str]:
+    """(records, labels, message) of a hand-picked region: ``segment_records``, a label for every point of the cloud (-1 for none), and what
+    a viewer tells: how many planes were found, or why none were looked for."""
+    least = (options or Detection(least_cluster=80)).least_cluster
+    message = ""
+    if selected.limit(least).count() < least:
+        message = "too few points selected"
+    elif points.select("point_id").join(selected.select("point_id").distinct(), "point_id", "left_semi").limit(least).count() < least:
+        message = "too few valid points selected"
+    segments, members = segment(points, selected, options, most)
+    records = segment_records(points, segments, members)
+    return records, dense_labels(points.select("point_id"), members), message or f"{segments.count()} local planes found"
+
+
+def segment_records(points: DataFrame, segments: DataFrame, members: DataFrame) -> DataFrame:
+    """The segments with width, height, hull area and their colour."""
+    own = members.join(points.select("point_id", *P), "point_id")
+    spans = dimensions(own, segments, "facade_id").select("facade_id", "width", "height")
+    turn = F.pmod("facade_id", F.lit(len(colours.BY_SEGMENT)))
+    shown = colours.chosen([(turn == i, c) for i, c in enumerate(colours.BY_SEGMENT)], [F.lit(0.0)] * 3)
+    return segments.join(spans, "facade_id").withColumn("color", F.array(*shown))
+
+
 def dimensions(points: DataFrame, fitted: DataFrame, key: str) -> DataFrame:
     """Width, height and bounding area of each segment; a vertical one takes its height from z."""
     u, v = g.uv(P, ("cx", "cy", "cz"), g.plane_axes(planes.PLANE[:3]))

@@ -145,7 +145,7 @@ SQL["grid_components"] = (
         FAC,
         "xyz AS (SELECT facade_id, x, y, z FROM pts)",
         f"uv AS (SELECT facade_id, round(u, 6) + 0.0 AS u, round(v, 6) + 0.0 AS v FROM (SELECT facade_id, {UV} FROM xyz JOIN fac USING (facade_id)))",
-        "st AS (SELECT * FROM uv WHERE (CAST(floor(u/3) AS BIGINT) % 3 + 3) % 3 <> 0 AND (CAST(floor(v/4) AS BIGINT) % 3 + 3) % 3 <> 0)",
+        "st AS (SELECT * FROM uv)",
         "cel AS (SELECT DISTINCT facade_id, CAST(floor((u - u0) / 1.0::DOUBLE) AS BIGINT) AS i, CAST(floor((v - v0) / 1.0::DOUBLE) AS BIGINT) AS j FROM st JOIN (SELECT facade_id, min(u) AS u0, min(v) AS v0 FROM st GROUP BY facade_id) USING (facade_id))",
         "rec AS (SELECT facade_id, i, j, i * 1048576 + j AS lab FROM cel UNION SELECT c.facade_id, c.i, c.j, rec.lab FROM rec JOIN cel c ON c.facade_id = rec.facade_id AND abs(c.i - rec.i) + abs(c.j - rec.j) = 1)",
         "lab AS (SELECT facade_id, i, j, min(lab) AS component FROM rec GROUP BY facade_id, i, j)",

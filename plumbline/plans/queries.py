@@ -159,17 +159,13 @@ def refit_filter(spark, d):
     return planes.refit(scene.points(spark, d), 0.002, "facade_id", "l_linenumber")
 
 
-def _sparse_uv(spark, d):
-    """(u, v) of points in every third stripe both ways, so that components are many."""
+@query
+def grid_components(spark, d):
+    """Components of metre cells over the whole of every surface."""
     p = scene.points(spark, d)
     u, v = g.uv(P, ("cx", "cy", "cz"), g.plane_axes(planes.PLANE[:3]))
     flat = planes.with_plane(p, scene.facades(spark), "facade_id").select("facade_id", "point_id", R(u).alias("u"), R(v).alias("v"))
-    return flat.where("pmod(floor(u / 3), 3) != 0 and pmod(floor(v / 4), 3) != 0")
-
-
-@query
-def grid_components(spark, d):
-    found = components.grid_components(_sparse_uv(spark, d), 1.0, 3, "facade_id")
+    found = components.grid_components(flat, 1.0, 3, "facade_id")
     return found.groupBy("facade_id", "component").agg(F.max("cells").alias("cells"), F.sum("i").alias("sum_i"), F.sum("j").alias("sum_j"))
 
 
@@ -186,20 +182,20 @@ def dbscan_core_points(spark, d):
     return neighbors.neighbour_counts(p, 0.2, "facade_id").where("neighbours + 1 >= 4").select("point_id", "neighbours")
 
 
-DETECT = detect.Detection(voxel=0.05, least_area=5.0, degrees=30.0, uv_grid=2.5, trials=60, rounds=8)
+DETECT = detect.Detection(voxel=0.05, least_area=5.0, degrees=30.0, uv_grid=2.5)
 
 
 @query
 def detect_facades(spark, d):
     found, members = detect.detect(scene.points(spark, d), DETECT)
-    return found.select("facade_id", "type", "point_count", *planes.PLANE, "area_bbox", "flatness_rmse")
+    return found.select("facade_id", "type", "point_count", *planes.PLANE, "area", "area_bbox", "flatness_rmse")
 
 
 @query
 def segment_selection(spark, d):
     p = scene.points(spark, d)
     chosen = p.where("facade_id in (0, 2) and x < 15").select("point_id")
-    found, members = detect.segment(p, chosen, detect.Detection(degrees=30.0, least_cluster=80, least_area=0.0, uv_grid=2.5, trials=40), most=4)
+    found, members = detect.segment(p, chosen, detect.Detection(degrees=30.0, least_cluster=80, least_area=0.0, trials=800))
     return members.groupBy("facade_id").agg(F.count("*").alias("points"))
 
 
