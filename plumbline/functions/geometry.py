@@ -34,6 +34,14 @@ def to_yup(x, y, z) -> tuple[Column, Column, Column]:
     return col(x), col(z), -col(y)
 
 
+def unit_plane(plane) -> list[float]:
+    """a, b, c, d with a unit normal; a normal of no length is an error."""
+    size = math.sqrt(sum(float(c) * float(c) for c in plane[:3]))
+    if not size > 1e-12 or not math.isfinite(size):
+        raise ValueError(f"the plane {list(plane)} has no normal")
+    return [float(c) / size for c in plane]
+
+
 def signed_distance(point: Sequence, plane: Sequence) -> Column:
     x, y, z = map(col, point)
     a, b, c, d = map(col, plane)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -78,19 +80,25 @@ def snap(queries: DataFrame, facades: DataFrame, most: float = 4.0) -> DataFrame
     return best.select("query_id", F.col("_b.facade_id").alias("facade_id"), F.col("_b.dist").alias("dist"), *[c.alias(f"snapped_{p}") for c, p in zip(on, P, strict=True)])
 
 
-def nearest_pick(points: DataFrame, pose: dict, x: float, y: float, radius: float) -> DataFrame:
-    """The point picked at a pixel: nearest pixel within the radius, else the one nearest in pixels."""
-    shown = project_points(points, pose).where("depth > 1e-9")
+def scaled(shown: DataFrame, scale: float) -> DataFrame:
+    """Projected points in the pixels of a screen with another density."""
+    return shown if scale == 1.0 else shown.withColumns({c: F.col(c) * scale for c in ("px", "py")})
+
+
+def nearest_pick(points: DataFrame, pose: dict, x: float, y: float, radius: float, *, scale: float = 1.0) -> DataFrame:
+    """The point picked at a pixel: nearest pixel within the radius, else the one nearest in pixels. ``points`` may be several clouds in one
+    table, told apart by a column ``cloud``; ties go to the first cloud, then the lower id. ``scale`` is the screen's pixels a photo pixel."""
+    shown = scaled(project_points(points, pose).where("depth > 1e-9"), scale)
     off = F.sqrt((F.col("px") - x) * (F.col("px") - x) + (F.col("py") - y) * (F.col("py") - y))
     ranked = shown.withColumn("off", off).withColumn("outside", (F.col("off") > radius).cast("int"))
-    return ranked.orderBy("outside", "off", "point_id").limit(1)
+    return ranked.orderBy("outside", "off", *(["cloud"] if "cloud" in points.columns else []), "point_id").limit(1)
 
 
-def select_rectangle(points: DataFrame, pose: dict, low, high, step: int = 1, *, order: tuple[str, ...] = ()) -> DataFrame:
+def select_rectangle(points: DataFrame, pose: dict, low, high, step: int = 1, *, order: tuple[str, ...] = (), scale: float = 1.0) -> DataFrame:
     """Ids of the display sample's points whose pixels lie in a screen rectangle (closed). The sample is every step-th row in the
     given order, or, without one, the points whose id is a multiple of the step."""
     sample = every_kth(points, step, *order) if order else points.where(F.col("point_id") % step == 0)
-    shown = project_points(sample, pose)
+    shown = scaled(project_points(sample, pose), scale)
     return shown.where((F.col("depth") > 1e-9) & F.col("px").between(low[0], high[0]) & F.col("py").between(low[1], high[1]))
 
 
@@ -187,23 +195,57 @@ def heatmap_mesh(cells: DataFrame) -> DataFrame:
     return cells.select("i", "j", F.explode(triangles).alias("t"), "r", "g", "b").select("i", "j", "t.part", "t.corners", "r", "g", "b")
 
 
-def photo_heatmap(points: DataFrame, facades: DataFrame, pose: dict, corners, *, corners_3d=None, cell: float = 0.5) -> DataFrame:
-    """The heatmap of the part of a wall that a photo quadrilateral shows. ``points`` have facade_id; ``facades`` plane, centre and area."""
+@dataclass
+class Region:
+    """The part of a wall that a photo shows: the wall, its plane turned to the camera, the four corners in space (None for a whole wall), its points and its area."""
+
+    facade_id: int
+    plane: list[float]
+    corners_3d: list[list[float]] | None
+    points: DataFrame
+    area: float
+    coverage: float | None = None
+    visible: float | None = None
+
+
+def photo_region(points: DataFrame, facades: DataFrame, pose: dict, corners, *, corners_3d=None, refine: bool = True) -> Region:
+    """The wall with most points in a photo's quadrilateral and its points there. Corners in space may be given (4 x 3); else they are where the pixels' rays meet the
+    wall, moved to wall points with ``refine``. ``points`` have facade_id; ``facades`` plane, centre and area."""
     chosen = facade_in_quadrilateral(points, pose, corners).first()
     if chosen is None:
         raise ValueError("no wall has three points in the quadrilateral")
+    if corners_3d is not None and (len(corners_3d) != 4 or any(len(c) != 3 for c in corners_3d)):
+        raise ValueError("four corners with three coordinates each are needed")
     row = facades.where(F.col("facade_id") == chosen.facade_id).first()
-    plane = facing([row[c] for c in planes.PLANE], [row[c] for c in ("cx", "cy", "cz")], camera_centre(pose))
+    plane = facing(g.unit_plane([row[c] for c in planes.PLANE]), [row[c] for c in ("cx", "cy", "cz")], camera_centre(pose))
     own = points.where(F.col("facade_id") == chosen.facade_id)
     at = corners_3d or quadrilateral_corners(corners, pose, plane)
     if at is None:
         raise ValueError("a corner's ray does not meet the wall")
-    if not corners_3d:
+    if not corners_3d and refine:
         at = [[r.x, r.y, r.z] for r in refine_corners(own, pose, corners, at).orderBy("corner").collect()]
     region = in_3d_quadrilateral(own, plane, at)
     if region.limit(3).count() < 3:
         raise ValueError("the region has under three points")
-    return heatmap(region, plane, cell=cell)
+    return Region(chosen.facade_id, plane, [list(map(float, c)) for c in at], region, float(row["area"]), coverage=chosen.coverage)
+
+
+def visible_wall(points: DataFrame, facades: DataFrame, pose: dict, width: int, height: int) -> Region:
+    """The whole wall with the largest visible area in a photo."""
+    chosen = largest_visible_facade(points, facades, pose, width, height).first()
+    if chosen is None:
+        raise ValueError("no wall is visible in the photo")
+    row = facades.where(F.col("facade_id") == chosen.facade_id).first()
+    plane = facing(g.unit_plane([row[c] for c in planes.PLANE]), [row[c] for c in ("cx", "cy", "cz")], camera_centre(pose))
+    return Region(chosen.facade_id, plane, None, points.where(F.col("facade_id") == chosen.facade_id), float(row["area"]), visible=chosen.share)
+
+
+def photo_heatmap(points: DataFrame, facades: DataFrame, pose: dict, corners=None, *, corners_3d=None, cell: float = 0.5, size: tuple[int, int] | None = None) -> DataFrame:
+    """The heatmap of the part of a wall that a photo quadrilateral shows, or, without one, of the wall most of which a photo of that size (width, height) shows."""
+    if corners is None and size is None:
+        raise ValueError("a quadrilateral or the photo's size is needed")
+    region = visible_wall(points, facades, pose, *size) if corners is None else photo_region(points, facades, pose, corners, corners_3d=corners_3d)
+    return heatmap(region.points, region.plane, cell=cell)
 
 
 def highlight(points: DataFrame, facade_id: int, factor: float = 0.22) -> DataFrame:

@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import geometry
-from plumbline.operators import neighbors
-from plumbline.operators.points import transform, voxel_downsample
+from plumbline.operators import blocks, neighbors
+from plumbline.operators.points import numbered, transform, voxel_downsample
+from plumbline.operators.storage import stored
 
 P = ("x", "y", "z")
 
@@ -38,9 +39,9 @@ def align_pairs(pairs: DataFrame) -> np.ndarray:
     return out
 
 
-def point_to_plane_step(source: DataFrame, target: DataFrame, radius: float) -> tuple[np.ndarray, float, float]:
-    """(small rigid motion, matched share, RMSE) of one step (Chen and Medioni, 1992); target has normals."""
-    hits = neighbors.nearest(source, target, radius)
+def point_to_plane_step(source: DataFrame, target: DataFrame, radius: float, packed: DataFrame | None = None) -> tuple[np.ndarray, float, float]:
+    """(small rigid motion, matched share, RMSE) of one step (Chen and Medioni, 1992); target has normals. ``packed`` are its blocks for this radius."""
+    hits = neighbors.nearest(source, target if packed is None else packed, radius)
     t = target.select(F.col("point_id").alias("target_id"), *[F.col(p).alias(f"t{p}") for p in P], "nx", "ny", "nz")
     j = hits.join(source.select("point_id", *P), "point_id").join(t, "target_id")
     n = [F.col(c) for c in ("nx", "ny", "nz")]
@@ -78,10 +79,11 @@ def icp(source: DataFrame, target: DataFrame, start: np.ndarray | None = None, *
             thin = v
         part = source.select("point_id", *P)
         if thin:
-            part = voxel_downsample(part, thin, attributes=()).withColumn("point_id", F.xxhash64("vx", "vy", "vz")).select("point_id", *P)
+            part = numbered(voxel_downsample(part, thin, attributes=()), "vx", "vy", "vz", name="point_id").select("point_id", *P)
+        part, packed = stored(part), blocks.packed(target, blocks.WIDE * radius)
         before = None
         for _ in range(cap):
-            motion, share, rmse = point_to_plane_step(transform(part, total), target, radius)
+            motion, share, rmse = point_to_plane_step(transform(part, total), target, radius, packed)
             if share < 0.01:
                 return total, share, float("inf")
             total = motion @ total
@@ -90,3 +92,13 @@ def icp(source: DataFrame, target: DataFrame, start: np.ndarray | None = None, *
             before = (share, rmse)
     r = neighbors.registration_error(transform(source, total), target, 5 * v).first()
     return total, r.overlap, r.rmse
+
+
+def apply_saved(source: DataFrame, target: DataFrame, transformation, *, radius: float = 1.0) -> tuple[DataFrame, float, float]:
+    """(moved source, RMSE, overlap): a saved 4 x 4 transformation, as rows or as sixteen numbers, applied to the original cloud and measured anew."""
+    m = np.array(transformation, float)
+    if m.size != 16:
+        raise ValueError("the transformation must be a 4 x 4 matrix")
+    moved = transform(source, m.reshape(4, 4).tolist())
+    r = neighbors.registration_error(moved, target, radius).first()
+    return moved, r.rmse, r.overlap

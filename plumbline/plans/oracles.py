@@ -320,7 +320,7 @@ SQL["catalog_gc"] = with_(FILES) + "SELECT f.id, CASE WHEN f.id % 7 = 0 THEN 'mi
 SQL["catalog_missing"] = with_(FILES) + "SELECT id, path FROM f WHERE NOT is_deleted AND kind IN ('o', 'f') AND id % 5 = 0"
 SQL["catalog_listing"] = "SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_nationkey <> 3 ORDER BY (c_custkey * 37) % 1000 DESC, c_custkey DESC LIMIT 50"
 SQL["catalog_upsert"] = "SELECT c_name AS project_uuid, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment ELSE 'old' END AS name, CASE WHEN c_custkey % 3 = 0 THEN '/new' ELSE '/old' END AS root_dir FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0"
-SQL["catalog_activate"] = "SELECT c_custkey AS id, CASE WHEN c_nationkey = 7 AND c_custkey = 30 THEN 'ACTIVE' WHEN c_nationkey = 7 THEN 'INACTIVE' ELSE 'X' END AS status, CASE WHEN c_nationkey = 7 THEN c_custkey = 30 ELSE c_acctbal > 0 END AS is_active FROM customer"
+SQL["catalog_activate"] = "SELECT c_custkey AS id, 'X' AS status, CASE WHEN c_nationkey = 7 THEN c_custkey = 30 ELSE c_acctbal > 0 END AS is_active FROM customer"
 SQL["catalog_soft_delete"] = with_(FILES) + "SELECT project_id, count(*) FILTER (is_deleted OR id % 10 = 0) AS deleted, count(*) AS files FROM f GROUP BY project_id"
 STEM = lambda e: f"regexp_replace(regexp_replace({e}, '[^\\w.\\-]+', '_', 'g'), '(.)\\.[^.]*$', '\\1')"
 TAG = "replace(format('{:.6g}', p_size / 100.0::DOUBLE), '.', 'p')"
