@@ -14,14 +14,14 @@ the stored index. Passes' rows are combined by block and number in it, so that a
 whatever the benchmark's size, also if doc_ids repeat or lack.
 
 Edge cases: null and empty texts have no words; an item without words matches nothing; an item
-shorter than the window is one window; repeated items all match; an empty benchmark or corpus gives
+shorter than the window is one window; repeated items all match; an item without id hits words and counts as one item, but the digest of ids leaves it out; an empty benchmark or corpus gives
 zero hits or no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -127,6 +127,10 @@ class PositionalBlock:
         return anchor
 
 
+def in_order(items: Iterable[str | None]) -> list[str | None]:
+    return sorted(items, key=lambda i: (i is None, i or ""))
+
+
 def windows_of(items: list[tuple[str, bytes]], n: int) -> tuple[dict[bytes, int], dict[tuple[int, ...], list[str]]]:
     """Term numbers, and each distinct window (as term numbers) with the items that have it."""
     term_of: dict[bytes, int] = {}
@@ -135,13 +139,13 @@ def windows_of(items: list[tuple[str, bytes]], n: int) -> tuple[dict[bytes, int]
         t = [term_of.setdefault(w, len(term_of)) for w in tokens(text)]
         for i in range(max(1, len(t) - n + 1) if t else 0):
             found.setdefault(tuple(t[i : i + n]), set()).add(item)
-    return term_of, {w: sorted(i) for w, i in found.items()}
+    return term_of, {w: in_order(i) for w, i in found.items()}
 
 
 def benchmark_slices(benchmark: DataFrame, item: str, text: str, most: int = SLICE_BYTES) -> Iterator[list[tuple[str, bytes]]]:
     """The benchmark's items in slices of about ``most`` bytes, fetched one partition at a time."""
     part, size = [], 0
-    for row in benchmark.select(F.col(item).cast("string").alias("i"), F.col(text).cast("binary").alias("t")).where("i is not null and t is not null").toLocalIterator():
+    for row in benchmark.select(F.col(item).cast("string").alias("i"), F.col(text).cast("binary").alias("t")).where("t is not null").toLocalIterator():
         if part and size + len(row.t) > most:
             yield part
             part, size = [], 0
@@ -220,7 +224,7 @@ def _hits(found: DataFrame, items: list[tuple[str, bytes]], n: int) -> DataFrame
                 pa.array(block.counts, pa.int64()),
                 pa.array(n_hit, pa.int64()),
                 pa.array([spans.get(d, []) for d in rows], pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))),
-                pa.array([sorted(item_sets.get(d, ())) for d in rows], pa.list_(pa.string())),
+                pa.array([in_order(item_sets.get(d, ())) for d in rows], pa.list_(pa.string())),
             ],
             ["block", "at", "k", "n_words", "n_hit", "spans", "items"],
         )

@@ -78,3 +78,10 @@ def test_rows_that_lack_or_share_a_doc_id_stay_rows(spark, monkeypatch):
         monkeypatch.setattr(decontaminate.benchmark_slices, "__defaults__", (most,))
         got = decontaminate.find_contamination(docs, bench).collect()
         assert sorted(((r.doc_id, r.n_words, r.n_hit) for r in got), key=str) == sorted(want, key=str)
+
+
+def test_items_without_id_hit_words(spark):
+    docs = spark.createDataFrame([(1, "one two three"), (2, "none here"), (3, "four five")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "one two"), ("b", "two three"), ("c", None), (None, "four")], "item_id string, text string")
+    got = {r.doc_id: (r.n_hit, r["items"]) for r in decontaminate.find_contamination(docs, items, window=2).collect()}
+    assert got == {1: (3, ["b", None]), 2: (0, []), 3: (1, [None])}
