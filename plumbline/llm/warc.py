@@ -33,6 +33,8 @@ from plumbline.llm import common
 
 LEAST = 1000
 RECORDS_PER_FILE = 2000
+#: Seconds from 1970 to the end of 9999.
+YEARS = 253_402_300_800
 
 #: Fixed values of the WARC 1.1 format.
 VERSION = "WARC/1.1"
@@ -41,7 +43,7 @@ END = "\r\n\r\n"
 
 
 def payloads(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
-    safe = F.coalesce(F.col(url), F.concat(F.lit("urn:page:"), F.col(key).cast("string")))
+    safe = F.coalesce(F.col(url), F.concat(F.lit("urn:page:"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
     for code in (0x0D, 0x0A, 0x00, 0x09, 0x20):
         safe = F.replace(safe, F.lit(chr(code)), F.lit(f"%{code:02X}"))
     body = F.coalesce(F.col(html), F.lit(""))
@@ -62,7 +64,8 @@ def with_references(rows: DataFrame, least: int = LEAST) -> DataFrame:
 
 def records(rows: DataFrame) -> DataFrame:
     """One column ``value``: each row's WARC record, without its final blank line."""
-    when = F.date_format(F.timestamp_seconds(F.coalesce(F.col("page_id"), F.lit(0)).cast("long")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    # pages carry no time: the id stands in, within the years 1970 to 9999 that a date of four digits can tell
+    when = F.date_format(F.timestamp_seconds(F.pmod(F.coalesce(F.col("page_id"), F.lit(0)).cast("long"), F.lit(YEARS))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("payload_bytes").cast("string"), F.lit(END))
     revisit = F.col("refers_to").isNotNull()
     block = F.when(revisit, http).otherwise(F.concat(http, F.col("html")))

@@ -37,6 +37,16 @@ def test_index_is_in_global_order(spark, tmp_path):
     assert order == sorted(order) and len(order) == 400
 
 
+def test_pages_without_id_and_url_and_with_extreme_ids(spark, tmp_path):
+    ids = [None, -(1 << 63), -5, 0, 253_402_300_799, 253_402_300_800, (1 << 63) - 1]
+    rows = [(k, None, f"text {i}") for i, k in enumerate(ids)] + [(3, "http://a.org", "x" * 5000), (None, "http://a.org", "x" * 5000)]
+    got = round_trip(spark, rows, tmp_path, records_per_file=2)
+    assert sorted((str(r.page_id), r.html) for r in got if r.html and len(r.html) < 100) == sorted((str(k), h) for k, _, h in rows if len(h) < 100)
+    assert all(len(r.timestamp) == 20 and "1970" <= r.timestamp[:4] <= "9999" for r in got)
+    order = [(r.url_key, r.timestamp, r.page_id or 0) for r in got]
+    assert order == sorted(order) and len(got) == len(rows)
+
+
 def test_loser_tree():
     rng = random.Random(1)
     for k in (0, 1, 2, 3, 7, 16):
