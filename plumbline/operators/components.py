@@ -1,7 +1,7 @@
 """Connected components over grid cells and over neighbour links, and density clusters.
 
-Labels spread as minima over links, with a jump to the label's own label each round, so a chain of
-n links needs about log n rounds. Each round is written to shared storage.
+Every node hooks to its least lower neighbour, chains of hooks are followed by pointer jumping, and links are carried over to the
+roots, of which few remain after a few rounds. Each round is written to shared storage, the one before is deleted.
 """
 
 from __future__ import annotations
@@ -13,23 +13,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators import blocks, neighbors
-from plumbline.operators.storage import stored
+from plumbline.operators.storage import release, stored
 
 P = ("x", "y", "z")
 
 
 def labels(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(node, label) of every node; label is the least node reachable. ``links`` (a, b) may be one-way."""
-    both = stored(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct())
     now = stored(nodes.select("node", F.col("node").alias("label")))
+    edges = stored(links.select(F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q")).where("p != q").distinct())
+    while not edges.isEmpty():
+        roots = _jumped(stored(edges.groupBy("q").agg(F.min("p").alias("root")).withColumnRenamed("q", "tree")))
+        ends = edges.join(roots.toDF("p", "_p"), "p", "left").join(roots.toDF("q", "_q"), "q", "left").select(F.coalesce("_p", "p").alias("p"), F.coalesce("_q", "q").alias("q"))
+        before = (now, edges, roots)
+        now = stored(now.join(roots.toDF("label", "_root"), "label", "left").select("node", F.coalesce("_root", "label").alias("label")))
+        edges = stored(ends.select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).where("p != q").distinct())
+        release(*before)
+    return now
+
+
+def _jumped(hooks: DataFrame) -> DataFrame:
+    """(tree, root) with every root the end of its chain of hooks; hooks lead to lower nodes."""
     while True:
-        seen = both.join(now.toDF("b", "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        spread = now.join(seen.withColumnRenamed("a", "node"), "node", "left").select("node", "label", F.least("label", F.coalesce("near", "label")).alias("new"))
-        jump = spread.alias("s").join(now.toDF("at", "further"), F.expr("s.new = at"), "left").select("node", "label", F.least("new", "further").alias("new"))
-        after = stored(jump)
-        if after.where("new != label").isEmpty():
-            return now
-        now = after.select("node", F.col("new").alias("label"))
+        after = stored(hooks.join(hooks.toDF("root", "_next"), "root", "left").select("tree", F.coalesce("_next", "root").alias("root"), F.col("_next").isNotNull().alias("moved")))
+        release(hooks)
+        hooks = after.select("tree", "root")
+        hooks._plumbline_path = after._plumbline_path
+        if after.where("moved").isEmpty():
+            return hooks
 
 
 def grid_cells(points: DataFrame, size: float, *keys: str) -> DataFrame:
