@@ -153,6 +153,18 @@ SQL["grid_components"] = (
     + "SELECT CAST(facade_id AS BIGINT) AS facade_id, component, count(*) AS cells, CAST(sum(i) AS BIGINT) AS sum_i, CAST(sum(j) AS BIGINT) AS sum_j FROM lab GROUP BY facade_id, component HAVING count(*) >= 3"
 )
 SQL["dbscan_core_points"] = with_(PTS, near("nb", "pts", "pts", 0.2, "facade_id")) + "SELECT left_id AS point_id, count(*) AS neighbours FROM nb WHERE left_id <> right_id GROUP BY left_id HAVING count(*) >= 3"
+SQL["dbscan_clusters"] = (
+    with_(
+        PTS,
+        near("nb", "pts", "pts", 0.3, "facade_id"),
+        "core AS (SELECT left_id AS id FROM nb GROUP BY left_id HAVING count(*) >= 4)",
+        "edge AS (SELECT left_id, right_id FROM nb WHERE left_id IN (SELECT id FROM core) AND right_id IN (SELECT id FROM core) AND left_id <> right_id)",
+        "rec AS (SELECT id, id AS low FROM core UNION SELECT e.right_id, rec.low FROM rec JOIN edge e ON e.left_id = rec.id AND rec.low < e.right_id)",
+        "named AS (SELECT id, min(low) AS cluster FROM rec GROUP BY id)",
+        "best AS (SELECT left_id, cluster FROM nb JOIN named ON named.id = nb.right_id QUALIFY row_number() OVER (PARTITION BY left_id ORDER BY dist, right_id) = 1)",
+    )
+    + "SELECT point_id, coalesce(cluster, -1) AS cluster FROM pts LEFT JOIN best ON left_id = point_id"
+)
 SQL["facade_ranking"] = (
     with_(PTS.replace("pts AS (", "pts0 AS (", 1), "pts AS (SELECT facade_id * 10 + l_linenumber AS facade, x, y, z FROM pts0)", fit("fx", "pts", "facade"), records("facade", "fx"))
     + "SELECT CAST(facade AS BIGINT) AS facade, row_number() OVER (ORDER BY CASE WHEN type = 'vertical_facade' THEN 0 ELSE 1 END, point_count DESC, facade) - 1 AS facade_id, type, point_count FROM recs"
