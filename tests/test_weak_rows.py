@@ -113,3 +113,14 @@ def test_imports_without_an_active_scene_get_a_new_one(spark):
     assert sorted((r.id, r.is_active, r.status) for r in scenes.collect()) == [(1, False, "inactive"), (2, True, "active")] and files.first().scene_id == 2
     opened, _, _ = catalog.load_and_activate(projects, idle, empty(catalog.FILES), spark.createDataFrame([], "path string"), "u", now)
     assert [(r.id, r.is_active, r.status) for r in opened.collect()] == [(1, True, "inactive")]
+
+
+def test_debounce_of_a_long_key_and_of_missing_values(spark):
+    from plumbline.streaming import picks
+
+    rows = [("a", 1, i * 40) for i in range(5000)] + [(None, 1, 0), (None, 1, 100), (None, 1, 150), ("b", None, 7), ("c", 2, None), ("c", 2, None), ("c", 2, 3)]
+    df = spark.createDataFrame(rows, "cloud string, index int, ms long").selectExpr("cloud", "index", "timestamp_millis(ms) as ts").repartition(5)
+    got = sorted((str(r.cloud), str(r["index"]), None if r.ts is None else round(r.ts.timestamp() * 1000)) for r in picks.debounce(df, ["cloud", "index"]).collect() if r.cloud != "c")
+    want = sorted([("a", "1", t) for t in range(0, 200_000, 160)] + [("None", "1", 0), ("None", "1", 150), ("b", "None", 7)])
+    assert got == want
+    assert picks.debounce(df.where("cloud = 'c'"), ["cloud", "index"]).count() == 3 and picks.debounce(df.limit(0), ["cloud", "index"]).count() == 0
