@@ -238,6 +238,10 @@ SQL["snap_to_plane"] = (
     with_(FAC, "o AS (SELECT o_orderkey AS query_id, o_totalprice / 20000 AS x, (o_custkey % 40)::DOUBLE AS y, (o_orderkey % 30)::DOUBLE AS z FROM orders)", f"al AS (SELECT *, {DIST} AS s, row_number() OVER (PARTITION BY query_id ORDER BY abs(s) > 4, abs(s), area DESC, facade_id) AS rn FROM o, fac)")
     + f"SELECT query_id, CAST(facade_id AS BIGINT) AS facade_id, {r('abs(s)', 'dist', 7)}, {r('x - s*a', 'snapped_x', 7)}, {r('y - s*b', 'snapped_y', 7)}, {r('z - s*c', 'snapped_z', 7)} FROM al WHERE rn = 1"
 )
+# the planted camera, and the pairs whose pixels were left as they are
+SQL["camera_pose"] = with_(PTS) + f"""SELECT CAST(l_linenumber AS INTEGER) AS photo_id, count(*) AS pairs, count(*) FILTER (NOT (l_linenumber % 2 = 1 AND point_id % 1000 % 10 = 3)) AS inliers,
+  {scene.POSE['camera_matrix'][0][0]}::DOUBLE AS focal, 0.0::DOUBLE AS rmse, {-scene.POSE['translation'][0]}::DOUBLE AS x, {-scene.POSE['translation'][2]}::DOUBLE AS y, {scene.POSE['translation'][1]}::DOUBLE AS z
+FROM pts WHERE facade_id IN (0, 3) AND y + {scene.POSE['translation'][2]}::DOUBLE > 1 GROUP BY ALL HAVING count(*) >= 4"""
 SQL["lod_sample"] = f"SELECT o_orderkey AS point_id, {r('o_totalprice', 'o_totalprice')} FROM orders WHERE o_orderkey % 7 = 0"
 SQL["lod_stride"] = f"SELECT point_id, {r('o_totalprice', 'o_totalprice')} FROM (SELECT o_orderkey AS point_id, o_totalprice, row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders) WHERE i % 7 = 0"
 SQL["row_numbers"] = "SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS number FROM lineitem"

@@ -385,11 +385,16 @@ def icp_refine(spark, d):
 
 @query
 def camera_pose(spark, d):
-    """A known camera recovered from 24 wall points and their pixels."""
-    p = photo.project_points(scene.points(spark, d).where("facade_id in (0, 3)"), scene.POSE | {"distortion": [0.0]}).where("depth > 1")
-    rows = p.orderBy(F.pmod(F.col("point_id") * 7919, F.lit(104729)), "point_id").limit(24).select(*P, "px", "py").collect()
-    got = pose.solve(spark, [tuple(r[:3]) for r in rows], [tuple(r[3:]) for r in rows], 1920, 1080, trials=10)
-    return spark.createDataFrame([(round(float(got["camera_matrix"][0][0]), 2), round(got["rmse"], 2), int(sum(got["inliers"])))], "focal double, rmse double, inliers int")
+    """Known cameras recovered from all wall points before them: seven photos, some of known focal length, whose pixels are then off for a tenth of the pairs."""
+    photo_id, off = F.col("l_linenumber").cast("int"), (F.col("l_linenumber") % 2 == 1) & (F.pmod("point_id", F.lit(1000)) % 10 == 3)
+    seen = photo.project_points(scene.points(spark, d).where("facade_id in (0, 3)"), scene.POSE | {"distortion": [0.0]}).where("depth > 1")
+    pairs = seen.select(photo_id.alias("photo_id"), F.col("point_id").alias("pair_id"), *P, (F.col("px") + F.when(off, 300.0).otherwise(0.0)).alias("px"), "py")
+    numbers = spark.range(1, 8).select(F.col("id").cast("int").alias("photo_id"))
+    focal = F.when(F.col("photo_id") % 2 == 1, 1000.0)
+    photos = numbers.withColumns({"width": F.lit(1920.0), "height": F.lit(1080.0), "focal": focal, "degrees": F.lit(60.0)})
+    got = pose.poses(photos, pairs, trials=20).where("message is null")
+    exact = {"focal": F.round("focal", 1), "rmse": F.round("rmse", 2) + 0.0, "x": F.round(F.col("centre")[0], 2), "y": F.round(F.col("centre")[1], 2), "z": F.round(F.col("centre")[2], 2)}
+    return got.select("photo_id", F.col("pairs").cast("long").alias("pairs"), "inliers", *[c.alias(n) for n, c in exact.items()])
 
 
 @query
