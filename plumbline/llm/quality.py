@@ -55,14 +55,46 @@ _DIGIT[0x30:0x3A] = True
 _MARK[[0x21, 0x3F]] = True
 
 
+def equal_words(words: common.Words, a: np.ndarray, b: np.ndarray, long: int = 4096, step: int = 1 << 18) -> np.ndarray:
+    """Whether the words at places ``a`` and ``b`` are the same, byte by byte."""
+    size = words.ends[a] - words.starts[a]
+    same = size == words.ends[b] - words.starts[b]
+    for i in np.flatnonzero(same & (size > long)):
+        same[i] = np.array_equal(words.buf[words.starts[a[i]] : words.ends[a[i]]], words.buf[words.starts[b[i]] : words.ends[b[i]]])
+    short = np.flatnonzero(same & (size <= long))
+    part = np.cumsum(size[short]) // step  # about as many bytes at a time
+    for i in np.split(short, np.flatnonzero(np.diff(part)) + 1) if len(short) else ():
+        first = np.cumsum(size[i]) - size[i]
+        within = np.arange(size[i].sum()) - np.repeat(first, size[i])
+        differ = words.buf[np.repeat(words.starts[a[i]], size[i]) + within] != words.buf[np.repeat(words.starts[b[i]], size[i]) + within]
+        same[i] = np.add.reduceat(differ, first, dtype=np.int64) == 0
+    return same
+
+
 def repeated_words(words: common.Words, n: int = 3) -> np.ndarray:
-    """Which words lie in an n-word window that stands twice or more in its text."""
+    """Which words lie in an n-word window that stands twice or more in its text.
+
+    Prints find candidates; equality is that of the words themselves.
+    """
     at, prints = words.windows(n)
+    if not len(at):
+        return common.covered(at, n, len(words.prints))
     keyed = common.mix(prints + common.mix(words.doc[at].astype(np.uint64)))
-    order = np.argsort(keyed)
-    same = keyed[order][1:] == keyed[order][:-1]
-    again = np.concatenate((same, [False])) | np.concatenate(([False], same)) if len(at) else np.empty(0, bool)
-    return common.covered(at[order[again]], n, len(words.prints))
+    order = np.argsort(keyed, kind="stable")
+    left = np.flatnonzero(keyed[order][1:] == keyed[order][:-1])
+    a, b = at[order[left]], at[order[left + 1]]
+    same = words.doc[a] == words.doc[b]
+    for k in range(n):
+        same[same] = equal_words(words, a[same] + k, b[same] + k)
+    again = [a[same], b[same]]
+    if not same.all():  # a run of equal prints with different words: its windows are told apart by what they say
+        clash = np.isin(keyed[order], keyed[order][left[~same]])
+        seen: dict[tuple, list[int]] = {}
+        for i in at[order[clash]]:
+            said = tuple(words.buf[words.starts[i + k] : words.ends[i + k]].tobytes() for k in range(n))
+            seen.setdefault((int(words.doc[i]), *said), []).append(i)
+        again += [np.array(v) for v in seen.values() if len(v) > 1]
+    return common.covered(np.unique(np.concatenate(again)), n, len(words.prints))
 
 
 def measure(texts: list[bytes]) -> dict[str, np.ndarray]:

@@ -72,3 +72,19 @@ def test_empty_tables_and_odd_labels(spark, odd_docs, n):
     out = {r.doc_id: r for r in quality.judge(odd_docs, labels).collect()}
     assert out[5].kept and not out[1].kept and out[1].base_failed
     assert quality.judge(odd_docs, labels).count() == odd_docs.count()
+
+
+def test_equal_prints_of_different_words_are_no_repeat(monkeypatch):
+    thue = "a"
+    while len(thue) < 1024:
+        thue += thue.translate(str.maketrans("ab", "ba"))
+    other = thue.translate(str.maketrans("ab", "ba"))
+    long = "q" * 9000
+    texts = [f"x {thue} y x {other} y", f"x {thue} y x {other} y z x {other} y", f"{long} b c {long} b c d", f"{long}r b c {long}s b c d", "a b c d a b c", "", "é ü ö  é\tü ö"]
+    want = [brute(t)[4] for t in texts]
+    assert want[:2] == [0, 6] and list(quality.measure([t.encode() for t in texts])["n_repeat_words"]) == want
+    # all prints alike: the words alone decide
+    windows = quality.common.Words.windows
+    monkeypatch.setattr(quality.common.Words, "windows", lambda w, n: (windows(w, n)[0], windows(w, n)[1] * np.uint64(0)))
+    monkeypatch.setattr(quality.common, "mix", lambda x: x * np.uint64(0))
+    assert list(quality.measure([t.encode() for t in texts])["n_repeat_words"]) == want
