@@ -5,8 +5,8 @@ character n-grams, the longest known one at each place and shorter ones where no
 text's language has the best mean score; its probability is a softmax over the languages.
 
 Training counts words of all labelled rows given: tasks count their own rows, Spark sums; n-grams are counted from the
-distinct words, weighted by their counts. A word counted fewer than ``least`` times over all languages is too rare for
-frequencies and counts as unseen; its n-grams are learned all the same.
+distinct words, weighted by their counts. Every word counted is known; a caller may take those counted fewer than ``least`` times
+for unseen, whose n-grams are learned all the same.
 
 The model that goes to the tasks keeps the ``WORDS`` commonest words and, for each length, the
 ``GRAMS`` commonest n-grams (ties by text), so its size has a fixed bound. It only saves lookups: where more units are known, a bitmap
@@ -35,8 +35,6 @@ from plumbline.llm import anchors, common
 
 WORDS = 500_000
 GRAMS = 100_000
-#: Occurrences from which op5 takes a word for known.
-KNOWN_FROM = 5
 LONGEST = 4
 #: Distinct tokens that a task holds: training passes its counts on beyond it, prediction starts its table anew.
 HELD = 200_000
@@ -351,7 +349,7 @@ def held_out(key: str = "doc_id"):
 
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
-    model = train(docs.where(~held_out()).select("lang", "text"), least=KNOWN_FROM)
+    model = train(docs.where(~held_out()).select("lang", "text"))
     return predict(docs.select("doc_id", "text"), model).withColumn("held_out", held_out()).select("doc_id", "held_out", "lang_pred", "score")
 
 
