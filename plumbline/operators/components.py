@@ -47,7 +47,7 @@ def grid_cells(points: DataFrame, size: float, *keys: str) -> DataFrame:
     """Cell (i, j) of each point's (u, v), counted from its group's least u and v."""
     corner = points.groupBy(*keys).agg(F.min("u").alias("_u0"), F.min("v").alias("_v0"))
     cell = {"i": F.floor((F.col("u") - F.col("_u0")) / size), "j": F.floor((F.col("v") - F.col("_v0")) / size)}
-    return points.join(corner, list(keys)).withColumns(cell).drop("_u0", "_v0")
+    return points.join(stored(corner), list(keys)).withColumns(cell).drop("_u0", "_v0")
 
 
 def adaptive_size(points: DataFrame, radius: float, ratio: float = 2.5, share: float = 0.1, least: float = 0.02) -> float:

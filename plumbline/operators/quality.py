@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import geometry as g
 from plumbline.operators import planes
+from plumbline.operators.storage import stored
 
 P = ("x", "y", "z")
 INTERVAL, RULER, STEP, LIMIT, LEAST, MOST_WINDOWS = 20.0, 2.0, 0.05, 0.004, 30, 6000
@@ -25,14 +26,14 @@ def intervals(points: DataFrame, walls: DataFrame, size: float = INTERVAL, least
     Intervals run along v of the wall's plane, from its least v; they are half-open but for the last. Those under
     ``least`` points vanish and the others are numbered from 0 in order. ``walls`` has facade_id, plane and centre.
     """
-    _, v = g.uv(P, ("cx", "cy", "cz"), g.plane_axes(planes.PLANE[:3]))
-    placed = planes.with_plane(points, walls, "facade_id").withColumn("v", v).drop(*planes.PLANE, "cx", "cy", "cz")
-    span = placed.groupBy("facade_id").agg(F.min("v").alias("_v0"), F.max("v").alias("_v1"))
+    placed = planes.with_uv(points, walls, "facade_id").drop(*planes.PLANE, "cx", "cy", "cz", "u")
+    # tables of a row a wall or interval are stored: of known size, they are broadcast and no wall is dealt to one task
+    span = stored(placed.groupBy("facade_id").agg(F.min("v").alias("_v0"), F.max("v").alias("_v1")))
     n = F.greatest(F.lit(1), F.ceil((F.col("_v1") - F.col("_v0")) / size)).cast("int")
     cut = placed.join(span, "facade_id").withColumn("slot", F.least(F.floor((F.col("v") - F.col("_v0")) / size).cast("int"), n - 1)).drop("v", "_v0", "_v1")
     sizes = cut.groupBy("facade_id", "slot").agg(F.count("*").alias("points")).where(F.col("points") >= least)
     numbered = sizes.withColumn("interval_id", F.row_number().over(Window.partitionBy("facade_id").orderBy("slot")) - 1)
-    kept = cut.join(numbered.select("facade_id", "slot", "interval_id"), ["facade_id", "slot"]).drop("slot")
+    kept = cut.join(stored(numbered.select("facade_id", "slot", "interval_id")), ["facade_id", "slot"]).drop("slot")
     return kept, planes.fit(kept, "facade_id", "interval_id")
 
 
@@ -44,13 +45,12 @@ def _steps(extent: Column, ruler: float, step: float) -> Column:
 def _spans(points: DataFrame, interval_planes: DataFrame, ruler: float, step: float) -> tuple[DataFrame, DataFrame]:
     """(points with u, v and s in their interval's plane, each interval's window counts nu, nv and first starts ou, ov)."""
     key = ["facade_id", "interval_id"]
-    u, v = g.uv(P, ("cx", "cy", "cz"), g.plane_axes(planes.PLANE[:3]))
-    flat = planes.with_plane(points, interval_planes, *key).select(*key, "point_id", F.inline(F.array(F.struct(u.alias("u"), v.alias("v"), g.signed_distance(P, planes.PLANE).alias("s")))))
+    flat = planes.with_uv(points, interval_planes, *key).select(*key, "point_id", F.inline(F.array(F.struct("u", "v", g.signed_distance(P, planes.PLANE).alias("s")))))
     span = flat.groupBy(*key).agg(F.min("u").alias("u0"), F.max("u").alias("u1"), F.min("v").alias("v0"), F.max("v").alias("v1"))
     for a in "uv":
         extent = F.col(f"{a}1") - F.col(f"{a}0")
         span = span.withColumn(f"n{a}", _steps(extent, ruler, step)).withColumn(f"o{a}", F.when(extent < ruler, (F.col(f"{a}0") + F.col(f"{a}1") - ruler) / 2).otherwise(F.col(f"{a}0")))
-    return flat, span.select(*key, "nu", "nv", "ou", "ov")
+    return flat, stored(span.select(*key, "nu", "nv", "ou", "ov"))
 
 
 def _covering(flat: DataFrame, span: DataFrame, ruler: float, step: float) -> DataFrame:
