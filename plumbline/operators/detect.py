@@ -242,8 +242,7 @@ def segment_records(points: DataFrame, segments: DataFrame, members: DataFrame)
 
 def dimensions(points: DataFrame, fitted: DataFrame, key: str) -> DataFrame:
     """Width, height and bounding area of each segment; a vertical one takes its height from z."""
-    u, v = g.uv(P, ("cx", "cy", "cz"), g.plane_axes(planes.PLANE[:3]))
-    flat = planes.with_plane(points, fitted, key).select(key, u.alias("u"), v.alias("v"), "z", g.plane_type("nc").alias("type"))
+    flat = planes.with_uv(points, fitted, key).select(key, "u", "v", "z", g.plane_type("nc").alias("type"))
     spans = flat.groupBy(key).agg(F.first("type").alias("type"), *[(F.max(c) - F.min(c)).alias(f"_{c}") for c in "uvz"])
     height = F.when(F.col("type") == "vertical_facade", F.col("_z")).otherwise(F.col("_v"))
     return spans.select(key, "type", F.col("_u").alias("width"), height.alias("height"), (F.col("_u") * height).alias("area"))
@@ -252,18 +251,13 @@ def dimensions(points: DataFrame, fitted: DataFrame, key: str) -> DataFrame:
 def hull_area(points: DataFrame, fitted: DataFrame, key: str) -> DataFrame:
     """Area of each group's convex hull in its plane (monotone chain; Andrew, 1979).
 
-    Only the least and largest v at each u column of a fine grid, with their neighbours on the hull of the column, can be hull corners; so
-    columns reduce to hulls of their own in one aggregation step before groups meet in a task.
+    Every task keeps the hull of the points it has seen of each group, so a group's points are not gathered: what meets in a task
+    are the corners of the tasks' hulls.
     """
     import numpy as np
     import pandas as pd
 
-    u, v = g.uv(P, ("cx", "cy", "cz"), g.plane_axes(planes.PLANE[:3]))
-    flat = planes.with_plane(points, fitted, key).select(key, u.alias("u"), v.alias("v"))
-    extent = flat.groupBy(key).agg(F.min("u").alias("_a"), F.max("u").alias("_b"))
-    strips = flat.join(extent, key).withColumn("strip", F.floor(F.when(F.col("_b") > F.col("_a"), (F.col("u") - F.col("_a")) / (F.col("_b") - F.col("_a")) * 1000).otherwise(0.0)))
-    # by direction: the extreme point of a strip in each of many directions bounds its hull; exact hulls need all, so strips send distinct (u, min v, max v)
-    ends = strips.groupBy(key, "strip", "u").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    flat = planes.with_uv(points, fitted, key).select(key, "u", "v")
 
     def chain(xs: np.ndarray, ys: np.ndarray) -> list[tuple[float, float]]:
         order = np.lexsort((ys, xs))
@@ -280,15 +274,32 @@ def hull_area(points: DataFrame, fitted: DataFrame, key: str) -> DataFrame:
             out += side[:-1]
         return out
 
-    def corners(frame: pd.DataFrame) -> pd.DataFrame:
-        h = chain(np.concatenate((frame["u"], frame["u"])), np.concatenate((frame["lo"], frame["hi"])))
-        return pd.DataFrame({key: frame[key].iloc[0], "u": [p[0] for p in h], "lo": [p[1] for p in h], "hi": [p[1] for p in h]})
+    def outside(xs: np.ndarray, ys: np.ndarray, hull: list[tuple[float, float]]) -> np.ndarray:
+        """Points that are not clearly inside the hull, which runs counter-clockwise."""
+        inside = np.full(len(xs), len(hull) >= 3)
+        for (ax, ay), (bx, by) in zip(hull, [*hull[1:], *hull[:1]], strict=True):
+            along, across = (bx - ax) * (ys - ay), (by - ay) * (xs - ax)
+            inside &= along - across > 1e-9 * (np.abs(along) + np.abs(across))
+        return ~inside
+
+    def corners(frames):
+        hulls: dict = {}
+        for frame in frames:
+            for name, part in frame.groupby(key, dropna=False, sort=False):
+                xs, ys = part["u"].to_numpy(float), part["v"].to_numpy(float)
+                finite = np.isfinite(xs) & np.isfinite(ys)
+                xs, ys, hull = xs[finite], ys[finite], hulls.get(name, [])
+                new = outside(xs, ys, hull)
+                old = np.array(hull, float).reshape(-1, 2)
+                hulls[name] = chain(np.concatenate((old[:, 0], xs[new])), np.concatenate((old[:, 1], ys[new])))
+        for name, h in hulls.items():
+            yield pd.DataFrame({key: [name] * max(1, len(h)), "u": [p[0] for p in h] or [np.nan], "v": [p[1] for p in h] or [np.nan]})
 
     def area(frame: pd.DataFrame) -> pd.DataFrame:
-        h = chain(np.concatenate((frame["u"], frame["u"])), np.concatenate((frame["lo"], frame["hi"])))
+        own = frame.dropna(subset=["u"])
+        h = chain(own["u"].to_numpy(float), own["v"].to_numpy(float))
         twice = sum(a[0] * b[1] - a[1] * b[0] for a, b in zip(h, [*h[1:], *h[:1]], strict=True))
         return pd.DataFrame({key: [frame[key].iloc[0]], "area_hull": [abs(twice) / 2], "hull_points": [len(h)]})
 
     kind = points.schema[key].dataType.simpleString()
-    by_strip = ends.groupBy(key, "strip").applyInPandas(corners, f"{key} {kind}, u double, lo double, hi double")
-    return by_strip.groupBy(key).applyInPandas(area, f"{key} {kind}, area_hull double, hull_points long")
+    return flat.where(F.col(key).isNotNull()).mapInPandas(corners, f"{key} {kind}, u double, v double").groupBy(key).applyInPandas(area, f"{key} {kind}, area_hull double, hull_points long")
