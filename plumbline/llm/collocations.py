@@ -33,6 +33,8 @@ SHARE = 50
 SAMPLE, HOT, SPLIT = 5_000, 500, 32
 #: Bytes of text whose equal suffixes are added before the shuffle.
 BLOCK_BYTES = 1 << 23
+#: Rows handed to Spark at a time.
+ROWS = 1 << 16
 #: Tasks that choose a language's best phrases before one task ranks what they chose.
 RANKERS = 64
 
@@ -56,8 +58,7 @@ def _words(texts: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     keep[1:] |= ~gap[:-1]  # the byte behind a word becomes its space
     first = np.flatnonzero(~gap & np.concatenate(([True], gap[:-1])))
     last = np.flatnonzero(~gap & np.concatenate((gap[1:], [True])))
-    ends = np.concatenate(([0], np.cumsum(_END[buf])))
-    piece = ends[first]
+    piece = np.searchsorted(np.flatnonzero(_END[buf]), first)
     text_at = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
     counts = np.diff(np.searchsorted(first, text_at), prepend=0)
     buf = np.where(gap, 0x20, buf).astype(np.uint8)[keep]
@@ -104,6 +105,7 @@ def _suffixes(langs: list[str], texts: list[bytes], max_n: int, spread: set[tupl
         for _ in range(max_n):
             own, c = np.divmod(own, size)
             parts.insert(0, c.astype(np.int32))
+        own = own.astype(np.int32)
     spelled = pa.concat_arrays([pa.array([""]), known])
     ends = pc.binary_join_element_wise("\n", lang.dictionary, "")
     text = pc.binary_join_element_wise(*[spelled.take(pa.array(c)) for c in parts], ends.take(pa.array(own)), "")
@@ -121,36 +123,55 @@ def _suffixes(langs: list[str], texts: list[bytes], max_n: int, spread: set[tupl
     return pa.RecordBatch.from_arrays([text, pa.array((task >> np.uint64(33)).astype(np.int32)), n.cast(pa.int64())], ["suffix", "task", "c"])
 
 
+def _blocks(batches):
+    """(languages, texts) of rows (lang, text), by blocks of about ``BLOCK_BYTES``."""
+    langs: list[str] = []
+    texts: list[bytes] = []
+    size = 0
+    for b in batches:
+        for first, part in common.text_chunks(b.column(1)):
+            for own, t in zip(b.column(0).slice(first, len(part)).to_pylist(), part, strict=True):
+                if texts and size + len(t) > BLOCK_BYTES:
+                    yield langs, texts
+                    langs, texts, size = [], [], 0
+                langs.append(UNKNOWN if own is None else own)
+                texts.append(t)
+                size += len(t) + 1
+    if texts:
+        yield langs, texts
+
+
 def suffixes(docs: DataFrame, max_n: int = MAX_N, spread: frozenset[tuple[str, str]] = frozenset(), *, text: str = "text", lang: str = "lang") -> DataFrame:
     """suffix, task, c: every suffix of every piece, cut after max_n words, with its language behind a line feed, its count in a block of
     text, and a number that is the same for equal languages and first words, but has ``SPLIT`` values for those of ``spread``."""
 
     def run(batches):
-        langs: list[str] = []
-        texts: list[bytes] = []
-        size = 0
-        for b in batches:
-            for first, part in common.text_chunks(b.column(1)):
-                for own, t in zip(b.column(0).slice(first, len(part)).to_pylist(), part, strict=True):
-                    if texts and size + len(t) > BLOCK_BYTES:
-                        yield _suffixes(langs, texts, max_n, spread)
-                        langs, texts, size = [], [], 0
-                    langs.append(UNKNOWN if own is None else own)
-                    texts.append(t)
-                    size += len(t) + 1
-        if texts:
-            yield _suffixes(langs, texts, max_n, spread)
+        for langs, texts in _blocks(batches):
+            found = _suffixes(langs, texts, max_n, spread)
+            for at in range(0, len(found), ROWS):
+                yield found.slice(at, ROWS)
 
     return docs.select(common.quoted(lang).alias("lang"), common.quoted(text).alias("text")).mapInArrow(run, "suffix string, task int, c long")
 
 
+def word_counts(docs: DataFrame, *, text: str = "text", lang: str = "lang") -> DataFrame:
+    """word, c: every word with a space and its language behind a line feed, and its count in a block of text."""
+
+    def run(batches):
+        for langs, texts in _blocks(batches):
+            found = _suffixes(langs, texts, 1, frozenset())
+            yield pa.RecordBatch.from_arrays([found.column(0), found.column(2)], ["word", "c"])
+
+    return docs.select(common.quoted(lang).alias("lang"), common.quoted(text).alias("text")).mapInArrow(run, "word string, c long")
+
+
 def hot_words(docs: DataFrame, **names: str) -> frozenset[tuple[str, str]]:
     """(lang, word with its space) of the first words to be spread: at most ``HOT``, by a sample of about ``SAMPLE`` rows."""
     rows = docs.count()
     part = docs.sample(min(1.0, SAMPLE / max(rows, 1)), 42) if rows > SAMPLE else docs
-    words = common.materialize(suffixes(part, 1, **names).groupBy("suffix").agg(F.sum("c").alias("c")), "sampled-words")
+    words = common.materialize(word_counts(part, **names).groupBy("word").agg(F.sum("c").alias("c")), "sampled-words")
     total = words.agg(F.sum("c")).first()[0] or 0
-    found = [tuple(r["suffix"].split("\n", 1)) for r in words.where(F.col("c") * HOT > total).select("suffix").collect()]
+    found = [tuple(r["word"].split("\n", 1)) for r in words.where(F.col("c") * HOT > total).select("word").collect()]
     common.release(words)
     return frozenset((lang, word) for word, lang in found)
 

@@ -84,3 +84,17 @@ def test_wide_products_are_exact(spark):
     a, l, r = 40_000_003, 50_000_017, 60_000_011
     t = spark.createDataFrame([("en", "x y", 2, a), ("en", "x", 1, l), ("en", "y", 1, r)], "lang string, phrase string, words int, f long")
     assert [x.score for x in co.scored(t).collect()] == [1000000 * a * a // (l * r)]
+
+
+def test_a_block_of_text_takes_little_memory():
+    """At most 18 bytes of arrays for each byte of text: places are kept for words and ends of pieces, not for bytes."""
+    import tracemalloc
+
+    texts = 16 * [r[0].encode() for r in duckdb.sql(f"SELECT text FROM '{SF}/documents.parquet' WHERE text IS NOT NULL ORDER BY doc_id").fetchall()]
+    tracemalloc.start()
+    try:
+        found = co._suffixes(["en"] * len(texts), texts, 3, frozenset())
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(found) and peak < 18 * sum(map(len, texts))
