@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators import blocks, neighbors
@@ -45,7 +45,12 @@ def _jumped(hooks: DataFrame) -> DataFrame:
 
 def grid_cells(points: DataFrame, size: float, *keys: str) -> DataFrame:
     """Cell (i, j) of each point's (u, v), counted from its group's least u and v."""
-    corner = points.groupBy(*keys).agg(F.min("u").alias("_u0"), F.min("v").alias("_v0"))
+    return placed_cells(points, points, size, *keys)
+
+
+def placed_cells(points: DataFrame, group: DataFrame, size: float, *keys: str) -> DataFrame:
+    """``points`` with the cells that ``grid_cells`` of ``group`` has in their places."""
+    corner = group.groupBy(*keys).agg(F.min("u").alias("_u0"), F.min("v").alias("_v0"))
     cell = {"i": F.floor((F.col("u") - F.col("_u0")) / size), "j": F.floor((F.col("v") - F.col("_v0")) / size)}
     return points.join(stored(corner), list(keys)).withColumns(cell).drop("_u0", "_v0")
 
@@ -88,13 +93,12 @@ def _boxes(core: DataFrame, side: float, *keys: str) -> DataFrame:
     return parts.drop("_least").join(own, [*keys, *"ijk"])
 
 
-def cell_links(core: DataFrame, side: float, eps: float, *keys: str) -> DataFrame:
-    """(a, b) of core cells, named by their least points, with points within eps of each other.
+def cell_links(core: DataFrame, boxes: DataFrame, side: float, eps: float, *keys: str) -> DataFrame:
+    """(a, b) of core cells, named by their least points, with points within eps of each other. ``boxes`` are the cells' (``_boxes``).
 
     Boxes of the cells' parts decide: parts wholly within eps link their cells, parts farther apart do not. For cells that this leaves open,
     the points of the open parts are searched, a block at a time.
     """
-    boxes = stored(_boxes(core, side, *keys))
     steps = [(a, b, c) for a in range(-2, 3) for b in range(-2, 3) for c in range(-2, 3) if (a, b, c) > (0, 0, 0)]
     offsets = F.array(*[F.struct(*[F.lit(o).cast("long").alias(n) for o, n in zip(s, "ijk", strict=True)]) for s in steps])
     cells = boxes.select(*keys, *"ijk", "node").distinct()
@@ -150,27 +154,83 @@ def pairs_of_blocks(left: DataFrame, right: DataFrame, pairs: DataFrame, eps: fl
     return rows.distinct()
 
 
-def density_clusters(points: DataFrame, eps: float, least: int, *keys: str) -> DataFrame:
-    """(point_id, cluster): density clusters within each group of the keys; point_ids are unique over all groups (Ester et al., 1996). A core point has ``least`` points within eps, itself
-    included; clusters are named by their least core point; a border point joins its nearest core point (ties by id); noise has -1.
+def _cube(eps: float) -> list[Column]:
+    """Cube of side eps (a trace more) that a point lies in: points within eps lie in cubes that touch."""
+    return [F.floor(F.col(p) / (eps * (1 + 1e-9))).cast("long").alias(f"_q{p}") for p in P]
+
+
+def _touching(cubes: DataFrame) -> DataFrame:
+    """``cubes``, each at its own place and at the 26 around it."""
+    for p in P:
+        cubes = cubes.withColumn(f"_q{p}", F.explode(F.array(*[F.col(f"_q{p}") + i for i in (-1, 0, 1)])))
+    return cubes
+
+
+def _beside(points: DataFrame, asking: DataFrame, eps: float, *keys: str) -> DataFrame:
+    """Those of the points whose cubes touch one of ``asking``, so all within eps of it; all points where that would list more cubes than points."""
+    cubes = stored(asking.where(blocks.finite()).select(*keys, *_cube(eps)).distinct())
+    if 27 * cubes.count() > points.count():
+        return points
+    near = stored(_touching(cubes).distinct())
+    return points.select("*", *_cube(eps)).join(near, [*keys, *[f"_q{p}" for p in P]], "left_semi").select(*points.columns)
+
+
+def _crowded(points: DataFrame, eps: float, least: int, *keys: str) -> tuple[DataFrame, DataFrame]:
+    """(points that may be in a cluster, cubes of those that may be core): no point has more neighbours within eps than the cubes that touch its own have points.
+    Where cubes are so sparse that their sums would be more rows than points, nothing is ruled out and the cubes are all."""
+    cubes = stored(points.where(blocks.finite()).groupBy(*keys, *_cube(eps)).agg(F.count("*").alias("_n")))
+    names = [*keys, *[f"_q{p}" for p in P]]
+    if 27 * cubes.count() > points.count():
+        return points, cubes.select(names)
+    sums = _touching(cubes).groupBy(names).agg(F.sum("_n").alias("_most")).where(F.col("_most") >= least)
+    able = stored(cubes.select(names).join(sums.select(names), names, "left_semi"))
+    near = stored(_touching(able).distinct())
+    return points.select("*", *_cube(eps)).join(near, names, "left_semi").select(*points.columns), able
+
+
+def clustered(points: DataFrame, eps: float, least: int, *keys: str) -> DataFrame | None:
+    """keys, point_id, x, y, z, cluster of the points of ``density_clusters`` that are in a cluster; None if no point has enough around it.
 
     Cells of side eps / sqrt(3) hold only neighbours (Gunawan, 2013): all points of a cell with ``least`` are core, only the others' are counted. Core cells
-    are linked instead of points, and only points that are no core look for the nearest that is. No pair of points is written.
+    are linked instead of points, and only points that are no core look for the nearest that is. No pair of points is written. Points in places that are
+    too thin for a core point, by the sums of touching cubes, are not moved, and of the others only those that a search can meet.
     """
     side = eps / math.sqrt(3) * (1 - 1e-9)
-    rows = points.select(*keys, "point_id", *P)
-    cell = {c: F.floor(F.col(p) / side).cast("long") for c, p in zip("ijk", P, strict=True)}
+    columns = [*keys, "point_id", *P]
+    rows, able = _crowded(points.select(columns), eps, least, *keys)
+    if able.isEmpty():
+        return None
+    names, cell = [*keys, *"ijk"], {c: F.floor(F.col(p) / side).cast("long") for c, p in zip("ijk", P, strict=True)}
+    rows = stored(rows)
     placed = rows.withColumns(cell)
-    full = placed.groupBy(*keys, *"ijk").agg(F.count("*").alias("_n")).where(F.col("_n") >= least).where(" and ".join(f"{c} is not null" for c in "ijk"))
-    dense = stored(placed.join(full.drop("_n"), [*keys, *"ijk"]).select(*rows.columns))
-    sparse = stored(rows.join(dense.select("point_id"), "point_id", "left_anti"))
-    cloud, asking = (blocks.packed(x, blocks.WIDE * eps, *keys) for x in (rows, sparse))
-    counted = blocks.search(asking, cloud, blocks.Counts, eps, *keys, enough=least)
-    core = stored(dense.unionByName(sparse.join(counted.where(F.col("neighbours") >= least).select("point_id"), "point_id").select(*rows.columns)))
-    rest = sparse.join(core.select("point_id"), "point_id", "left_anti")
-    cells = _boxes(core, side, *keys).select(*keys, *"ijk", "node").distinct()
-    named = stored(core.withColumns(cell).join(cells, [*keys, *"ijk"]).join(labels(cells.select("node"), cell_links(core, side, eps, *keys)), "node").select("point_id", F.col("label").alias("cluster")))
-    targets = blocks.packed(core, blocks.WIDE * eps, *keys)
-    border = blocks.search(blocks.packed(rest, blocks.WIDE * eps, *keys), targets, blocks.Neighbours, eps, *keys, k=1)
-    joined = named.unionByName(border.select("point_id", "target_id").join(named.withColumnRenamed("point_id", "target_id"), "target_id").select("point_id", "cluster"))
-    return points.select("point_id").join(joined, "point_id", "left").select("point_id", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
+    full = placed.groupBy(names).agg(F.count("*").alias("_n")).where(F.col("_n") >= least).where(" and ".join(f"{c} is not null" for c in "ijk"))
+    full = stored(full.select(names))
+    dense = placed.join(full, names, "left_semi").select(columns)
+    sparse = stored(placed.join(full, names, "left_anti").select(columns))
+    asking = sparse.select("*", *_cube(eps)).join(able, [*keys, *[f"_q{p}" for p in P]], "left_semi").select(columns)
+    core, rest = dense, sparse
+    if not asking.isEmpty():
+        cloud, asked = (blocks.packed(x, blocks.WIDE * eps, *keys) for x in (_beside(rows, asking, eps, *keys), asking))
+        counted = blocks.search(asked, cloud, blocks.Counts, eps, *keys, enough=least)
+        more = stored(counted.where(F.col("neighbours") >= least).select("point_id"))
+        core, rest = dense.unionByName(sparse.join(more, "point_id", "left_semi")), stored(sparse.join(more, "point_id", "left_anti"))
+    boxes = stored(_boxes(core, side, *keys))
+    cells = boxes.select(*names, "node").distinct()
+    named = stored(cells.join(labels(cells.select("node"), cell_links(core, boxes, side, eps, *keys)), "node").select(*names, F.col("label").alias("cluster")))
+    found = core.withColumns(cell).join(named, names).select(*columns, "cluster")
+    if rest.isEmpty():
+        return found
+    targets = blocks.packed(_beside(core, rest, eps, *keys), blocks.WIDE * eps, *keys)
+    border = stored(blocks.search(blocks.packed(rest, blocks.WIDE * eps, *keys), targets, blocks.Neighbours, eps, *keys, k=1).select("point_id", "target_id"))
+    joined = stored(border.join(found.select(F.col("point_id").alias("target_id"), "cluster"), "target_id").select("point_id", "cluster"))
+    return found.unionByName(rest.join(joined, "point_id").select(*columns, "cluster"))
+
+
+def density_clusters(points: DataFrame, eps: float, least: int, *keys: str) -> DataFrame:
+    """(point_id, cluster): density clusters within each group of the keys; point_ids are unique over all groups (Ester et al., 1996). A core point has ``least`` points within eps, itself
+    included; clusters are named by their least core point; a border point joins its nearest core point (ties by id); noise has -1. See ``clustered``.
+    """
+    found = clustered(points, eps, least, *keys)
+    if found is None:
+        return points.select("point_id", F.lit(-1).cast(points.schema["point_id"].dataType).alias("cluster"))
+    return points.select("point_id").join(found.select("point_id", "cluster"), "point_id", "left").select("point_id", F.coalesce("cluster", F.lit(-1)).alias("cluster"))

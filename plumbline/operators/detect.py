@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import colours
 from plumbline.functions import geometry as g
 from plumbline.operators import components, planes
-from plumbline.operators.storage import stored
+from plumbline.operators.storage import release, stored
 
 P = ("x", "y", "z")
 N = ("nx", "ny", "nz")
@@ -61,7 +61,7 @@ def _refined(points: DataFrame, tolerance: float) -> tuple[DataFrame, DataFrame]
 def detect(points: DataFrame, options: Detection | None = None) -> tuple[DataFrame, DataFrame]:
     """(facades, membership) of one cloud with point_id, x, y, z and normals.
 
-    Each round draws hash-seeded planes, takes the one with most points near it, narrows to points whose normals agree and that lie within the
+    What a round takes is told by its plane and grid cells, or by its plane alone, so rounds deal no points by their ids. Each round draws hash-seeded planes, takes the one with most points near it, narrows to points whose normals agree and that lie within the
     tolerance, and splits them into grid components in the plane. Components that are large enough become facades; their points are
     taken out. If a round takes nothing, density clusters of the plane's points are tried, and all its seeds are taken out.
     Facades are ranked: vertical ones first, then by points; numbered from 0.
@@ -83,28 +83,36 @@ def detect(points: DataFrame, options: Detection | None = None) -> tuple[DataFra
         if inliers < r["least"]:
             break
         plane = drawn[best]
-        seeds = left.where(g.distance(P, plane) <= tol)
-        near = left.where(planes.candidates(left, plane, 1.5 * tol, o.degrees))
-        if near.count() < r["least"]:
-            near = seeds
-        tight = near.where(g.distance(P, plane) <= tol)
-        if tight.count() >= r["least"]:
-            near = tight
+        close = F.coalesce(g.distance(P, plane) <= tol, F.lit(False))
+        agree = F.coalesce(planes.candidates(left, plane, 1.5 * tol, o.degrees), F.lit(False))
+        wide, narrow = left.agg(F.count_if(agree), F.count_if(agree & close)).first()
+        chosen = close if wide < r["least"] else agree & close if narrow >= r["least"] else agree
         u, v = g.uv(P, [F.lit(0.0)] * 3, g.plane_axes([F.lit(x) for x in plane[:3]]))
-        flat = stored(near.select("point_id", *P, u.alias("u"), v.alias("v"), F.lit(0).alias("cloud")))
+        placed = left.withColumns({"u": u, "v": v, "cloud": F.lit(0)})
+        flat = stored(placed.where(chosen).select("point_id", *P, "u", "v", "cloud"))
         grid = r["grid"]
         if o.adaptive and not o.uv_grid:
             grid = components.adaptive_size(flat.select("point_id", F.col("u").alias("x"), F.col("v").alias("y"), F.lit(0.0).alias("z")), grid, o.adaptive)
-        cells = components.grid_components(flat, grid, r["cells"], "cloud")
-        grouped = components.grid_cells(flat, grid, "cloud").join(cells.select("i", "j", F.col("component").alias("group")), ["i", "j"])
-        taken = _accept(grouped, r, tol, o, turn, found, members)
-        if taken is None:
-            clusters = components.density_clusters(near.select("point_id", *P), r["eps"], r["core"]).where("cluster >= 0")
-            grouped = near.join(clusters.select("point_id", F.col("cluster").alias("group")), "point_id")
-            taken = _accept(grouped, r, tol, o, turn, found, members)
-            ids = seeds.select("point_id")
-            taken = ids if taken is None else ids.unionByName(taken)
-        left = stored(left.join(taken.distinct(), "point_id", "left_anti"))
+        cells = stored(components.grid_components(flat, grid, r["cells"], "cloud").select("i", "j", F.col("component").alias("group")))
+        grouped = components.grid_cells(flat, grid, "cloud").join(cells, ["i", "j"])
+        before, gone = left, _accept(grouped, r, tol, o, turn, found, members)
+        if gone is not None:
+            # cells tell which of the plane's points are taken, so no ids are dealt
+            own = components.placed_cells(placed, flat, grid, "cloud")
+            at = {c: F.when(chosen, F.col(c)) for c in "ij"}
+            taken = stored(cells.join(gone, "group").select("i", "j"))
+            left = stored(own.withColumns(at).join(taken, ["i", "j"], "left_anti").select(*left.columns))
+        else:
+            clusters = components.clustered(flat.select("point_id", *P), r["eps"], r["core"])
+            left = left.where(~close)
+            if clusters is not None:
+                grouped = stored(clusters.withColumnRenamed("cluster", "group"))
+                gone = _accept(grouped, r, tol, o, turn, found, members)
+                if gone is not None:
+                    left = _without(left, grouped.where(~close).join(gone, "group"))
+                release(grouped)
+            left = stored(left)
+        release(before, flat)
     if not found:
         empty = _records(points.where("false").withColumn("group", F.lit(0))).withColumn("round", F.lit(0))
         return ranked(empty), spark.createDataFrame([], "facade_id int, point_id long")
@@ -121,18 +129,25 @@ def _records(near: DataFrame) -> DataFrame:
 
 
 def _accept(grouped: DataFrame, r: dict, tol: float, o: Detection, turn: int, found: list, members: list) -> DataFrame | None:
-    """Keeps the large enough groups as facades; gives the ids of all groups with enough points, those too small in area included."""
-    sizes = grouped.groupBy("group").agg(F.count("*").alias("_n")).where(F.col("_n") >= r["cluster"])
-    large = stored(grouped.join(sizes.select("group"), "group").select("group", "point_id", *P))
-    if large.isEmpty():
+    """Keeps the large enough groups as facades; gives all groups with enough points, those too small in area included."""
+    sizes = stored(grouped.groupBy("group").agg(F.count("*").alias("_n")).where(F.col("_n") >= r["cluster"]).select("group"))
+    if sizes.isEmpty():
         return None
-    near, _ = _refined(large, tol)
+    near, _ = _refined(grouped.join(sizes, "group").select("group", "point_id", *P), tol)
     near = stored(near)
     kept = stored(_records(near).where((F.col("area") >= o.least_area) & (F.col("point_count") >= r["least"])).withColumn("round", F.lit(turn)))
-    if not kept.isEmpty():
+    if kept.isEmpty():
+        release(near)
+    else:
         found.append(kept)
         members.append(near.join(kept.select("group"), "group", "left_semi").select(F.lit(turn).alias("round"), "group", "point_id"))
-    return large.select("point_id")
+    return sizes
+
+
+def _without(points: DataFrame, ids: DataFrame) -> DataFrame:
+    """The points but those with these ids, which are few: where there are none, nothing is joined."""
+    ids = stored(ids.select("point_id").distinct())
+    return points if ids.isEmpty() else points.join(ids, "point_id", "left_anti").select(*points.columns)
 
 
 def ranked(facades: DataFrame) -> DataFrame:

@@ -73,3 +73,20 @@ def test_points_in_one_place_are_one_component(spark):
     assert {r.f for r in got} == {1}
     assert components.adaptive_size(spark.createDataFrame([(1, 0.0, 0.0, 0.0)], "point_id long, x double, y double, z double"), 0.1) == 0.25
     assert np.isfinite(1.0) and planes.PLANE
+
+
+def test_planes_are_counted_in_one_pass(spark):
+    """500 planes over points that lie on, just within and just beyond the tolerance, one job for all planes."""
+    rng = np.random.default_rng(3)
+    xyz = np.concatenate((rng.uniform(-3, 3, (2000, 3)), [[0.0, 0.0, h] for h in (0.05, 0.05 + 1e-15, -0.05, np.inf, np.nan)]))
+    drawn = [(0.0, 0.0, 1.0, 0.0), (0.0, 0.0, -1.0, 0.0)] + [tuple(map(float, (*(n / np.linalg.norm(n)), d))) for n, d in zip(rng.normal(size=(498, 3)), rng.uniform(-1, 1, 498), strict=True)]
+    p = cloud(spark, xyz)
+    want = [sum(p.agg(F.count(F.when(planes.g.distance(("x", "y", "z"), q) <= 0.05, 1))).first()) for q in drawn[:3]]
+    assert [planes.ransac(p, [q], 0.05) for q in drawn[:3]] == [(0, n) for n in want]
+    sc = spark.sparkContext
+    sc.setJobGroup("ransac", "one pass")
+    best, n = planes.ransac(p, drawn, 0.05)
+    jobs = len(sc.statusTracker().getJobIdsForGroup("ransac"))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs <= 2 and n == planes.ransac(p, [drawn[best]], 0.05)[1] >= max(want)
+    assert planes.ransac(p, [drawn[best], drawn[best]], 0.05) == (0, n) and planes.ransac(p.where("false"), drawn, 0.05) == (0, 0)
