@@ -203,26 +203,28 @@ def segment(points: DataFrame, selected: DataFrame, options: Detection | None =
         if inliers < least:
             break
         plane = drawn[best]
-        seeds = left.where(g.distance(P, plane) <= tol)
+        close = F.coalesce(g.distance(P, plane) <= tol, F.lit(False))
         near = stored(left.where(planes.candidates(left, plane, 1.8 * tol, o.degrees)))
         if near.count() < least:
-            near = stored(seeds)
-        clusters = stored(components.density_clusters(near.select("point_id", *P), eps, max(8, least // 10)))
+            release(near)
+            near = stored(left.where(close))
+        clusters = components.clustered(near.select("point_id", *P), eps, max(8, least // 10))
         # without any cluster all candidates are one
-        if clusters.where("cluster >= 0").isEmpty():
-            clusters = clusters.withColumn("cluster", F.lit(0))
-        grouped = near.join(clusters.where("cluster >= 0").select("point_id", F.col("cluster").alias("group")), "point_id").select("group", "point_id", *P)
-        large = grouped.groupBy("group").agg(F.count("*").alias("_n")).where(F.col("_n") >= least)
+        if clusters is None or (clusters := stored(clusters)).isEmpty():
+            clusters = near.select("point_id", *P, F.lit(0).cast(near.schema["point_id"].dataType).alias("cluster"))
+        grouped = clusters.select(F.col("cluster").alias("group"), "point_id", *P)
+        large = stored(grouped.groupBy("group").agg(F.count("*").alias("_n")).where(F.col("_n") >= least))
         grouped = grouped.join(large.select("group"), "group")
         kept = planes.with_plane(grouped, planes.fit(grouped, "group"), "group").where(g.distance(P, planes.PLANE) <= 2.0 * tol).select("group", "point_id", *P)
-        enough = kept.groupBy("group").agg(F.count("*").alias("_n")).where(F.col("_n") >= least)
-        kept = stored(kept.join(enough.select("group"), "group"))
-        gone = seeds.select("point_id")
-        if not kept.isEmpty():
+        enough = stored(kept.groupBy("group").agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select("group"))
+        before, left = left, left.where(~close)
+        if not enough.isEmpty():
+            kept = stored(kept.join(enough, "group"))
             found.append(stored(_records(kept).join(large.withColumnRenamed("_n", "cluster_size"), "group").withColumn("round", F.lit(turn))))
             members.append(kept.select(F.lit(turn).alias("round"), "group", "point_id"))
-            gone = gone.unionByName(grouped.join(enough.select("group"), "group").select("point_id"))
-        left = stored(left.join(gone.distinct(), "point_id", "left_anti"))
+            left = _without(left, grouped.where(~close).join(enough, "group"))
+        left = stored(left)
+        release(before, near)
     if not found:
         empty = _records(points.where("false").withColumn("group", F.lit(0))).withColumns({"round": F.lit(0), "cluster_size": F.lit(0).cast("long")})
         return ranked(empty).drop("round", "group"), spark.createDataFrame([], "facade_id int, point_id long")
