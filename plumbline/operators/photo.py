@@ -38,9 +38,11 @@ def pixel_ray(pixel, pose: dict) -> tuple[list[float], list[float]]:
 
 
 def project_points(points: DataFrame, pose: dict) -> DataFrame:
-    px, py, depth = g.project(P, pose)
-    # a generator, so that filters above use the pixels instead of copies of their expressions
-    return points.select("*", F.inline(F.array(F.struct(px.alias("px"), py.alias("py"), depth.alias("depth")))))
+    # generators, so that pixels use the place before the camera, and filters above the pixels, instead of copies of their expressions
+    xn, yn, depth = g.seen_from(P, pose)
+    before = points.select("*", F.inline(F.array(F.struct(xn.alias("_xn"), yn.alias("_yn"), depth.alias("_depth")))))
+    px, py = g.bent(F.col("_xn"), F.col("_yn"), pose)
+    return before.select(*points.columns, F.inline(F.array(F.struct(px.alias("px"), py.alias("py"), F.col("_depth").alias("depth")))))
 
 
 def in_photo_quadrilateral(points: DataFrame, pose: dict, corners) -> DataFrame:

@@ -30,6 +30,8 @@ THRESHOLDS = (12.0, 20.0, 30.0, 45.0, 60.0, 80.0)
 #: Ways from a sample to a pose: by the plane through it, and by a direct linear transform.
 METHODS = ("planar", "linear")
 SAMPLE, BLOCK, CHUNK = 6, 1024, 64
+#: Problems that a task works at a time, so that their numbers stay in a core's cache, and problems that are sent to every task.
+AT_ONCE, FEW = 8, 20_000
 #: Where the focal length and k1 stand among the parameters.
 FOCAL, K1 = 12, 15
 _UPPER = np.triu_indices(9)
@@ -198,14 +200,17 @@ def guesses(photos: DataFrame) -> DataFrame:
 def placed(photos: DataFrame, pairs: DataFrame) -> DataFrame:
     """The photos' pairs with their place 0, 1, ... in their photo."""
     own = numbered(pairs.select("photo_id", "pair_id", *[F.col(c).cast("double") for c in PAIR]).join(photos.select("photo_id"), "photo_id"), "photo_id", "pair_id", *PAIR)
+    # one row a photo, of known size: no photo's pairs are dealt to one task
     first = own.groupBy("photo_id").agg(F.min("number").alias("first"))
-    return stored(own.join(first, "photo_id").withColumn("place", F.col("number") - F.col("first")).drop("number", "first"))
+    return stored(own.join(stored(first), "photo_id").withColumn("place", F.col("number") - F.col("first")).drop("number", "first"))
 
 
 def packed(pairs: DataFrame) -> DataFrame:
     """photo_id, block, data: pairs by ``BLOCK``, in the order of their places."""
     rows = F.array_sort(F.collect_list(F.struct("place", F.array(*PAIR).alias("v"))))
-    return stored(pairs.groupBy("photo_id", F.floor(F.col("place") / BLOCK).alias("block")).agg(F.flatten(F.transform(rows, lambda r: r["v"])).alias("data")))
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = pairs.withColumn("block", F.floor(F.col("place") / BLOCK)).repartition(tasks, "photo_id", "block")
+    return stored(dealt.groupBy("photo_id", "block").agg(F.flatten(F.transform(rows, lambda r: r["v"])).alias("data")))
 
 
 def samples(photos: DataFrame, pairs: DataFrame, trials: int) -> DataFrame:
@@ -216,7 +221,7 @@ def samples(photos: DataFrame, pairs: DataFrame, trials: int) -> DataFrame:
     places = F.when(few, F.sequence(F.lit(0).cast("long"), F.col("pairs") - 1)).otherwise(F.slice(F.array_distinct(drawn), 1, SAMPLE))
     wanted = photos.select("photo_id", "pairs", trial).select("photo_id", "trial", F.explode(places).alias("place"))
     rows = F.array_sort(F.collect_list(F.struct("place", F.array(*PAIR).alias("v"))))
-    return wanted.join(pairs, ["photo_id", "place"]).groupBy("photo_id", "trial").agg(F.flatten(F.transform(rows, lambda r: r["v"])).alias("data"))
+    return stored(wanted).join(pairs, ["photo_id", "place"]).groupBy("photo_id", "trial").agg(F.flatten(F.transform(rows, lambda r: r["v"])).alias("data"))
 
 
 def hypotheses(candidates: DataFrame, drawn: DataFrame) -> DataFrame:
@@ -240,24 +245,30 @@ def hypotheses(candidates: DataFrame, drawn: DataFrame) -> DataFrame:
 
 
 def over_pairs(problems: DataFrame, blocks: DataFrame, carried: list[str], width: int, reduce, least_last: bool = False) -> DataFrame:
-    """photo_id, part, found: ``reduce(columns, pairs)`` gives (problems, width) for a block; sums over blocks (the last number by maximum on request)."""
+    """photo_id, part, found: ``reduce(columns, pairs)`` gives (problems, width) for a block; sums over blocks (the last number by maximum on request).
+    While problems are few, all go to every task and blocks stay where they are; else both are dealt by photo and block."""
     chunk = problems.groupBy("photo_id", F.floor(F.col("part") / CHUNK).alias("chunk")).agg(F.collect_list(F.struct("part", *carried)).alias("held"))
-    count = blocks.groupBy("photo_id").agg(F.max("block").alias("last"))
-    spread = chunk.join(count, "photo_id").select("photo_id", "held", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("block"))
+    if problems.count() <= FEW:
+        met = blocks.join(F.broadcast(chunk), "photo_id")
+    else:
+        count = blocks.groupBy("photo_id").agg(F.max("block").alias("last"))
+        spread = chunk.join(count, "photo_id").select("photo_id", "held", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("block"))
+        met = spread.join(blocks, ["photo_id", "block"])
     names = [f"s{i}" for i in range(width)]
 
     def run(frames):
         for f in frames:
             for photo, held, data in zip(f["photo_id"], f["held"], f["data"], strict=True):
                 columns = {c: np.array([h[c] for h in held], float) for c in carried}
-                got = reduce(columns, np.asarray(data, float).reshape(1, -1, 5))
-                out = pd.DataFrame(got, columns=names)
+                block = np.asarray(data, float).reshape(1, -1, 5)
+                parts = [{c: v[i : i + AT_ONCE] for c, v in columns.items()} for i in range(0, len(held), AT_ONCE)]
+                out = pd.DataFrame(np.concatenate([reduce(part, block) for part in parts]), columns=names)
                 out.insert(0, "part", [h["part"] for h in held])
                 out.insert(0, "photo_id", photo)
                 yield out
 
     kind = problems.schema["photo_id"].dataType.simpleString()
-    sums = spread.join(blocks, ["photo_id", "block"]).select("photo_id", "held", "data").mapInPandas(run, f"photo_id {kind}, part int, " + ", ".join(f"{n} double" for n in names))
+    sums = met.select("photo_id", "held", "data").mapInPandas(run, f"photo_id {kind}, part int, " + ", ".join(f"{n} double" for n in names))
     folds = [(F.max if least_last and n == names[-1] else F.sum)(n).alias(n) for n in names]
     return sums.groupBy("photo_id", "part").agg(*folds).select("photo_id", "part", F.array(*names).alias("found"))
 
@@ -360,6 +371,7 @@ def poses(photos: DataFrame, pairs: DataFrame, *, threshold: float = 20.0, trial
     """One row a photo: its pose of most inliers, then least error over them, among all intrinsics, methods and thresholds; all pairs count where no sample
     has three inliers. rotation (by rows), translation, focal, principal, distortion (five), centre, inliers, rmse, mean_error, max_error, or a message.
     """
+    pairs = stored(pairs.select("photo_id", "pair_id", *PAIR))  # read three times
     known = stored(checked(photos.select("photo_id", "width", "height", "focal", "degrees"), pairs))
     fit = known.where("message is null")
     own = placed(fit, pairs)
@@ -386,7 +398,7 @@ def poses(photos: DataFrame, pairs: DataFrame, *, threshold: float = 20.0, trial
     named = named.withColumns({"method": F.element_at(F.array(*map(F.lit, METHODS)), F.col("method") + 1), "mode": F.when(F.col("threshold") < float("inf"), "samples").otherwise("direct")})
     out = known.select("photo_id", "pairs", "message").join(named, "photo_id", "left")
     kept = stored(out.withColumn("message", F.coalesce("message", F.when(F.col("params").isNull(), "no pose explains the pairs"))))
-    release(known, own, blocks, drawn, first, guessed, more, calibrated, done)
+    release(pairs, known, own, blocks, drawn, first, guessed, more, calibrated, done)
     return _shown(kept)
 
 

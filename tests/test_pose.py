@@ -98,3 +98,29 @@ def test_single_needs_six(spark):
     world, pixels = seen(box(5))
     with pytest.raises(ValueError):
         pose.solve(spark, world, pixels, 1920, 1080)
+
+
+def test_few_problems_do_not_move_the_pairs(spark, monkeypatch):
+    """Sums over blocks are the same whether problems go to every task or are dealt with the blocks, and the first way shuffles no block."""
+    world, pixels = seen(box(100))
+    monkeypatch.setattr(pose, "BLOCK", 16)
+    pairs = spark.createDataFrame(rows(1, world, pixels) + rows(2, world[:40], pixels[:40]), PAIRS)
+    photos = spark.createDataFrame([(1,), (2,)], "photo_id int")
+    blocks = pose.packed(pose.placed(photos, pairs))
+    problems = spark.createDataFrame([(p, i, (CAMERA + 0.01 * i).tolist()) for p in (1, 2) for i in range(150)], "photo_id int, part int, params array<double>")
+    run = lambda c, q: np.column_stack((np.full(len(c["params"]), q.shape[1]), pose.distances(c["params"], q).sum(1)))
+    few = pose.over_pairs(problems, blocks, ["params"], 2, run)
+    assert "BroadcastHashJoin" in few._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(pose, "FEW", 0)
+    got, want = ({(r.photo_id, r.part): r.found for r in df.collect()} for df in (few, pose.over_pairs(problems, blocks, ["params"], 2, run)))
+    assert got.keys() == want.keys() and len(got) == 300 and {k[0]: v[0] for k, v in got.items()} == {1: 100, 2: 40}
+    assert all(np.allclose(got[k], want[k], rtol=1e-12) for k in got)
+
+
+def test_a_block_is_worked_a_few_problems_at_a_time(spark):
+    """The numbers of a step fit a core's cache: no more problems meet a block at once than ``AT_ONCE``."""
+    world, pixels = seen(box(20))
+    blocks = pose.packed(pose.placed(spark.createDataFrame([(1,)], "photo_id int"), spark.createDataFrame(rows(1, world, pixels), PAIRS)))
+    problems = spark.createDataFrame([(1, i, CAMERA.tolist()) for i in range(30)], "photo_id int, part int, params array<double>")
+    got = pose.over_pairs(problems, blocks, ["params"], 1, lambda c, q: np.full((len(c["params"]), 1), len(c["params"]))).collect()
+    assert len(got) == 30 and max(r.found[0] for r in got) == pose.AT_ONCE
