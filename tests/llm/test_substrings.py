@@ -186,3 +186,13 @@ def test_stage_with_odd_columns(spark, odd_docs):
     docs = odd_docs.selectExpr("*", "1 AS cut", "2 AS start", "3 AS `a.b`")
     out = fmindex.stage(spark, docs, SF)
     assert out.columns == docs.columns and out.count() == docs.count() - 1
+
+
+def test_spans_are_found_once_a_text(spark):
+    """What meets a text's copies are its maximal removed runs, not the ranges that they were found by."""
+    rng = random.Random(8)
+    text = " ".join(f"w{rng.randrange(10**6)}" for _ in range(400))
+    docs = [(i, text) for i in range(60)] + [(100, "before " + text[500:2000] + " after"), (101, text[:300])]
+    rows, marked, _ = suffixes.marked_ranges(spark.createDataFrame(docs, "doc_id long, text string"))
+    names = {bytes(r.d): r.t for r in rows.select("d", "t").distinct().collect()}
+    assert {names[bytes(r.d)]: [tuple(s) for s in r.marks] for r in marked.collect()} == {text: [(0, len(text))], docs[60][1]: [(7, 1507)]}
