@@ -17,7 +17,7 @@ from plumbline.operators import planes
 from plumbline.operators.storage import stored
 
 P = ("x", "y", "z")
-INTERVAL, RULER, STEP, LIMIT, LEAST, MOST_WINDOWS = 20.0, 2.0, 0.05, 0.004, 30, 6000
+INTERVAL, RULER, STEP, LIMIT, LEAST = 20.0, 2.0, 0.05, 0.004, 30
 
 
 def intervals(points: DataFrame, walls: DataFrame, size: float = INTERVAL, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
@@ -73,10 +73,10 @@ def _covering(flat: DataFrame, span: DataFrame, ruler: float, step: float) -> Da
     return out.drop("_lowu", "_highu", "_lowv", "_highv").where("au <= bu AND av <= bv")
 
 
-def windows(points: DataFrame, interval_planes: DataFrame, *, ruler: float = RULER, step: float = STEP, least: int = LEAST, most: int | None = MOST_WINDOWS) -> DataFrame:
+def windows(points: DataFrame, interval_planes: DataFrame, *, ruler: float = RULER, step: float = STEP, least: int = LEAST, most: int | None = None) -> DataFrame:
     """facade_id, interval_id, window (ku, kv), points, gap (metres) of all windows with enough points.
 
-    Both window bounds are closed. With ``most``, a stride common to both axes thins the windows of an interval to about that many.
+    Both window bounds are closed. Only if asked for by ``most``, a stride common to both axes thins the windows of an interval to about that many.
     """
     key = ["facade_id", "interval_id"]
     flat, span = _spans(points, interval_planes, ruler, step)
