@@ -20,21 +20,31 @@ P = ("x", "y", "z")
 INTERVAL, RULER, STEP, LIMIT, LEAST = 20.0, 2.0, 0.05, 0.004, 30
 
 
-def intervals(points: DataFrame, walls: DataFrame, size: float = INTERVAL, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
+def _units(digits: int | None, *lengths: float) -> list[float]:
+    """Lengths as whole numbers of 10**-digits, if digits are given."""
+    return [float(round(x * 10**digits)) for x in lengths] if digits is not None else list(lengths)
+
+
+def _whole(length: Column, digits: int | None) -> Column:
+    return F.floor(length * 10.0**digits + 0.5).cast("double") if digits is not None else length
+
+
+def intervals(points: DataFrame, walls: DataFrame, size: float = INTERVAL, least: int = LEAST, *, digits: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(points with their interval, interval planes).
 
     Intervals run along v of the wall's plane, from its least v; they are half-open but for the last. Those under
-    ``least`` points vanish and the others are numbered from 0 in order. ``walls`` has facade_id, plane and centre.
+    ``least`` points vanish and the others are numbered from 0 in order. ``walls`` has facade_id, plane and centre. For ``digits`` see ``windows``.
     """
     placed = planes.with_uv(points, walls, "facade_id").drop(*planes.PLANE, "cx", "cy", "cz", "u")
     # tables of a row a wall or interval are stored: of known size, they are broadcast and no wall is dealt to one task
     span = stored(placed.groupBy("facade_id").agg(F.min("v").alias("_v0"), F.max("v").alias("_v1")))
-    n = F.greatest(F.lit(1), F.ceil((F.col("_v1") - F.col("_v0")) / size)).cast("int")
-    cut = placed.join(span, "facade_id").withColumn("slot", F.least(F.floor((F.col("v") - F.col("_v0")) / size).cast("int"), n - 1)).drop("v", "_v0", "_v1")
+    (units,) = _units(digits, size)
+    n = F.greatest(F.lit(1), F.ceil(_whole(F.col("_v1") - F.col("_v0"), digits) / units)).cast("int")
+    cut = placed.join(span, "facade_id").withColumn("slot", F.least(F.floor(_whole(F.col("v") - F.col("_v0"), digits) / units).cast("int"), n - 1)).drop("v", "_v0", "_v1")
     sizes = cut.groupBy("facade_id", "slot").agg(F.count("*").alias("points")).where(F.col("points") >= least)
     numbered = sizes.withColumn("interval_id", F.row_number().over(Window.partitionBy("facade_id").orderBy("slot")) - 1)
     kept = cut.join(stored(numbered.select("facade_id", "slot", "interval_id")), ["facade_id", "slot"]).drop("slot")
-    return kept, planes.fit(kept, "facade_id", "interval_id")
+    return kept, planes.fit(kept, "facade_id", "interval_id", exact=digits is not None)
 
 
 def _steps(extent: Column, ruler: float, step: float) -> Column:
@@ -42,11 +52,16 @@ def _steps(extent: Column, ruler: float, step: float) -> Column:
     return F.when(extent < ruler, 1).otherwise(F.floor((extent - ruler) / step + 1e-9) + 1).cast("int")
 
 
-def _spans(points: DataFrame, interval_planes: DataFrame, ruler: float, step: float) -> tuple[DataFrame, DataFrame]:
-    """(points with u, v and s in their interval's plane, each interval's window counts nu, nv and first starts ou, ov)."""
+def _spans(points: DataFrame, interval_planes: DataFrame, ruler: float, step: float, digits: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(points with u, v and s in their interval's plane, each interval's window counts nu, nv and first starts ou, ov). With ``digits``, u and v are whole
+    numbers of 10**-digits from the interval's least, and so are the ruler and the step."""
     key = ["facade_id", "interval_id"]
     flat = planes.with_uv(points, interval_planes, *key).select(*key, "point_id", F.inline(F.array(F.struct("u", "v", g.signed_distance(P, planes.PLANE).alias("s")))))
     span = flat.groupBy(*key).agg(F.min("u").alias("u0"), F.max("u").alias("u1"), F.min("v").alias("v0"), F.max("v").alias("v1"))
+    if digits is not None:
+        span = stored(span)
+        flat = flat.join(span.select(*key, "u0", "v0"), key).select(*key, "point_id", *[_whole(F.col(a) - F.col(f"{a}0"), digits).alias(a) for a in "uv"], "s")
+        span = span.select(*key, *[c.alias(f"{a}{i}") for a in "uv" for i, c in enumerate((F.lit(0.0), _whole(F.col(f"{a}1") - F.col(f"{a}0"), digits)))])
     for a in "uv":
         extent = F.col(f"{a}1") - F.col(f"{a}0")
         span = span.withColumn(f"n{a}", _steps(extent, ruler, step)).withColumn(f"o{a}", F.when(extent < ruler, (F.col(f"{a}0") + F.col(f"{a}1") - ruler) / 2).otherwise(F.col(f"{a}0")))
@@ -73,13 +88,16 @@ def _covering(flat: DataFrame, span: DataFrame, ruler: float, step: float) -> Da
     return out.drop("_lowu", "_highu", "_lowv", "_highv").where("au <= bu AND av <= bv")
 
 
-def windows(points: DataFrame, interval_planes: DataFrame, *, ruler: float = RULER, step: float = STEP, least: int = LEAST, most: int | None = None) -> DataFrame:
+def windows(points: DataFrame, interval_planes: DataFrame, *, ruler: float = RULER, step: float = STEP, least: int = LEAST, most: int | None = None, digits: int | None = None) -> DataFrame:
     """facade_id, interval_id, window (ku, kv), points, gap (metres) of all windows with enough points.
 
-    Both window bounds are closed. Only if asked for by ``most``, a stride common to both axes thins the windows of an interval to about that many.
+    Both window bounds are closed. With ``digits``, places are measured from the interval's least in whole numbers of 10**-digits, so a point on a bound is
+    in; without, the last bits of the interval's plane decide, which follow the order in which points were summed. Only if asked for by ``most``, a stride
+    common to both axes thins the windows of an interval to about that many.
     """
     key = ["facade_id", "interval_id"]
-    flat, span = _spans(points, interval_planes, ruler, step)
+    ruler, step = _units(digits, ruler, step)
+    flat, span = _spans(points, interval_planes, ruler, step, digits)
     total = F.col("nu").cast("double") * F.col("nv")
     stride = F.when(total > most, F.ceil(F.sqrt(total / most))).otherwise(1).cast("int") if most else F.lit(1)
     sums = lambda n, s: (F.sum(n).alias("points"), F.sum(s).alias("total"))
