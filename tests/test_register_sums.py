@@ -25,3 +25,14 @@ def test_a_step_equals_brute_force_without_a_table_of_matches(spark, monkeypatch
     far = register.point_to_plane_step(source.where("x > 40"), target, 0.3)
     assert (far[0] == np.eye(4)).all() and far[1:] == (0.0, float("inf"))
     assert register.point_to_plane_step(source.where("false"), target, 0.3)[1] == 0.0
+
+
+def test_copies_of_a_target_place_are_left_out_but_the_lowest_id(spark):
+    """A nearest point's ties go to the lower id, so other copies of its place are never matched."""
+    rows = [(10 * i + c, float(i), 0.0, 0.5, float(c == 0), 0.0, float(c > 0)) for i in range(20) for c in range(7)]
+    target = spark.createDataFrame(rows, "point_id long, x double, y double, z double, nx double, ny double, nz double")
+    kept = register.one_a_place(target).collect()
+    assert sorted((r.point_id, r.x, r.nx, r.nz) for r in kept) == [(10 * i, float(i), 1.0, 0.0) for i in range(20)]
+    source = target.select("point_id", "x", "y", "z").where("point_id % 10 < 2")
+    whole, lone = (register.point_to_plane_step(source, t, 0.3) for t in (target, register.one_a_place(target)))
+    assert np.allclose(whole[0], lone[0]) and whole[1:] == lone[1:]
